@@ -117,7 +117,7 @@ QUERIES["format_cells"] = Query(
     sql(
         ["distances"],
         f"SELECT sector, grp, site_id, {_NUM('(dist_river_km * 20e0)')} AS num_cell, "
-        f"CASE WHEN {_P} = 0 THEN '<1e-4' WHEN {_P} < 1e-4 THEN cast({_P} as varchar) WHEN {_P} < 1e-3 THEN '<0.001' ELSE printf('%.3f', round({_P}, 3)) END AS p_cell, "
+        f"CASE WHEN {_P} = 0 THEN '<1e-4' WHEN {_P} < 1e-4 THEN cast({_P} as varchar) WHEN {_P} < 1e-3 THEN '<0.001' ELSE printf('%.3f', {_P}) END AS p_cell, "
         "CASE WHEN dist_river_km IS NULL THEN '' ELSE printf('%.3f', dist_river_km) || ' [' || printf('%.3f', dist_lake_km) || ', ' || printf('%.3f', dist_coast_km) || ']' END AS iqr_cell, "
         f"{_NUM('dist_lake_km')} || '–' || {_NUM('dist_coast_km')} AS range_cell FROM distances",
     ),

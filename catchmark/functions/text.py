@@ -1,4 +1,4 @@
-"""Table-cell formatting. Decimal ties are rounded half-even on the printed digits."""
+"""Table-cell formatting."""
 
 from __future__ import annotations
 
@@ -7,9 +7,22 @@ from pyspark.sql import functions as F
 
 
 def fixed(x: Column, digits: int) -> Column:
-    # bround settles ties before Java's half-up formatter can see them
-    # and format_string would print a NULL as text
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(x, digits).cast("double")))
+    """Fixed decimals, rounded on the number's exact binary value; an exact tie goes to the even digit.
+
+    Java's formatter rounds the printed decimal instead, so the rounding is done here: ``err`` is the exact
+    error of ``scaled``, which tells on which side of a seeming tie the number lies.
+    """
+    scale = float(10**digits)
+    a = F.abs(x)
+    scaled = a * scale
+    split = a * 134217729.0  # 2**27 + 1: high and low halves multiply by the scale without rounding
+    high = split - (split - a)
+    err = (high * scale - scaled) + (a - high) * scale
+    whole = F.floor(scaled)
+    rest = scaled - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((err > 0) | ((err == 0) & (whole % 2 == 1))))
+    value = (whole + F.when(up, 1).otherwise(0)).cast("double") / scale * F.when(x < 0, -1.0).otherwise(1.0)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", value))
 
 
 def fmt_num(x: Column, digits: int = 2) -> Column:

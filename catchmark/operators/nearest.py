@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catchmark.functions.geometry import segment_distance
-from catchmark.operators.ordered import require
+from catchmark.operators.lineage import cut
 
 # (x0, y0, width): squares that hold the coordinates of each reference system
 LONLAT_BOUNDS = (-180.0, -180.0, 360.0)
@@ -33,17 +33,18 @@ def _node(level: Column, ix: Column, iy: Column) -> Column:
 
 
 def _leaf_cell(c: Column, origin: float, width: float, depth: int) -> Column:
-    return F.floor((c - origin) * (4.0**depth / width))
+    """Cell number 0..4**depth - 1. Checked in the column itself: as a filter the check would be pushed into
+    the source and evaluate the coordinates' own expressions again and again."""
+    cell = F.floor((c - origin) * (4.0**depth / width))
+    return F.when(cell.between(0, 4**depth - 1), cell).otherwise(
+        F.raise_error(F.lit("coordinate outside the search bounds")).cast("bigint")
+    )
 
 
 def _with_leaf(df: DataFrame, x: Column, y: Column, bounds, depth: int, name: str) -> DataFrame:
     x0, y0, width = bounds
-    side = 4**depth
     out = df.withColumns({"_ix": _leaf_cell(x, x0, width, depth), "_iy": _leaf_cell(y, y0, width, depth)})
-    ok = F.col("_ix").between(0, side - 1) & F.col("_iy").between(0, side - 1)
-    return out.filter(require(ok, "coordinate outside the search bounds")).withColumn(
-        name, _node(F.lit(depth), F.col("_ix"), F.col("_iy"))
-    )
+    return out.withColumn(name, _node(F.lit(depth), F.col("_ix"), F.col("_iy")))
 
 
 def _children(boxes: DataFrame, keys: Sequence[str], depth: int, name: str) -> DataFrame:
@@ -109,8 +110,9 @@ def _candidates(points, segments, point_id, point_keys, segment_keys, depth, bou
     s_boxes = segs.withColumns(
         {"lox": F.least("x1", "x2"), "hix": F.greatest("x1", "x2"), "loy": F.least("y1", "y2"), "hiy": F.greatest("y1", "y2")}
     )
-    p_kids = _children(p_boxes, p_keys, depth, "p")
-    s_kids = _children(s_boxes, s_keys, depth, "s")
+    # every level reads the trees; written once, their size is known and the small ones are broadcast
+    p_kids = cut(_children(p_boxes, p_keys, depth, "p"), "point-tree")
+    s_kids = cut(_children(s_boxes, s_keys, depth, "s"), "segment-tree")
     # the root pair of each key: both roots are node 0 of level 0
     pairs = s_kids.filter(F.col("_level") == 0).select(*s_keys, F.lit(0).cast("bigint").alias("p"), F.col("s"))
     for level in range(depth):
