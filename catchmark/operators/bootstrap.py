@@ -26,7 +26,8 @@ STREAM_STEP = 7919
 def _spread(spec: DataFrame, keys: Sequence[str], reps: int) -> DataFrame:
     """One row per replicate, hashed over all shuffle partitions."""
     parts = int(spec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = spec.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).cast("bigint"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))
+    each = spec.withColumn("rep", F.explode(numbers))
     return each.repartition(parts, *keys, "rep")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -26,15 +27,20 @@ def presence_frame(sector: DataFrame, random: DataFrame, dist: str = "dist_km")
 def fit_distance_logit(frame: DataFrame) -> DataFrame:
     """One row: coefficient, odds ratio with 95% interval, p, McFadden pseudo-R2 and likelihood-ratio p."""
     data = VectorAssembler(inputCols=["log_dist"], outputCol="features").transform(frame.dropna(subset=["log_dist"]))
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="presence", featuresCol="features", maxIter=50, tol=1e-10
-    ).fit(data)
-    s = model.summary
-    coef, se = float(model.coefficients[0]), float(s.coefficientStandardErrors[0])
-    spark = frame.sparkSession
-    row = spark.createDataFrame(
-        [(coef, float(model.intercept), se, float(s.pValues[0]), float(s.deviance), float(s.nullDeviance))],
-        "coef double, intercept double, se double, p_value double, deviance double, null_deviance double",
+    data = data.select("presence", "features").persist(StorageLevel.MEMORY_AND_DISK)  # every iteration is a pass
+    try:
+        model = GeneralizedLinearRegression(
+            family="binomial", link="logit", labelCol="presence", featuresCol="features", maxIter=50, tol=1e-10
+        ).fit(data)
+        s = model.summary
+        fitted = (
+            float(model.coefficients[0]), float(model.intercept), float(s.coefficientStandardErrors[0]),
+            float(s.pValues[0]), float(s.deviance), float(s.nullDeviance),
+        )
+    finally:
+        data.unpersist()
+    row = frame.sparkSession.createDataFrame(
+        [fitted], "coef double, intercept double, se double, p_value double, deviance double, null_deviance double"
     )
     z = 1.959963984540054
     lr = F.col("null_deviance") - F.col("deviance")
@@ -76,6 +82,7 @@ def penalised_odds_ratios(df: DataFrame, label: str, predictors: Sequence[str],
     scaled = rows.select("label", *[((F.col(p) - moments[f"m_{p}"]) / (moments[f"s_{p}"] or 1.0)).alias(p) for p in predictors])
     data = VectorAssembler(inputCols=predictors, outputCol="features").transform(scaled)
     # the penalty is |w|^2/2 against a summed loss there and a mean loss here: hence 1/n
+    # the fit caches its own instances between iterations
     model = LogisticRegression(
         regParam=1.0 / moments["n"], elasticNetParam=0.0, standardization=False, maxIter=4000, tol=1e-9
     ).fit(data)

@@ -10,6 +10,7 @@ from catchmark.functions.clean import keep_values, nearest_kind
 from catchmark.functions.geometry import project_edges, project_points, utm_xy, utm_zone
 from catchmark.functions.text import fmt_num, fmt_p, fmt_range
 from catchmark.operators.distributions import bh_fdr_results, descriptives, median_difference, rank_comparison
+from catchmark.operators.lineage import cut
 from catchmark.operators.models import fit_distance_logit, presence_frame
 from catchmark.operators.nearest import nearest_distance
 from catchmark.operators.polygons import domain_filter
@@ -132,7 +133,11 @@ def matched_distances(
 
 
 def logit_table(distances: DataFrame) -> DataFrame:
-    """One logistic fit per sector on (sector, grp, dist_km), sorted by sector."""
+    """One logistic fit per sector on (sector, grp, dist_km), sorted by sector.
+
+    The distances are written once: counts and every fitting pass of all sectors read them.
+    """
+    distances = cut(distances, "distances")
     fits = []
     for sector in SECTORS:
         rows = distances.filter(F.col("sector") == sector)
