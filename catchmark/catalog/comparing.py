@@ -363,8 +363,7 @@ QUERIES["boot_no_repl"] = Query(
 
 
 def boot_two_sample(spark, d):
-    values = _values(spark, d, True)
-    ranked = ds.ranked_rows(values, ["group", "metric"], "x", "basin_id")
+    values, ranked = regime_plan.written_ranks(_values(spark, d, True))
     return out(bs.bootstrap_two_sample(values, ranked, SECTORS, _METRICS), "sector", "metric", "n", "m")
 
 
@@ -406,14 +405,7 @@ QUERIES["tests_vs_none"] = Query(
 
 
 def ecdf_band(spark, d):
-    m = master(spark, d)
-    values = regime_plan.group_values(m)
-    grid = regime_plan.metric_grid(m)
-    none = ds.value_counts(values.filter("group = 'None'"), ["metric"], "x")
-    each = F.explode(F.array(*[F.lit(s) for s in SECTORS]))
-    pool = ds.ecdf_on_grid(none, grid, ["metric"]).withColumn("sector", each).select("sector", "metric", "g", "y")
-    got = bs.ecdf_band(values, grid.withColumn("sector", each), SECTORS, _METRICS, pool)
-    return out(got, "sector", "metric", "g")
+    return out(regime_plan.effect_bands(master(spark, d)), "sector", "metric", "g")
 
 
 QUERIES["ecdf_band"] = Query(

@@ -102,7 +102,7 @@ QUERIES["sector_class_pct"] = Query(
 def class_props(spark, d):
     fac = facilities_with_stress(spark, d).select("sector", "stress_quartile")
     both = fac.unionByName(reference(spark, d).select("sector", "stress_quartile"))
-    counts = tb.class_counts(both, ["sector"], "stress_quartile", tb.QUARTILES)
+    counts = tb.class_counts(both, ["sector"], {"stress_quartile": tb.QUARTILES})
     return tb.class_proportions(counts, ["sector"]).select("sector", "class", F.col("n").cast("bigint").alias("n"), r6("share").alias("share"))
 
 

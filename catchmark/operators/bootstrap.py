@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catchmark.functions.random import MODULUS, hash31
+from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import bounded_side, exact_quantiles, group_quantiles, with_slices
 
 STREAM_STEP = 7919
@@ -61,12 +62,12 @@ def replicate_medians(spec: DataFrame, ranked: DataFrame, keys: Sequence[str], r
     def at(k: Column) -> Column:
         return F.min(F.when(F.col("_cum") >= k, F.col("i")))
 
+    carried = [c for c in ("group", "metric") if c not in keys]
     middle = cum.groupBy(*keys, "rep").agg(
-        F.max("group").alias("group"),
-        F.max("metric").alias("metric"),
+        *[F.max(c).alias(c) for c in carried],
         F.array(at(F.floor((F.col("n") + 1) / 2)), at(F.floor(F.col("n") / 2) + 1)).alias("_mid"),
     )
-    looked_up = middle.select(*keys, "rep", *[c for c in ("group", "metric") if c not in keys], F.explode("_mid").alias("i"))
+    looked_up = middle.select(*keys, "rep", *carried, F.explode("_mid").alias("i"))
     values = ranked.select("group", "metric", "i", "x")
     return looked_up.join(values, ["group", "metric", "i"]).groupBy(*keys, "rep").agg(F.avg("x").alias("median"))
 
@@ -101,7 +102,8 @@ def versus_pool(values: DataFrame, sectors: Sequence[str], metrics: Sequence[str
     )
     right = sizes.filter(F.col("group") == pool).select("metric", F.col("n").alias("m"), F.col("median").alias("median_pool"))
     both = left.join(right, "metric").withColumn("group", F.lit(pool))
-    return both.withColumn("stream", stream_number("sector", "metric", sectors, metrics))
+    # a row per sector and metric, written once: every step of a bootstrap starts from it
+    return cut(both.withColumn("stream", stream_number("sector", "metric", sectors, metrics)), "comparisons")
 
 
 def bootstrap_vs_pool(

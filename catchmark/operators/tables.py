@@ -113,18 +113,20 @@ def top_shares(shares: DataFrame, min_pct: float = 3.0, n: int = 40, id_col: str
     return shares.filter(F.col("pct") >= min_pct).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def class_counts(df: DataFrame, keys: Sequence[str], label: str, classes: Sequence[str]) -> DataFrame:
-    """(keys, class, n) over a fixed class list; classes without rows count 0."""
-    keys = list(keys)
-    per_group = df.groupBy(*keys).agg(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("pos"), F.lit(c).alias("class"), F.sum(F.when(F.col(label) == c, 1).otherwise(0)).alias("n"))
-                for i, c in enumerate(classes)
-            ]
-        ).alias("_c")
-    )
-    return per_group.select(*keys, F.inline("_c"))
+def class_counts(df: DataFrame, keys: Sequence[str], labels: dict[str, Sequence[str]]) -> DataFrame:
+    """(keys, label, pos, class, n) over the fixed class list of each label column, in one pass.
+
+    Classes without rows count 0.
+    """
+    cells = [(label, i, c) for label, classes in labels.items() for i, c in enumerate(classes)]
+    counted = [
+        F.struct(
+            F.lit(label).alias("label"), F.lit(i).alias("pos"), F.lit(c).alias("class"),
+            F.sum(F.when(F.col(label) == c, 1).otherwise(0)).alias("n"),
+        )
+        for label, i, c in cells
+    ]
+    return df.groupBy(*keys).agg(F.array(*counted).alias("_c")).select(*keys, F.inline("_c"))
 
 
 def class_percents(df: DataFrame, keys: Sequence[str] = ("sector",), label: str = "stress_tertile") -> DataFrame:

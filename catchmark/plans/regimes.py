@@ -11,8 +11,11 @@ from catchmark import SECTORS
 from catchmark.functions.clean import exclusive_group
 from catchmark.functions.text import fmt_median_iqr
 from catchmark.operators import hydrology as hy
-from catchmark.operators.bootstrap import bootstrap_two_sample, bootstrap_vs_pool
-from catchmark.operators.distributions import axis_limits, bh_fdr_results, linear_grid, rank_comparison, ranked_rows
+from catchmark.operators.bootstrap import bootstrap_two_sample, bootstrap_vs_pool, ecdf_band
+from catchmark.operators.distributions import (
+    axis_limits, bh_fdr_results, ecdf_on_grid, linear_grid, rank_comparison, ranked_rows, value_counts,
+)
+from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import exact_quantiles
 from catchmark.operators.polygons import points_in_polygons, reach_map
 from catchmark.operators.tables import master_table, overlapping_groups, presence_table, union_parts
@@ -40,9 +43,15 @@ def group_values(master: DataFrame, metrics: Sequence[str] = TESTED, exclusive:
     return long.filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
+def written_ranks(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The long values and their ranks per group and metric, both written once for the steps that share them."""
+    values = cut(values, "group-values")
+    return values, cut(ranked_rows(values, ["group", "metric"], "x", "basin_id"), "group-ranks")
+
+
 def effect_table(values: DataFrame, reps: int = 500, seed: int = 42) -> DataFrame:
     """Median difference of each sector and metric against size-matched draws (with replacement) of the None pool."""
-    ranked = ranked_rows(values, ["group", "metric"], "x", "basin_id")
+    values, ranked = written_ranks(values)
     out = bootstrap_vs_pool(values, ranked, SECTORS, TESTED, reps, seed, replace=True, min_n=3)
     return out.select(
         F.col("sector").alias("Sector"), F.col("metric").alias("Metric"), F.col("n").alias("N_sector"), F.col("m").alias("N_none_pool"),
@@ -53,7 +62,7 @@ def effect_table(values: DataFrame, reps: int = 500, seed: int = 42) -> DataFram
 
 def matched_effect_table(values: DataFrame, reps: int = 800, seed: int = 7) -> DataFrame:
     """As ``effect_table`` without replacement, for groups of at least 30, with a two-sided p."""
-    ranked = ranked_rows(values, ["group", "metric"], "x", "basin_id")
+    values, ranked = written_ranks(values)
     out = bootstrap_vs_pool(values, ranked, SECTORS, TESTED, reps, seed, replace=False, min_n=30)
     return out.select(
         F.col("sector").alias("Sector"), F.col("metric").alias("Metric"), F.col("n").alias("N_sector"),
@@ -64,6 +73,7 @@ def matched_effect_table(values: DataFrame, reps: int = 800, seed: int = 7) -> D
 
 def tests_vs_none(values: DataFrame, reps: int = 2000, seed: int = 7, min_n: int = 30) -> DataFrame:
     """Sector against None per metric: KS, Mann-Whitney, bootstrap interval of the median difference, FDR."""
+    values, ranked = written_ranks(values)
     # each sector meets the None pool: None rows are listed once per sector
     first = values.filter(F.col("group").isin(*SECTORS)).select("metric", F.col("group").alias("sector"), F.lit(True).alias("_a"), "x")
     pool = values.filter(F.col("group") == "None").select(
@@ -71,7 +81,6 @@ def tests_vs_none(values: DataFrame, reps: int = 2000, seed: int = 7, min_n: int
     )
     ranks = rank_comparison(first.unionByName(pool), ["metric", "sector"], "x", F.col("_a"))
     ranks = ranks.filter((F.col("n_first") >= min_n) & (F.col("n_second") >= min_n))
-    ranked = ranked_rows(values, ["group", "metric"], "x", "basin_id")
     boot = bootstrap_two_sample(values, ranked, SECTORS, TESTED, reps, seed, min_n).select("sector", "metric", "d", "d_lo", "d_hi")
     out = bh_fdr_results(bh_fdr_results(ranks, "ks_p", "ks_q"), "mwu_p", "mwu_q").join(boot, ["sector", "metric"])
     return out.select(
@@ -100,6 +109,17 @@ def metric_grid(master: DataFrame, points: int = 250) -> DataFrame:
     return linear_grid(union_parts(*wide), ["metric"], "lo", "hi", points)
 
 
+def effect_bands(master: DataFrame, reps: int = 500, seed: int = 42) -> DataFrame:
+    """(sector, metric, g, x, b_med, b_lo, b_hi): bands of size-matched draws of the None pool."""
+    master = cut(master, "master")
+    values = group_values(master)
+    grid = cut(metric_grid(master), "grid")
+    none = value_counts(values.filter("group = 'None'"), ["metric"], "x")
+    each = F.explode(F.array(*[F.lit(s) for s in SECTORS]))
+    pool = cut(ecdf_on_grid(none, grid, ["metric"]).withColumn("sector", each), "pool-ecdf")
+    return ecdf_band(values, grid.withColumn("sector", each), SECTORS, TESTED, pool.select("sector", "metric", "g", "y"), reps, seed)
+
+
 def run(
     spark: SparkSession, points: dict[str, str], basins: str, basin_edges: str, reaches: str, flow: str, out: str,
     size: float = 1.0, start: str = START, end: str = END, recompute: bool = False,

@@ -11,6 +11,7 @@ from catchmark import SECTORS
 from catchmark.functions.clean import significant
 from catchmark.functions.geometry import project_edges
 from catchmark.operators.contingency import chi_square, odds_ratio
+from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import attach
 from catchmark.operators.polygons import points_in_polygons
 from catchmark.operators.sampling import matched_polygons, random_points_in_polygons, reproducible_first
@@ -72,63 +73,82 @@ def matched_reference(
     return union_parts(*parts)
 
 
+LABELS = {"stress_tertile": TERTILES, "stress_quartile": QUARTILES}
+
+
 def sector_vs_reference(facilities: DataFrame, reference: DataFrame, mode: str, per_sector: bool = False) -> DataFrame:
     """Chi-square over tertiles and quartiles and the odds ratios of the top class, one row per sector.
 
-    ``per_sector`` compares each sector with its own matched points, else all with the common reference.
+    ``per_sector`` compares each sector with its own matched points, else all with the common reference. Both
+    inputs are read once; every test works on the class counts.
     """
-    tests = []
-    for label, classes in (("stress_tertile", TERTILES), ("stress_quartile", QUARTILES)):
-        seen = class_counts(facilities, ["sector"], label, classes).withColumn("side", F.lit(0))
-        if per_sector:
-            drawn = class_counts(reference, ["sector"], label, classes)
-            # a sector is compared only when it has both sides
-            drawn = drawn.join(F.broadcast(seen.select("sector").distinct()), "sector", "left_semi")  # one row per sector
-        else:
-            common = class_counts(reference.withColumn("_all", F.lit(1)), ["_all"], label, classes).drop("_all")
-            sectors = seen.groupBy().agg(F.collect_set("sector").alias("_s"))
-            drawn = attach(common, sectors, []).select(F.explode("_s").alias("sector"), "pos", "class", "n")
-        both = seen.unionByName(drawn.withColumn("side", F.lit(1)))
-        chi = chi_square(both, ["sector"], "side", "class").select("sector", "chi2", "p")
-        top = F.col("class") == classes[-1]
-        cell = lambda side, c: F.sum(F.when((F.col("side") == side) & c, F.col("n")).otherwise(0))
-        cells = both.groupBy("sector").agg(
-            cell(0, top).alias("a"), cell(0, ~top).alias("b"), cell(1, top).alias("c"), cell(1, ~top).alias("d")
-        )
-        ratio = odds_ratio(*[F.col(x) for x in "abcd"])
-        what, name = ("tertiles", "OR_high") if label == "stress_tertile" else ("quartiles", "OR_Q4")
-        cells = cells.select(
-            "sector", (F.col("a") + F.col("b")).alias("N"), ratio[0].alias(name), ratio[1].alias(f"{name}_lo"), ratio[2].alias(f"{name}_hi")
+    seen = class_counts(facilities, ["sector"], LABELS).withColumn("side", F.lit(0))
+    if per_sector:
+        drawn = class_counts(reference, ["sector"], LABELS).withColumn("side", F.lit(1))
+        counts = cut(seen.unionByName(drawn), "class-counts")
+        # a sector is compared only when it has both sides
+        paired = counts.groupBy("sector").agg(F.count_distinct("side").alias("_s")).filter("_s = 2").select("sector")
+        both = counts.join(paired, "sector", "left_semi")
+    else:
+        common = class_counts(reference, [], LABELS).withColumns({"sector": F.lit("Reference"), "side": F.lit(1)})
+        counts = cut(seen.unionByName(common), "class-counts")
+        # the reference row of each class is repeated under every sector
+        sectors = counts.filter("side = 0").agg(F.collect_set("sector").alias("_s"))
+        repeated = attach(counts.filter("side = 1").drop("sector"), sectors, []).withColumn("sector", F.explode("_s")).drop("_s")
+        both = counts.filter("side = 0").unionByName(repeated)
+    chi = chi_square(both, ["sector", "label"], "side", "class")
+    top = F.col("class").isin("high", "Q4")
+    cell = lambda side, c: F.sum(F.when((F.col("side") == side) & c, F.col("n")).otherwise(0))
+    cells = both.groupBy("sector", "label").agg(
+        cell(0, top).alias("a"), cell(0, ~top).alias("b"), cell(1, top).alias("c"), cell(1, ~top).alias("d")
+    )
+    ratio, lo, hi = odds_ratio(*[F.col(x) for x in "abcd"])
+    rows = chi.select("sector", "label", "chi2", "p").join(
+        cells.select("sector", "label", (F.col("a") + F.col("b")).alias("N"), ratio.alias("r"), lo.alias("lo"), hi.alias("hi")), ["sector", "label"]
+    )
+    pick = lambda label, c, name: F.max(F.when(F.col("label") == label, F.col(c))).alias(name)
+    return rows.groupBy(F.col("sector").alias("Sector")).agg(
+        F.max("N").alias("N_with_stress"),
+        *[
+            pick(label, c, name)
+            for label, names in (
+                ("stress_tertile", ("Chi2_tertiles", "p_tertiles", "OR_high", "OR_high_lo", "OR_high_hi")),
+                ("stress_quartile", ("Chi2_quartiles", "p_quartiles", "OR_Q4", "OR_Q4_lo", "OR_Q4_hi")),
+            )
+            for c, name in zip(("chi2", "p", "r", "lo", "hi"), names)
+        ],
+    ).select(F.lit(mode).alias("Mode"), "*")
+
+
+def direct_tests(percents: DataFrame) -> DataFrame:
+    """One row: the 3x3 test of classes and the 3x2 test of High against Not_high, among sectors."""
+    tests = {"full_distribution": ["Low", "Medium", "High"], "high_vs_not_high": ["High", "Not_high"]}
+    rows = [
+        chi_square(percents.unpivot(["Sector"], classes, "class", "n"), [], "Sector", "class").select(
+            F.col("chi2").alias(f"Chi2_{tag}"), F.col("dof").alias(f"df_{tag}"), F.col("p").alias(f"p_{tag}"),
+            F.col("cramers_v").alias(f"Cramers_V_{tag}"), F.col("n").alias(f"n_{tag}"),
         )
-        tests.append(chi.withColumnsRenamed({"chi2": f"Chi2_{what}", "p": f"p_{what}"}).join(cells, "sector"))
-    out = tests[0].withColumnRenamed("N", "N_with_stress").join(tests[1].drop("N"), "sector")
-    return out.select(F.lit(mode).alias("Mode"), F.col("sector").alias("Sector"), *[c for c in out.columns if c != "sector"])
+        for tag, classes in tests.items()
+    ]
+    return attach(rows[0], rows[1], [])
 
 
-def direct_tests(facilities: DataFrame) -> DataFrame:
-    """One row: the 3x3 test of classes and the 3x2 test of High against Not_high, among sectors."""
-    full = chi_square(class_counts(facilities, ["sector"], "stress_tertile", TERTILES), [], "sector", "class")
-    two = class_percents(facilities).select("sector", "High", "Not_high").unpivot(["sector"], ["High", "Not_high"], "class", "n")
-    high = chi_square(two, [], "sector", "class")
-    named = lambda df, tag: df.select(
-        F.col("chi2").alias(f"Chi2_{tag}"), F.col("dof").alias(f"df_{tag}"), F.col("p").alias(f"p_{tag}"),
-        F.col("cramers_v").alias(f"Cramers_V_{tag}"), F.col("n").alias(f"n_{tag}"),
-    )
-    return named(full, "full_distribution").crossJoin(F.broadcast(named(high, "high_vs_not_high")))  # one row each
+def sector_percents(facilities: DataFrame) -> DataFrame:
+    """Class counts per sector, written once for the tests that share them."""
+    return cut(class_percents(facilities).withColumnRenamed("sector", "Sector"), "class-percents")
 
 
 def direct_comparison(facilities: DataFrame, mode: str = "ALL_BASINS") -> DataFrame:
     """Class counts and percents per sector with both direct tests repeated on each row."""
-    tests = direct_tests(facilities).drop("n_full_distribution", "n_high_vs_not_high")
-    out = attach(class_percents(facilities), tests, []).withColumn(
-        "High_test_significant", significant(F.col("p_high_vs_not_high"))
-    )
-    return out.select(F.lit(mode).alias("Mode"), *out.columns).withColumnRenamed("sector", "Sector")
+    percents = sector_percents(facilities)
+    tests = direct_tests(percents).drop("n_full_distribution", "n_high_vs_not_high")
+    out = attach(percents, tests, []).withColumn("High_test_significant", significant(F.col("p_high_vs_not_high")))
+    return out.select(F.lit(mode).alias("Mode"), *out.columns)
 
 
 def direct_summary(facilities: DataFrame, mode: str = "ALL_BASINS") -> DataFrame:
     """The one-row summary of the direct comparison."""
-    t = direct_tests(facilities)
+    t = direct_tests(sector_percents(facilities))
     return t.select(
         F.lit(mode).alias("Mode"),
         F.lit("AI_vs_Power_vs_TRI").alias("Sector"),
