@@ -88,13 +88,13 @@ def _region_edges() -> str:
 
 
 def _lakes() -> str:
-    cx, cy, r = f"(-123e0 + 56e0 * {u('k', 611)})", f"(25e0 + 24e0 * {u('k', 612)})", "(2e-2 + 1e-2 * (k % 5))"
-    corner = [(f"{cx} - {r}", f"{cy} - {r}"), (f"{cx} + {r}", f"{cy} - {r}"), (f"{cx} + {r}", f"{cy} + {r}"), (f"{cx} - {r}", f"{cy} + {r}")]
+    corner = [("cx - r", "cy - r"), ("cx + r", "cy - r"), ("cx + r", "cy + r"), ("cx - r", "cy + r")]
     sides = [(*corner[n], *corner[(n + 1) % 4]) for n in range(4)]
     cols = ", ".join(f"{_edge(sides, n)} AS {name}" for n, name in enumerate(("x1", "y1", "x2", "y2")))
     return (
         f"SELECT 'Lake' AS kind, k AS feature_id, cast(NULL as int) AS ord, {cols} "
-        "FROM (SELECT p_partkey AS k FROM part) AS p CROSS JOIN (VALUES (0), (1), (2), (3)) AS side(e)"
+        f"FROM (SELECT p_partkey AS k, -123e0 + 56e0 * {u('p_partkey', 611)} AS cx, 25e0 + 24e0 * {u('p_partkey', 612)} AS cy, "
+        "2e-2 + 1e-2 * (p_partkey % 5) AS r FROM part) AS p CROSS JOIN (VALUES (0), (1), (2), (3)) AS side(e)"
     )
 
 
