@@ -205,4 +205,5 @@ def bh_fdr_results(df: DataFrame, p: str, q: str) -> DataFrame:
     ranked = df.withColumn("_raw", F.col(p) * F.count(p).over(family) / rank)
     # a range frame takes tied p-values together
     onward = family.orderBy(p).rangeBetween(W.currentRow, W.unboundedFollowing)
-    return ranked.withColumn(q, F.least(F.lit(1.0), F.min("_raw").over(onward))).drop("_raw")
+    capped = F.least(F.lit(1.0), F.min("_raw").over(onward))  # least skips a NULL
+    return ranked.withColumn(q, F.when(F.col(p).isNotNull(), capped)).drop("_raw")

@@ -1,6 +1,6 @@
 """Run registered queries on Spark and their SQL on DuckDB and compare whole results.
 
-    python tests/oracle.py [sf_dir] [name ...]
+    python tests/oracle_check.py [sf_dir] [name ...]
 """
 
 from __future__ import annotations
