@@ -8,6 +8,7 @@ from catchmark.catalog import Query
 from catchmark.catalog.common import BASIN_CELL, R, fx, out, r6, sql
 from catchmark.catalog.locating import REACH_HIT, REACH_MAP
 from catchmark.operators import hydrology as hy
+from catchmark.operators.lineage import cut
 from catchmark.operators.polygons import reach_map
 from catchmark.plans.regimes import reach_metrics
 
@@ -85,7 +86,7 @@ QUERIES["top_reach"] = Query(
 
 
 def basin_metrics(spark, d):
-    top = _top(spark, d)
+    top = cut(_top(spark, d), "top-reaches")  # selects the reaches and names their basins
     got = hy.basin_metrics(reach_metrics(fx(spark, d, "streamflow"), top, "1995-01-01", "2001-12-31"), top)
     return out(got, "basin_id")
 

@@ -162,18 +162,23 @@ def running_totals(
     )
 
 
-def first_n_by(df: DataFrame, rank: Column, span: int, tie: str, n: Column | int, n_slices: int = 1024) -> DataFrame:
+def first_n_by(
+    df: DataFrame, rank: Column, span: int, tie: str, n: int, n_slices: int = 1024, must_fill: bool = False
+) -> DataFrame:
     """The ``n`` rows smallest in (rank, tie), where rank is roughly uniform over [0, span).
 
-    Slices below the cut are kept without sorting; only the slice where the n-th row falls is ranked.
+    Slices below the cut are kept without sorting; only the slice where the n-th row falls is ranked. With
+    ``must_fill`` fewer than ``n`` rows are an error.
     """
-    n = n if isinstance(n, Column) else F.lit(n)
     rows = df.withColumn("_rank", rank).withColumn(
         "_slice", F.floor(F.col("_rank") * F.lit(float(n_slices)) / F.lit(float(span))).cast("int")
     )
     sizes = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    if must_fill:
+        got = F.sum("_size").over(W.partitionBy(F.lit(0)))
+        sizes = sizes.withColumn("_got", got).filter(require(F.col("_got") >= n, f"fewer than {n} rows to choose from")).drop("_got")
     # at most n_slices + 1 rows by construction
     tagged = rows.join(F.broadcast(sizes), "_slice").filter(F.col("_before") < n)
     whole = tagged.filter(F.col("_before") + F.col("_size") <= n)

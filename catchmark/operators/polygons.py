@@ -109,7 +109,7 @@ def domain_filter(points, edges, size, x="lon", y="lat", id_col="basin_id", dist
 def reach_map(reaches: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """One basin per reach (the smallest id where basins overlap), with the reach's order."""
     hit = points_in_polygons(reaches, edges, size, "inner")
-    return hit.groupBy("feature_id").agg(F.min(F.struct("basin_id", "ord")).alias("m")).select("feature_id", "m.basin_id", "m.ord")
+    return hit.groupBy("feature_id").agg(F.min("basin_id").alias("basin_id"), F.max("ord").alias("ord"))
 
 
 def extent(edges: DataFrame) -> DataFrame:

@@ -22,22 +22,25 @@ def _ring_area(edges: DataFrame, id_col: str) -> DataFrame:
     return rings.groupBy(id_col).agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"))
 
 
-def area_share(edges: DataFrame, id_col: str = "basin_id") -> float:
-    """Share of the bounding box covered by the polygons: one number read by the driver to size a draw."""
-    total = _ring_area(edges, id_col).agg(F.sum("area").alias("area"))
-    row = total.crossJoin(F.broadcast(extent(edges))).first()  # two one-row aggregates
-    box = (row["maxx"] - row["minx"]) * (row["maxy"] - row["miny"])
-    return row["area"] / box if box else 0.0
-
-
-def box_points(spark, box: DataFrame, n_draws: int, seed: int) -> DataFrame:
-    """Uniform draws k = 0..n_draws-1 in a one-row bounding box, each a pure function of (k, seed)."""
+def box_and_share(edges: DataFrame, id_col: str = "basin_id") -> tuple[tuple[float, float, float, float], float]:
+    """Bounding box of the polygons and the share of it they cover: one row, read by the driver to size a draw."""
+    areas = _ring_area(edges, id_col).agg(F.sum("area").alias("area"))
+    row = extent(edges).crossJoin(F.broadcast(areas)).first()  # two one-row aggregates
+    box = (row["minx"], row["miny"], row["maxx"], row["maxy"])
+    if None in box:
+        raise ValueError("no polygons to draw points in")
+    full = (box[2] - box[0]) * (box[3] - box[1])
+    return box, (row["area"] / full if full else 0.0)
+
+
+def box_points(spark, box: tuple[float, float, float, float], n_draws: int, seed: int) -> DataFrame:
+    """Uniform draws k = 0..n_draws-1 in a bounding box, each a pure function of (k, seed)."""
+    minx, miny, maxx, maxy = box
     u, v = hashed_uniform(F.col("id"), seed), hashed_uniform(F.col("id"), seed + 1)
-    drawn = spark.range(n_draws).crossJoin(F.broadcast(box))  # the box is one row
-    return drawn.select(
+    return spark.range(n_draws).select(
         F.col("id").alias("draw"),
-        (F.col("minx") + (F.col("maxx") - F.col("minx")) * u).alias("x"),
-        (F.col("miny") + (F.col("maxy") - F.col("miny")) * v).alias("y"),
+        (F.lit(minx) + F.lit(maxx - minx) * u).alias("x"),
+        (F.lit(miny) + F.lit(maxy - miny) * v).alias("y"),
     )
 
 
@@ -74,10 +77,11 @@ def random_points_in_polygons(
     Give equal-area coordinates for equal-area sampling. The number of draws follows from the polygons' share of
     the box, with ``slack`` and a margin of six standard deviations; a short draw fails instead of returning less.
     """
+    box, share = box_and_share(edges, id_col)
     if n_draws is None:
-        share = max(area_share(edges, id_col), 1e-6)
+        share = max(share, 1e-6)
         n_draws = math.ceil(slack * (n / share) + 6 * math.sqrt(n) / share + 100)
-    drawn = box_points(spark, extent(edges), n_draws, seed)
+    drawn = box_points(spark, box, n_draws, seed)
     hits = locate(drawn, polygon_index(edges, size, id_col), size, "inner", "x", "y", id_col)
     return first_draws(hits, n)
 
@@ -94,9 +98,9 @@ def disk_points(sites: DataFrame, site_id: str, n: int, radius: float, seed: int
     )
 
 
-def reproducible_first(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+def reproducible_first(df: DataFrame, key: str, n: int, seed: int = 0, must_fill: bool = False) -> DataFrame:
     """A fixed scatter sample: the ``n`` rows first in hash order of their key."""
-    return first_n_by(df, hash31(F.col(key), seed), MODULUS, key, n)
+    return first_n_by(df, hash31(F.col(key), seed), MODULUS, key, n, must_fill=must_fill)
 
 
 def matched_polygons(edges: DataFrame, located: DataFrame, id_col: str = "basin_id") -> DataFrame:

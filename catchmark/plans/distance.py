@@ -115,8 +115,8 @@ def matched_distances(
 
     All sectors and both groups go through one nearest-distance join.
     """
-    edges = project_edges(basin_edges)
-    inside = domain_filter(project_points(facilities), edges, size, "x", "y")
+    edges = cut(project_edges(basin_edges), "edges")
+    inside = cut(domain_filter(project_points(facilities), edges, size, "x", "y"), "domain-points")
     sizes = {r["sector"]: r["count"] for r in inside.groupBy("sector").count().collect()}  # one row per sector
     offsets = {"AI": 101, "Power": 202, "TRI": 303}
     parts = [inside.select("sector", F.lit("sector").alias("grp"), F.col("site_id").alias("k"), "x", "y")]
@@ -124,6 +124,7 @@ def matched_distances(
         drawn = random_points_in_polygons(spark, edges, sizes[sector], seed + offsets[sector], size)
         parts.append(drawn.select(F.lit(sector).alias("sector"), F.lit("random").alias("grp"), F.col("draw").alias("k"), "x", "y"))
     points = union_parts(*parts).withColumn("pid", F.concat_ws("|", "sector", "grp", F.col("k").cast("string")))
+    points = cut(points.select("pid", "x", "y"), "points")
     found = nearest_distance(points, project_edges(major_rivers(segments, min_order)), "pid", depth=depth)
     return found.select(
         F.element_at(F.split("pid", r"\|"), 1).alias("sector"),

@@ -130,7 +130,7 @@ def run(
     facilities = union_parts(*[load_points(spark, path, s).select("sector", "lon", "lat") for s, path in points.items()])
     presence = presence_table(read_table(spark, basins).select("basin_id"), points_in_polygons(facilities, edges, size, "inner"))
     mapping = cached_table(spark, f"{out}/cache/reach_map", lambda: reach_map(read_table(spark, reaches), edges, size))
-    top = hy.top_reaches(mapping)
+    top = cut(hy.top_reaches(mapping), "top-reaches")
     metrics = cached_table(
         spark, f"{out}/cache/basin_metrics",
         lambda: hy.basin_metrics(reach_metrics(read_table(spark, flow), top, start, end), top), recompute,

@@ -46,7 +46,7 @@ def reference_points(
     spark: SparkSession, edges: DataFrame, binned: DataFrame, n: int = REFERENCE_N, seed: int = BASE_SEED + 10_000, size: float = 60_000.0
 ) -> DataFrame:
     """One equal-area random reference for all sectors: ``n`` points in EPSG:5070, unclassified ones dropped."""
-    points = random_points_in_polygons(spark, project_edges(edges), n, seed, size)
+    points = random_points_in_polygons(spark, cut(project_edges(edges), "edges"), n, seed, size)
     return attach_bins(points, binned).withColumn("sector", F.lit("Reference"))
 
 
@@ -55,10 +55,13 @@ def matched_reference(
 ) -> DataFrame:
     """Per sector, as many random points as it has facilities, in lon/lat.
 
-    GLOBAL draws over all basins, BASIN_MATCHED only over basins that hold a facility of the sector.
+    GLOBAL draws over all basins, BASIN_MATCHED only over basins that hold a facility of the sector. A pool with
+    fewer classified points than facilities is an error.
     """
     if mode not in ("GLOBAL", "BASIN_MATCHED"):
         raise ValueError("mode must be GLOBAL or BASIN_MATCHED")
+    # each sector's draw starts from these three, so they are written once
+    facilities, binned, edges = cut(facilities, "facilities"), cut(binned, "binned"), cut(edges, "edges")
     sizes = {r["sector"]: r["count"] for r in facilities.groupBy("sector").count().collect()}  # one row per sector
     parts = []
     for sector in (s for s in SECTORS if sizes.get(s)):
@@ -66,9 +69,9 @@ def matched_reference(
         pool_n = int(min(POOL_CAP, max(n + 1000, -(-POOL_FACTOR * n // 1))))
         area = edges
         if mode == "BASIN_MATCHED":
-            area = matched_polygons(edges, facilities.filter(F.col("sector") == sector))
+            area = cut(matched_polygons(edges, facilities.filter(F.col("sector") == sector)), "matched-edges")
         pool = random_points_in_polygons(spark, area, pool_n, BASE_SEED + SECTOR_SEED[sector] + MODE_SEED[mode], size)
-        chosen = reproducible_first(attach_bins(pool, binned), "draw", n, SECTOR_SEED[sector])
+        chosen = reproducible_first(attach_bins(pool, binned), "draw", n, SECTOR_SEED[sector], must_fill=True)
         parts.append(chosen.withColumn("sector", F.lit(sector)))
     return union_parts(*parts)
 

@@ -126,7 +126,7 @@ def test_polygons_near(spark):
 
 def test_random_points_are_reproducible_and_fail_when_short(spark):
     edges = spark.createDataFrame(ring(1, [(0, 0), (4, 0), (4, 4), (0, 4)]) + ring(1, [(1, 1), (3, 1), (3, 3), (1, 3)], 1), EDGE)
-    assert sm.area_share(edges) == pytest.approx(0.75)
+    assert sm.box_and_share(edges) == ((0.0, 0.0, 4.0, 4.0), pytest.approx(0.75))
     rows = lambda n: sorted(tuple(r) for r in sm.random_points_in_polygons(spark, edges, n, 5, 1.0).collect())
     a = rows(500)
     assert a == rows(500) and len(a) == 500
@@ -140,6 +140,8 @@ def test_reproducible_first_does_not_depend_on_partitions(spark):
     pick = lambda d: sorted(r["k"] for r in sm.reproducible_first(d, "k", 777, 3).collect())
     a, b = pick(df.repartition(1)), pick(df.repartition(16))
     assert a == b and len(a) == 777
+    with pytest.raises(Exception, match="fewer than 30000 rows"):
+        sm.reproducible_first(df, "k", 30_000, must_fill=True).collect()
 
 
 def test_disk_points_stay_in_disk(spark):
