@@ -135,7 +135,8 @@ def templates(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                     own[0] += 1
                     own[1] ^= mark
                     own[2], own[3], own[4], own[5] = min(own[2], n), max(own[3], n), min(own[4], said), max(own[5], said)
-            yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["host", "path", "n", "vector", "least", "most", "low", "high"])
+            if found:
+                yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["host", "path", "n", "vector", "least", "most", "low", "high"])
 
     rows = pages.select(F.col(page_id).cast("string").alias("page"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     tokens = rows.mapInPandas(run, "host string, path string, n bigint, vector bigint, least bigint, most bigint, low bigint, high bigint")

@@ -119,7 +119,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
                 counts = np.bincount(index[owner] * np.int64(len(codes)) + places, minlength=len(names) * len(codes)).reshape(len(names), -1)
                 for name, total in zip(names, counts.astype(np.float64) @ vectors.astype(np.float64)):
                     sums[name] = sums.get(name, 0) + total.astype(np.int64)
-        yield pd.DataFrame({"lang": list(sums), "total": [x.tolist() for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "total": [x.tolist() for x in sums.values()]})
 
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     parts = rows.mapInPandas(run, "lang string, total array<bigint>").select("lang", F.posexplode("total").alias("place", "value"))
