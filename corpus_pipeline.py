@@ -1,6 +1,6 @@
 """A corpus pipeline over documents: each stage is (spark, docs, sf_dir) -> DataFrame, written as Parquet and read by the next.
 
-1. language: documents without any letter, or unlike every language learned from the labelled ones, go.
+1. language: documents without any letter, and longer ones unlike every language learned from the labelled ones, go.
 2. near_duplicates: of each group of near copies the document with the smallest id stays.
 3. secrets: secrets are masked in the text; no document goes.
 4. mixing: documents are repeated so that all sources get equal weight, and shuffled.
@@ -12,14 +12,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catchmark.llm import language_id, mixing, ngram_join, piece_codec, secret_scan
 from catchmark.llm.queries import PIECES, RANKS, vocabulary
 from catchmark.llm.shipping import ship
 from catchmark.operators.lineage import shared_folder
 
-#: A text whose cosine with every language is lower is in none of them. Even a few words of a known language score above it.
-LEAST_SCORE = 0.10
+#: A text of ENOUGH_CHARS whose cosine with every language is lower than LEAST_SCORE is in none of them; a shorter one tells too
+#: little and stays.
+LEAST_SCORE, ENOUGH_CHARS = 0.10, 200
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,7 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     profiles = language_id.learn(docs.filter(~language_id.held_out("doc_id")))
     said = language_id.predict(docs, profiles)
-    return said.filter((said.lang_pred != language_id.UNDETERMINED) & (said.score >= LEAST_SCORE)).select(*docs.columns)
+    foreign = (said.score < LEAST_SCORE) & (F.length("text") >= ENOUGH_CHARS)
+    return said.filter((said.lang_pred != language_id.UNDETERMINED) & ~foreign).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
