@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catchmark.catalog import Query
 from catchmark.catalog.common import (
+    noise_u,
     HIT, PRESENCE, PRESENCE_INPUT, SECTORS, R, fx, out, presence, r6, sql,
 )
 from catchmark.fixtures import PATHWAY_NAMES, u
@@ -110,7 +111,7 @@ def format_cells(spark, d):
     )
 
 
-_P = f"(CASE WHEN site_id % 37 = 0 THEN 0e0 ELSE round(pow({u('site_id', 77)}, 6e0), 6) END)"
+_P = f"(CASE WHEN site_id % 37 = 0 THEN 0e0 ELSE round(pow({noise_u('site_id', 77)}, 6e0), 6) END)"
 _NUM = lambda v: f"(CASE WHEN {v} IS NULL THEN '' WHEN abs({v}) >= 1000 THEN format('{{:,.0f}}', {v}) ELSE printf('%.2f', {v}) END)"
 QUERIES["format_cells"] = Query(
     format_cells,
@@ -234,7 +235,7 @@ def effect_words(spark, d):
     return frame.select("o_orderkey", clean.effect_word(v).alias("effect"), clean.significant(v).cast("int").alias("significant"))
 
 
-_V = u("o_orderkey", 55)
+_V = noise_u("o_orderkey", 55)
 QUERIES["effect_words"] = Query(
     effect_words,
     f"SELECT o_orderkey, CASE WHEN {_V} < 0.1 THEN 'very small' WHEN {_V} < 0.3 THEN 'small' WHEN {_V} < 0.5 THEN 'moderate' ELSE 'large' END AS effect, "

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchmark import fixtures
-from catchmark.functions.geometry import GRS80_A, ALBERS_LON0, albers_constants
 from catchmark.operators import tables as tb
 from catchmark.operators.polygons import points_in_polygons
 from catchmark.plans import stress as stress_plan
 
-BASIN_CELL, BASIN_CELL_M = 1.0, 60_000.0
 SECTORS = ("AI", "Power", "TRI")
 
 
@@ -31,6 +31,17 @@ def out(df: DataFrame, *plain: str, digits: int = 6, **rounded: str) -> DataFram
     return df.select(*plain, *[r6(c, digits).alias(c) for c in rest])
 
 
+def noise31(key: str, seed) -> str:
+    """The noise of a key, in SQL."""
+    fold = lambda x: f"((({x} * {x}) % 2147483647 * 69621 + 12345) % 2147483647)"
+    low = fold(f"((cast({key} as bigint) % 1073741824 * 48271 + 11) % 2147483647)")
+    return fold(f"(({low} + cast({key} as bigint) // 1073741824 % 2147483647 * 16807 + cast({seed} as bigint) % 2147483647 * 40692) % 2147483647)")
+
+
+def noise_u(key: str, seed) -> str:
+    return f"(({noise31(key, seed)} + {noise31(key, f'({seed} + 1000003)')} / 2147483647e0) / 2147483647e0)"
+
+
 def R(expr: str, digits: int = 6) -> str:
     return f"(round(cast({expr} as double), {digits}) + 0e0)"
 
@@ -43,6 +54,27 @@ def num(x: float) -> str:
 # --- SQL text -------------------------------------------------------------------------------------------------
 
 
+#: The published parameters of EPSG:5070: GRS 80, standard parallels 29.5 and 45.5, origin -96, 23 (fixed values).
+GRS80_A, FLATTENING, PARALLEL_1, PARALLEL_2, ORIGIN_LAT, ALBERS_LON0 = 6378137.0, 1 / 298.257222101, 29.5, 45.5, 23.0, -96.0
+
+
+def albers_constants() -> dict[str, float]:
+    """Eccentricity, cone constant, C and the origin's radius, by the textbook's formulas (Snyder, 14-3 to 14-6)."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+
+    def m(lat: float) -> float:
+        return math.cos(math.radians(lat)) / math.sqrt(1 - e2 * math.sin(math.radians(lat)) ** 2)
+
+    def q(lat: float) -> float:
+        s = math.sin(math.radians(lat))
+        return (1 - e2) * (s / (1 - e2 * s * s) + math.atanh(e * s) / e)
+
+    n = (m(PARALLEL_1) ** 2 - m(PARALLEL_2) ** 2) / (q(PARALLEL_2) - q(PARALLEL_1))
+    c = m(PARALLEL_1) ** 2 + n * q(PARALLEL_1)
+    return {"e": e, "n": n, "c": c, "rho0": GRS80_A * math.sqrt(c - n * q(ORIGIN_LAT)) / n}
+
+
 def albers_sql(lon: str, lat: str) -> tuple[str, str]:
     k = albers_constants()
     e, n = num(k["e"]), num(k["n"])
@@ -138,7 +170,7 @@ def sql(inputs, body: str, *extra: tuple[str, str]) -> str:
 
 
 def located(spark, d) -> DataFrame:
-    return points_in_polygons(fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), BASIN_CELL, "inner")
+    return points_in_polygons(fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), "inner")
 
 
 def presence(spark, d) -> DataFrame:
@@ -154,4 +186,4 @@ def binned(spark, d) -> DataFrame:
 
 
 def facilities_with_stress(spark, d) -> DataFrame:
-    return stress_plan.facilities_with_stress(fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), binned(spark, d), BASIN_CELL)
+    return stress_plan.facilities_with_stress(fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), binned(spark, d))

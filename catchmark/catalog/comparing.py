@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from catchmark.catalog import Query
 from catchmark.catalog.common import (
+    noise31, noise_u,
     FAC_CTES, FAC_INPUT, HIT, MASTER, MASTER_INPUT, PRESENCE, SECTORS, R, erfc_sql, facilities_with_stress, fx, master, out, r6, sql,
 )
 from catchmark.catalog.locating import REF_CTES, REF_INPUT, reference
-from catchmark.fixtures import h31, u
 from catchmark.functions.clean import keep_values
 from catchmark.functions.random import hashed_uniform
 from catchmark.operators import bootstrap as bs
@@ -57,7 +57,7 @@ QUERIES["ecdf_grid"] = Query(
     ),
 )
 
-_P = f"(CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE round(pow({u('o_orderkey', 91)}, 2e0), 4) END)"
+_P = f"(CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE round(pow({noise_u('o_orderkey', 91)}, 2e0), 4) END)"
 
 
 def bh_fdr(spark, d):
@@ -310,10 +310,10 @@ def _boot_ctes(exclusive: bool, where: str) -> tuple[tuple[str, str], ...]:
 
 
 def _replicates(n: str, m: str, group: str, reps: int, seed: int, stream: str, extra: str = "") -> str:
-    h = h31(f"(rep * {n} + t)", f"({seed} + ({stream}) * {bs.STREAM_STEP})")
+    h = noise_u(f"(rep * {n} + t)", f"({seed} + ({stream}) * {bs.STREAM_STEP})")
     return (
         f"SELECT sector, metric, rep{extra}, median(x) AS med FROM (SELECT sector, s.metric, rep{extra}, p.x FROM (SELECT *, "
-        f"cast(floor({h} * {m} / 2147483647e0) as bigint) + 1 AS i FROM (SELECT *, unnest(range(0, {n})) AS t FROM (SELECT *, unnest(range(0, {reps})) AS rep FROM spec) AS a) AS b) AS s "
+        f"cast(least(floor({h} * {m}), {m} - 1) as bigint) + 1 AS i FROM (SELECT *, unnest(range(0, {n})) AS t FROM (SELECT *, unnest(range(0, {reps})) AS rep FROM spec) AS a) AS b) AS s "
         f"JOIN pool AS p ON p.grp = {group} AND p.metric = s.metric AND p.i = s.i) AS q GROUP BY sector, metric, rep{extra}"
     )
 
@@ -343,7 +343,7 @@ def boot_no_repl(spark, d):
     return out(regime_plan.matched_effect_table(_values(spark, d, True)), "Sector", "Metric", "N_sector")
 
 
-_HB = h31("(rep * m + t)", f"(7 + stream * {bs.STREAM_STEP})")
+_HB = noise31("(rep * m + t)", f"(7 + stream * {bs.STREAM_STEP})")
 QUERIES["boot_no_repl"] = Query(
     boot_no_repl,
     sql(
@@ -420,7 +420,7 @@ QUERIES["ecdf_band"] = Query(
         ("firsts", "SELECT p.metric, p.i, min(g.g) AS g FROM pool AS p JOIN grid AS g ON g.metric = p.metric AND p.x <= g.x WHERE p.grp = 'None' GROUP BY p.metric, p.i"),
         (
             "draws",
-            f"SELECT sector, metric, n, rep, cast(floor({h31('(rep * n + t)', f'(42 + stream * {bs.STREAM_STEP})')} * m / 2147483647e0) as bigint) + 1 AS i FROM ("
+            f"SELECT sector, metric, n, rep, cast(least(floor({noise_u('(rep * n + t)', f'(42 + stream * {bs.STREAM_STEP})')} * m), m - 1) as bigint) + 1 AS i FROM ("
             "SELECT *, unnest(range(0, n)) AS t FROM (SELECT *, unnest(range(0, 500)) AS rep FROM spec) AS a) AS b",
         ),
         ("bins", "SELECT d.sector, d.metric, d.rep, f.g, count(*) AS c FROM draws AS d JOIN firsts AS f ON f.metric = d.metric AND f.i = d.i GROUP BY ALL"),

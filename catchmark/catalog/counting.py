@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catchmark.catalog import Query
 from catchmark.catalog.common import (
-    BASIN_CELL, BASIN_CELL_M, BINNED, CUTS, FAC_CTES, FAC_INPUT, HIT, MASTER, MASTER_INPUT, PRESENCE, PRESENCE_INPUT,
+    BINNED, CUTS, FAC_CTES, FAC_INPUT, HIT, MASTER, MASTER_INPUT, PRESENCE, PRESENCE_INPUT,
     SECTORS, STRESS_INPUT, STRESS_JOIN, R, binned, facilities_with_stress, fx, inside_sql, located, master, num, out,
     presence, projected_edges_sql, projected_points_sql, r6, sql,
 )
@@ -55,7 +55,7 @@ _CLASS = (
 
 def _shares(spark, d):
     return region_plan.regional_shares(
-        fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), fx(spark, d, "region_edges"), BASIN_CELL_M
+        fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), fx(spark, d, "region_edges")
     )
 
 
@@ -75,7 +75,7 @@ QUERIES["region_top"] = Query(
 
 def filter_report(spark, d):
     fac = fx(spark, d, "facilities")
-    return region_plan.filter_report(fac, region_plan.domain_points(fac, fx(spark, d, "basin_edges"), BASIN_CELL_M))
+    return region_plan.filter_report(fac, region_plan.domain_points(fac, fx(spark, d, "basin_edges")))
 
 
 QUERIES["filter_report"] = Query(

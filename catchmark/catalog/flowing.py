@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catchmark.catalog import Query
-from catchmark.catalog.common import BASIN_CELL, R, fx, out, r6, sql
+from catchmark.catalog.common import R, fx, out, r6, sql
 from catchmark.catalog.locating import REACH_HIT, REACH_MAP
 from catchmark.operators import hydrology as hy
 from catchmark.operators.lineage import cut
@@ -75,7 +75,7 @@ QUERIES["event_regimes"] = Query(
 
 
 def _top(spark, d):
-    return hy.top_reaches(reach_map(fx(spark, d, "reaches"), fx(spark, d, "basin_edges"), BASIN_CELL))
+    return hy.top_reaches(reach_map(fx(spark, d, "reaches"), fx(spark, d, "basin_edges")))
 
 
 TOP = ("top", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY basin_id ORDER BY ord DESC NULLS LAST, feature_id) AS rk FROM rmap) AS t WHERE rk = 1")

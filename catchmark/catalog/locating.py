@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from catchmark.catalog import Query
 from catchmark.catalog.common import (
-    BASIN_CELL, BASIN_CELL_M, BINNED, CUTS, FAC, FAC_CTES, FAC_INPUT, HIT, SECTORS, STRESS_INPUT, STRESS_JOIN, R,
-    albers_sql, binned, distance_sql, facilities_with_stress, fx, inside_sql, located, projected_edges_sql,
+    BINNED, CUTS, FAC, FAC_CTES, FAC_INPUT, HIT, SECTORS, STRESS_INPUT, STRESS_JOIN, R,
+    albers_sql, binned, distance_sql, facilities_with_stress, fx, inside_sql, located, noise31, noise_u, projected_edges_sql,
     projected_points_sql, r6, sql,
 )
-from catchmark.fixtures import h31, u
 from catchmark.functions.geometry import project_edges, project_points, utm_epsg
 from catchmark.operators import polygons as pg
 from catchmark.operators import sampling as sm
@@ -23,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def pip_left(spark, d):
-    got = pg.points_in_polygons(fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), BASIN_CELL, "left")
+    got = pg.points_in_polygons(fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), "left")
     return got.select("sector", "site_id", "basin_id")
 
 
@@ -42,7 +41,7 @@ QUERIES["pip_inner"] = Query(
 
 
 def domain_filter(spark, d):
-    inside = pg.domain_filter(fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), BASIN_CELL, distinct_points=True)
+    inside = pg.domain_filter(fx(spark, d, "facilities"), fx(spark, d, "basin_edges"), distinct_points=True)
     return inside.select("sector", "site_id", r6("lon").alias("lon"), r6("lat").alias("lat"))
 
 
@@ -57,7 +56,7 @@ QUERIES["domain_filter"] = Query(
 REACH_HIT = ("rhit", inside_sql("reaches", "basin_edges", "p.feature_id, p.ord, e.basin_id", "p.feature_id, p.ord, e.basin_id"))
 REACH_MAP = ("rmap", "SELECT feature_id, min(basin_id) AS basin_id, min(ord) AS ord FROM rhit GROUP BY feature_id")
 QUERIES["reach_map"] = Query(
-    lambda spark, d: pg.reach_map(fx(spark, d, "reaches"), fx(spark, d, "basin_edges"), BASIN_CELL).withColumn("ord", F.col("ord").cast("bigint")),
+    lambda spark, d: pg.reach_map(fx(spark, d, "reaches"), fx(spark, d, "basin_edges")).withColumn("ord", F.col("ord").cast("bigint")),
     sql(["reaches", "basin_edges"], "SELECT feature_id, basin_id, cast(ord as bigint) AS ord FROM rmap", REACH_HIT, REACH_MAP),
 )
 _X, _Y = albers_sql("lon", "lat")
@@ -205,7 +204,7 @@ def _draw_ctes(edges: str, n_draws: str, seed: int, tag: str = "") -> tuple[tupl
         (f"box{tag}", f"SELECT min(least(x1, x2)) AS minx, min(least(y1, y2)) AS miny, max(greatest(x1, x2)) AS maxx, max(greatest(y1, y2)) AS maxy FROM {edges}"),
         (
             f"draws{tag}",
-            f"SELECT draw, minx + (maxx - minx) * {u('draw', seed)} AS x, miny + (maxy - miny) * {u('draw', seed + 1)} AS y "
+            f"SELECT draw, minx + (maxx - minx) * {noise_u('draw', seed)} AS x, miny + (maxy - miny) * {noise_u('draw', seed + 1)} AS y "
             f"FROM (SELECT unnest(range(0, cast({n_draws} as bigint))) AS draw) AS g CROSS JOIN box{tag}",
         ),
         (f"dhit{tag}", inside_sql(f"draws{tag}", edges, "p.draw, p.x, p.y, e.basin_id", "p.draw, p.x, p.y, e.basin_id", "x", "y")),
@@ -217,7 +216,7 @@ _N = "(SELECT count(*) FROM facilities)"
 
 def random_in_basins(spark, d):
     n = fx(spark, d, "facilities").count()
-    got = sm.random_points_in_polygons(spark, fx(spark, d, "basin_edges"), n, 7, BASIN_CELL)
+    got = sm.random_points_in_polygons(spark, fx(spark, d, "basin_edges"), n, 7)
     return got.select("draw", r6("x").alias("x"), r6("y").alias("y"), "basin_id")
 
 
@@ -234,14 +233,14 @@ QUERIES["random_in_basins"] = Query(
 def random_in_disk(spark, d):
     sites = project_points(fx(spark, d, "keyed_facilities"))
     points = sm.disk_points(sites, "k", 2, 10_000.0, 7)
-    got = pg.points_in_polygons(points, project_edges(fx(spark, d, "basin_edges")), BASIN_CELL_M, "left", "px", "py")
+    got = pg.points_in_polygons(points, project_edges(fx(spark, d, "basin_edges")), "left", "px", "py")
     return got.dropna(subset=["basin_id"]).select("k", "copy", r6("px", 3).alias("px"), r6("py", 3).alias("py"), "basin_id")
 
 
 _KEY = "(k * 2 + t)"
 DISK = (
     "disk",
-    f"SELECT k, t AS copy, x + 1e4 * sqrt({u(_KEY, 8)}) * cos({u(_KEY, 7)} * 2e0 * pi()) AS px, y + 1e4 * sqrt({u(_KEY, 8)}) * sin({u(_KEY, 7)} * 2e0 * pi()) AS py "
+    f"SELECT k, t AS copy, x + 1e4 * sqrt({noise_u(_KEY, 8)}) * cos({noise_u(_KEY, 7)} * 2e0 * pi()) AS px, y + 1e4 * sqrt({noise_u(_KEY, 8)}) * sin({noise_u(_KEY, 7)} * 2e0 * pi()) AS py "
     "FROM sites CROSS JOIN (VALUES (0), (1)) AS tries(t)",
 )
 QUERIES["random_in_disk"] = Query(
@@ -272,7 +271,7 @@ QUERIES["matched_basins"] = Query(
 
 def reference(spark, d):
     n = fx(spark, d, "facilities").count()
-    return stress_plan.reference_points(spark, fx(spark, d, "basin_edges"), binned(spark, d), n, size=BASIN_CELL_M)
+    return stress_plan.reference_points(spark, fx(spark, d, "basin_edges"), binned(spark, d), n)
 
 
 def reference_stress(spark, d):
@@ -299,7 +298,7 @@ QUERIES["reference_stress"] = Query(
 
 
 def matched_reference(spark, d):
-    got = stress_plan.matched_reference(spark, facilities_with_stress(spark, d), fx(spark, d, "basin_edges"), binned(spark, d), "BASIN_MATCHED", BASIN_CELL)
+    got = stress_plan.matched_reference(spark, facilities_with_stress(spark, d), fx(spark, d, "basin_edges"), binned(spark, d), "BASIN_MATCHED")
     return got.select("sector", "draw", "basin_id", "stress_tertile", "stress_quartile")
 
 
@@ -308,7 +307,7 @@ def _matched_sql() -> str:
     for s in SECTORS:
         seed = stress_plan.SECTOR_SEED[s]
         n = f"(SELECT count(*) FROM fac WHERE sector = '{s}')"
-        pool = f"least(300000, greatest({n} + 1000, 5 * {n}))"
+        pool = f"greatest({n} + 1000, 5 * {n})"
         ctes.append((f"held_{s}", f"SELECT * FROM basin_edges WHERE basin_id IN (SELECT basin_id FROM fac WHERE sector = '{s}')"))
         # more draws than needed change nothing: the pool is the first `pool` hits
         spare = f"(SELECT 2 * count(*) / (SELECT count(DISTINCT basin_id) FROM held_{s}) FROM basins)"
@@ -317,7 +316,7 @@ def _matched_sql() -> str:
         ctes.append(
             (
                 f"pick_{s}",
-                f"SELECT p.draw, b.*, row_number() OVER (ORDER BY {h31('p.draw', seed)}, p.draw) AS pos FROM pool_{s} AS p "
+                f"SELECT p.draw, b.*, row_number() OVER (ORDER BY {noise31('p.draw', seed)}, p.draw) AS pos FROM pool_{s} AS p "
                 "JOIN binned AS b ON b.basin_id = p.basin_id WHERE b.stress_value IS NOT NULL",
             )
         )

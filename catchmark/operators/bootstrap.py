@@ -1,8 +1,9 @@
 """Seeded bootstrap of medians and ECDF bands against a pool.
 
-A sample's median only needs the ranks that were drawn, so replicates draw rank numbers, not rows. The draws
-are made after the replicates have been spread over the cluster and are reduced where they are made: they
-never cross the network, and only two pool values per replicate are looked up.
+A sample's median only needs the ranks that were drawn, so replicates draw rank numbers, not rows. A replicate is split into
+chunks of draws that are spread over the cluster; draws are made there and reduced to counts per slice of the pool, about
+sqrt(m) slices of sqrt(m) ranks. The slices that hold the middle are then drawn again and counted rank by rank. So no task
+holds a replicate, draws never cross the network, and only two pool values per replicate are looked up.
 
 ``ranked`` is (group, metric, i, x): the pools' values numbered 1..m (see ``ranked_rows``).
 ``spec`` has one row per comparison: its key columns, group, metric, n (sample size), m (pool size) and
@@ -17,59 +18,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catchmark.functions.random import MODULUS, hash31
+from catchmark.functions.random import MODULUS, hash31, hashed_uniform
 from catchmark.operators.lineage import cut
-from catchmark.operators.ordered import bounded_side, exact_quantiles, group_quantiles, with_slices
+from catchmark.operators.ordered import exact_quantiles, group_quantiles, per_group, with_slices
 
 STREAM_STEP = 7919
+CHUNK = 1 << 16
 
 
-def _spread(spec: DataFrame, keys: Sequence[str], reps: int) -> DataFrame:
-    """One row per replicate, hashed over all shuffle partitions."""
-    parts = int(spec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))
-    each = spec.withColumn("rep", F.explode(numbers))
-    return each.repartition(parts, *keys, "rep")
+def _replicates(spec: DataFrame, reps: int) -> DataFrame:
+    return spec.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
+
+
+def _numbers(replicates: DataFrame, keys: Sequence[str], total: str) -> DataFrame:
+    """t = 0..total-1 for each replicate, made in chunks that are hashed over all shuffle partitions."""
+    parts = int(replicates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.col(total).cast("bigint") - 1
+    chunks = replicates.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / CHUNK))))
+    chunks = chunks.repartition(parts, *keys, "rep", "_chunk")
+    own = F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK - 1, last))
+    return chunks.withColumn("t", F.explode(own)).drop("_chunk")
+
+
+def _seed(seed: int) -> Column:
+    return F.lit(seed).cast("bigint") + F.col("stream") * STREAM_STEP
+
+
+def _width(total: str) -> Column:
+    """Ranks in a slice."""
+    return F.ceil(F.sqrt(F.col(total).cast("double"))).cast("bigint")
+
+
+def _reach(counts: DataFrame, by: Sequence[str], order: str, k: Column) -> DataFrame:
+    """The first row, in order, at which the running count reaches ``k``, with the count before it."""
+    upto = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    ran = counts.withColumn("_cum", F.sum("c").over(upto)).withColumn("_before", F.col("_cum") - F.col("c"))
+    return ran.filter((F.col("_before") < k) & (F.col("_cum") >= k))
+
+
+def _cutoffs(replicates: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """Replicates with the n-th smallest (noise, t) of the pool's members: those up to it are a sample without replacement."""
+    own = [*keys, "rep"]
+    rows = _numbers(replicates, keys, "m").withColumn("_h", hash31(F.col("rep") * F.col("m") + F.col("t"), _seed(seed)))
+    rows = rows.withColumn("_slice", F.floor(F.col("_h") / F.ceil(F.lit(float(MODULUS)) / F.sqrt(F.col("m").cast("double")))))
+    sizes = rows.groupBy(*own, "_slice").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    last = cut(_reach(sizes, own, "_slice", F.col("n")).select(*own, F.col("_slice").alias("_last"), (F.col("n") - F.col("_before")).alias("_rest")), "cut-slices")
+    close = rows.join(last, own).filter(F.col("_slice") == F.col("_last"))
+    nth = F.row_number().over(W.partitionBy(*own).orderBy("_h", "t"))
+    found = close.withColumn("_k", nth).filter(F.col("_k") == F.col("_rest")).select(*own, F.col("_h").alias("_hc"), F.col("t").alias("_tc"))
+    return replicates.join(cut(found, "cutoffs"), own)
+
+
+def _draws(replicates: DataFrame, keys: Sequence[str], seed: int, replace: bool) -> DataFrame:
+    """The replicates' columns and i: a row for each draw of a rank 1..m. ``replicates`` come from ``_prepared``."""
+    if replace:
+        place = hashed_uniform(F.col("rep") * F.col("n") + F.col("t"), _seed(seed)) * F.col("m")
+        return _numbers(replicates, keys, "n").withColumn("i", F.least(F.floor(place), F.col("m") - 1) + 1)
+    rows = _numbers(replicates, keys, "m").withColumn("_h", hash31(F.col("rep") * F.col("m") + F.col("t"), _seed(seed)))
+    chosen = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (F.col("t") <= F.col("_tc")))
+    return rows.filter(chosen).withColumn("i", F.col("t") + 1)
+
+
+def _prepared(spec: DataFrame, keys: Sequence[str], reps: int, seed: int, replace: bool) -> DataFrame:
+    replicates = _replicates(spec, reps)
+    return replicates if replace else _cutoffs(replicates, keys, seed)
 
 
 def draw_ranks(spec: DataFrame, keys: Sequence[str], reps: int, seed: int, replace: bool) -> DataFrame:
     """(keys, group, metric, n, rep, i, c): how often rank i (1..m) was drawn in each replicate."""
-    keys = list(keys)
     own = list(dict.fromkeys([*keys, "group", "metric", "n"]))
-    reps_df = _spread(spec, keys, reps)
-    stream_seed = F.lit(seed).cast("bigint") + F.col("stream") * STREAM_STEP
-    if replace:
-        t = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("t")
-        drawn = reps_df.select(*own, "m", "stream", "rep", t)
-        h = hash31(F.col("rep") * F.col("n") + F.col("t"), stream_seed)
-        i = F.floor(h * F.col("m") / float(MODULUS)) + 1
-        return drawn.select(*own, "rep", i.alias("i")).groupBy(*own, "rep", "i").agg(F.count(F.lit(1)).alias("c"))
-    t = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("t")
-    pool = reps_df.select(*own, "m", "stream", "rep", t)
-    pool = pool.withColumn("h", hash31(F.col("rep") * F.col("m") + F.col("t"), stream_seed))
-    first = F.row_number().over(W.partitionBy(*keys, "rep").orderBy("h", "t"))
-    chosen = pool.withColumn("_k", first).filter(F.col("_k") <= F.col("n"))
-    return chosen.select(*own, "rep", (F.col("t") + 1).alias("i"), F.lit(1).cast("bigint").alias("c"))
+    drawn = _draws(_prepared(spec, keys, reps, seed, replace), keys, seed, replace)
+    return drawn.groupBy(*own, "rep", "i").agg(F.count(F.lit(1)).alias("c"))
 
 
 def replicate_medians(spec: DataFrame, ranked: DataFrame, keys: Sequence[str], reps: int, seed: int, replace: bool = True) -> DataFrame:
     """(keys, rep, median) of each replicate's sample."""
-    keys = list(keys)
-    draws = draw_ranks(spec, keys, reps, seed, replace)
-    so_far = W.partitionBy(*keys, "rep").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    cum = draws.withColumn("_cum", F.sum("c").over(so_far))
-
-    def at(k: Column) -> Column:
-        return F.min(F.when(F.col("_cum") >= k, F.col("i")))
-
+    keys, own = list(keys), [*keys, "rep"]
     carried = [c for c in ("group", "metric") if c not in keys]
-    middle = cum.groupBy(*keys, "rep").agg(
-        *[F.max(c).alias(c) for c in carried],
-        F.array(at(F.floor((F.col("n") + 1) / 2)), at(F.floor(F.col("n") / 2) + 1)).alias("_mid"),
-    )
-    looked_up = middle.select(*keys, "rep", *carried, F.explode("_mid").alias("i"))
+    replicates = _prepared(spec, keys, reps, seed, replace)
+    drawn = _draws(replicates, keys, seed, replace).withColumn("_slice", F.floor((F.col("i") - 1) / _width("m")))
+    sizes = drawn.groupBy(*own, "_slice").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    middles = sizes.withColumn("_mid", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))))
+    slices = _reach(middles, [*own, "_mid"], "_slice", F.col("_mid"))
+    wanted = F.struct(F.col("_slice").alias("slice"), (F.col("_mid") - F.col("_before")).alias("k"))
+    found = cut(slices.groupBy(*own).agg(F.collect_list(wanted).alias("_wanted")), "middle-slices")
+    again = _draws(replicates.join(found, own), keys, seed, replace)
+    again = again.withColumn("_slice", F.floor((F.col("i") - 1) / _width("m"))).filter(F.exists("_wanted", lambda w: w["slice"] == F.col("_slice")))
+    ranks = again.groupBy(*own, *carried, "_slice", "i").agg(F.count(F.lit(1)).alias("c"), F.first("_wanted").alias("_wanted"))
+    each = ranks.withColumn("_w", F.explode("_wanted")).filter(F.col("_w.slice") == F.col("_slice")).withColumn("_k", F.col("_w.k"))
+    looked_up = _reach(each, [*own, "_slice", "_k"], "i", F.col("_k")).select(*own, *carried, "i")
     values = ranked.select("group", "metric", "i", "x")
-    return looked_up.join(values, ["group", "metric", "i"]).groupBy(*keys, "rep").agg(F.avg("x").alias("median"))
+    return looked_up.join(values, ["group", "metric", "i"]).groupBy(*own).agg(F.avg("x").alias("median"))
 
 
 def difference_interval(diffs: DataFrame, keys: Sequence[str], diff: str = "diff") -> DataFrame:
@@ -127,7 +166,7 @@ def bootstrap_vs_pool(
     spec = spec.filter(enough)
     keys = ["sector", "metric"]
     medians = replicate_medians(spec, ranked, keys, reps, seed, replace)
-    table = bounded_side(spec.select(*keys, "n", "m", "median_sector", "median_pool"), "comparisons")
+    table = per_group(spec.select(*keys, "n", "m", "median_sector", "median_pool"), "sizes")
     diffs = medians.join(table, keys).withColumn("diff", F.col("median_sector") - F.col("median"))
     return spec.select(*keys, "n", "m", "median_sector", "median_pool").join(difference_interval(diffs, keys), keys)
 
@@ -170,7 +209,7 @@ def ecdf_band(
 ) -> DataFrame:
     """(sector, metric, g, x, b_med, b_lo, b_hi): band of the replicates' ECDFs on a grid.
 
-    ``grid`` is (sector, metric, g, x) with g = 0..at most 254; ``pool_ecdf`` is the pool's own ECDF y on it.
+    ``grid`` is (sector, metric, g, x) with g = 0, 1, ...; ``pool_ecdf`` is the pool's own ECDF y on it.
     A draw of rank i lies at or below grid point g exactly when i <= K_g, the pool's count there, so draws are
     binned by a binary search over K and never looked up.
     """
@@ -178,11 +217,14 @@ def ecdf_band(
     spec = versus_pool(values, sectors, metrics, pool)
     spec = spec.filter((F.col("n") >= min_n) & (F.col("m") >= (F.lit(min_n) if replace else F.col("n"))))
     sizes = spec.select(*keys, "m")
-    edges = pool_ecdf.join(bounded_side(sizes, "comparisons"), keys).withColumn("_k", F.round(F.col("y") * F.col("m")).cast("bigint"))
+    edges = pool_ecdf.join(per_group(sizes, "sizes"), keys).withColumn("_k", F.round(F.col("y") * F.col("m")).cast("bigint"))
     edges = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("_k")).alias("_cuts"), F.count(F.lit(1)).alias("_g"))
-    draws = draw_ranks(spec, keys, reps, seed, replace).join(bounded_side(edges, "comparisons"), keys)
-    binned = with_slices(draws, keys, "i", "_cuts", 256)
-    per_bin = binned.groupBy(*keys, "rep", F.col("_slice").alias("g")).agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max("_g").alias("_g"))
+    edges = cut(edges, "grid-counts")
+    # the search halves its step from half the slices, of which there must be one more than cuts
+    most = edges.agg(F.coalesce(F.max("_g"), F.lit(0))).first()[0]
+    draws = _draws(_prepared(spec, keys, reps, seed, replace), keys, seed, replace).join(per_group(edges, "grid-counts"), keys)
+    binned = with_slices(draws, keys, "i", "_cuts", 1 << int(most).bit_length())
+    per_bin = binned.groupBy(*keys, "rep", F.col("_slice").alias("g")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("_g").alias("_g"))
     # every replicate gets all grid points, also those no draw fell on
     per_rep = per_bin.groupBy(*keys, "rep").agg(
         F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("_c"), F.max("n").alias("n"), F.max("_g").alias("_g")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catchmark.functions.tails import kolmogorov_sf, normal_two_sided
-from catchmark.operators.ordered import attach, bounded_side, exact_quantiles, running_totals
+from catchmark.operators.ordered import attach, exact_quantiles, per_group, running_totals
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, **measures: Column) -> DataFrame:
@@ -190,7 +190,7 @@ def bh_fdr(df: DataFrame, p: str, q: str, keys: Sequence[str] = ()) -> DataFrame
     per_slice = per_slice.select(*keys, "_slice", F.min("_slice_min").over(later).alias("_later"))
     onward = W.partitionBy(*keys, "_slice").orderBy("x").rowsBetween(0, W.unboundedFollowing)
     joined = raw.withColumn("_here", F.min("_raw").over(onward)).join(
-        bounded_side(per_slice, "slice minima", 64 * 10_000), [*keys, "_slice"]
+        per_group(per_slice, "slice-minima"), [*keys, "_slice"]
     )
     table = joined.select(
         *keys, F.col("x").alias(p), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least("_here", "_later"))).alias(q)

@@ -12,6 +12,7 @@ are measured once and expanded afterwards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 from catchmark.functions.geometry import segment_distance
 from catchmark.operators.lineage import cut
 
-# (x0, y0, width): squares that hold the coordinates of each reference system
-LONLAT_BOUNDS = (-180.0, -180.0, 360.0)
-ALBERS_BOUNDS = (-4194304.0, -2097152.0, 8388608.0)
 MAX_DEPTH = 12
+SEGMENTS_PER_LEAF = 4
 _BOX = ("lox", "loy", "hix", "hiy")
 
 
@@ -33,12 +32,26 @@ def _node(level: Column, ix: Column, iy: Column) -> Column:
 
 
 def _leaf_cell(c: Column, origin: float, width: float, depth: int) -> Column:
-    """Cell number 0..4**depth - 1. Checked in the column itself: as a filter the check would be pushed into
-    the source and evaluate the coordinates' own expressions again and again."""
+    """Cell number 0..4**depth - 1; the bounds' far side belongs to the last cell. A place without number has no cell."""
     cell = F.floor((c - origin) * (4.0**depth / width))
-    return F.when(cell.between(0, 4**depth - 1), cell).otherwise(
-        F.raise_error(F.lit("coordinate outside the search bounds")).cast("bigint")
-    )
+    return F.when(~F.isnan(c), F.least(F.greatest(cell, F.lit(0)), F.lit(4**depth - 1)))
+
+
+def _bounds(pts: DataFrame, segs: DataFrame) -> tuple[tuple[float, float, float], int]:
+    """The square that holds all points and segments, and the number of segments: one row, read by the driver."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    corners = lambda xs, ys: [F.min(F.least(*map(number, xs))) if len(xs) > 1 else F.min(number(xs[0])), F.max(F.greatest(*map(number, xs))) if len(xs) > 1 else F.max(number(xs[0])), F.min(F.least(*map(number, ys))) if len(ys) > 1 else F.min(number(ys[0])), F.max(F.greatest(*map(number, ys))) if len(ys) > 1 else F.max(number(ys[0]))]
+    names = ["lox", "hix", "loy", "hiy"]
+    a = pts.agg(*[c.alias(n) for c, n in zip(corners(["_x"], ["_y"]), names)]).first()
+    b = segs.agg(*[c.alias(n) for c, n in zip(corners(["x1", "x2"], ["y1", "y2"]), names)], F.count(F.lit(1)).alias("n")).first()
+    known = [[r[n] for r in (a, b) if r[n] is not None] or [0.0] for n in names]
+    lox, hix, loy, hiy = min(known[0]), max(known[1]), min(known[2]), max(known[3])
+    return (lox, loy, max(hix - lox, hiy - loy) or 1.0), b["n"]
+
+
+def _depth(n_segments: int) -> int:
+    """Levels of 16 children that leave few segments in a leaf, and one more, as segments are not spread evenly."""
+    return min(MAX_DEPTH, max(1, math.ceil(math.log(max(1, n_segments / SEGMENTS_PER_LEAF), 16)) + 1))
 
 
 def _with_leaf(df: DataFrame, x: Column, y: Column, bounds, depth: int, name: str) -> DataFrame:
@@ -97,13 +110,15 @@ def _descend(pairs: DataFrame, p_kids: DataFrame, s_kids: DataFrame, level: int,
 
 def _candidates(points, segments, point_id, point_keys, segment_keys, depth, bounds) -> DataFrame:
     """(keys, point id, dist, segment ends) for every pair the bounds cannot exclude."""
-    if not 1 <= depth <= MAX_DEPTH:
+    if depth is not None and not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be within 1..{MAX_DEPTH}")
     p_keys, s_keys = list(point_keys), list(dict.fromkeys([*point_keys, *segment_keys]))
     pts = points.select(*p_keys, F.col(point_id), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    pts = _with_leaf(pts, F.col("_x"), F.col("_y"), bounds, depth, "p")
     ends = ["x1", "y1", "x2", "y2"]
     segs = segments.select(*s_keys, *ends).distinct()
+    square, n_segments = _bounds(pts, segs)
+    depth, bounds = depth or _depth(n_segments), bounds or square
+    pts = _with_leaf(pts, F.col("_x"), F.col("_y"), bounds, depth, "p")
     segs = _with_leaf(segs, (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, bounds, depth, "s")
 
     p_boxes = pts.withColumns({"lox": F.col("_x"), "hix": F.col("_x"), "loy": F.col("_y"), "hiy": F.col("_y")})
@@ -132,17 +147,21 @@ def nearest_distance(
     point_id: str,
     point_keys: Sequence[str] = (),
     segment_keys: Sequence[str] = (),
-    depth: int = 6,
-    bounds=ALBERS_BOUNDS,
+    depth: int | None = None,
+    bounds: tuple[float, float, float] | None = None,
 ) -> DataFrame:
     """(keys, point id, dist): exact distance from each point (x, y) to the closest segment.
 
     ``point_keys`` are columns that must match on both sides (a projection zone, say); ``segment_keys`` split the
-    segments so that each key value gets its own nearest distance (a kind of water).
+    segments so that each key value gets its own nearest distance (a kind of water). Without them every point keeps a
+    row, with NULL where no segment has its keys. Bounds and depth of the trees follow from the data.
     """
     found = _candidates(points, segments, point_id, point_keys, segment_keys, depth, bounds)
     keys = list(dict.fromkeys([*point_keys, *segment_keys]))
-    return found.groupBy(*keys, point_id).agg(F.min("dist").alias("dist"))
+    nearest = found.groupBy(*keys, point_id).agg(F.min("dist").alias("dist"))
+    if segment_keys:
+        return nearest
+    return points.select(*point_keys, point_id).join(nearest, [*point_keys, point_id], "left")
 
 
 def nearest_features(
@@ -150,8 +169,8 @@ def nearest_features(
     segments: DataFrame,
     point_id: str,
     feature_id: str = "feature_id",
-    depth: int = 6,
-    bounds=ALBERS_BOUNDS,
+    depth: int | None = None,
+    bounds: tuple[float, float, float] | None = None,
 ) -> DataFrame:
     """(point id, feature, dist): the nearest feature of every point; equidistant features give several rows.
 

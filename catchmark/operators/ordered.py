@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_GROUPS = 10_000
+from catchmark.operators.lineage import cut
+
+BROADCAST_ROWS = 10_000
 
 
 def require(condition: Column, message: str) -> Column:
@@ -22,19 +24,19 @@ def require(condition: Column, message: str) -> Column:
     return F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
 
 
-def bounded_side(df: DataFrame, what: str, max_rows: int = MAX_GROUPS) -> DataFrame:
-    """Broadcast a per-group table after checking, inside the query, that it has at most ``max_rows`` rows."""
-    guarded = df.withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
-    guarded = guarded.filter(
-        require(F.col("_rows") <= max_rows, f"{what}: more than {max_rows} groups; use group_quantiles or a plain join")
-    )
-    return F.broadcast(guarded.drop("_rows"))
+def per_group(df: DataFrame, name: str) -> DataFrame:
+    """A per-group table to join with rows: written once, broadcast while it has at most BROADCAST_ROWS rows.
+
+    Beyond that the join is an ordinary one of two scans, which Spark may broadcast or split as it sees fit.
+    """
+    written = cut(df, name)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], max_groups: int = MAX_GROUPS) -> DataFrame:
-    """Put per-group values on every row without shuffling the rows."""
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put per-group values on every row; few groups are broadcast, so the rows are not shuffled."""
     if keys:
-        return df.join(bounded_side(stats, f"per-group values by {list(keys)}", max_groups), list(keys))
+        return df.join(per_group(stats, "per-group"), list(keys))
     return df.crossJoin(F.broadcast(stats))  # a keyless aggregate is exactly one row
 
 
@@ -52,9 +54,8 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     accuracy: int = 10_000,
-    max_groups: int = MAX_GROUPS,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles for few groups of any size; columns are named by ``probs``.
+    """Exact linear-interpolation quantiles for groups of any size; columns are named by ``probs``.
 
     Pass 1 is a sketch per group (combined on the map side). Pass 2 counts the rows below each bracket and
     keeps, as (value, count), only those inside it: about 16/accuracy of a group.
@@ -90,7 +91,7 @@ def exact_quantiles(
     )
     stats = stats.select(*keys, "_n", F.col("_cut").isNotNull().alias("_has"), brackets.alias("_brackets"))
     probed = (
-        attach(vals, stats.drop("_has"), keys, max_groups)
+        attach(vals, stats.drop("_has"), keys)
         .select(*keys, "_v", "_n", F.explode("_brackets").alias("_b"))
         .filter(F.col("_v") <= F.col("_b.hi"))
         .select(*keys, "_n", F.col("_b.i").alias("_i"), F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"))
@@ -134,7 +135,6 @@ def running_totals(
     order: str,
     measures: Sequence[str],
     n_slices: int = 64,
-    max_groups: int = MAX_GROUPS,
 ) -> DataFrame:
     """Add ``cum_m`` (inclusive, ascending) and ``tot_m`` for each measure; also leaves ``_slice``.
 
@@ -148,7 +148,7 @@ def running_totals(
         F.percentile_approx(order, cuts, 100 * n_slices).alias("_cuts"),
         *[F.sum(m).alias(f"tot_{m}") for m in measures],
     )
-    sliced = with_slices(attach(counts, stats, keys, max_groups), keys, order, "_cuts", n_slices).drop("_cuts")
+    sliced = with_slices(attach(counts, stats, keys), keys, order, "_cuts", n_slices).drop("_cuts")
     offsets = sliced.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = offsets.select(
@@ -156,7 +156,7 @@ def running_totals(
     )
     within = W.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = sliced.withColumns({f"_c_{m}": F.sum(m).over(within) for m in measures})
-    out = local.join(bounded_side(offsets, "slice offsets", max_groups * n_slices), [*keys, "_slice"])
+    out = local.join(per_group(offsets, "slice-offsets"), [*keys, "_slice"])
     return out.withColumns({f"cum_{m}": F.col(f"_c_{m}") + F.col(f"_o_{m}") for m in measures}).drop(
         *[f"_c_{m}" for m in measures], *[f"_o_{m}" for m in measures]
     )

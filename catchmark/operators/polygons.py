@@ -3,10 +3,11 @@
 A polygon is a set of directed or undirected edges (id, x1, y1, x2, y2); holes and multiparts are just more
 edges. Membership is crossing parity with points on the boundary excluded.
 
-``polygon_index`` turns the edges into one row per grid cell holding, for each polygon that reaches the cell,
-only the edges a point in that cell has to look at. Locating points is then a single equi-join on the cell:
-the point side is never exploded or regrouped, keeps all its columns, and a crowded cell can be split by
-adaptive skew handling because the other side has one row.
+``polygon_index`` turns the edges into grid cells that hold, for each polygon that reaches the cell, only the edges a
+point in that cell has to look at. Cells come in powers of two and each polygon takes the size that fits it: its width,
+and less the more edges it has. So a cell meets few polygons and few edges of each, however many polygons there are.
+Locating points is an equi-join on the cell for each size in use: the point side is never exploded or regrouped, keeps
+all its columns, and a crowded cell can be split by adaptive skew handling because the other side has one row.
 """
 
 from __future__ import annotations
@@ -16,14 +17,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catchmark.functions.geometry import segment_distance
+from catchmark.operators.lineage import cut
+from catchmark.operators.ordered import require
 
+EDGES_PER_CELL = 8
 
-def _cell(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(float(size)))
 
+def _cell(c: Column, size: Column | float) -> Column:
+    return F.floor(c / (size if isinstance(size, Column) else F.lit(float(size))))
 
-def polygon_index(edges: DataFrame, size: float, id_col: str = "basin_id") -> DataFrame:
-    """(cx, cy, polys) with polys = array of (id, base, local edges); ``size`` about a polygon's width.
+
+def _power(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level.cast("double"))
+
+
+def polygon_index(edges: DataFrame, id_col: str = "basin_id") -> DataFrame:
+    """(level, cx, cy, polys) with polys = array of (id, base, local edges), written once; a cell is 2^level wide.
 
     For a ray going right from a point in cell (cx, cy), an edge wholly right of the cell that spans the cell's
     whole height is crossed by every such point: it only adds one to ``base``. Edges left of the cell or outside
@@ -32,24 +41,32 @@ def polygon_index(edges: DataFrame, size: float, id_col: str = "basin_id") -> Da
     """
     lox, hix = F.least("x1", "x2"), F.greatest("x1", "x2")
     loy, hiy = F.least("y1", "y2"), F.greatest("y1", "y2")
-    strips = edges.select(
-        F.col(id_col).alias("id"),
-        F.struct("x1", "y1", "x2", "y2").alias("edge"),
-        _cell(lox, size).alias("cx_lo"),
-        _cell(hix, size).alias("cx_hi"),
-        _cell(loy, size).alias("cy_lo"),
-        _cell(hiy, size).alias("cy_hi"),
+    own = W.partitionBy("id")
+    boxed = edges.select(F.col(id_col).alias("id"), F.struct("x1", "y1", "x2", "y2").alias("edge"), lox.alias("lox"), hix.alias("hix"), loy.alias("loy"), hiy.alias("hiy"))
+    boxed = boxed.withColumns(
+        {
+            "wide": F.max("hix").over(own) - F.min("lox").over(own),
+            "high": F.max("hiy").over(own) - F.min("loy").over(own),
+            "n": F.count(F.lit(1)).over(own),
+        }
+    ).filter((F.col("wide") > 0) & (F.col("high") > 0))  # others have no inside
+    fit = F.greatest("wide", "high") / F.sqrt(F.greatest(F.lit(1.0), F.col("n") / float(EDGES_PER_CELL)))
+    boxed = boxed.withColumn("level", F.ceil(F.log2(fit)).cast("int"))
+    size = _power(F.col("level"))
+    strips = boxed.select(
+        "id", "level", "edge", _cell(F.col("lox"), size).alias("cx_lo"), _cell(F.col("hix"), size).alias("cx_hi"),
+        _cell(F.col("loy"), size).alias("cy_lo"), _cell(F.col("hiy"), size).alias("cy_hi"),
     ).withColumn("cy", F.explode(F.sequence("cy_lo", "cy_hi")))
     strips = strips.withColumn("left", F.min("cx_lo").over(W.partitionBy("id", "cy")))
     cells = strips.withColumn("cx", F.explode(F.sequence("left", "cx_hi")))
     always = (F.col("cx_lo") > F.col("cx")) & (F.col("cy_lo") < F.col("cy")) & (F.col("cy_hi") > F.col("cy"))
-    # grouped by (id, cy, cx) on data already placed by (id, cy): no further shuffle
-    per_polygon = cells.groupBy("id", "cy", "cx").agg(
+    # all of this is grouped on data already placed by id: no further shuffle
+    per_polygon = cells.groupBy("id", "level", "cy", "cx").agg(
         F.sum(F.when(always, 1).otherwise(0)).cast("int").alias("base"),
         F.collect_list(F.when(~always, F.col("edge"))).alias("edges"),
     )
     per_polygon = per_polygon.filter((F.size("edges") > 0) | (F.col("base") % 2 == 1))
-    return per_polygon.groupBy("cx", "cy").agg(F.collect_list(F.struct("id", "base", "edges")).alias("polys"))
+    return cut(per_polygon.groupBy("level", "cx", "cy").agg(F.collect_list(F.struct("id", "base", "edges")).alias("polys")), "polygon-index")
 
 
 def _crossings(poly: Column, px: Column, py: Column) -> Column:
@@ -65,50 +82,51 @@ def _crossings(poly: Column, px: Column, py: Column) -> Column:
     return F.aggregate(poly["edges"], poly["base"], step)
 
 
-def locate(
-    points: DataFrame,
-    index: DataFrame,
-    size: float,
-    how: str = "left",
-    x: str = "lon",
-    y: str = "lat",
-    out: str = "basin_id",
-) -> DataFrame:
+def locate(points: DataFrame, index: DataFrame, how: str = "left", x: str = "lon", y: str = "lat", out: str = "basin_id") -> DataFrame:
     """Attach the id of the polygon a point lies in.
 
     ``left`` keeps unmatched points with NULL, ``inner`` drops them; overlapping polygons give one row each in
-    both. ``semi`` keeps each matched point once, without an id.
+    both. ``semi`` keeps each matched point once, without an id. The driver reads the sizes of cells in use.
     """
     px, py = F.col(x), F.col(y)
-    placed = points.withColumns({"_cx": _cell(px, size), "_cy": _cell(py, size)})
-    cells = index.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "polys")
-    joined = placed.join(cells, ["_cx", "_cy"], "left" if how == "left" else "inner")
 
     def inside(poly):
         n = _crossings(poly, px, py)
         return (n > 0) & (n % 2 == 1)
 
-    hits = F.transform(F.filter("polys", inside), lambda poly: poly["id"])
+    hits = lambda: F.transform(F.filter("_polys", inside), lambda poly: poly["id"])
+    levels = sorted(r["level"] for r in index.select("level").distinct().collect())
+    kind = dict(index.select(F.explode("polys.id").alias("id")).dtypes)["id"]
+    found, single = points, how != "left" and len(levels) == 1
+    gathered = F.array().cast(f"array<{kind}>")
+    for k, level in enumerate(levels):
+        placed = found.withColumns({"_cx": _cell(px, 2.0**level), "_cy": _cell(py, 2.0**level)})
+        cells = index.filter(F.col("level") == level).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("polys").alias("_polys"))
+        joined = placed.join(cells, ["_cx", "_cy"], "inner" if single else "left")
+        own = F.coalesce(hits(), gathered)
+        found = joined.select(*points.columns, (F.concat("_hits", own) if k else own).alias("_hits"))
+    if not levels:
+        found = points.withColumn("_hits", gathered)
     if how == "semi":
-        return joined.filter(F.size(hits) > 0).select(*points.columns)
+        return found.filter(F.size("_hits") > 0).select(*points.columns)
     explode = F.explode_outer if how == "left" else F.explode
-    return joined.select(*points.columns, explode(hits).alias(out))
+    return found.select(*points.columns, explode("_hits").alias(out))
 
 
-def points_in_polygons(points, edges, size, how="left", x="lon", y="lat", id_col="basin_id") -> DataFrame:
-    return locate(points, polygon_index(edges, size, id_col), size, how, x, y, id_col)
+def points_in_polygons(points, edges, how="left", x="lon", y="lat", id_col="basin_id") -> DataFrame:
+    return locate(points, polygon_index(edges, id_col), how, x, y, id_col)
 
 
-def domain_filter(points, edges, size, x="lon", y="lat", id_col="basin_id", distinct_points=False) -> DataFrame:
+def domain_filter(points, edges, x="lon", y="lat", id_col="basin_id", distinct_points=False) -> DataFrame:
     """Points inside any polygon. A point in k overlapping polygons appears k times unless ``distinct_points``."""
     if distinct_points:
-        return points_in_polygons(points, edges, size, "semi", x, y, id_col)
-    return points_in_polygons(points, edges, size, "inner", x, y, id_col).drop(id_col)
+        return points_in_polygons(points, edges, "semi", x, y, id_col)
+    return points_in_polygons(points, edges, "inner", x, y, id_col).drop(id_col)
 
 
-def reach_map(reaches: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+def reach_map(reaches: DataFrame, edges: DataFrame) -> DataFrame:
     """One basin per reach (the smallest id where basins overlap), with the reach's order."""
-    hit = points_in_polygons(reaches, edges, size, "inner")
+    hit = points_in_polygons(reaches, edges, "inner")
     return hit.groupBy("feature_id").agg(F.min("basin_id").alias("basin_id"), F.max("ord").alias("ord"))
 
 
@@ -129,23 +147,42 @@ def boundary_lines(edges: DataFrame, kind: str, id_col: str) -> DataFrame:
     )
 
 
-def polygons_near(sites: DataFrame, edges: DataFrame, radius: float, site_id: str, id_col: str = "basin_id") -> DataFrame:
+def polygons_near(sites: DataFrame, edges: DataFrame, radius: float, site_id: str, id_col: str = "basin_id", split: int = 4) -> DataFrame:
     """Distinct (site, polygon) where the polygon meets the closed disk of ``radius`` around the site.
 
-    Either an edge comes within the radius or the site lies inside. Edges, grown by the radius, are listed in
-    the cells they reach; each site sits in exactly one cell.
+    Either an edge comes within the radius or the site lies inside. The plane is parted into cells of radius / ``split``.
+    A cell wholly within the disk gives all polygons that have an edge in it, once each; only edges in the cells that the
+    circle cuts, a ring of about 7 ``split`` cells, are measured. Cells are grown by a little, so rounding loses no edge.
     """
-    reach = F.lit(float(radius))
-    grown = edges.select(
-        id_col, "x1", "y1", "x2", "y2",
-        F.explode(F.sequence(_cell(F.least("x1", "x2") - reach, radius), _cell(F.greatest("x1", "x2") + reach, radius))).alias("_cx"),
-        _cell(F.least("y1", "y2") - reach, radius).alias("_lo"),
-        _cell(F.greatest("y1", "y2") + reach, radius).alias("_hi"),
-    ).withColumn("_cy", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
-    placed = sites.select(
-        site_id, F.col("x").alias("_x"), F.col("y").alias("_y"), _cell(F.col("x"), radius).alias("_cx"), _cell(F.col("y"), radius).alias("_cy")
-    )
-    dist = segment_distance(F.col("_x"), F.col("_y"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    close = placed.join(grown, ["_cx", "_cy"]).filter(dist <= reach).select(site_id, id_col)
-    inside = points_in_polygons(sites.select(site_id, "x", "y"), edges, 2 * radius, "inner", "x", "y", id_col)
-    return close.unionByName(inside.select(site_id, id_col)).distinct()
+    size, reach = float(radius) / split, F.lit(float(radius))
+    span = lambda a, b: F.sequence(_cell(F.least(a, b), size), _cell(F.greatest(a, b), size))
+    listed = edges.select(id_col, "x1", "y1", "x2", "y2", F.explode(span("x1", "x2")).alias("_cx"), span("y1", "y2").alias("_rows")).withColumn("_cy", F.explode("_rows")).drop("_rows")
+    # of the cells in an edge's box, those that its line passes by closer than half a diagonal
+    middle = lambda c: (F.col(c) + 0.5) * size
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    listed = listed.filter(segment_distance(middle("_cx"), middle("_cy"), *ends) <= size * 0.7072)
+
+    here = sites.select(site_id, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    around = lambda c: F.sequence(_cell(F.col(c) - reach, size), _cell(F.col(c) + reach, size))
+    spread = here.withColumn("_cx", F.explode(around("_x"))).withColumn("_cy", F.explode(around("_y")))
+    away = F.hypot(middle("_cx") - F.col("_x"), middle("_cy") - F.col("_y"))
+    spread = spread.withColumn("_away", away).filter(F.col("_away") <= reach + size * 0.7072)
+    within = F.col("_away") <= reach - size * 1.4143
+
+    whole = spread.filter(within).join(listed.select(id_col, "_cx", "_cy").distinct(), ["_cx", "_cy"]).select(site_id, id_col)
+    dist = segment_distance(F.col("_x"), F.col("_y"), *ends)
+    ring = spread.filter(~within).join(listed, ["_cx", "_cy"]).filter(dist <= reach).select(site_id, id_col)
+    inside = points_in_polygons(sites.select(site_id, "x", "y"), edges, "inner", "x", "y", id_col).select(site_id, id_col)
+    return whole.unionByName(ring).unionByName(inside).distinct()
+
+
+def basins_of_site(sites: DataFrame, located: DataFrame, keys: DataFrame, site: list[str], group: str, id_col: str = "basin_id") -> DataFrame:
+    """All polygons that share the group (a coarser basin's number) of the polygon a site lies in.
+
+    ``located`` is (site columns, polygon), ``keys`` is (polygon, group). A site in no polygon stops the query.
+    """
+    own = located.join(keys.select(id_col, group), id_col).select(*site, group)
+    # a keyless aggregate is one row, also when every site has a basin
+    missing = sites.select(*site).join(own, site, "left_anti").agg(F.count(F.lit(1)).alias("_missing"))
+    checked = missing.filter(require(F.col("_missing") == 0, "a site lies in no basin")).drop("_missing")
+    return own.distinct().join(keys, group).crossJoin(F.broadcast(checked))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catchmark.functions.random import MODULUS, hash31, hashed_uniform
+from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import first_n_by, require
 from catchmark.operators.polygons import extent, locate, polygon_index
 
@@ -70,20 +71,27 @@ def first_draws(hits: DataFrame, n: int, draw: str = "draw", chunk: int = CHUNK)
 
 
 def random_points_in_polygons(
-    spark, edges: DataFrame, n: int, seed: int, size: float, id_col: str = "basin_id", slack: float = 1.25, n_draws: int | None = None
+    spark, edges: DataFrame, n: int, seed: int, id_col: str = "basin_id", slack: float = 1.25, n_draws: int | None = None
 ) -> DataFrame:
     """The first ``n`` uniform draws of the bounding box that fall inside a polygon: (draw, x, y, id).
 
     Give equal-area coordinates for equal-area sampling. The number of draws follows from the polygons' share of
-    the box, with ``slack`` and a margin of six standard deviations; a short draw fails instead of returning less.
+    the box, with ``slack`` and a margin of six standard deviations; a short draw is doubled until it holds ``n``.
     """
     box, share = box_and_share(edges, id_col)
-    if n_draws is None:
-        share = max(share, 1e-6)
-        n_draws = math.ceil(slack * (n / share) + 6 * math.sqrt(n) / share + 100)
-    drawn = box_points(spark, box, n_draws, seed)
-    hits = locate(drawn, polygon_index(edges, size, id_col), size, "inner", "x", "y", id_col)
-    return first_draws(hits, n)
+    index = polygon_index(edges, id_col)
+    hits_of = lambda draws: locate(box_points(spark, box, draws, seed), index, "inner", "x", "y", id_col)
+    if n_draws is not None:
+        return first_draws(hits_of(n_draws), n)
+    if share <= 0:
+        raise ValueError("the polygons have no area to draw points in")
+    draws = math.ceil(slack * (n / share) + 6 * math.sqrt(n) / share + 100)
+    while True:
+        # Overlaps make the share too large, so a short draw goes on; the draws before stay as they are.
+        hits = cut(hits_of(draws), "random-points")
+        if hits.count() >= n:
+            return first_draws(hits, n)
+        draws *= 2
 
 
 def disk_points(sites: DataFrame, site_id: str, n: int, radius: float, seed: int) -> DataFrame:

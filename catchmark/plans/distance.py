@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchmark import SECTORS
 from catchmark.functions.clean import keep_values, nearest_kind
 from catchmark.functions.geometry import project_edges, project_points, utm_xy, utm_zone
 from catchmark.functions.text import fmt_num, fmt_p, fmt_range
@@ -19,34 +18,35 @@ from catchmark.operators.tables import one_to_one, union_parts
 from catchmark.sources.readers import major_rivers
 
 KINDS = ("River", "Lake", "Coast")
-UTM_BOUNDS = (-16_000_000.0, -10_000_000.0, 33_554_432.0)
 
 
-def nearest_river_km(sites: DataFrame, segments: DataFrame, site_id: str, min_order: int = 5, depth: int = 6) -> DataFrame:
+def nearest_river_km(sites: DataFrame, segments: DataFrame, site_id: str, min_order: int = 5, depth: int | None = None) -> DataFrame:
     """(site, dist_km) to major rivers in EPSG:5070."""
     rivers = project_edges(major_rivers(segments, min_order))
     found = nearest_distance(project_points(sites), rivers, site_id, depth=depth)
     return found.select(site_id, (F.col("dist") / 1000.0).alias("dist_km"))
 
 
-def _wide(found: DataFrame, site_id: str) -> DataFrame:
+def _wide(sites: DataFrame, found: DataFrame, site_id: str) -> DataFrame:
+    """One row for every site; a kind of water that was not found is NULL."""
     names = {"River": "dist_river_km", "Lake": "dist_lake_km", "Coast": "dist_coast_km"}
     wide = found.groupBy(site_id).agg(
         *[F.min(F.when(F.col("kind") == k, F.col("dist") / 1000.0)).alias(c) for k, c in names.items()]
     )
+    wide = sites.select(site_id).join(wide, site_id, "left")
     return wide.withColumns(
         {"dist_any_km": F.least(*names.values()), "nearest": nearest_kind({k: F.col(c) for k, c in names.items()})}
     )
 
 
-def nearest_water(sites: DataFrame, segments: DataFrame, site_id: str, min_order: int = 5, depth: int = 6) -> DataFrame:
+def nearest_water(sites: DataFrame, segments: DataFrame, site_id: str, min_order: int = 5, depth: int | None = None) -> DataFrame:
     """Distances to the nearest river, lake shore and coast in EPSG:5070, their minimum and its kind."""
     keep = segments.filter((F.col("kind") != "River") | (F.col("ord") >= min_order))
     found = nearest_distance(project_points(sites), project_edges(keep), site_id, segment_keys=["kind"], depth=depth)
-    return _wide(found, site_id)
+    return _wide(sites, found, site_id)
 
 
-def nearest_water_utm(sites: DataFrame, segments: DataFrame, site_id: str, min_order: int = 3, depth: int = 7) -> DataFrame:
+def nearest_water_utm(sites: DataFrame, segments: DataFrame, site_id: str, min_order: int = 3, depth: int | None = None) -> DataFrame:
     """As ``nearest_water`` but in each site's own UTM zone.
 
     The layers are projected once into every zone that holds a site (at most 60), and zones are matched by key.
@@ -62,8 +62,8 @@ def nearest_water_utm(sites: DataFrame, segments: DataFrame, site_id: str, min_o
     lines = lines.filter((F.abs(F.col("x1") - meridian) < 80.0) & (F.abs(F.col("x2") - meridian) < 80.0))
     (ax, ay), (bx, by) = (utm_xy(F.col(f"x{n}"), F.col(f"y{n}"), F.col("zone")) for n in (1, 2))
     lines = lines.withColumns({"x1": ax, "y1": ay, "x2": bx, "y2": by})
-    found = nearest_distance(placed, lines, site_id, ["zone"], ["kind"], depth, UTM_BOUNDS)
-    return _wide(found, site_id)
+    found = nearest_distance(placed, lines, site_id, ["zone"], ["kind"], depth)
+    return _wide(sites, found, site_id)
 
 
 def tests_vs_random(distances: DataFrame, column: str) -> DataFrame:
@@ -109,19 +109,19 @@ def journal_table(distances: DataFrame, column: str) -> DataFrame:
 
 def matched_distances(
     spark: SparkSession, facilities: DataFrame, basin_edges: DataFrame, segments: DataFrame, min_order: int = 5, seed: int = 7,
-    size: float = 60_000.0, depth: int = 6,
+    depth: int | None = None,
 ) -> DataFrame:
     """(sector, grp, dist_km): facilities inside basins and as many random points, with distance to major rivers.
 
     All sectors and both groups go through one nearest-distance join.
     """
     edges = cut(project_edges(basin_edges), "edges")
-    inside = cut(domain_filter(project_points(facilities), edges, size, "x", "y"), "domain-points")
+    inside = cut(domain_filter(project_points(facilities), edges, "x", "y"), "domain-points")
     sizes = {r["sector"]: r["count"] for r in inside.groupBy("sector").count().collect()}  # one row per sector
     offsets = {"AI": 101, "Power": 202, "TRI": 303}
     parts = [inside.select("sector", F.lit("sector").alias("grp"), F.col("site_id").alias("k"), "x", "y")]
-    for sector in (s for s in SECTORS if sizes.get(s)):
-        drawn = random_points_in_polygons(spark, edges, sizes[sector], seed + offsets[sector], size)
+    for sector in sorted(sizes):
+        drawn = random_points_in_polygons(spark, edges, sizes[sector], seed + offsets.get(sector, 0))
         parts.append(drawn.select(F.lit(sector).alias("sector"), F.lit("random").alias("grp"), F.col("draw").alias("k"), "x", "y"))
     points = union_parts(*parts).withColumn("pid", F.concat_ws("|", "sector", "grp", F.col("k").cast("string")))
     points = cut(points.select("pid", "x", "y"), "points")
@@ -140,7 +140,7 @@ def logit_table(distances: DataFrame) -> DataFrame:
     """
     distances = cut(distances, "distances")
     fits = []
-    for sector in SECTORS:
+    for sector in sorted(r["sector"] for r in distances.select("sector").distinct().collect()):  # one row per sector
         rows = distances.filter(F.col("sector") == sector)
         frame = presence_frame(rows.filter("grp = 'sector'"), rows.filter("grp = 'random'"))
         sides = rows.groupBy("grp").count().collect()  # at most two rows

@@ -122,14 +122,14 @@ def effect_bands(master: DataFrame, reps: int = 500, seed: int = 42) -> DataFram
 
 def run(
     spark: SparkSession, points: dict[str, str], basins: str, basin_edges: str, reaches: str, flow: str, out: str,
-    size: float = 1.0, start: str = START, end: str = END, recompute: bool = False,
+    start: str = START, end: str = END, recompute: bool = False,
 ) -> dict[str, DataFrame]:
     """Whole analysis from input paths; ``recompute`` rebuilds the final metrics, the other caches are reused."""
     check_inputs(spark, [*points.values(), basins, basin_edges, reaches, flow])
     edges = clean_edges(read_table(spark, basin_edges), "basin_id")
     facilities = union_parts(*[load_points(spark, path, s).select("sector", "lon", "lat") for s, path in points.items()])
-    presence = presence_table(read_table(spark, basins).select("basin_id"), points_in_polygons(facilities, edges, size, "inner"))
-    mapping = cached_table(spark, f"{out}/cache/reach_map", lambda: reach_map(read_table(spark, reaches), edges, size))
+    presence = presence_table(read_table(spark, basins).select("basin_id"), points_in_polygons(facilities, edges, "inner"))
+    mapping = cached_table(spark, f"{out}/cache/reach_map", lambda: reach_map(read_table(spark, reaches), edges))
     top = cut(hy.top_reaches(mapping), "top-reaches")
     metrics = cached_table(
         spark, f"{out}/cache/basin_metrics",

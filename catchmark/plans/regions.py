@@ -16,19 +16,18 @@ def padded_regions(regions: DataFrame, id_col: str = "huc2") -> DataFrame:
     return regions.withColumn(id_col, zfill(F.col(id_col).cast("string"), 2)).filter(valid_region(F.col(id_col)))
 
 
-def domain_points(facilities: DataFrame, basin_edges: DataFrame, size: float = 60_000.0) -> DataFrame:
+def domain_points(facilities: DataFrame, basin_edges: DataFrame) -> DataFrame:
     """Facilities projected to EPSG:5070 and kept where they fall inside a basin."""
-    return domain_filter(project_points(facilities), project_edges(basin_edges), size, "x", "y")
+    return domain_filter(project_points(facilities), project_edges(basin_edges), "x", "y")
 
 
 def regional_shares(
-    facilities: DataFrame, basin_edges: DataFrame, region_edges: DataFrame, size: float = 60_000.0,
-    region_size: float = 250_000.0, assigned_total: bool = False,
+    facilities: DataFrame, basin_edges: DataFrame, region_edges: DataFrame, assigned_total: bool = False,
 ) -> DataFrame:
     """Count, percent and class per sector and region; the total is all domain points unless ``assigned_total``."""
     regions = padded_regions(region_edges)
-    inside = domain_points(facilities, basin_edges, size)
-    located = points_in_polygons(inside, project_edges(regions), region_size, "inner", "x", "y", "huc2")
+    inside = domain_points(facilities, basin_edges)
+    located = points_in_polygons(inside, project_edges(regions), "inner", "x", "y", "huc2")
     totals = None if assigned_total else inside.groupBy("sector").agg(F.count(F.lit(1)).alias("total"))
     return region_shares(regions, located, totals)
 

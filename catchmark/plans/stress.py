@@ -23,7 +23,7 @@ BINS = ("stress_value", "stress_tertile", "stress_quartile")
 # Seeds and sizes of the reference draws.
 REFERENCE_N, BASE_SEED, MODE_SEED = 300_000, 7, {"ALL_BASINS": 10_000, "GLOBAL": 10_000, "BASIN_MATCHED": 20_000}
 SECTOR_SEED = {"AI": 101, "Power": 202, "TRI": 303}
-POOL_FACTOR, POOL_CAP = 5.0, 300_000
+POOL_FACTOR, POOL_LEAST = 5, 1000
 
 
 def binned_basins(basins: DataFrame, stress: DataFrame, value: str = "bws_raw", dedupe: bool = True) -> DataFrame:
@@ -37,26 +37,26 @@ def attach_bins(located: DataFrame, binned: DataFrame) -> DataFrame:
     return located.join(binned.select("basin_id", "pfaf_id", *BINS), "basin_id").dropna(subset=["pfaf_id", *BINS])
 
 
-def facilities_with_stress(facilities: DataFrame, edges: DataFrame, binned: DataFrame, size: float = 1.0) -> DataFrame:
+def facilities_with_stress(facilities: DataFrame, edges: DataFrame, binned: DataFrame) -> DataFrame:
     """Facilities inside a classified basin, in lon/lat."""
-    return attach_bins(points_in_polygons(facilities, edges, size, "inner"), binned)
+    return attach_bins(points_in_polygons(facilities, edges, "inner"), binned)
 
 
 def reference_points(
-    spark: SparkSession, edges: DataFrame, binned: DataFrame, n: int = REFERENCE_N, seed: int = BASE_SEED + 10_000, size: float = 60_000.0
+    spark: SparkSession, edges: DataFrame, binned: DataFrame, n: int = REFERENCE_N, seed: int = BASE_SEED + 10_000
 ) -> DataFrame:
     """One equal-area random reference for all sectors: ``n`` points in EPSG:5070, unclassified ones dropped."""
-    points = random_points_in_polygons(spark, cut(project_edges(edges), "edges"), n, seed, size)
+    points = random_points_in_polygons(spark, cut(project_edges(edges), "edges"), n, seed)
     return attach_bins(points, binned).withColumn("sector", F.lit("Reference"))
 
 
 def matched_reference(
-    spark: SparkSession, facilities: DataFrame, edges: DataFrame, binned: DataFrame, mode: str = "GLOBAL", size: float = 1.0
+    spark: SparkSession, facilities: DataFrame, edges: DataFrame, binned: DataFrame, mode: str = "GLOBAL"
 ) -> DataFrame:
     """Per sector, as many random points as it has facilities, in lon/lat.
 
-    GLOBAL draws over all basins, BASIN_MATCHED only over basins that hold a facility of the sector. A pool with
-    fewer classified points than facilities is an error.
+    GLOBAL draws over all basins, BASIN_MATCHED only over basins that hold a facility of the sector. The pool is five
+    times the facilities, at least a thousand more, and is doubled while fewer of its points are classified than needed.
     """
     if mode not in ("GLOBAL", "BASIN_MATCHED"):
         raise ValueError("mode must be GLOBAL or BASIN_MATCHED")
@@ -64,14 +64,22 @@ def matched_reference(
     facilities, binned, edges = cut(facilities, "facilities"), cut(binned, "binned"), cut(edges, "edges")
     sizes = {r["sector"]: r["count"] for r in facilities.groupBy("sector").count().collect()}  # one row per sector
     parts = []
-    for sector in (s for s in SECTORS if sizes.get(s)):
+    for sector in sorted(sizes, key=lambda s: (s not in SECTORS, SECTORS.index(s) if s in SECTORS else 0, s)):
         n = sizes[sector]
-        pool_n = int(min(POOL_CAP, max(n + 1000, -(-POOL_FACTOR * n // 1))))
         area = edges
         if mode == "BASIN_MATCHED":
             area = cut(matched_polygons(edges, facilities.filter(F.col("sector") == sector)), "matched-edges")
-        pool = random_points_in_polygons(spark, area, pool_n, BASE_SEED + SECTOR_SEED[sector] + MODE_SEED[mode], size)
-        chosen = reproducible_first(attach_bins(pool, binned), "draw", n, SECTOR_SEED[sector], must_fill=True)
+        seed, size = BASE_SEED + SECTOR_SEED.get(sector, 0) + MODE_SEED[mode], max(n + POOL_LEAST, POOL_FACTOR * n)
+        while True:
+            # Few classified basins leave few points of a pool: it grows until it holds enough.
+            pool = cut(attach_bins(random_points_in_polygons(spark, area, size, seed), binned), "pool")
+            got = pool.count()
+            if got >= n:
+                break
+            if not got and not size < 1000 * (n + POOL_LEAST):
+                raise ValueError(f"no classified basin to draw reference points of {sector} in")
+            size *= 2
+        chosen = reproducible_first(pool, "draw", n, SECTOR_SEED.get(sector, 0), must_fill=True)
         parts.append(chosen.withColumn("sector", F.lit(sector)))
     return union_parts(*parts)
 

@@ -39,9 +39,8 @@ def test_within_excludes_boundary_and_keeps_unmatched(spark):
     edges = spark.createDataFrame(ring(7, [(0, 0), (1, 0), (1, 1), (0, 1)]), EDGE)
     pts = [(1, 0.5, 0.5), (2, 1.0, 0.5), (3, 2.0, 2.0), (4, 0.5, 0.0), (5, 0.0, 0.0), (6, 0.25, 1.0)]
     points = spark.createDataFrame(pts, "id long, lon double, lat double")
-    for size in (0.1, 0.5, 1.0, 10.0):
-        got = {r["id"]: r["basin_id"] for r in pg.points_in_polygons(points, edges, size, "left").collect()}
-        assert got == {1: 7, 2: None, 3: None, 4: None, 5: None, 6: None}
+    got = {r["id"]: r["basin_id"] for r in pg.points_in_polygons(points, edges, "left").collect()}
+    assert got == {1: 7, 2: None, 3: None, 4: None, 5: None, 6: None}
 
 
 def test_holes_multiparts_and_overlaps(spark):
@@ -54,26 +53,56 @@ def test_holes_multiparts_and_overlaps(spark):
     pts = [(1, 2.0, 2.0), (2, 0.5, 0.5), (3, 3.75, 3.75), (4, 10.5, 0.5)]
     points = spark.createDataFrame(pts, "id long, lon double, lat double")
     frame = spark.createDataFrame(edges, EDGE)
-    got = sorted((r["id"], r["basin_id"]) for r in pg.points_in_polygons(points, frame, 1.0, "inner").collect())
+    got = sorted((r["id"], r["basin_id"]) for r in pg.points_in_polygons(points, frame, "inner").collect())
     assert got == [(2, 1), (3, 1), (3, 2), (4, 2)]
-    assert pg.domain_filter(points, frame, 1.0).count() == 4
-    assert sorted(r["id"] for r in pg.domain_filter(points, frame, 1.0, distinct_points=True).collect()) == [2, 3, 4]
+    assert pg.domain_filter(points, frame).count() == 4
+    assert sorted(r["id"] for r in pg.domain_filter(points, frame, distinct_points=True).collect()) == [2, 3, 4]
 
 
-@pytest.mark.parametrize("size", [0.13, 0.7, 5.0])
-def test_pip_equals_brute_force(spark, size):
+@pytest.mark.parametrize("per_cell", [1, 8, 1000])
+def test_pip_equals_brute_force(spark, per_cell, monkeypatch):
+    monkeypatch.setattr(pg, "EDGES_PER_CELL", per_cell)
     rng = random.Random(3)
     polys = {b: star(b, rng.uniform(-5, 5), rng.uniform(-5, 5), rng.uniform(0.5, 3), 25, rng) for b in range(12)}
+    polys[12] = star(12, 0, 0, 7, 400, rng)  # many edges, over all the others
+    polys |= {20 + b: star(20 + b, rng.uniform(-5, 5), rng.uniform(-5, 5), 0.05, 6, rng) for b in range(40)}
     pts = [(i, rng.uniform(-8, 8), rng.uniform(-8, 8)) for i in range(400)]
     # a third of the points at one place
     pts += [(1000 + i, 0.1, 0.2) for i in range(200)]
     want = sorted((i, b) for i, x, y in pts for b, e in polys.items() if inside(x, y, e))
     points = spark.createDataFrame(pts, "id long, lon double, lat double").repartition(5)
     edges = spark.createDataFrame([e for p in polys.values() for e in p], EDGE)
-    got = sorted((r["id"], r["basin_id"]) for r in pg.points_in_polygons(points, edges, size, "inner").collect())
+    got = sorted((r["id"], r["basin_id"]) for r in pg.points_in_polygons(points, edges, "inner").collect())
     assert got == want
 
 
+def test_polygons_per_cell_stay_level(spark):
+    most = []
+    for side in (6, 24):
+        squares = [e for i in range(side) for j in range(side) for e in ring(i * side + j, [(60 * i / side, 60 * j / side), (60 * (i + 1) / side, 60 * j / side), (60 * (i + 1) / side, 60 * (j + 1) / side), (60 * i / side, 60 * (j + 1) / side)])]
+        index = pg.polygon_index(spark.createDataFrame(squares, EDGE))
+        most.append(index.agg(F.max(F.size("polys"))).first()[0])
+    assert max(most) <= 9
+
+
+def test_no_polygons_and_flat_ones(spark):
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "id long, lon double, lat double")
+    none = spark.createDataFrame([], EDGE)
+    assert [r["basin_id"] for r in pg.points_in_polygons(points, none, "left").collect()] == [None]
+    assert pg.points_in_polygons(points, none, "inner").count() == pg.domain_filter(points, none, distinct_points=True).count() == 0
+    flat = spark.createDataFrame(ring(1, [(0, 0.5), (1, 0.5)]), EDGE)
+    assert pg.points_in_polygons(points, flat, "inner").count() == 0
+
+
+def test_a_site_without_basin_stops(spark):
+    sites = spark.createDataFrame([(1,), (2,)], "id long")
+    located, keys = spark.createDataFrame([(1, 7)], "id long, basin_id long"), spark.createDataFrame([(7, 70), (8, 70), (9, 90)], "basin_id long, pfaf6 long")
+    got = pg.basins_of_site(sites.filter("id = 1"), located, keys, ["id"], "pfaf6").collect()
+    assert sorted(r["basin_id"] for r in got) == [7, 8]
+    with pytest.raises(Exception, match="no basin"):
+        pg.basins_of_site(sites, located, keys, ["id"], "pfaf6").collect()
+
+
 def seg_dist(px, py, x1, y1, x2, y2):
     dx, dy = x2 - x1, y2 - y1
     n = dx * dx + dy * dy
@@ -110,11 +139,14 @@ def test_nearest_keeps_ties_and_copies(spark):
     assert sorted((r["pid"], r["feature_id"], r["dist"]) for r in got) == [(1, 1, 2.0), (1, 2, 2.0), (1, 3, 2.0), (2, 4, 0.0)]
 
 
-def test_nearest_outside_bounds_fails(spark):
-    points = spark.createDataFrame([(1, 999.0, 0.0)], "pid long, x double, y double")
-    segments = spark.createDataFrame([(1, "a", 0.0, 0.0, 1.0, 1.0)], SEG)
-    with pytest.raises(Exception, match="outside the search bounds"):
-        nearest_distance(points, segments, "pid", depth=2, bounds=(-128.0, -128.0, 256.0)).collect()
+def test_nearest_far_away_and_without_segments(spark):
+    """Bounds come from the data, and a point keeps its row when no segment has its key or it has no place."""
+    points = spark.createDataFrame([(1, 9e6, 0.0, "a"), (2, 0.5, 0.5, "a"), (3, 0.0, 0.0, "b"), (4, None, 0.0, "a"), (5, float("nan"), 0.0, "a")], "pid long, x double, y double, kind string")
+    segments = spark.createDataFrame([(1, "a", 0.0, 0.0, 1.0, 1.0), (2, "a", -6.13e6, 6.3e6, -6.1e6, 6.3e6)], SEG)
+    got = {r["pid"]: r["dist"] for r in nearest_distance(points, segments, "pid", ["kind"]).collect()}
+    assert got[1] == pytest.approx(math.hypot(9e6 - 1, 1)) and got[2] == 0 and got[3] is got[4] is got[5] is None
+    one = nearest_distance(points.filter("pid = 2"), segments.limit(0), "pid", ["kind"]).collect()
+    assert [r["dist"] for r in one] == [None]
 
 
 def test_polygons_near(spark):
@@ -124,15 +156,25 @@ def test_polygons_near(spark):
     assert got == [(1, 1), (2, 1), (2, 2), (3, 1)]
 
 
+def test_polygons_near_equals_brute_force(spark):
+    rng = random.Random(8)
+    polys = {b: star(b, rng.uniform(-9, 9), rng.uniform(-9, 9), rng.uniform(0.2, 2), 9, rng) for b in range(60)}
+    sites = [(i, rng.uniform(-10, 10), rng.uniform(-10, 10)) for i in range(40)] + [(99, 4.0, 4.0)]
+    edges = spark.createDataFrame([e for p in polys.values() for e in p], EDGE)
+    for radius in (0.05, 1.0, 6.0):
+        got = {(r["s"], r["basin_id"]) for r in pg.polygons_near(spark.createDataFrame(sites, "s long, x double, y double"), edges, radius, "s").collect()}
+        assert got == {(i, b) for i, x, y in sites for b, p in polys.items() if inside(x, y, p) or min(seg_dist(x, y, *e[2:]) for e in p) <= radius}
+
+
 def test_random_points_are_reproducible_and_fail_when_short(spark):
     edges = spark.createDataFrame(ring(1, [(0, 0), (4, 0), (4, 4), (0, 4)]) + ring(1, [(1, 1), (3, 1), (3, 3), (1, 3)], 1), EDGE)
     assert sm.box_and_share(edges) == ((0.0, 0.0, 4.0, 4.0), pytest.approx(0.75))
-    rows = lambda n: sorted(tuple(r) for r in sm.random_points_in_polygons(spark, edges, n, 5, 1.0).collect())
+    rows = lambda n: sorted(tuple(r) for r in sm.random_points_in_polygons(spark, edges, n, 5).collect())
     a = rows(500)
     assert a == rows(500) and len(a) == 500
     assert not any(1 < x < 3 and 1 < y < 3 for _, x, y, _ in a)
     with pytest.raises(Exception, match="came up short"):
-        sm.random_points_in_polygons(spark, edges, 500, 5, 1.0, n_draws=100).collect()
+        sm.random_points_in_polygons(spark, edges, 500, 5, n_draws=100).collect()
 
 
 def test_reproducible_first_does_not_depend_on_partitions(spark):

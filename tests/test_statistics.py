@@ -47,10 +47,28 @@ def test_fixture_cut_points(spark):
     assert exact_quantiles(df, [], "stress_value", {"p": 0.1}).first()["p"] == pytest.approx(1.3)
 
 
-def test_too_many_groups_is_an_error(spark):
-    df = spark.range(50).withColumn("v", F.lit(1.0))
-    with pytest.raises(Exception, match="more than 10 groups"):
-        exact_quantiles(df, ["id"], "v", {"m": 0.5}, max_groups=10).collect()
+def test_many_groups(spark, monkeypatch):
+    """Beyond the rows that are broadcast the join is an ordinary one."""
+    from catchmark.operators import ordered
+
+    df = spark.range(500).selectExpr("id % 50 AS g", "cast(id AS double) AS v")
+    few = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 10)
+    many = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert few == many == {g: 225.0 + g for g in range(50)}
+
+
+def test_noise_does_not_repeat(spark):
+    from catchmark.functions.random import MODULUS, hash31
+
+    far = spark.range(2000).select(hash31(F.col("id"), 7).alias("a"), hash31(F.col("id") + MODULUS, 7).alias("b"), hash31(F.col("id") + (1 << 40), 7).alias("c"), hash31(F.col("id"), 8).alias("d"))
+    rows = far.collect()
+    for other in "bcd":
+        assert sum(r["a"] == r[other] for r in rows) <= 2
+    # two streams are not one sequence shifted: hardly a run of three of one is in the other
+    a, d = [r["a"] for r in rows], {tuple(r["d"] for r in rows[i : i + 3]) for i in range(1998)}
+    assert not any(tuple(a[i : i + 3]) in d for i in range(1998))
+    assert spark.range(1).select(hash31(F.lit((1 << 62) + 5), 1)).first()[0] >= 0
 
 
 def test_running_totals_over_slices(spark):
