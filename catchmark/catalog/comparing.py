@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from catchmark.catalog import Query
 from catchmark.catalog.common import (
     noise31, noise_u,
-    FAC_CTES, FAC_INPUT, HIT, MASTER, MASTER_INPUT, PRESENCE, SECTORS, R, erfc_sql, facilities_with_stress, fx, master, out, r6, sql,
+    FAC_CTES, FAC_INPUT, HIT, MASTER, MASTER_INPUT, PRESENCE, SECTORS, R, binned, erfc_sql, facilities_with_stress, fx, master, out, r6, sql,
 )
-from catchmark.catalog.locating import REF_CTES, REF_INPUT, reference
+from catchmark.catalog.locating import REF_CTES, REF_INPUT, matched_ctes, reference
 from catchmark.functions.clean import keep_values
 from catchmark.functions.random import hashed_uniform
 from catchmark.operators import bootstrap as bs
@@ -141,15 +141,16 @@ def _or_sql(a: str, b: str, c: str, d: str, name: str) -> str:
     return f"{R(ratio)} AS {name}, {R(f'exp(ln({ratio}) - {half})')} AS {name}_lo, {R(f'exp(ln({ratio}) + {half})')} AS {name}_hi"
 
 
-def _chi2_ref_sql() -> str:
-    counts = []
-    for side, table, sector in (("o", "fac", "sector"), ("r", "ref", None)):
+def _chi2_ref_sql(mode: str = "ALL_BASINS") -> str:
+    counts, matched = [], mode != "ALL_BASINS"
+    for side, table, sector in (("o", "fac", "sector"), ("r", "ref", "sector" if matched else None)):
         cols = ", ".join(
             [f"count(*) FILTER (WHERE stress_tertile = '{c}') AS {side}{i}" for i, c in enumerate(("low", "medium", "high"))]
             + [f"count(*) FILTER (WHERE stress_quartile = '{c}') AS {side}{c}" for c in ("Q1", "Q2", "Q3", "Q4")]
         )
         counts.append(f"SELECT {'sector, ' if sector else ''}{cols} FROM {table}{' GROUP BY sector' if sector else ''}")
-    both = ("both_sides", f"SELECT * FROM ({counts[0]}) AS o CROSS JOIN ({counts[1]}) AS r")
+    meet = "JOIN ({}) AS r USING (sector)" if matched else "CROSS JOIN ({}) AS r"
+    both = ("both_sides", f"SELECT * FROM ({counts[0]}) AS o " + meet.format(counts[1]))
 
     def chi(classes):
         so, sr = "+".join(f"o{c}" for c in classes), "+".join(f"r{c}" for c in classes)
@@ -163,16 +164,28 @@ def _chi2_ref_sql() -> str:
     tests = ("tested", f"SELECT *, {chi('012')} AS c3, {chi(('Q1', 'Q2', 'Q3', 'Q4'))} AS c4 FROM both_sides")
     p4 = f"{erfc_sql('sqrt(c4 / 2e0)')} + sqrt(2e0 * c4 / pi()) * exp(-c4 / 2e0)"
     body = (
-        "SELECT 'ALL_BASINS' AS \"Mode\", sector AS \"Sector\", o0 + o1 + o2 AS N_with_stress, "
+        f"SELECT '{mode}' AS \"Mode\", sector AS \"Sector\", o0 + o1 + o2 AS N_with_stress, "
         f"{R('c3')} AS Chi2_tertiles, {R('exp(-c3 / 2e0)')} AS p_tertiles, {_or_sql('o2', '(o0 + o1)', 'r2', '(r0 + r1)', 'OR_high')}, "
         f"{R('c4')} AS Chi2_quartiles, {R(p4)} AS p_quartiles, {_or_sql('oQ4', '(oQ1 + oQ2 + oQ3)', 'rQ4', '(rQ1 + rQ2 + rQ3)', 'OR_Q4')} FROM tested"
     )
+    if matched:
+        ctes, rows = matched_ctes()
+        return sql(FAC_INPUT, body, *ctes, ("ref", rows), both, tests)
     return sql(REF_INPUT, body, *FAC_CTES, *REF_CTES, both, tests)
 
 
 QUERIES["chi2_ref"] = Query(chi2_ref, _chi2_ref_sql())
 
 
+def chi2_matched(spark, d):
+    """Each sector against random places in the basins it is in."""
+    got = stress_plan.matched_stress(spark, facilities_with_stress(spark, d), fx(spark, d, "basin_edges"), binned(spark, d), "BASIN_MATCHED")
+    return out(got, "Mode", "Sector", "N_with_stress")
+
+
+QUERIES["chi2_matched"] = Query(chi2_matched, _chi2_ref_sql("BASIN_MATCHED"))
+
+
 def odds(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     big, late = F.col("l_quantity") > 45, F.col("l_returnflag") == "R"

@@ -14,9 +14,11 @@ from catchmark.functions.geometry import project_edges, project_points, utm_epsg
 from catchmark.operators import polygons as pg
 from catchmark.operators import sampling as sm
 from catchmark.operators.nearest import nearest_features
+from catchmark.operators import tables as tb
 from catchmark.operators.tables import nearest_summary
 from catchmark.plans import distance as dist_plan
 from catchmark.plans import stress as stress_plan
+from catchmark.sources.readers import major_rivers
 
 QUERIES: dict[str, Query] = {}
 
@@ -92,16 +94,16 @@ QUERIES["nearest_river_km"] = Query(
 
 
 def nearest_ties(spark, d):
-    coast = fx(spark, d, "water_segments").filter("kind = 'Coast'")
-    found = nearest_features(project_points(fx(spark, d, "keyed_facilities")), project_edges(coast), "k", depth=5)
+    rivers = major_rivers(fx(spark, d, "water_segments"))
+    found = nearest_features(project_points(fx(spark, d, "keyed_facilities")), project_edges(rivers), "k")
     return found.select("k", "feature_id", r6(F.col("dist") / 1000.0).alias("dist_km"))
 
 
-COAST_PAIRS = ("pairs", f"SELECT p.k, s.feature_id, {_D} AS dist FROM sites AS p CROSS JOIN major AS s WHERE s.kind = 'Coast'")
-COAST_NEAREST = ("near", "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY k ORDER BY dist) AS rk FROM pairs) AS r WHERE rk = 1")
+RIVER_PAIRS = ("pairs", f"SELECT p.k, s.feature_id, {_D} AS dist FROM sites AS p CROSS JOIN major AS s WHERE s.kind = 'River'")
+RIVER_NEAREST = ("near", "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY k ORDER BY dist) AS rk FROM pairs) AS r WHERE rk = 1")
 QUERIES["nearest_ties"] = Query(
     nearest_ties,
-    sql(WATER_INPUT, f"SELECT DISTINCT k, feature_id, {R('dist / 1e3')} AS dist_km FROM near", SITES, MAJOR, COAST_PAIRS, COAST_NEAREST),
+    sql(WATER_INPUT, f"SELECT DISTINCT k, feature_id, {R('dist / 1e3')} AS dist_km FROM near", SITES, MAJOR, RIVER_PAIRS, RIVER_NEAREST),
 )
 
 
@@ -133,9 +135,9 @@ QUERIES["nearest_water_utm"] = Query(nearest_water_utm)
 
 def distance_summary(spark, d):
     sites = fx(spark, d, "keyed_facilities")
-    coast = fx(spark, d, "water_segments").filter("kind = 'Coast'")
-    found = nearest_features(project_points(sites), project_edges(coast), "k", depth=5).withColumn("dist_km", F.col("dist") / 1000.0)
-    table = nearest_summary(found, sites.agg(F.count(F.lit(1)).alias("n_sites")), "dist_km", 500.0)
+    rivers = major_rivers(fx(spark, d, "water_segments"))
+    found = nearest_features(project_points(sites), project_edges(rivers), "k").withColumn("dist_km", F.col("dist") / 1000.0)
+    table = nearest_summary(found, sites.agg(F.count(F.lit(1)).alias("n_sites")), "dist_km", 10.0)
     return table.select("n_sites", *[r6(c).alias(c) for c in ("mean_dist", "median_dist", "share_within")])
 
 
@@ -144,8 +146,8 @@ QUERIES["distance_summary"] = Query(
     sql(
         WATER_INPUT,
         f"SELECT (SELECT count(*) FROM sites) AS n_sites, {R('avg(km)')} AS mean_dist, {R('median(km)')} AS median_dist, "
-        f"{R('avg(CASE WHEN km <= 500 THEN 1e0 ELSE 0e0 END)')} AS share_within FROM (SELECT DISTINCT k, feature_id, dist / 1e3 AS km FROM near) AS t",
-        SITES, MAJOR, COAST_PAIRS, COAST_NEAREST,
+        f"{R('avg(CASE WHEN km <= 10 THEN 1e0 ELSE 0e0 END)')} AS share_within FROM (SELECT DISTINCT k, feature_id, dist / 1e3 AS km FROM near) AS t",
+        SITES, MAJOR, RIVER_PAIRS, RIVER_NEAREST,
     ),
 )
 EDGES_M = ("edges_m", projected_edges_sql("basin_edges", "basin_id, ring"))
@@ -168,8 +170,9 @@ QUERIES["circle_basins"] = Query(
 
 def site_basin(spark, d):
     bins = binned(spark, d).dropna(subset=["stress_value"])
-    sites = located(spark, d).join(bins.select("basin_id", "pfaf6"), "basin_id").select("sector", "site_id", "pfaf6")
-    return sites.join(bins.select("pfaf6", "basin_id", "stress_tertile"), "pfaf6")
+    inside = located(spark, d).join(bins.select("basin_id"), "basin_id").select("sector", "site_id", "basin_id")
+    found = pg.basins_of_site(inside, inside, bins.select("basin_id", "pfaf6", "stress_tertile"), ["sector", "site_id"], "pfaf6")
+    return found.select("pfaf6", "sector", "site_id", "basin_id", "stress_tertile")
 
 
 QUERIES["site_basin"] = Query(
@@ -255,15 +258,15 @@ QUERIES["random_in_disk"] = Query(
 
 def matched_basins(spark, d):
     edges, got = fx(spark, d, "basin_edges"), located(spark, d)
-    held = sm.matched_polygons(edges, got.filter("sector = 'Power'"))
-    return held.groupBy("basin_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    each = [sm.matched_polygons(edges, got.filter(F.col("sector") == s)).withColumn("sector", F.lit(s)) for s in SECTORS]
+    return tb.union_parts(*each).groupBy("sector", "basin_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 QUERIES["matched_basins"] = Query(
     matched_basins,
     sql(
         ["facilities", "basin_edges"],
-        "SELECT basin_id, count(*) AS n_edges FROM basin_edges WHERE basin_id IN (SELECT basin_id FROM hit WHERE sector = 'Power') GROUP BY basin_id",
+        "SELECT h.sector, e.basin_id, count(*) AS n_edges FROM basin_edges AS e JOIN (SELECT DISTINCT sector, basin_id FROM hit) AS h ON h.basin_id = e.basin_id GROUP BY h.sector, e.basin_id",
         HIT,
     ),
 )
@@ -302,7 +305,8 @@ def matched_reference(spark, d):
     return got.select("sector", "draw", "basin_id", "stress_tertile", "stress_quartile")
 
 
-def _matched_sql() -> str:
+def matched_ctes() -> tuple[list[tuple[str, str]], str]:
+    """The common tables and the rows of the matched reference."""
     ctes, selects = [*FAC_CTES], []
     for s in SECTORS:
         seed = stress_plan.SECTOR_SEED[s]
@@ -321,7 +325,8 @@ def _matched_sql() -> str:
             )
         )
         selects.append(f"SELECT '{s}' AS sector, draw, basin_id, stress_tertile, stress_quartile FROM pick_{s} WHERE pos <= {n}")
-    return sql(FAC_INPUT, " UNION ALL ".join(selects), *ctes)
+    return ctes, " UNION ALL ".join(selects)
 
 
-QUERIES["matched_reference"] = Query(matched_reference, _matched_sql())
+_MATCHED, _MATCHED_ROWS = matched_ctes()
+QUERIES["matched_reference"] = Query(matched_reference, sql(FAC_INPUT, _MATCHED_ROWS, *_MATCHED))

@@ -51,11 +51,6 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den)
 
 
-def flag(c: Column) -> Column:
-    """0/1 presence from a left join: NULL means absent."""
-    return F.coalesce(c, F.lit(0)).cast("int")
-
-
 def any_flag(*flags: Column) -> Column:
     return F.when(F.greatest(*flags) == 1, 1).otherwise(0)
 

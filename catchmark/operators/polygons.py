@@ -154,6 +154,8 @@ def polygons_near(sites: DataFrame, edges: DataFrame, radius: float, site_id: st
     A cell wholly within the disk gives all polygons that have an edge in it, once each; only edges in the cells that the
     circle cuts, a ring of about 7 ``split`` cells, are measured. Cells are grown by a little, so rounding loses no edge.
     """
+    # both are read several times below, and filters on them would be pushed into their own expressions
+    sites, edges = cut(sites.select(site_id, "x", "y"), "near-sites"), cut(edges.select(id_col, "x1", "y1", "x2", "y2"), "near-edges")
     size, reach = float(radius) / split, F.lit(float(radius))
     span = lambda a, b: F.sequence(_cell(F.least(a, b), size), _cell(F.greatest(a, b), size))
     listed = edges.select(id_col, "x1", "y1", "x2", "y2", F.explode(span("x1", "x2")).alias("_cx"), span("y1", "y2").alias("_rows")).withColumn("_cy", F.explode("_rows")).drop("_rows")

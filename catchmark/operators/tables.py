@@ -197,7 +197,3 @@ def nearest_summary(found: DataFrame, n_sites: DataFrame, dist: str = "dist_km",
     )
     median = exact_quantiles(clean_rows, [], dist, {"median_dist": 0.5})
     return attach(attach(n_sites, body, []), median, [])
-
-
-def with_sectors(df: DataFrame, sector: Column | str) -> DataFrame:
-    return df.withColumn("sector", sector if isinstance(sector, Column) else F.lit(sector))

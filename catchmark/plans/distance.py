@@ -15,7 +15,8 @@ from catchmark.operators.nearest import nearest_distance
 from catchmark.operators.polygons import domain_filter
 from catchmark.operators.sampling import random_points_in_polygons
 from catchmark.operators.tables import one_to_one, union_parts
-from catchmark.sources.readers import major_rivers
+from catchmark.sources.readers import DISTANCE_COLS, check_inputs, load_distances, major_rivers
+from catchmark.sources.writers import write_csv
 
 KINDS = ("River", "Lake", "Coast")
 
@@ -152,3 +153,13 @@ def logit_table(distances: DataFrame) -> DataFrame:
                 )
             )
     return union_parts(*fits).orderBy("sector")
+
+
+def run(spark: SparkSession, paths: dict[tuple[str, str], str], out: str) -> dict[str, DataFrame]:
+    """Whole comparison from the distance files, one for each (sector, "sector" or "random")."""
+    check_inputs(spark, paths.values())
+    distances = cut(load_distances(spark, paths), "distances")
+    tables = {column: journal_table(distances, column) for column in (*DISTANCE_COLS, "dist_any_km")}
+    for name, table in tables.items():
+        write_csv(table, f"{out}/{name}")
+    return tables

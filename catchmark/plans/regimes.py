@@ -127,13 +127,14 @@ def run(
     """Whole analysis from input paths; ``recompute`` rebuilds the final metrics, the other caches are reused."""
     check_inputs(spark, [*points.values(), basins, basin_edges, reaches, flow])
     edges = clean_edges(read_table(spark, basin_edges), "basin_id")
-    facilities = union_parts(*[load_points(spark, path, s).select("sector", "lon", "lat") for s, path in points.items()])
-    presence = presence_table(read_table(spark, basins).select("basin_id"), points_in_polygons(facilities, edges, "inner"))
-    mapping = cached_table(spark, f"{out}/cache/reach_map", lambda: reach_map(read_table(spark, reaches), edges))
+    facilities = union_parts(*[load_points(spark, path, s, pick="last_exact").select("sector", "lon", "lat") for s, path in points.items()])
+    presence = cut(presence_table(read_table(spark, basins).select("basin_id"), points_in_polygons(facilities, edges, "inner")), "presence")
+    mapping = cached_table(spark, f"{out}/cache/reach_map", lambda: reach_map(read_table(spark, reaches), edges), reaches=reaches, edges=basin_edges)
     top = cut(hy.top_reaches(mapping), "top-reaches")
     metrics = cached_table(
         spark, f"{out}/cache/basin_metrics",
         lambda: hy.basin_metrics(reach_metrics(read_table(spark, flow), top, start, end), top), recompute,
+        start=start, end=end, flow=flow, reaches=reaches, edges=basin_edges,
     )
     master = cached_table(spark, f"{out}/cache/master", lambda: master_table(presence, metrics), recompute=True)
     tables = {"presence": presence, "selected_reaches": top, "master": master, "effects": effect_table(group_values(master))}

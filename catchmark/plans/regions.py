@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchmark.functions.clean import valid_region, zfill
 from catchmark.functions.geometry import project_edges, project_points
+from catchmark.operators.lineage import cut
 from catchmark.operators.polygons import domain_filter, points_in_polygons
-from catchmark.operators.tables import region_shares, top_shares
+from catchmark.operators.tables import region_shares, top_shares, union_parts
+from catchmark.sources.readers import check_inputs, clean_edges, load_points, read_table
+from catchmark.sources.writers import write_csv
 
 
 def padded_regions(regions: DataFrame, id_col: str = "huc2") -> DataFrame:
@@ -41,3 +44,15 @@ def filter_report(facilities: DataFrame, inside: DataFrame) -> DataFrame:
     before = facilities.groupBy("sector").agg(F.count(F.lit(1)).alias("before"))
     after = inside.groupBy("sector").agg(F.count(F.lit(1)).alias("after"))
     return before.join(after, "sector", "left").withColumn("after", F.coalesce("after", F.lit(0)).cast("bigint"))
+
+
+def run(spark: SparkSession, points: dict[str, str], basin_edges: str, region_edges: str, out: str) -> dict[str, DataFrame]:
+    """Whole analysis from input paths."""
+    check_inputs(spark, [*points.values(), basin_edges, region_edges])
+    basins, regions = clean_edges(read_table(spark, basin_edges), "basin_id"), clean_edges(read_table(spark, region_edges), "huc2")
+    sites = cut(union_parts(*[load_points(spark, path, s).select("sector", "lon", "lat") for s, path in points.items()]), "sites")
+    shares = cut(regional_shares(sites, basins, regions), "shares")
+    tables = {"shares": shares, "labels": label_candidates(shares), "filter_report": filter_report(sites, domain_points(sites, basins))}
+    for name, table in tables.items():
+        write_csv(table, f"{out}/{name}")
+    return tables

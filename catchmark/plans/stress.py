@@ -178,15 +178,18 @@ def run(
     edges = clean_edges(read_table(spark, basin_edges), "basin_id")
     binned = cached_table(
         spark, f"{out}/cache/basins",
-        lambda: binned_basins(read_table(spark, basins), clean_stress(read_table(spark, stress), value), value), recompute,
+        lambda: binned_basins(read_table(spark, basins), clean_stress(read_table(spark, stress), value), value), recompute, value=value, basins=basins, stress=stress,
     )
     fac = cached_table(
         spark, f"{out}/cache/facilities",
         lambda: facilities_with_stress(
             union_parts(*[load_points(spark, points[s], s).select("sector", "lon", "lat") for s in sectors]), edges, binned
-        ), recompute,
+        ), recompute, value=value, basins=basins, stress=stress, edges=basin_edges, points=sorted((s, points[s]) for s in sectors),
+    )
+    ref = cached_table(
+        spark, f"{out}/cache/reference", lambda: reference_points(spark, edges, binned, reference_n), recompute,
+        n=reference_n, value=value, basins=basins, stress=stress, edges=basin_edges,
     )
-    ref = cached_table(spark, f"{out}/cache/reference", lambda: reference_points(spark, edges, binned, reference_n), recompute)
     tables = {
         "facilities_with_stress": fac,
         "reference_with_stress": ref,
@@ -197,3 +200,24 @@ def run(
     for name, table in tables.items():
         write_csv(table, f"{out}/{name}")
     return tables
+
+
+def matched_stress(spark: SparkSession, facilities: DataFrame, edges: DataFrame, binned: DataFrame, mode: str = "GLOBAL") -> DataFrame:
+    """Each sector against its own matched random points."""
+    reference = cut(matched_reference(spark, facilities, edges, binned, mode), "matched-reference")
+    return sector_vs_reference(facilities, reference, mode, per_sector=True)
+
+
+def run_matched(
+    spark: SparkSession, points: dict[str, str], basins: str, basin_edges: str, stress: str, out: str, value: str = "bws_raw"
+) -> dict[str, DataFrame]:
+    """The matched test from input paths, in both modes."""
+    check_inputs(spark, [*points.values(), basins, basin_edges, stress])
+    edges = clean_edges(read_table(spark, basin_edges), "basin_id")
+    binned = cut(binned_basins(read_table(spark, basins), clean_stress(read_table(spark, stress), value), value), "binned")
+    sites = union_parts(*[load_points(spark, path, s).select("sector", "lon", "lat") for s, path in points.items()])
+    facilities = cut(facilities_with_stress(sites, edges, binned), "facilities")
+    tables = {mode: matched_stress(spark, facilities, edges, binned, mode) for mode in ("GLOBAL", "BASIN_MATCHED")}
+    for mode, table in tables.items():
+        write_csv(table, f"{out}/sector_vs_reference_{mode.lower()}")
+    return tables

@@ -6,6 +6,7 @@ column's type, and no inference pass over the file is needed. Parquet keeps its
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -73,11 +74,11 @@ def clean_points(df: DataFrame, sector: str, lat: str | None = None, lon: str |
     return df.withColumns(values).dropna(subset=["lat", "lon"]).withColumn("sector", F.lit(sector))
 
 
-def load_points(spark: SparkSession, path: str, sector: str, lat: str | None = None, lon: str | None = None) -> DataFrame:
+def load_points(spark: SparkSession, path: str, sector: str, lat: str | None = None, lon: str | None = None, pick: str = "keys") -> DataFrame:
     df = read_table(spark, path)
     if sector == "TRI" and not (lat and lon) and {TRI_LAT, TRI_LON} <= set(df.columns):
         lat, lon = TRI_LAT, TRI_LON
-    return clean_points(df, sector, lat, lon)
+    return clean_points(df, sector, lat, lon, pick)
 
 
 def clean_stress(df: DataFrame, value: str = "bws_raw") -> DataFrame:
@@ -86,6 +87,15 @@ def clean_stress(df: DataFrame, value: str = "bws_raw") -> DataFrame:
     return df.select(to_id(F.col("pfaf_id")).alias("pfaf_id"), to_number(F.col(value)).alias(value))
 
 
+def load_distances(spark: SparkSession, paths: dict[tuple[str, str], str]) -> DataFrame:
+    """(sector, grp, distances): one table for each (sector, sector or random), six files in all for three sectors."""
+    each = [
+        clean_distances(read_table(spark, path)).select(F.lit(sector).alias("sector"), F.lit(group).alias("grp"), *DISTANCE_COLS, "dist_any_km")
+        for (sector, group), path in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
 def clean_distances(df: DataFrame) -> DataFrame:
     """Numeric distances; dist_any_km is the NULL-skipping minimum unless the table brings its own."""
     require_cols(df.columns, DISTANCE_COLS, "distance table")

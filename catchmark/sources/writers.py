@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,17 @@ def cached_table(
     build: Callable[[], DataFrame],
     recompute: bool = False,
     partition_by: Sequence[str] = (),
+    **parameters,
 ) -> DataFrame:
-    """Read the table at ``path`` when it is complete, else build and write it first.
+    """Read the table under ``path`` when it is complete, else build and write it first.
+
+    Each set of ``parameters`` has its own folder, so a run with others never reads this one's result.
 
     Written Parquet survives lost executors and cuts the lineage; ``_SUCCESS`` marks a finished write.
     """
+    if parameters:
+        said = ",".join(f"{k}={parameters[k]!r}" for k in sorted(parameters))
+        path = f"{path.rstrip('/')}/{hashlib.sha256(said.encode()).hexdigest()[:16]}"
     if recompute or not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         writer = build().write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
