@@ -60,8 +60,8 @@ def _words(attributes: str) -> list[str]:
     return out
 
 
-def slots(html: str | None) -> Iterator[tuple[str, bool, bool, str]]:
-    """(path, in chrome, in a main element, text or break) of each piece in page order. A break is ''."""
+def slots(html: str | None) -> Iterator[tuple[str, bool, bool, str, bool]]:
+    """(path, in chrome, in a main element, text or break, element opens here) of each piece in page order. A break is ''."""
     stack: list[tuple[str, str, bool, bool]] = []  # name, path, chrome, main
     at, page = 0, html or ""
 
@@ -70,10 +70,10 @@ def slots(html: str | None) -> Iterator[tuple[str, bool, bool, str]]:
 
     for m in MARKUP.finditer(page):
         if m.start() > at:
-            yield (*here(), page[at : m.start()])
+            yield (*here(), page[at : m.start()], False)
         at = m.end()
         if m[1]:
-            yield (*here(), "")
+            yield (*here(), "", False)
             continue
         if not m[3]:
             continue
@@ -82,11 +82,11 @@ def slots(html: str | None) -> Iterator[tuple[str, bool, bool, str]]:
             continue
         if m[2]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            yield (*here(), "")
+            yield (*here(), "", False)
             if depth is not None:
                 del stack[depth:]
             continue
-        yield (*here(), "")
+        yield (*here(), "", False)
         if name in VOID:
             continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
@@ -95,10 +95,10 @@ def slots(html: str | None) -> Iterator[tuple[str, bool, bool, str]]:
         path, chrome, main = here()
         own = name if not words else name + "." + ".".join(words)
         stack.append((name, f"{path}/{own}", chrome or name in CHROME or not CHROME_WORDS.isdisjoint(words), main or name in ("article", "main") or not MAIN_WORDS.isdisjoint(words)))
-        yield (*here(), "")
+        yield (*here(), "", True)
     if at < len(page):
         # A last piece that opens a tag and never ends it is markup.
-        yield (*here(), re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[at:]))
+        yield (*here(), re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[at:]), False)
 
 
 def tidy(text: str) -> str:
@@ -109,13 +109,10 @@ def page_tokens(html: str | None) -> tuple[Counter, dict[str, int]]:
     """How often each place is opened on the page, and a hash of the text directly in it."""
     counts: Counter = Counter()
     texts: dict[str, list[str]] = {}
-    last = None
-    for path, _, _, text in slots(html):
+    for path, _, _, text, opens in slots(html):
         if text:
             texts.setdefault(path, []).append(text)
-        elif path != last and path:
-            counts[path] += 1
-        last = path
+        counts[path] += opens
     return counts, {p: xxhash.xxh64_intdigest(tidy(" ".join(x))) >> 1 for p, x in texts.items()}
 
 
@@ -128,7 +125,7 @@ def templates(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             for page, host, text in zip(pdf["page"], pdf["host"], pdf["html"]):
                 counts, texts = page_tokens(text)
                 counts[""] = 1
-                for path, n in counts.items():
+                for path, n in (+counts).items():
                     mark = xxhash.xxh64_intdigest(f"{page}:{n}") >> 1
                     said = texts.get(path, 0)
                     own = found.setdefault((host, path), [0, 0, n, n, said, said])
@@ -181,15 +178,15 @@ def main_text(html: str | None, main: list[str] | None = None, fixed: list[str]
     pieces = list(slots(html))
     roots = tuple(p for p in main or ())
     under = lambda path: any(path == r or path.startswith(r + "/") for r in roots)
-    if roots and any(t.strip() and not chrome and under(path) for path, chrome, _, t in pieces):
-        chosen = [under(path) and not chrome for path, chrome, _, _ in pieces]
-    elif any(inside for _, _, inside, _ in pieces):
-        chosen = [inside and not chrome for _, chrome, inside, _ in pieces]
+    if roots and any(t.strip() and not chrome and under(path) for path, chrome, _, t, _ in pieces):
+        chosen = [under(path) and not chrome for path, chrome, *_ in pieces]
+    elif any(inside for _, _, inside, *_ in pieces):
+        chosen = [inside and not chrome for _, chrome, inside, *_ in pieces]
     else:
         still = set(fixed or ())
-        chosen = [not chrome and path not in still for path, chrome, _, _ in pieces]
+        chosen = [not chrome and path not in still for path, chrome, *_ in pieces]
     blocks, own = [], []
-    for (_, _, _, text), take in zip(pieces, chosen):
+    for (_, _, _, text, _), take in zip(pieces, chosen):
         if not text or not take:
             blocks.append("".join(own))
             own = []
