@@ -12,10 +12,13 @@ least m: the m-match prefix.
    first and need not be sent at all. Each set then lengthens its prefix to the m in MATCHES with the least estimated cost,
    from the sum of its hashes' frequencies (rows to read) and that sum over m (candidates to verify); a pair is a candidate when its
    prefixes share the smaller m of the two.
-3. Stars. In a round, all sets of a hash's list are paired with one of them only. Candidates are verified by intersecting the whole
-   sets, links are joined to components, and lists shrink to those that still span several components; each round takes
+3. Stars. In a round, all sets of a hash's list are paired with one of them only, and each set is held against the CENTRES ones it
+   shares most with. These pairs are verified by intersecting the whole sets, links are joined to components, and lists shrink to those that still span several components; each round takes
    another centre. Two sets of one component need no verification, as the result tells components.
-4. Rest. When no more than REST_FACTOR pairs are left for each row of the lists, or rounds run out, every pair of a list that
+   A hash is counted for a pair only where what follows it in both sets can still make up the share they need, so the lists of
+   frequent hashes, which come late in most sets, hold few pairs; and not where both sets were measured against one centre and
+   that rules their link out.
+4. Rest. When no more than REST_FACTOR pairs are left for each row of the lists, or rounds find little more, every pair of a list that
    spans two components is counted, and those that share enough are verified. Nothing is dropped anywhere.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; texts with equal sets are one
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchmark.llm.components import components
@@ -42,7 +45,11 @@ SCREEN_SHARE = 20
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Cost of verifying a candidate, in rows of a list read.
 VERIFY_COST = 20.0
-ROUNDS, REST_FACTOR = 4, 2
+ROUNDS, REST_FACTOR = 8, 2
+#: Centres that a set is held against in a round; which ones decides only how soon a component is whole.
+CENTRES, PARTS = 2, 32
+#: Rounds end when one finds fewer than one link in so many rows of the lists.
+UNFRUITFUL = 1000
 BROADCAST_IDS = 1_000_000
 PACKET = 1 << 21
 
@@ -227,7 +234,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """node, n, m, token: a row for each hash of each set's chosen prefix that another set has too."""
+    """node, n, m, unique, token, rest: a row for each hash of each set's chosen prefix that another set has too; ``rest`` hashes
+    follow it, ``unique`` ones of the set no other has."""
     tokens = sets.select("node", "n", F.explode("hashes").alias("token"))
     counts = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
     shared = tokens.join(counts, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
@@ -240,7 +248,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     live = shared.filter(unique <= spare)
     possible = F.filter(F.array(*costs), lambda c: (c["m"] <= F.col("n") - spare) & (c["reach"] >= c["m"]))
     chosen = live.withColumn("best", F.array_min(possible)).filter("best is not null")
-    return chosen.select("node", "n", F.col("best.m").alias("m"), F.explode(F.slice("own", 1, F.col("best.reach"))).alias("t")).select("node", "n", "m", F.col("t.token").alias("token"))
+    rows = chosen.select("node", "n", F.col("best.m").alias("m"), unique.alias("unique"), F.posexplode(F.slice("own", 1, F.col("best.reach"))).alias("at", "t"))
+    return rows.select("node", "n", "m", "unique", F.col("t.token").alias("token"), (F.col("n") - F.col("unique") - F.col("at") - 1).alias("rest"))
 
 
 # --- candidates ----------------------------------------------------------------------------------------------------------------
@@ -251,18 +260,53 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets."""
+def _meets(percent: int) -> Column:
+    """Can this shared hash be among the first m that two linked sets share? They must share percent / (100 + percent) of the sum of
+    their sizes: those m and what follows the hash in both at most, and never more than the hashes of each that others have."""
+    most = F.least(F.least("m", "mb") + F.least("rest", "rb"), F.col("n") - F.col("unique"), F.col("nb") - F.col("ub"))
+    # By a set that both were measured against: what both share with it, part by part, and what others have but not it.
+    within = F.aggregate(F.zip_with("parts", "pp", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    by_pivot = within + F.least(F.col("n") - F.col("o") - F.col("unique"), F.col("nb") - F.col("ob") - F.col("ub"))
+    enough = lambda shared: (100 + percent) * shared >= percent * (F.col("n") + F.col("nb"))
+    return enough(most) & F.when(F.col("pivot") == F.col("pb"), enough(by_pivot)).otherwise(True)
+
+
+def _leads(percent: int) -> Column:
+    """Can a hash of a set be among the first that it shares with a set of its size or larger?"""
+    return (100 + percent) * F.least(F.col("m") + F.col("rest"), F.col("n") - F.col("unique")) >= 2 * percent * F.col("n")
+
+
+def _parts(hashes: str) -> Column:
+    """How many of the hashes fall in each of PARTS parts of all hashes."""
+    part = lambda k: F.size(F.filter(hashes, lambda h: F.pmod(h, F.lit(PARTS).cast("bigint")) == k))
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part)
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int, parted: bool = False) -> DataFrame:
+    """a, b, linked (by the whole sets); if asked for, how many hashes they share and b has, by part."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", F.array_intersect("x", "y"))
+    common = F.size("both")
+    linked = 100 * common >= percent * (F.size("x") + F.size("y") - common)
+    more = [_parts("both").alias("common"), _parts("y").alias("own")] if parted else []
+    return cut(both.select("a", "b", linked.alias("linked"), *more), "measured")
+
+
+def _with_pivots(lists: DataFrame, measured: DataFrame) -> DataFrame:
+    """The lists with, for each set, the centre that most sets were measured against (it may be the set itself), and what they share."""
+    drawn = measured.groupBy("b").agg(F.count("*").alias("pull"))
+    own = measured.groupBy("b").agg(F.first("own").alias("parts")).select(F.col("b").alias("node"), "b", "parts")
+    either = cut(own.unionAll(measured.select(F.col("a").alias("node"), "b", F.col("common").alias("parts"))), "pulls")
+    best = either.join(cut(drawn, "drawn"), "b").groupBy("node").agg(F.max_by(F.struct("b", "parts"), F.struct("pull", "b")).alias("p"))
+    total = F.aggregate("parts", F.lit(0), lambda a, x: a + x).cast("bigint")
+    joined = lists.drop("pivot", "o", "parts").join(cut(best, "pivots"), "node", "left")
+    return joined.withColumns({"pivot": F.col("p.b"), "parts": F.col("p.parts")}).withColumn("o", total).drop("p")
 
 
 def _spanning(lists: DataFrame) -> DataFrame:
-    """Rows of the lists (token, node, n, m, group) whose list spans several groups."""
-    spans = lists.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
+    """Rows of the lists (token, node, n, m, rest, leads, group) whose list spans several groups, and has a row that leads."""
+    spans = lists.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("leads").alias("leads")).filter("lo <> hi AND leads").select("token")
     return lists.join(cut(spans, "spans"), "token", "left_semi")
 
 
@@ -279,30 +323,37 @@ def _candidate(pairs: DataFrame) -> DataFrame:
 
 def link_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) of nodes that connect each component of the sets that link."""
-    lists = cut(_prefixes(sets, percent).withColumn("group", F.col("node")), "lists")
+    lists = cut(_prefixes(sets, percent).withColumns({"group": F.col("node"), "leads": _leads(percent), "pivot": F.lit(None).cast("bigint"), "o": F.lit(None).cast("bigint"), "parts": F.lit(None).cast("array<int>")}), "lists")
     links = None
     for turn in range(ROUNDS):
         lists = cut(_spanning(lists), "lists")
-        if lists.isEmpty():
-            break
-        facts = lists.groupBy("token", "group").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        left = facts.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if left["pairs"] <= REST_FACTOR * left["rows"]:
+        each = lists.groupBy("token", "group").agg(F.count("*").alias("n"), F.count_if("leads").alias("k")).groupBy("token")
+        facts = each.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * F.col("k")).alias("own"))
+        left = facts.agg(F.sum(F.col("n") * F.col("k") - F.col("own")).alias("pairs"), F.sum("n").alias("rows")).first()
+        if not left["rows"] or left["pairs"] <= REST_FACTOR * left["rows"]:
             break
-        # The same sets are centres of many lists, as they are chosen by a hash of the group.
-        order = F.struct(F.xxhash64(F.lit(turn), "group"), "node", "n", "m", "group")
-        centres = cut(lists.groupBy("token").agg(F.min(order).alias("c")).select("token", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.m").alias("mb"), F.col("c.group").alias("gb")), "centres")
-        star = lists.join(centres, "token").filter((F.col("group") != F.col("gb")) & _fits("n", "nb", percent))
-        pairs = _candidate(star.select(F.col("node").alias("a"), "b", F.least("m", "mb").alias("m")))
-        found = cut(_verified(cut(pairs, "stars"), sets, percent), "found")
+        # A set of which others have nearly all hashes is the likeliest to link with them; ties and later rounds go by a hash.
+        own = F.floor((F.col("unique") / F.col("n") + turn / 50 * F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(100)) / 100) * 50)
+        order = F.struct(own, F.xxhash64(F.lit(turn), "group"), "node", "n", "m", "rest", "unique", "group", "pivot", "o", "parts")
+        centre = {"b": "node", "nb": "n", "mb": "m", "rb": "rest", "ub": "unique", "gb": "group", "pb": "pivot", "ob": "o", "pp": "parts"}
+        centres = lists.filter("leads").groupBy("token").agg(F.min(order).alias("c")).select("token", *[F.col(f"c.{c}").alias(k) for k, c in centre.items()])
+        star = lists.join(cut(centres, "centres"), "token").filter((F.col("group") != F.col("gb")) & _fits("n", "nb", percent) & _meets(percent))
+        shared = star.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
+        best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+        pairs = shared.withColumn("_r", best).filter(F.col("_r") <= CENTRES).select("a", "b")
+        measured = _measured(cut(pairs, "stars"), sets, percent, not turn)
+        found = measured.filter("linked").select("a", "b")
         links = found if links is None else links.unionAll(found)
-        lists = cut(_grouped(lists, links), "lists")
-    else:
-        lists = cut(_spanning(lists), "lists")
-    other = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("group").alias("gb"))
-    rest = lists.join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("group") != F.col("gb")) & _fits("n", "nb", percent))
+        lists = cut(_grouped(lists if turn else _with_pivots(lists, measured), links), "lists")
+        if found.count() * UNFRUITFUL < left["rows"]:
+            break
+    lists = cut(_spanning(lists), "lists")
+    # The smaller set of a pair (or the one with the smaller id) leads.
+    other = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("rest").alias("rb"), F.col("unique").alias("ub"), F.col("group").alias("gb"), F.col("pivot").alias("pb"), F.col("o").alias("ob"), F.col("parts").alias("pp"))
+    first = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("node") < F.col("b")))
+    rest = lists.filter("leads").join(other, "token").filter(first & (F.col("group") != F.col("gb")) & _fits("n", "nb", percent) & _meets(percent))
     pairs = _candidate(rest.select(F.col("node").alias("a"), "b", F.least("m", "mb").alias("m")))
-    found = cut(_verified(cut(pairs, "rest"), sets, percent), "found")
+    found = _measured(cut(pairs, "rest"), sets, percent).filter("linked").select("a", "b")
     return found if links is None else links.unionAll(found)
 
 

@@ -69,9 +69,10 @@ def test_equals_all_pairs(docs_of, prose):
 def test_rounds_and_rest_agree(docs_of, prose, monkeypatch):
     texts = corpus(prose)
     want = brute(list(range(len(texts))), texts)
-    for rounds, factor in ((0, 2), (2, 0), (6, 0)):
+    for rounds, factor, unfruitful in ((0, 2, 1), (3, 0, 10**9)):
         monkeypatch.setattr(nj, "ROUNDS", rounds)
         monkeypatch.setattr(nj, "REST_FACTOR", factor)
+        monkeypatch.setattr(nj, "UNFRUITFUL", unfruitful)
         assert result(docs_of(texts)) == want
 
 
