@@ -7,7 +7,8 @@ encoded once and kept in a bounded cache; other vocabularies are encoded text by
 is verified for every word when it is first met, and told for each document.
 
 Cases: a null text encodes to no ids and decodes to null; an empty text to no ids and ''. Strings that look like control pieces
-are ordinary text. Decoding gives the normalised text, which for a model with the identity normaliser is the text itself.
+are ordinary text. Decoding gives the normalised text, which for a model with the identity normaliser is the text itself, but that
+a marker character in it comes back as a space.
 Repeated rows give repeated results; columns of the input that are named like the added ones are replaced.
 """
 
@@ -22,8 +23,10 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from catchmark.llm.word_cache import BLANK, WordIds, Words, pieces_of
 
@@ -209,23 +212,25 @@ def _codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with ``to``, a struct of ids (array of int), parity (agrees with the sentencepiece library) and round_trip (decodes
-    to the text). ``model_path`` is the model's path on every executor."""
+    to the text). ``model_path`` is the model's path on every executor. Ids go back to Spark slice by slice as Arrow arrays."""
+    plain = docs.drop(to)
+    schema = StructType([*plain.schema.fields, StructField(to, _parse_datatype_string("struct<ids: array<int>, parity: boolean, round_trip: boolean>"))])
+    place = plain.columns.index(text)
 
-    @F.pandas_udf("struct<ids: array<int>, parity: boolean, round_trip: boolean>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
-        for texts in batches:
-            rows = texts.tolist()
-            out, parity, trip = [], [], []
+        for batch in batches:
+            rows = batch.column(place).to_pylist()
             for a, b in pieces_of([x or "" for x in rows]):
                 ids, n, same = codec.encode(rows[a:b])
-                each = np.split(ids, np.cumsum(n)[:-1])
-                out += each
-                parity += same.tolist()
-                trip += [codec.decode(i) == (x or "") for i, x in zip(each, rows[a:b])]
-            yield pd.DataFrame({"ids": out, "parity": parity, "round_trip": trip})
-
-    return docs.drop(to).withColumn(to, run(F.col(text)))
+                ends = np.cumsum(n)
+                trip = [codec.decode(ids[i:j]) == (x or "") for x, i, j in zip(rows[a:b], [0, *ends.tolist()], ends.tolist())]
+                each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                said = pa.StructArray.from_arrays([each, pa.array(np.asarray(same, bool)), pa.array(trip, pa.bool_())], ["ids", "parity", "round_trip"])
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*own.columns, said], [*own.schema.names, to])
+
+    return plain.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", to: str = "text") -> DataFrame:

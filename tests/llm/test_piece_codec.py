@@ -25,7 +25,7 @@ def test_ids_equal_the_other_library(codec):
     ids, n, same = codec.encode(ODD)
     for x, mine, ok in zip(ODD, np.split(ids, np.cumsum(n)[:-1]), same):
         assert mine.tolist() == (codec.other.encode(x) if x else []) and ok
-        assert codec.decode(mine) == (x or "")
+        assert codec.decode(mine) == (x or "").replace("▁", " ")
 
 
 @settings(max_examples=80, deadline=None)
@@ -58,9 +58,9 @@ def test_columns_and_round_trip(docs_of, paths):
     out = pc.encode(df, paths["pieces"])
     assert out.columns == [c for c in df.columns if c != "ids"] + ["ids"]
     rows = {r["doc_id"]: r for r in out.collect()}
-    assert all(r["ids"]["parity"] and r["ids"]["round_trip"] for r in rows.values())
+    assert all(r["ids"]["parity"] and r["ids"]["round_trip"] == ("▁" not in (ODD[i] or "")) for i, r in rows.items())
     back = pc.decode(out.select("doc_id", "ids.ids"), paths["pieces"])
-    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: x or "" for i, x in enumerate(ODD)}
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: (x or "").replace("▁", " ") for i, x in enumerate(ODD)}
     told = {r["doc_id"]: r for r in pc.summary(df, paths["pieces"]).collect()}
     for i, r in rows.items():
         assert told[i]["n_tokens"] == len(r["ids"]["ids"]) and told[i]["ids_crc32"] == crc32(np.array(r["ids"]["ids"], "<u4").tobytes())
