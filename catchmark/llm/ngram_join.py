@@ -5,7 +5,7 @@ words are one shingle). Two texts link when |A & B| / |A | B| is at least the th
 ceil(threshold * n) of the n hashes of either, so under any order that all texts follow, the first n - o + m of each share at
 least m: the m-match prefix.
 
-1. Screening. Under the order of the hashes themselves, each text sends its m-match prefix with m a twentieth of its size; a text
+1. Screening. Under the order of the hashes themselves, each text sends its m-match prefix with m a tenth of its size; a text
    stays only if at least m of these hashes come in another set too. What a task holds twice it sends once, so a hash that
    every text has is sent once by each task, and copies of a set never count as another one.
 2. Prefixes. For the sets that stay, hashes are ordered by the number of sets that have them. Hashes of one set only come
@@ -41,7 +41,7 @@ from catchmark.llm.word_cache import Words, pieces_of
 from catchmark.operators.lineage import cut
 
 N, PERCENT = 5, 75
-SCREEN_SHARE = 20
+SCREEN_SHARE = 10
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Cost of verifying a candidate, in rows of a list read.
 VERIFY_COST = 20.0
@@ -217,7 +217,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in pieces_of([x or "" for x in texts], 1_000_000):
+            for a, b in pieces_of([x or "" for x in texts]):
                 sets = [s for s in shingle_sets(texts[a:b], n) if len(s)]
                 if sets:
                     flat = np.concatenate(sets).view(np.int64)
@@ -236,9 +236,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """node, n, m, unique, token, rest: a row for each hash of each set's chosen prefix that another set has too; ``rest`` hashes
     follow it, ``unique`` ones of the set no other has."""
-    tokens = sets.select("node", "n", F.explode("hashes").alias("token"))
+    tokens = sets.select("node", F.explode("hashes").alias("token"))
     counts = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
-    shared = tokens.join(counts, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    shared = tokens.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    shared = shared.join(sets.select("node", "n"), "node")
     spare = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)  # n - o
     unique = F.col("n") - F.size("own")
     reach = lambda m: F.least(spare + m - unique, F.size("own")).cast("int")  # noqa: E731  hashes of the m-match prefix that others have
