@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from catchmark.llm.word_cache import pieces_of
 
 DIMENSIONS, SEED, UNDETERMINED = 1024, 20, "und"
-DENSE = 1 << 22
+DENSE = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -110,7 +110,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             rows, langs = pdf["text"].tolist(), pdf["lang"].to_numpy()
-            for a, b in pieces_of(rows, 1_000_000):
+            for a, b in pieces_of(rows, 500_000):
                 codes, places, owner = trigrams(rows[a:b])
                 if not len(codes):
                     continue
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
         for texts in batches:
             rows = texts.tolist()
             names, scores = [], []
-            for a, b in pieces_of([x or "" for x in rows], 1_000_000):
+            for a, b in pieces_of([x or "" for x in rows], 500_000):
                 n, s = judge(rows[a:b], profiles)
                 names += n
                 scores += s

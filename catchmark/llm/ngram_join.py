@@ -51,7 +51,7 @@ CENTRES, PARTS = 2, 32
 #: Rounds end when one finds fewer than one link in so many rows of the lists.
 UNFRUITFUL = 1000
 BROADCAST_IDS = 1_000_000
-PACKET = 1 << 21
+PACKET = 1 << 20
 
 
 # --- sets ----------------------------------------------------------------------------------------------------------------------

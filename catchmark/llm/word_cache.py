@@ -15,7 +15,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 ASCII_SPACE, BLANK = b" \t\n\x0b\x0c\r", b" "
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and its inverse for i below ``size``, modulo 2^64."""
     inverse = pow(BASE, -1, 1 << 64)
@@ -63,7 +63,7 @@ class Words:
             at = at[(before >= 97) & (before <= 122)]
             opens[at] = closes[at] = True
         self.data, self.starts, self.ends = data, np.flatnonzero(opens), np.flatnonzero(closes)
-        power, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
+        power, inverse = _powers(1 << max(20, int(len(data)).bit_length()))
         sums = np.empty(len(data) + 1, np.uint64)
         sums[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
@@ -81,7 +81,7 @@ class WordIds:
     ``encode(words)`` gives all ids of a list of words, how many each word has, and whether each is right (or None).
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray | None]], room: int = 3_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray | None]], room: int = 1_500_000):
         self.encode, self.room = encode, room
         self._forget()
 
@@ -119,7 +119,7 @@ class WordIds:
         return self.flat[place], np.diff(np.concatenate([[0], ends])[bounds]), wrong
 
 
-def pieces_of(rows: list, chars: int = 2_000_000):
+def pieces_of(rows: list, chars: int = 800_000):
     """Consecutive slices (start, stop) of a list of texts, of about ``chars`` characters each; long texts stay whole."""
     start = size = 0
     for i, x in enumerate(rows):
