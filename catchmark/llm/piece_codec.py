@@ -141,6 +141,8 @@ def words_stand_alone(model: PieceModel) -> bool:
 
 #: Words that are joined to one text for the tokenizer.
 JOINED = 200
+#: Rows whose texts a worker holds as Python strings at once.
+ROWS = 500
 
 
 class Codec:
@@ -219,7 +221,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", to: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             rows = batch.column(place).to_pylist()
             for a, b in pieces_of([x or "" for x in rows]):
                 ids, n, same = codec.encode(rows[a:b])

@@ -81,7 +81,7 @@ class WordIds:
     ``encode(words)`` gives all ids of a list of words, how many each word has, and whether each is right (or None).
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray | None]], room: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray | None]], room: int = 1_000_000):
         self.encode, self.room = encode, room
         self._forget()
 
