@@ -1,24 +1,25 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by buckets of random projections.
 
-In each pass every vector gets a key of 63 sign bits of random projections; vectors are sorted by key within their label and length,
-and each is compared with its next WINDOW neighbours. Where all of a vector's window is near it, the window goes on until a
-whole window without a near vector, so dense groups are compared whole. Pairs at or above the threshold (cosine in double
-precision) are united over the passes. The number of passes follows from the size of the largest group, so that a pair right at
-the threshold is met with probability RECALL. Exact copies are one class, compared once.
+In each pass every vector gets a key of sign bits of random projections; the leading bits are its bucket, and all vectors of a
+bucket (within their label and length) are compared, whatever its size. Two vectors at an angle t agree in a bit with probability
+1 - t / pi, wherever their label's vectors lie, so the passes that a number of bits needs for a pair right at the threshold to share
+a bucket with probability RECALL do not depend on the data; only the cost does. Pairs at or above the threshold (cosine in double
+precision) are told in the first pass whose bucket they share, so none is told twice. Exact copies are one class, compared once.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label, link with
 nothing and stay; vectors of other lengths are never compared; repeated vec_ids are rows of their own; extra columns are not
-read. A row of a sorted range is compared only with rows of its own task, so a pair that falls on an edge between two tasks
-waits for a pass where it does not.
+read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,35 +29,33 @@ from catchmark.operators.lineage import cut
 THRESHOLD, WINDOW, RECALL, SEED, BITS = 0.93, 64, 0.999, 10, 63
 
 
+def passes_at(bits: float, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Passes after which two vectors at the threshold have shared a bucket of so many bits with probability ``recall``."""
+    met = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
 def passes_for(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Two vectors at the threshold agree in a bit with probability 1 - angle / pi; they are sure to meet in a window when they agree
-    in as many bits as it takes to part the largest group into windows."""
-    agree = 1 - math.acos(threshold) / math.pi
-    met = agree ** max(1.0, math.log2(max(2, largest) / window) + 1)
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    """Passes for as many bits as part a group into windows when each bit halves it."""
+    return max(4, passes_at(max(1.0, math.log2(max(2, largest) / window) + 1), threshold, recall))
+
+
+def near_blocks(rows: np.ndarray, threshold: float, window: int, split: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs (i, j), i < j, of unit rows, ``window`` rows at a time; with ``split``, only of a row before it and one from it on."""
+    for at in range(0, split or len(rows), window):
+        own = rows[at : min(at + window, split or len(rows))]
+        i, j = np.nonzero(own @ rows[split or at :].T >= threshold - 1e-9)
+        i, j = i + at, j + (split or at)
+        i, j = i[j > i], j[j > i]
+        near = np.einsum("ij,ij->i", rows[i], rows[j]) >= threshold
+        yield i[near], j[near]
 
 
 def near_pairs(rows: np.ndarray, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of unit rows in sorted order that are near; each row's window grows as long as it is full of them."""
-    n = len(rows)
-    left, right = [], []
-    live, far = np.arange(n), 1
-    while len(live):
-        hits = np.zeros(len(live), np.int64)
-        for offset in range(far, far + window):
-            there = live + offset < n
-            if not there.any():
-                break
-            i = live[there]
-            near = np.einsum("ij,ij->i", rows[i], rows[i + offset]) >= threshold
-            left.append(i[near])
-            right.append(i[near] + offset)
-            hits[np.flatnonzero(there)[near]] += 1
-        # The first window goes on only if all of it is near; later ones as long as any of it is.
-        live = live[hits >= window] if far == 1 else live[hits > 0]
-        far += window
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
+    """All pairs (i, j), i < j, of unit rows that are near."""
+    left, right = zip(*near_blocks(rows, threshold, window)) if len(rows) else ((), ())
+    empty = [np.empty(0, np.int64)]
+    return np.concatenate([*left, *empty]), np.concatenate([*right, *empty])
 
 
 def usable(embedding: str, label: str):
@@ -65,59 +64,95 @@ def usable(embedding: str, label: str):
     return F.coalesce(F.col(label).isNotNull() & F.col(embedding).isNotNull() & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+@lru_cache(maxsize=64)
+def _planes(seed: int, turn: int, wide: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([seed, turn, wide])).standard_normal((wide, BITS))
+
+
+def _by_length(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the vectors of each length."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
+    for wide in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == wide)
+        yield wide, at, flat[(starts[at][:, None] + np.arange(wide)).reshape(-1)].reshape(-1, wide)
+
+
+def _keys(rows: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    return (rows @ _planes(seed, turn, rows.shape[1]) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+
+
+def plan(vectors: DataFrame, label: str, embedding: str, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
+    """label, wide, bits, passes of each group of vectors that are compared."""
+    counts = vectors.groupBy(F.col(label).alias("label"), F.size(embedding).alias("wide")).count()
+    largest = counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    bits = max(0, math.ceil(math.log2(max(2, largest) / window)))
+    return counts.select("label", "wide", F.lit(bits).alias("bits"), F.lit(passes_at(bits, threshold, recall)).alias("passes"))
+
+
 def links(vectors: DataFrame, node: str, label: str, embedding: str, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """Distinct pairs (a, b), a < b, of nodes with equal label that are found near. ``vectors``: one usable row for each node."""
-    largest = vectors.groupBy(label, F.size(embedding)).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    passes = passes_for(largest, threshold, window, recall)
+    plans = plan(vectors, label, embedding, threshold, window, recall)
+    slim = vectors.select(F.col(node).alias("node"), F.col(label).alias("label"), F.col(embedding).alias("embedding"), F.size(embedding).alias("wide"))
+    planned = slim.join(cut(plans, "plan"), ["label", "wide"]).select("node", "label", "embedding", "wide", "bits", "passes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
-            sizes = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            starts = np.cumsum(sizes) - sizes
-            for wide in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == wide)
-                rows = flat[(starts[at][:, None] + np.arange(wide)).reshape(-1)].reshape(-1, wide)
-                own = batch.take(pa.array(at))
-                for k in range(passes):
-                    planes = np.random.Generator(np.random.PCG64([seed, k, wide])).standard_normal((wide, BITS))
-                    key = ((rows @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), k, np.int32)), own.column(1), pa.array(np.full(len(at), wide, np.int32)), pa.array(key, pa.int64()), own.column(0), own.column(2)],
-                        ["pass", "label", "wide", "key", "node", "embedding"],
-                    )
-
-    kinds = dict(vectors.dtypes)
-    schema = f"pass int, label {kinds[label]}, wide int, key bigint, node bigint, embedding {kinds[embedding]}"
-    keyed = vectors.select(node, label, embedding).mapInArrow(keys, schema)
-    ranged = keyed.repartitionByRange("pass", "label", "wide", "key", "node").sortWithinPartitions("pass", "label", "wide", "key", "node")
+            bits, passes = (batch.column(k).to_numpy() for k in (4, 5))
+            for _, at, rows in _by_length(batch.column(2)):
+                before = np.empty((len(at), 0), np.int64)
+                for k in range(passes[at].max()):
+                    live = passes[at] > k
+                    at, rows, before = at[live], rows[live], before[live]
+                    key = _keys(rows, seed, k) >> (BITS - bits[at])
+                    own = batch.take(pa.array(at))
+                    told = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * k), pa.array(before.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([own.column(1), own.column(3), pa.array(np.full(len(at), k, np.int32)), pa.array(key), own.column(0), own.column(2), told], ["label", "wide", "pass", "key", "node", "embedding", "before"])
+                    before = np.column_stack([before, key])
+
+    kinds = dict(slim.dtypes)
+    schema = f"label {kinds['label']}, wide int, pass int, key bigint, node bigint, embedding {kinds['embedding']}, before array<bigint>"
+    keyed = planned.mapInArrow(keys, schema)
+    unit = ["label", "wide", "pass", "key"]
+    dealt = keyed.repartition(*unit).sortWithinPartitions(*unit, "node").select(*unit, "node", "embedding", "before")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(group).combine_chunks()
+        def told(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(group)
             ids = table["node"].to_numpy()
-            rows = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["embedding"].chunks]).astype(np.float64).reshape(len(ids), -1)
+            if len(ids) < 2:
+                return
+            flat = lambda name: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]).reshape(len(ids), -1)
+            rows, before = flat("embedding").astype(np.float64), flat("before")
             rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
-            i, j = near_pairs(rows, threshold, window)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+            for i, j in near_blocks(rows, threshold, window):
+                for k in range(before.shape[1]):
+                    new = before[i, k] != before[j, k]
+                    i, j = i[new], j[new]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
         held, name = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-            edges = [0, *(i for i in range(1, len(kind)) if kind[i] != kind[i - 1]), len(kind)]
+            own = [batch.column(c) for c in range(len(unit))]
+            moved = np.zeros(batch.num_rows - 1, bool)
+            for c in own:
+                moved |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(moved) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:]):
-                if name is not None and kind[a] != name:
-                    yield told(held)
+                now = [c[a].as_py() for c in own]
+                if held and name != now:
+                    yield from told(held)
                     held = []
-                name = kind[a]
+                name = now
                 held.append(batch.slice(a, b - a))
         if held:
-            yield told(held)
+            yield from told(held)
 
-    return ranged.mapInArrow(compare, "a bigint, b bigint").filter("a <> b").distinct()
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:

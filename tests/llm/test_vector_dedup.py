@@ -76,3 +76,30 @@ def test_repeated_ids_and_empty_table(spark):
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in vd.near_duplicates(table(spark, rows)).collect())
     assert got == [("1", 1, 1, True), ("1", 1, 1, True), ("None", 0, None, True)]
     assert vd.near_duplicates(table(spark, rows).limit(0)).count() == 0
+
+
+def spread(n, mean, seed=3, wide=64):
+    """Unit vectors around a centre, with a mean cosine of two of them as given."""
+    g = np.random.default_rng(seed)
+    centre = g.normal(size=wide)
+    rows = centre / np.linalg.norm(centre) + np.sqrt((1 / mean - 1) / wide) * g.normal(size=(n, wide))
+    return (rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.float32)
+
+
+def nodes(spark, vectors, parts=1):
+    return spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], "node bigint, embedding array<float>, label int").repartition(parts)
+
+
+def near_of(vectors):
+    x = vectors.astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.93)) if i < j}
+
+
+def test_dense_groups_that_are_no_cliques_are_compared_whole(spark):
+    """2,000 vectors with cosines spread around the threshold; a window of 64 neighbours finds two thirds of the links."""
+    cluster = spread(2000, 0.93)
+    other = np.random.default_rng(4).normal(size=(500, 64)).astype(np.float32)
+    pairs = [(r["a"], r["b"]) for r in vd.links(nodes(spark, np.concatenate([cluster, other])), "node", "label", "embedding").collect()]
+    want = near_of(cluster)
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) >= 0.998 * len(want) > 500_000
