@@ -4,7 +4,9 @@ In each pass every vector gets a key of sign bits of random projections; the lea
 bucket (within their label and length) are compared, whatever its size. Two vectors at an angle t agree in a bit with probability
 1 - t / pi, wherever their label's vectors lie, so the passes that a number of bits needs for a pair right at the threshold to share
 a bucket with probability RECALL do not depend on the data; only the cost does. Pairs at or above the threshold (cosine in double
-precision) are told in the first pass whose bucket they share, so none is told twice. Exact copies are one class, compared once.
+precision) are told in the first pass whose bucket they share, so none is told twice. A bucket of more than BLOCK rows is cut into
+blocks by a hash, and each pair of blocks is a unit of its own, so neither its size nor the number of partitions decides what is
+compared. Exact copies are one class, compared once.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label, link with
 nothing and stay; vectors of other lengths are never compared; repeated vec_ids are rows of their own; extra columns are not
@@ -27,6 +29,8 @@ from catchmark.llm.components import components
 from catchmark.operators.lineage import cut
 
 THRESHOLD, WINDOW, RECALL, SEED, BITS = 0.93, 64, 0.999, 10, 63
+#: Rows of a block; larger buckets are dealt out as pairs of blocks.
+BLOCK = 2048
 
 
 def passes_at(bits: float, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -114,19 +118,26 @@ def links(vectors: DataFrame, node: str, label: str, embedding: str, threshold:
     kinds = dict(slim.dtypes)
     schema = f"label {kinds['label']}, wide int, pass int, key bigint, node bigint, embedding {kinds['embedding']}, before array<bigint>"
     keyed = planned.mapInArrow(keys, schema)
-    unit = ["label", "wide", "pass", "key"]
-    dealt = keyed.repartition(*unit).sortWithinPartitions(*unit, "node").select(*unit, "node", "embedding", "before")
+    bucket = ["label", "wide", "pass", "key"]
+    large = keyed.groupBy(*bucket).count().filter(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    cells = keyed.join(cut(large.drop("count"), "large"), bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = [*bucket, "lo", "hi"]
+    dealt = cells.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).repartition(*unit).sortWithinPartitions(*unit, "block", "node")
+    dealt = dealt.select(*unit, "block", "node", "embedding", "before")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(group)
             ids = table["node"].to_numpy()
-            if len(ids) < 2:
+            blocks = table["block"].to_numpy()
+            split = int((blocks == blocks[0]).sum()) if table["lo"][0] != table["hi"][0] else 0
+            if len(ids) < 2 or split == len(ids):
                 return
             flat = lambda name: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]).reshape(len(ids), -1)
             rows, before = flat("embedding").astype(np.float64), flat("before")
             rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
-            for i, j in near_blocks(rows, threshold, window):
+            for i, j in near_blocks(rows, threshold, window, split):
                 for k in range(before.shape[1]):
                     new = before[i, k] != before[j, k]
                     i, j = i[new], j[new]

@@ -103,3 +103,21 @@ def test_dense_groups_that_are_no_cliques_are_compared_whole(spark):
     pairs = [(r["a"], r["b"]) for r in vd.links(nodes(spark, np.concatenate([cluster, other])), "node", "label", "embedding").collect()]
     want = near_of(cluster)
     assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) >= 0.998 * len(want) > 500_000
+
+
+def test_partitions_and_blocks_do_not_change_the_links(spark, monkeypatch):
+    """A clique that spans many tasks; sorted ranges lost what lay across their edges."""
+    clique = spread(1200, 0.975)
+    want = near_of(clique)
+    assert len(want) == 1200 * 1199 // 2
+    monkeypatch.setattr(vd, "BLOCK", 100, raising=False)
+    before, coalesce = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        for parts in (2, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            pairs = [(r["a"], r["b"]) for r in vd.links(nodes(spark, clique, 3), "node", "label", "embedding").collect()]
+            assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(coalesce)
