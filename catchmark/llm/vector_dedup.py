@@ -3,7 +3,8 @@
 In each pass every vector gets a key of sign bits of random projections; the leading bits are its bucket, and all vectors of a
 bucket (within their label and length) are compared, whatever its size. Two vectors at an angle t agree in a bit with probability
 1 - t / pi, wherever their label's vectors lie, so the passes that a number of bits needs for a pair right at the threshold to share
-a bucket with probability RECALL do not depend on the data; only the cost does. Pairs at or above the threshold (cosine in double
+a bucket with probability RECALL do not depend on the data; only the cost does, and the number of bits is chosen by the bucket
+sizes measured over all rows (none for small groups, which are compared whole). Pairs at or above the threshold (cosine in double
 precision) are told in the first pass whose bucket they share, so none is told twice. A bucket of more than BLOCK rows is cut into
 blocks by a hash, and each pair of blocks is a unit of its own, so neither its size nor the number of partitions decides what is
 compared. Exact copies are one class, compared once.
@@ -29,8 +30,8 @@ from catchmark.llm.components import components
 from catchmark.operators.lineage import cut
 
 THRESHOLD, WINDOW, RECALL, SEED, BITS = 0.93, 64, 0.999, 10, 63
-#: Rows of a block; larger buckets are dealt out as pairs of blocks.
-BLOCK = 2048
+#: Rows of a block; larger buckets are dealt out as pairs of blocks. Comparisons that take as long as dealing out a row.
+BLOCK, ROW_COST = 2048, 512
 
 
 def passes_at(bits: float, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -87,17 +88,34 @@ def _keys(rows: np.ndarray, seed: int, turn: int) -> np.ndarray:
     return (rows @ _planes(seed, turn, rows.shape[1]) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def plan(vectors: DataFrame, label: str, embedding: str, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
-    """label, wide, bits, passes of each group of vectors that are compared."""
-    counts = vectors.groupBy(F.col(label).alias("label"), F.size(embedding).alias("wide")).count()
-    largest = counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    bits = max(0, math.ceil(math.log2(max(2, largest) / window)))
-    return counts.select("label", "wide", F.lit(bits).alias("bits"), F.lit(passes_at(bits, threshold, recall)).alias("passes"))
+def plan(vectors: DataFrame, label: str, embedding: str, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED) -> DataFrame:
+    """label, wide, bits, passes of each group of vectors that are compared.
+
+    The bits are those of least cost, from the sizes that buckets of 0, 1, 2, ... bits of the first pass's keys really have over all
+    rows; bits need not halve a group. With no bits all of a group is compared in one pass, exactly; small groups come to that.
+    """
+    kinds = dict(vectors.dtypes)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wide, at, rows in _by_length(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), wide, np.int32)), pa.array(_keys(rows, seed, 0))], ["label", "wide", "key"])
+
+    keyed = cut(vectors.select(label, embedding).mapInArrow(first, f"label {kinds[label]}, wide int, key bigint"), "first")
+    largest = keyed.groupBy("label", "wide").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    passes = [passes_at(bits, threshold, recall) for bits in range(math.ceil(math.log2(max(2, largest))) + 1)]
+    levels = keyed.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(len(passes) - 1))))
+    sizes = levels.groupBy("label", "wide", "bits", F.expr(f"shiftright(key, {BITS} - bits)")).agg(F.count("*").cast("double").alias("n"))
+    cost = F.sum(F.lit(ROW_COST) * F.col("n") * F.ceil(F.col("n") / BLOCK) + F.col("n") * F.col("n") / 2)
+    rounds = F.element_at(F.array(*map(F.lit, passes)), F.col("bits") + 1)
+    costs = sizes.groupBy("label", "wide", "bits").agg(cost.alias("cost")).withColumn("passes", rounds)
+    best = costs.groupBy("label", "wide").agg(F.min(F.struct((F.col("cost") * F.col("passes")).alias("cost"), "bits", "passes")).alias("best"))
+    return best.select("label", "wide", "best.bits", "best.passes")
 
 
 def links(vectors: DataFrame, node: str, label: str, embedding: str, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """Distinct pairs (a, b), a < b, of nodes with equal label that are found near. ``vectors``: one usable row for each node."""
-    plans = plan(vectors, label, embedding, threshold, window, recall)
+    plans = plan(vectors, label, embedding, threshold, recall, seed)
     slim = vectors.select(F.col(node).alias("node"), F.col(label).alias("label"), F.col(embedding).alias("embedding"), F.size(embedding).alias("wide"))
     planned = slim.join(cut(plans, "plan"), ["label", "wide"]).select("node", "label", "embedding", "wide", "bits", "passes")
 

@@ -121,3 +121,30 @@ def test_partitions_and_blocks_do_not_change_the_links(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset(coalesce)
+
+
+@pytest.mark.parametrize("background", [0.0, 0.7])
+def test_recall_of_isolated_pairs_with_a_common_mean(spark, monkeypatch, background):
+    """Pairs right above the threshold over a common direction, in passes of several bits (comparing all pairs is made dear)."""
+    g = np.random.default_rng(8)
+    rows = spread(8000, background, 6).astype(float) if background else g.normal(size=(8000, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    side = g.normal(size=rows[:1500].shape)
+    side -= np.einsum("ij,ij->i", side, rows[:1500])[:, None] * rows[:1500]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    vectors = np.concatenate([rows, 0.935 * rows[:1500] + np.sqrt(1 - 0.935**2) * side]).astype(np.float32)
+    monkeypatch.setattr(vd, "ROW_COST", 1, raising=False)
+    table = nodes(spark, vectors, 3)
+    if hasattr(vd, "plan"):
+        assert vd.plan(table, "label", "embedding").first()["bits"] >= 3
+    pairs = [(r["a"], r["b"]) for r in vd.links(table, "node", "label", "embedding").collect()]
+    want = near_of(vectors)
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) >= 0.997 * len(want) >= 1490
+
+
+def test_bits_follow_the_measured_buckets(spark, monkeypatch):
+    """A group that no bit parts is compared whole at once; one that bits part is not, once it is large."""
+    monkeypatch.setattr(vd, "ROW_COST", 1, raising=False)
+    lone = vd.plan(nodes(spark, spread(3000, 0.9999)), "label", "embedding").first()
+    apart = vd.plan(nodes(spark, np.random.default_rng(2).normal(size=(3000, 64)).astype(np.float32)), "label", "embedding").first()
+    assert (lone["bits"], lone["passes"]) == (0, 1) and apart["bits"] >= 3 and apart["passes"] == vd.passes_at(apart["bits"])
