@@ -5,8 +5,9 @@ structure. Its occurrence vector on a host says how often it comes on each of th
 an equivalence class. A class is valid if it is frequent (on at least SUPPORT of the host's pages) and large (at least two tokens),
 and nests in the class its parents are in. The nested valid classes are the host's template; what lies between its tokens are the
 slots. The main slot is inside an article or main element (or one whose words say so) that the template holds once a page. Menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments inside or around it are left out by their element or
-its words. Pages without such a slot give all their slots, without those that hold the same text on every page of the host.
+headers, footers and forms inside or around it are left out by their element; blocks whose words say sidebar, notice, advert or reader
+comments where the host's template shows them.
+Pages without a main slot give all their other slots, without those that hold the same text on every page of the host. Words never hide the page, an article, a heading or what holds most of the main slot.
 
 Vectors are never gathered: a token's vector is the XOR of hashes of (page, count) over its pages, so it is combined in each task
 before it is shuffled, and a host may hold any share of the pages.
@@ -42,6 +43,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 #: Element names of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that hold the page or name its text: words never make them chrome.
+UNWORDED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 CHROME = frozenset("nav header footer aside form dialog menu button head".split())
 #: Words in class, id or role that tell what an element is for (fixed values).
 CHROME_WORDS = frozenset(
@@ -62,11 +65,18 @@ def _words(attributes: str) -> list[str]:
 
 def slots(html: str | None) -> Iterator[tuple[str, bool, bool, str, bool]]:
     """(path, in chrome, in a main element, text or break, element opens here) of each piece in page order. A break is ''."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, chrome, main
+    for path, chrome, worded, main, text, opens in pieces_of(html):
+        yield path, chrome or bool(worded), main, text, opens
+
+
+def pieces_of(html: str | None) -> Iterator[tuple[str, bool, tuple[tuple[str, bool], ...], bool, str, bool]]:
+    """As ``slots``, with chrome by element name apart from the elements around that are chrome by their words alone: their paths,
+    and whether they lie inside a main element."""
+    stack: list[tuple[str, str, bool, tuple[tuple[str, bool], ...], bool]] = []  # name, path, chrome, worded, main
     at, page = 0, html or ""
 
-    def here() -> tuple[str, bool, bool]:
-        return stack[-1][1:] if stack else ("", False, False)
+    def here() -> tuple[str, bool, tuple[tuple[str, bool], ...], bool]:
+        return stack[-1][1:] if stack else ("", False, (), False)
 
     for m in MARKUP.finditer(page):
         if m.start() > at:
@@ -92,9 +102,11 @@ def slots(html: str | None) -> Iterator[tuple[str, bool, bool, str, bool]]:
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
         words = _words(m[4])
-        path, chrome, main = here()
+        path, chrome, worded, main = here()
         own = name if not words else name + "." + ".".join(words)
-        stack.append((name, f"{path}/{own}", chrome or name in CHROME or not CHROME_WORDS.isdisjoint(words), main or name in ("article", "main") or not MAIN_WORDS.isdisjoint(words)))
+        if name not in UNWORDED and not CHROME_WORDS.isdisjoint(words):
+            worded = (*worded, (f"{path}/{own}", main))
+        stack.append((name, f"{path}/{own}", chrome or name in CHROME, worded, main or name in ("article", "main") or not MAIN_WORDS.isdisjoint(words)))
         yield (*here(), "", True)
     if at < len(page):
         # A last piece that opens a tag and never ends it is markup.
@@ -109,7 +121,7 @@ def page_tokens(html: str | None) -> tuple[Counter, dict[str, int]]:
     """How often each place is opened on the page, and a hash of the text directly in it."""
     counts: Counter = Counter()
     texts: dict[str, list[str]] = {}
-    for path, _, _, text, opens in slots(html):
+    for path, _, _, _, text, opens in pieces_of(html):
         if text:
             texts.setdefault(path, []).append(text)
         counts[path] += opens
@@ -117,7 +129,8 @@ def page_tokens(html: str | None) -> tuple[Counter, dict[str, int]]:
 
 
 def templates(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """host, n_pages, main (some valid class holds a main element once a page), fixed (paths whose text is the same on every page)."""
+    """host, n_pages, main (some valid class holds a main element once a page), fixed (paths whose text is the same on every page), shown (paths
+    with chrome words that are the template's own)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,11 +159,11 @@ def templates(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     token = F.struct("path", "n", "vector", "least", "most", "low", "high")
     grouped = kept.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(token).alias("tokens"))
 
-    @F.pandas_udf("struct<main: array<string>, fixed: array<string>>")
+    @F.pandas_udf("struct<main: array<string>, fixed: array<string>, shown: array<string>>")
     def deduce(tokens: pd.Series, pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([template_of([dict(t) for t in ts], int(n)) for ts, n in zip(tokens, pages)], columns=["main", "fixed"])
+        return pd.DataFrame([(*template_of(own := [dict(t) for t in ts], int(n)), shown_of(own, int(n))) for ts, n in zip(tokens, pages)], columns=["main", "fixed", "shown"])
 
-    return grouped.select("host", "n_pages", deduce("tokens", "n_pages").alias("t")).select("host", "n_pages", "t.main", "t.fixed")
+    return grouped.select("host", "n_pages", deduce("tokens", "n_pages").alias("t")).select("host", "n_pages", "t.main", "t.fixed", "t.shown")
 
 
 def template_of(tokens: list[dict], n_pages: int) -> tuple[list[str], list[str]]:
@@ -172,21 +185,46 @@ def template_of(tokens: list[dict], n_pages: int) -> tuple[list[str], list[str]]
     return sorted(main), sorted(fixed)
 
 
-def main_text(html: str | None, main: list[str] | None = None, fixed: list[str] | None = None) -> str:
+def shown_of(tokens: list[dict], n_pages: int) -> list[str]:
+    """Paths with chrome words that stand on SUPPORT of the host's pages, and on two at least."""
+    return sorted(t["path"] for t in tokens if t["n"] >= max(2, SUPPORT * n_pages) and not CHROME_WORDS.isdisjoint(t["path"].rpartition("/")[2].split(".")[1:]))
+
+
+def main_text(html: str | None, main: list[str] | None = None, fixed: list[str] | None = None, shown: list[str] | None = None) -> str:
     """The text of the main slot: of the template's main paths if the page has one, else of its own main elements, else of all its
-    slots but the fixed ones; chrome is left out in each case."""
-    pieces = list(slots(html))
+    slots. Left out are chrome elements, places whose text the host fixes, and elements with chrome words: those that the template
+    shows, or any where there is no template (``shown`` is None). Words do not hide what holds, outside a main element, more than half
+    of the slot's text.
+    Where nothing remains, fixed places come back first, then elements with chrome words."""
+    pieces = list(pieces_of(html))
     roots = tuple(p for p in main or ())
     under = lambda path: any(path == r or path.startswith(r + "/") for r in roots)
-    if roots and any(t.strip() and not chrome and under(path) for path, chrome, _, t, _ in pieces):
-        chosen = [under(path) and not chrome for path, chrome, *_ in pieces]
-    elif any(inside for _, _, inside, *_ in pieces):
-        chosen = [inside and not chrome for _, chrome, inside, *_ in pieces]
+    if roots and any(t.strip() and not chrome and under(path) for path, chrome, _, _, t, _ in pieces):
+        slot = [under(path) and not chrome for path, chrome, *_ in pieces]
+    elif any(inside and t.strip() and not chrome for _, chrome, _, inside, t, _ in pieces):
+        slot = [inside and not chrome for _, chrome, _, inside, *_ in pieces]
     else:
-        still = set(fixed or ())
-        chosen = [not chrome and path not in still for path, chrome, *_ in pieces]
+        slot = [not chrome for _, chrome, *_ in pieces]
+    main_less = not any(p[3] and take for p, take in zip(pieces, slot)) and not roots
+    still, own_slots = set(fixed or ()) if main_less else set(), None if shown is None else set(shown)
+    held: Counter = Counter()
+    for (path, _, worded, _, text, _), take in zip(pieces, slot):
+        if take and path not in still:
+            held.update(dict.fromkeys([None, *(w for w, inside in worded if not inside)], len(text.strip())))
+    hides = lambda worded: any(2 * held[w] <= held[None] and (own_slots is None or w in own_slots) for w, _ in worded)
+    for chosen in (
+        [take and p[0] not in still and not hides(p[2]) for p, take in zip(pieces, slot)],
+        [take and not hides(p[2]) for p, take in zip(pieces, slot)],
+        slot,
+    ):
+        if said := _joined([p[4] for p in pieces], chosen):
+            return said
+    return ""
+
+
+def _joined(texts: list[str], chosen: list[bool]) -> str:
     blocks, own = [], []
-    for (_, _, _, text, _), take in zip(pieces, chosen):
+    for text, take in zip(texts, chosen):
         if not text or not take:
             blocks.append("".join(own))
             own = []
@@ -200,7 +238,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     bounded by what a page holds); beyond that pages and templates meet by host and a salt."""
     own = cut(templates(pages, page_id, url, html), "templates")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    slim = own.select("host", "main", "fixed")
+    slim = own.select("host", "main", "fixed", "shown")
     if own.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         joined = rows.join(F.broadcast(slim), "host", "left")
     else:
@@ -208,9 +246,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     @F.pandas_udf("string")
-    def run(html: pd.Series, main: pd.Series, fixed: pd.Series) -> pd.Series:
+    def run(html: pd.Series, main: pd.Series, fixed: pd.Series, shown: pd.Series) -> pd.Series:
         as_list = lambda x: None if x is None else list(x)
-        return pd.Series([main_text(h, as_list(m), as_list(f)) for h, m, f in zip(html, main, fixed)], dtype=object)
+        return pd.Series([main_text(h, as_list(m), as_list(f), as_list(s)) for h, m, f, s in zip(html, main, fixed, shown)], dtype=object)
 
-    out = joined.select("page_id", "url", run("html", "main", "fixed").alias("text"))
+    out = joined.select("page_id", "url", run("html", "main", "fixed", "shown").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -67,3 +67,22 @@ def test_hot_host_is_salted_beyond_the_broadcast(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert he.extract(rows(spark, [("u", "h")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><body class='has-sidebar'><article><p>Kept</p></article></body></html>", "<body><main class='content with-sidebar'><p>Kept</p></main></body>",
+        "<article class='post comments-open'><h2 id='search-methods'>Kept</h2></article>", "<div class='wrap has-sidebar'><article><p>Kept</p></article></div>", "<div class='promo'>Kept</div>",
+        "<div class='wrap has-sidebar'><p>Kept</p></div><div class='widget'>w</div>",
+    ],
+)
+def test_words_do_not_hide_what_holds_the_text(html):
+    assert he.main_text(html) == "Kept"
+
+
+def test_words_hide_only_what_the_template_shows(spark):
+    """A section named by its own heading stays; the comments that stand on every page go."""
+    body = lambda k: f"<article><p>Text {k}</p>" + ("<section id='related-work'>Work 3</section>" if k == 3 else "") + f"<div class='comments'>said {k}</div></article>"
+    got = he.extract(rows(spark, [(f"http://a.net/{k}", page(body(k), k)) for k in range(8)])).collect()
+    assert sorted(r["text"] for r in got) == sorted(f"Text {k}" + " Work 3" * (k == 3) for k in range(8))
