@@ -6,8 +6,8 @@ an equivalence class. A class is valid if it is frequent (on at least SUPPORT of
 and nests in the class its parents are in. The nested valid classes are the host's template; what lies between its tokens are the
 slots. The main slot is inside an article or main element (or one whose words say so) that the template holds once a page. Menus,
 headers, footers and forms inside or around it are left out by their element; blocks whose words say sidebar, notice, advert or reader
-comments where the host's template shows them.
-Pages without a main slot give all their other slots, without those that hold the same text on every page of the host. Words never hide the page, an article, a heading or what holds most of the main slot.
+comments where the host's template shows them; and, whatever its name, any place that holds the same text on every page of the host.
+Pages without a main slot give all their other slots. Words never hide the page, an article, a heading or what holds most of the main slot.
 
 Vectors are never gathered: a token's vector is the XOR of hashes of (page, count) over its pages, so it is combined in each task
 before it is shuffled, and a host may hold any share of the pages.
@@ -205,8 +205,7 @@ def main_text(html: str | None, main: list[str] | None = None, fixed: list[str]
         slot = [inside and not chrome for _, chrome, _, inside, *_ in pieces]
     else:
         slot = [not chrome for _, chrome, *_ in pieces]
-    main_less = not any(p[3] and take for p, take in zip(pieces, slot)) and not roots
-    still, own_slots = set(fixed or ()) if main_less else set(), None if shown is None else set(shown)
+    still, own_slots = set(fixed or ()), None if shown is None else set(shown)
     held: Counter = Counter()
     for (path, _, worded, _, text, _), take in zip(pieces, slot):
         if take and path not in still:

@@ -86,3 +86,15 @@ def test_words_hide_only_what_the_template_shows(spark):
     body = lambda k: f"<article><p>Text {k}</p>" + ("<section id='related-work'>Work 3</section>" if k == 3 else "") + f"<div class='comments'>said {k}</div></article>"
     got = he.extract(rows(spark, [(f"http://a.net/{k}", page(body(k), k)) for k in range(8)])).collect()
     assert sorted(r["text"] for r in got) == sorted(f"Text {k}" + " Work 3" * (k == 3) for k in range(8))
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='entry'>{}</div>"])
+def test_constant_places_inside_the_main_slot_are_template(spark, around):
+    """A notice of a neutral class that stands the same on all pages of the host, inside the article."""
+    pages = [(f"http://a.net/{k}", page(around.format(f"<div class='x1'><p>Read our terms</p></div><p>Text {k}</p>"), k)) for k in range(8)]
+    assert sorted(r["text"] for r in he.extract(rows(spark, pages)).collect()) == sorted(f"Text {k}" for k in range(8))
+
+
+def test_equal_pages_keep_their_text(spark):
+    pages = [("http://a.net/", page("<article><p>Same</p></article>"))] * 8
+    assert [r["text"] for r in he.extract(rows(spark, pages)).collect()] == ["Same"] * 8
