@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,36 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function of Poisson(rate) at 0, 1, 2, ..., as far as it can be told from 1 (array of doubles).
+def _window(rate: float) -> tuple[int, np.ndarray]:
+    """The first number that can be told from less, and the distribution function of Poisson(rate) from there on."""
+    if not rate > 0:
+        return 0, np.ones(1)
+    reach, mode = 9 * math.sqrt(rate) + 24, math.floor(rate)
+    first, last = max(0, math.floor(rate - reach)), math.ceil(rate + reach)
+    up = np.cumsum(np.log(rate / np.arange(mode + 1, last + 1)))
+    down = np.cumsum(np.log(np.arange(mode, first, -1) / rate))[::-1]
+    terms = np.exp(np.concatenate([down, [0.0], up]))
+    return first, np.cumsum(terms / math.fsum(terms))
+
 
-    Terms come from logarithms, so no rate underflows; the array ends eight deviations (and 24) above the mean, where less than
-    2^-53 is left.
+def poisson_window(rate: Column) -> Column:
+    """(first, steps): the distribution function of Poisson(rate) at first, first + 1, ..., as far as it can be told from 0 and 1.
+
+    Terms are ratios from the mean outwards, so no rate underflows and the work is linear in their number; the window reaches
+    nine deviations (and 24) to either side, where less than 2^-53 is left, so its length grows with the root of the rate.
     """
-    last = F.ceil(rate + 8 * F.sqrt(rate) + 24).cast("int")
-    terms = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda k: F.exp(k * F.log(rate) - rate - F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))),
-    )
-    running = F.aggregate(terms, F.array(F.lit(0.0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t)))
-    return F.when(rate > 0, F.slice(running, 2, 1_000_000)).otherwise(F.array(F.lit(1.0)))
+
+    @F.pandas_udf("struct<first: bigint, steps: array<double>>")
+    def windows(rates: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_window(r) for r in rates], columns=["first", "steps"])
+
+    return windows(rate)
+
+
+def poisson_steps(rate: Column) -> Column:
+    """The distribution function of Poisson(rate) at 0, 1, 2, ..., as far as it can be told from 1 (array of doubles)."""
+    window = poisson_window(rate)
+    return F.concat(F.array_repeat(F.lit(0.0), window["first"].cast("int")), window["steps"])
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, source: str = "source", total: int | None = None) -> DataFrame:
@@ -66,10 +85,10 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, s
     of sources is too large to broadcast (Spark's own limit decides), and the copies cross the network once, by range of key.
     """
     plain = docs.drop("copy", "n_copies", "mix_key")
-    steps = rates(docs, weights, source, total).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
+    steps = rates(docs, weights, source, total).select(F.col("source").alias("_source"), poisson_window(F.col("rate")).alias("_window"))
     drawn = plain.join(steps, plain[source].eqNullSafe(steps["_source"]))
     u = uniform(F.col(doc_id), seed)
-    drawn = drawn.withColumn("n_copies", F.size(F.filter("_steps", lambda c: c <= u))).filter("n_copies > 0").drop("_source", "_steps")
+    drawn = drawn.withColumn("n_copies", (F.col("_window.first") + F.size(F.filter("_window.steps", lambda c: c <= u))).cast("int")).filter("n_copies > 0").drop("_source", "_window")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), doc_id, "copy"))
     return keyed.select(*plain.columns, "copy", "n_copies", "mix_key").repartitionByRange("mix_key").sortWithinPartitions("mix_key")

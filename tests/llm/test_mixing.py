@@ -43,3 +43,14 @@ def test_weights_missing_and_odd_rows(docs_of):
     out = mixing.replicate(df, {"a": 1.0}, total=400).collect()
     assert {r["source"] for r in out} == {"a"} and sum(r["text"] is None for r in out) == sum(r["text"] == "x" for r in out)
     assert mixing.replicate(df.limit(0)).count() == 0
+
+
+def test_high_rates_are_not_cut(spark):
+    """Rates beyond two thousand and beyond a million copies; the array stays short."""
+    docs = spark.range(5).selectExpr("id AS doc_id", "'rare' AS source")
+    n = [r["n"] for r in mixing.replicate(docs, total=5 * 2222).groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    assert len(n) == 5 and all(abs(x - 2222) < 6 * 2222**0.5 for x in n) and len(set(n)) > 1
+    rare = spark.createDataFrame([(2.5e6,)], "rate double").select(mixing.poisson_window(F.col("rate")).alias("w")).first()["w"]
+    middle = rare["first"] + sum(c <= 0.5 for c in rare["steps"])
+    assert abs(middle - 2.5e6) <= 1 and len(rare["steps"]) < 30_000 and abs(rare["steps"][-1] - 1) < 1e-9
+    assert mixing.replicate(docs.limit(1), total=1_200_000).count() > 1_190_000
