@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchmark.catalog import Query
-from catchmark.llm import fingerprints, html_extract, language_id, mixing, ngram_join, piece_codec, secret_scan, token_files, url_filter, vector_dedup
+from catchmark.llm import fingerprints, html_extract, language_id, mixing, ngram_join, piece_codec, secret_scan, spelling, token_files, url_filter, vector_dedup, warc, whitening
 from catchmark.llm.shipping import ship
 from catchmark.operators.lineage import shared_folder
 
@@ -88,6 +88,20 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": Query(secrets),
     "op2_url_filters": Query(url_filters, URL_SQL),
@@ -99,4 +113,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": Query(source_mix, mixing.mixed_sql()),
     "op9_html_extraction": Query(html_text),
     "op10_embedding_near_dedup": Query(embedding_dedup),
+    "op11_embedding_whitening": Query(embedding_whitening),
+    "op12_spelling_variants": Query(spelling_variants, spelling.variants_sql()),
+    "op13_warc_revisits": Query(warc_revisits, warc.DIGEST_SQL),
 }
