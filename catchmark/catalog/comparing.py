@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from catchmark.catalog import Query
 from catchmark.catalog.common import (
-    noise31, noise_u,
+    noise31, noise_u, num, distance_sql, inside_sql, projected_edges_sql, projected_points_sql,
     FAC_CTES, FAC_INPUT, HIT, MASTER, MASTER_INPUT, PRESENCE, SECTORS, R, binned, erfc_sql, facilities_with_stress, fx, master, out, r6, sql,
 )
-from catchmark.catalog.locating import REF_CTES, REF_INPUT, matched_ctes, reference
+from catchmark.catalog.locating import REF_CTES, REF_INPUT, area_ctes, matched_ctes, place_sql, reference
 from catchmark.functions.clean import keep_values
 from catchmark.functions.random import hashed_uniform
 from catchmark.operators import bootstrap as bs
@@ -454,7 +454,56 @@ def _presence(spark, d):
     return models.presence_frame(dist.filter("grp = 'sector'"), dist.filter("grp = 'random'"))
 
 
-QUERIES["logit_distance"] = Query(lambda spark, d: out(models.fit_distance_logit(_presence(spark, d))))
+NEWTON_STEPS = 10
+
+
+def newton_ctes(rows: str, k: int, keys: tuple[str, ...] = (), penalty: float = 0.0, steps: int = NEWTON_STEPS) -> tuple[tuple[str, str], ...]:
+    """``fit``: coefficients b0.., Hessian h_i_j and log-likelihood ll at them, after so many whole Newton steps on the table ``rows`` (keys, y, x1..xk)."""
+    n, names = k + 1, [f"b{i}" for i in range(k + 1)]
+    own = "".join(f"{c}, " for c in keys)
+    x = ["1e0", *[f"x{i}" for i in range(1, n)]]
+    group = f" GROUP BY {', '.join(keys)}" if keys else ""
+    meet = f"JOIN {{}} AS b USING ({', '.join(keys)})" if keys else "CROSS JOIN {} AS b"
+    ridge = [0.0] + [penalty] * k
+
+    def sums(at: str) -> str:
+        eta = " + ".join(f"{b} * {a}" for b, a in zip(names, x))
+        p = f"SELECT *, 1e0 / (1e0 + exp(-e)) AS p FROM (SELECT r.*, {', '.join(names)}, {eta} AS e FROM {rows} AS r {meet.format(at)}) AS s"
+        told = [f"any_value({b}) AS {b}" for b in names]
+        told += [f"sum((y - p) * {x[i]}) - {num(ridge[i])} * any_value(b{i}) AS g_{i}" for i in range(n)]
+        told += [f"sum(p * (1e0 - p) * {x[i]} * {x[j]}) + {num(ridge[i] if i == j else 0.0)} AS h_{i}_{j}" for i in range(n) for j in range(n)]
+        return f"SELECT {own}count(*) AS n, sum(y * ln(p) + (1e0 - y) * ln(1e0 - p)) AS ll, {', '.join(told)} FROM ({p}) AS s{group}"
+
+    def solved(inner: str) -> str:
+        """Gauss-Jordan elimination, a nested query a pivot."""
+        for q in range(n):
+            change = [f"h_{i}_{j} - h_{i}_{q} * h_{q}_{j} / h_{q}_{q} AS h_{i}_{j}" if i != q else f"h_{q}_{j} / h_{q}_{q} AS h_{q}_{j}" for i in range(n) for j in range(n)]
+            change += [f"g_{i} - h_{i}_{q} * g_{q} / h_{q}_{q} AS g_{i}" if i != q else f"g_{q} / h_{q}_{q} AS g_{q}" for i in range(n)]
+            inner = f"SELECT {own}{', '.join(names)}, {', '.join(change)} FROM ({inner}) AS s"
+        return f"SELECT {own}{', '.join(f'b{i} + g_{i} AS b{i}' for i in range(n))} FROM ({inner}) AS s"
+
+    start = ", ".join(["ln(avg(y) / (1e0 - avg(y))) AS b0", *[f"0e0 AS b{i}" for i in range(1, n)]])
+    ctes = [("at0", f"SELECT {own}{start} FROM {rows}{group}")]
+    ctes += [(f"at{t}", solved(sums(f"at{t - 1}"))) for t in range(1, steps + 1)]
+    return (*ctes, ("fit", sums(f"at{steps}")), ("nothing", f"SELECT {own}count(*) * (avg(y) * ln(avg(y)) + (1 - avg(y)) * ln(1 - avg(y))) AS ll0 FROM {rows}{group}"))
+
+
+def _fit_sql(keys: tuple[str, ...] = ()) -> str:
+    """The columns of a distance fit from ``fit`` and ``nothing``."""
+    meet = f"JOIN nothing USING ({', '.join(keys)})" if keys else "CROSS JOIN nothing"
+    told = f"SELECT *, sqrt(h_0_0 / (h_0_0 * h_1_1 - h_0_1 * h_0_1)) AS s FROM fit {meet}"
+    z = "1.959963984540054e0"
+    return (
+        f"SELECT {''.join(f'{c}, ' for c in keys)}{R('b1')} AS coef, {R('b0')} AS intercept, {R('s')} AS se, {R('exp(b1)')} AS odds_ratio, {R(f'exp(b1 - s * {z})')} AS or_lo, {R(f'exp(b1 + s * {z})')} AS or_hi, "
+        f"{R(erfc_sql('abs(b1 / s) / sqrt(2e0)'))} AS p_value, {R('1e0 - ll / ll0')} AS pseudo_r2, {R(erfc_sql('sqrt(greatest(ll - ll0, 0e0))'))} AS llr_p FROM ({told}) AS f"
+    )
+
+
+PRESENCE_ROWS = (
+    "rows_",
+    "SELECT CASE WHEN grp = 'sector' THEN 1e0 ELSE 0e0 END AS y, dist_river_km AS d, ln(dist_river_km + 1e0) AS x1 FROM distances WHERE dist_river_km >= 0 AND NOT isnan(dist_river_km) AND NOT isinf(dist_river_km)",
+)
+QUERIES["logit_distance"] = Query(lambda spark, d: out(models.fit_distance_logit(_presence(spark, d))), sql(["distances"], _fit_sql(), PRESENCE_ROWS, *newton_ctes("rows_", 1)))
 
 
 def logit_curve(spark, d):
@@ -462,9 +511,28 @@ def logit_curve(spark, d):
     return out(models.probability_curve(frame, models.fit_distance_logit(frame)), "g")
 
 
-QUERIES["logit_curve"] = Query(logit_curve)
+QUERIES["logit_curve"] = Query(
+    logit_curve,
+    sql(
+        ["distances"],
+        f"SELECT g, {R('x')} AS dist_km, {R('1e0 / (1e0 + exp(-(b0 + b1 * ln(x + 1e0))))')} AS prob FROM "
+        "(SELECT cast(g as integer) AS g, hi * g / 299e0 AS x, b0, b1 FROM (SELECT unnest(range(0, 300)) AS g) AS s CROSS JOIN fit CROSS JOIN (SELECT greatest(quantile_cont(d, 0.995), 50e0) AS hi FROM rows_) AS t) AS c",
+        PRESENCE_ROWS, *newton_ctes("rows_", 1),
+    ),
+)
+
+_ALL_METRICS = " AND ".join(f"{m} IS NOT NULL" for m in regime_plan.TABLE_METRICS)
+PENALISED_ROWS = (
+    "rows_",
+    "SELECT cast(AI_present as double) AS y, " + ", ".join(f"({m} - avg({m}) OVER ()) / stddev_pop({m}) OVER () AS x{i}" for i, m in enumerate(regime_plan.TABLE_METRICS, 1)) + f" FROM master WHERE {_ALL_METRICS}",
+)
 QUERIES["logit_l2"] = Query(
-    lambda spark, d: out(models.penalised_odds_ratios(master(spark, d, "left"), "AI_present", regime_plan.TABLE_METRICS), "predictor")
+    lambda spark, d: out(models.penalised_odds_ratios(master(spark, d, "left"), "AI_present", regime_plan.TABLE_METRICS), "predictor"),
+    sql(
+        MASTER_INPUT,
+        " UNION ALL ".join(f"SELECT '{m}' AS predictor, {R(f'b{i}')} AS coef, {R(f'exp(b{i})')} AS odds_ratio FROM fit WHERE n > 50" for i, m in enumerate(regime_plan.TABLE_METRICS, 1)),
+        HIT, PRESENCE, MASTER, PENALISED_ROWS, *newton_ctes("rows_", len(regime_plan.TABLE_METRICS), penalty=1.0, steps=6),
+    ),
 )
 
 
@@ -473,4 +541,31 @@ def logit_pipeline(spark, d):
     return out(dist_plan.logit_table(dist), "sector", "n_sector", "n_random")
 
 
-QUERIES["logit_pipeline"] = Query(logit_pipeline)
+def _pipeline_ctes() -> tuple[tuple[str, str], ...]:
+    """``rows_``: sites inside basins and as many random points, with the distance to the nearest major river."""
+    sites = f"SELECT sector, 'sector' AS grp, site_id AS k, x, y FROM ({inside_sql('spots', 'edges_m', 'p.sector, p.site_id, p.x, p.y, e.basin_id', 'p.sector, p.site_id, p.x, p.y, e.basin_id', 'x', 'y')}) AS i"
+    asked = f"SELECT sector, seed, unnest(range(0, n)) AS draw FROM (SELECT sector, count(*) AS n, 7 + CASE sector {' '.join(f'WHEN {chr(39)}{s}{chr(39)} THEN {v}' for s, v in dist_plan.SEED_OFFSETS.items())} ELSE 0 END AS seed FROM inside GROUP BY sector) AS a"
+    return (
+        ("edges_m", projected_edges_sql("basin_edges", "basin_id, ring")),
+        ("spots", projected_points_sql("facilities", "sector, site_id")),
+        ("major", projected_edges_sql("water_segments", "kind, feature_id") + " WHERE kind = 'River' AND ord >= 5"),
+        ("inside", sites),
+        *area_ctes("edges_m"),
+        ("asked", asked),
+        ("drawn", place_sql("asked", "d.seed", "sector, draw")),
+        ("both_", "SELECT sector, grp, k, x, y FROM inside UNION ALL SELECT sector, 'random', draw, x, y FROM drawn"),
+        # a site in several basins has as many rows
+        ("near_", f"SELECT p.sector, p.grp, p.k, p.x, p.y, min({distance_sql('p.x', 'p.y')}) / 1e3 AS d FROM (SELECT DISTINCT * FROM both_) AS p CROSS JOIN major AS s GROUP BY ALL"),
+        ("rows_", "SELECT b.sector, b.grp, CASE WHEN b.grp = 'sector' THEN 1e0 ELSE 0e0 END AS y, ln(d + 1e0) AS x1 FROM both_ AS b JOIN near_ AS n ON n.sector = b.sector AND n.grp = b.grp AND n.k = b.k AND n.x = b.x AND n.y = b.y"),
+    )
+
+
+QUERIES["logit_pipeline"] = Query(
+    logit_pipeline,
+    sql(
+        ["facilities", "basin_edges", "water_segments"],
+        f"SELECT f.*, n_sector, n_random FROM ({_fit_sql(('sector',))}) AS f JOIN "
+        "(SELECT sector, count(*) FILTER (WHERE grp = 'sector') AS n_sector, count(*) FILTER (WHERE grp = 'random') AS n_random FROM rows_ GROUP BY sector) AS c USING (sector)",
+        *_pipeline_ctes(), *newton_ctes("rows_", 1, ("sector",)),
+    ),
+)

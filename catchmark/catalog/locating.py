@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catchmark.catalog import Query
 from catchmark.catalog.common import (
     BINNED, CUTS, FAC, FAC_CTES, FAC_INPUT, HIT, SECTORS, STRESS_INPUT, STRESS_JOIN, R,
-    albers_sql, binned, distance_sql, facilities_with_stress, fx, inside_sql, located, noise31, noise_u, projected_edges_sql,
+    albers_sql, binned, distance_sql, facilities_with_stress, fx, inside_sql, located, noise31, noise_u, num, projected_edges_sql,
     projected_points_sql, r6, sql,
 )
 from catchmark.functions.geometry import project_edges, project_points, utm_epsg
@@ -201,16 +201,48 @@ QUERIES["boundary_lines"] = Query(
 # --- random points --------------------------------------------------------------------------------------------
 
 
-def _draw_ctes(edges: str, n_draws: str, seed: int, tag: str = "") -> tuple[tuple[str, str], ...]:
-    """Draws of the bounding box of ``edges`` and the polygons they fall in."""
+def area_ctes(edges: str, tag: str = "") -> tuple[tuple[str, str], ...]:
+    """``areas{tag}``: trapezoids between the heights of each polygon's vertices, with running area in whole units."""
+    at = lambda y: f"CASE WHEN {y} = sy THEN sx WHEN {y} = ey THEN ex ELSE sx + ({y} - sy) * (ex - sx) / (ey - sy) END"
     return (
-        (f"box{tag}", f"SELECT min(least(x1, x2)) AS minx, min(least(y1, y2)) AS miny, max(greatest(x1, x2)) AS maxx, max(greatest(y1, y2)) AS maxy FROM {edges}"),
         (
-            f"draws{tag}",
-            f"SELECT draw, minx + (maxx - minx) * {noise_u('draw', seed)} AS x, miny + (maxy - miny) * {noise_u('draw', seed + 1)} AS y "
-            f"FROM (SELECT unnest(range(0, cast({n_draws} as bigint))) AS draw) AS g CROSS JOIN box{tag}",
+            f"up{tag}",
+            "SELECT basin_id AS id, CASE WHEN y1 < y2 THEN x1 ELSE x2 END AS sx, least(y1, y2) AS sy, CASE WHEN y1 < y2 THEN x2 ELSE x1 END AS ex, greatest(y1, y2) AS ey "
+            f"FROM {edges} WHERE y1 <> y2",
+        ),
+        (f"ys{tag}", f"SELECT id, y AS y1, lead(y) OVER (PARTITION BY id ORDER BY y) AS y2 FROM (SELECT id, sy AS y FROM up{tag} UNION SELECT id, ey FROM up{tag}) AS s"),
+        (f"cut{tag}", f"SELECT u.id, y1, y2, {at('y1')} AS l1, {at('y2')} AS l2 FROM up{tag} AS u JOIN ys{tag} AS h ON h.id = u.id AND sy <= y1 AND y2 <= ey"),
+        (
+            f"side{tag}",
+            f"SELECT *, row_number() OVER w AS place, lead(l1) OVER w AS r1, lead(l2) OVER w AS r2 FROM cut{tag} WINDOW w AS (PARTITION BY id, y1 ORDER BY l1 + l2, l1, l2)",
+        ),
+        (f"trap{tag}", f"SELECT *, (r1 - l1 + r2 - l2) / 2e0 * (y2 - y1) AS area FROM side{tag} WHERE place % 2 = 1 AND r1 IS NOT NULL"),
+        (f"unit{tag}", f"SELECT *, cast(round(area / (SELECT sum(area) FROM trap{tag}) * {num(sm.AREA_UNITS)}) AS bigint) AS units FROM trap{tag}"),
+        (
+            f"areas{tag}",
+            "SELECT *, cast(sum(units) OVER (ORDER BY id, y1, place) AS bigint) - units AS before, cast(sum(units) OVER () AS bigint) AS whole "
+            f"FROM unit{tag} WHERE units > 0",
         ),
-        (f"dhit{tag}", inside_sql(f"draws{tag}", edges, "p.draw, p.x, p.y, e.basin_id", "p.draw, p.x, p.y, e.basin_id", "x", "y")),
+    )
+
+
+def place_sql(draws: str, seed: str, columns: str, tag: str = "") -> str:
+    """A point for each row of ``draws`` (draw and the columns), by running area, height and place."""
+    u, v, w = (noise_u("d.draw", f"({seed} + {k})") for k in sm.STREAMS)
+    rise = "u * (w1 + w2) / greatest(w1 + sqrt(greatest(w1 * w1 + u * (w2 * w2 - w1 * w1), 0e0)), 1e-300)"
+    aimed = f"SELECT d.*, least(cast(floor({u} * cast(whole AS double)) AS bigint), whole - 1) AS target, {v} AS u, {w} AS v FROM {draws} AS d CROSS JOIN (SELECT max(whole) AS whole FROM areas{tag}) AS s"
+    met = f"SELECT a.*, t.*, t.r1 - t.l1 AS w1, t.r2 - t.l2 AS w2 FROM ({aimed}) AS a JOIN areas{tag} AS t ON a.target >= t.before AND a.target < t.before + t.units"
+    risen = f"SELECT *, least({rise}, 1e0) AS t FROM ({met}) AS m"
+    sides = f"SELECT *, l1 + (l2 - l1) * t AS l, r1 + (r2 - r1) * t AS r FROM ({risen}) AS m"
+    return f"SELECT {columns}, l + (r - l) * v AS x, y1 + (y2 - y1) * t AS y, id AS basin_id FROM ({sides}) AS m"
+
+
+def _draw_ctes(edges: str, n_draws: str, seed: int, tag: str = "") -> tuple[tuple[str, str], ...]:
+    """``dhit``: so many draws from the polygons of ``edges``."""
+    return (
+        *area_ctes(edges, tag),
+        (f"draws{tag}", f"SELECT unnest(range(0, cast({n_draws} as bigint))) AS draw"),
+        (f"dhit{tag}", place_sql(f"draws{tag}", str(seed), "draw", tag)),
     )
 
 
@@ -227,8 +259,8 @@ QUERIES["random_in_basins"] = Query(
     random_in_basins,
     sql(
         ["facilities", "basin_edges"],
-        f"SELECT draw, {R('x')} AS x, {R('y')} AS y, basin_id FROM (SELECT *, row_number() OVER (ORDER BY draw) AS rn FROM dhit) AS t WHERE rn <= {_N}",
-        *_draw_ctes("basin_edges", f"2 * {_N}", 7),
+        f"SELECT draw, {R('x')} AS x, {R('y')} AS y, basin_id FROM dhit",
+        *_draw_ctes("basin_edges", _N, 7),
     ),
 )
 
@@ -283,12 +315,8 @@ def reference_stress(spark, d):
 
 REF_CTES = (
     EDGES_M,
-    *_draw_ctes("edges_m", f"2 * {_N}", 10_007),
-    (
-        "ref",
-        "SELECT t.draw, t.basin_id, b.stress_value, b.stress_tertile, b.stress_quartile FROM (SELECT *, row_number() OVER (ORDER BY draw) AS rn FROM dhit) AS t "
-        f"JOIN binned AS b ON b.basin_id = t.basin_id WHERE rn <= {_N} AND b.stress_value IS NOT NULL",
-    ),
+    *_draw_ctes("edges_m", _N, 10_007),
+    ("ref", "SELECT t.draw, t.basin_id, b.stress_value, b.stress_tertile, b.stress_quartile FROM dhit AS t JOIN binned AS b ON b.basin_id = t.basin_id WHERE b.stress_value IS NOT NULL"),
 )
 REF_INPUT = ("facilities", "basin_edges", *STRESS_INPUT)
 QUERIES["reference_stress"] = Query(
@@ -313,14 +341,11 @@ def matched_ctes() -> tuple[list[tuple[str, str]], str]:
         n = f"(SELECT count(*) FROM fac WHERE sector = '{s}')"
         pool = f"greatest({n} + 1000, 5 * {n})"
         ctes.append((f"held_{s}", f"SELECT * FROM basin_edges WHERE basin_id IN (SELECT basin_id FROM fac WHERE sector = '{s}')"))
-        # more draws than needed change nothing: the pool is the first `pool` hits
-        spare = f"(SELECT 2 * count(*) / (SELECT count(DISTINCT basin_id) FROM held_{s}) FROM basins)"
-        ctes.extend(_draw_ctes(f"held_{s}", f"ceil({pool} * {spare})", 7 + seed + 20_000, f"_{s}"))
-        ctes.append((f"pool_{s}", f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY draw) AS rn FROM dhit_{s}) AS t WHERE rn <= {pool}"))
+        ctes.extend(_draw_ctes(f"held_{s}", pool, 7 + seed + 20_000, f"_{s}"))
         ctes.append(
             (
                 f"pick_{s}",
-                f"SELECT p.draw, b.*, row_number() OVER (ORDER BY {noise31('p.draw', seed)}, p.draw) AS pos FROM pool_{s} AS p "
+                f"SELECT p.draw, b.*, row_number() OVER (ORDER BY {noise31('p.draw', seed)}, p.draw) AS pos FROM dhit_{s} AS p "
                 "JOIN binned AS b ON b.basin_id = p.basin_id WHERE b.stress_value IS NOT NULL",
             )
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,88 +11,108 @@ from pyspark.sql import functions as F
 
 from catchmark.functions.random import MODULUS, hash31, hashed_uniform
 from catchmark.operators.lineage import cut
-from catchmark.operators.ordered import first_n_by, require
-from catchmark.operators.polygons import extent, locate, polygon_index
-
-CHUNK = 1 << 16
-
-
-def _ring_area(edges: DataFrame, id_col: str) -> DataFrame:
-    """Area of each polygon by signed ring sums; holes (ring > 0) are taken off."""
-    signed = F.sum((F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2.0)
-    rings = edges.groupBy(id_col, "ring").agg(F.abs(signed).alias("a"))
-    return rings.groupBy(id_col).agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"))
-
-
-def box_and_share(edges: DataFrame, id_col: str = "basin_id") -> tuple[tuple[float, float, float, float], float]:
-    """Bounding box of the polygons and the share of it they cover: one row, read by the driver to size a draw."""
-    areas = _ring_area(edges, id_col).agg(F.sum("area").alias("area"))
-    row = extent(edges).crossJoin(F.broadcast(areas)).first()  # two one-row aggregates
-    box = (row["minx"], row["miny"], row["maxx"], row["maxy"])
-    if None in box:
-        raise ValueError("no polygons to draw points in")
-    full = (box[2] - box[0]) * (box[3] - box[1])
-    return box, (row["area"] / full if full else 0.0)
-
-
-def box_points(spark, box: tuple[float, float, float, float], n_draws: int, seed: int) -> DataFrame:
-    """Uniform draws k = 0..n_draws-1 in a bounding box, each a pure function of (k, seed)."""
-    minx, miny, maxx, maxy = box
-    u, v = hashed_uniform(F.col("id"), seed), hashed_uniform(F.col("id"), seed + 1)
-    return spark.range(n_draws).select(
-        F.col("id").alias("draw"),
-        (F.lit(minx) + F.lit(maxx - minx) * u).alias("x"),
-        (F.lit(miny) + F.lit(maxy - miny) * v).alias("y"),
-    )
+from catchmark.operators.ordered import attach, first_n_by, running_totals
+
+#: Whole numbers that the polygons' area is dealt out in: running areas are exact in any order of addition.
+AREA_UNITS = float(1 << 52)
+#: Draws of a group that one row makes.
+PIECE = 1 << 16
+#: What is added to a seed for a draw's three numbers. The noise squares its seed, so steps of equal size would make the three depend on one another.
+STREAMS = (0, 15_485_863, 982_451_653)
 
 
-def first_draws(hits: DataFrame, n: int, draw: str = "draw", chunk: int = CHUNK) -> DataFrame:
-    """The ``n`` smallest draw numbers. Chunks of the draw sequence are counted, only the last one is ranked.
+def trapezoids(edges: DataFrame, id_col: str = "basin_id") -> DataFrame:
+    """The polygons cut at the heights of their vertices: (id, y1, y2, left1, left2, right1, right2), each once.
 
-    Fails when there are fewer than ``n`` rows. A draw in overlapping polygons counts once per polygon.
+    Between two neighbouring heights no edge of a polygon begins or ends, so its edges there, ordered by their middles, bound inside and outside
+    in turn (holes and parts are just more edges). left and right are the x of the bounding edges at y1 and y2. Edges that lie level bound
+    nothing. An edge that stands in the table several times bounds as often, as crossing parity has it. Edges of one polygon must not cross.
     """
-    rows = hits.withColumn("_chunk", F.floor(F.col(draw) / chunk))
-    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    order = W.partitionBy(F.lit(0)).orderBy("_chunk")
-    sizes = sizes.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-            "_total": F.sum("_size").over(W.partitionBy(F.lit(0))),
-        }
+    own = W.partitionBy("id")
+    flat = edges.select(F.col(id_col).alias("id"), "x1", "y1", "x2", "y2").filter("y1 <> y2")
+    up = F.col("y1") < F.col("y2")
+    pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
+    edge = flat.select("id", pick("x1", "x2").alias("ax"), pick("y1", "y2").alias("ay"), pick("x2", "x1").alias("bx"), pick("y2", "y1").alias("by"))
+    # a height's number among the polygon's heights, on both ends of each edge; all windows below are by polygon or finer
+    named = edge.withColumn("edge", F.monotonically_increasing_id())
+    ends = named.withColumn("y", F.explode(F.array("ay", "by"))).withColumn("k", F.dense_rank().over(own.orderBy("y")))
+    spans = ends.groupBy("id", "edge").agg(*[F.first(c).alias(c) for c in ("ax", "ay", "bx", "by")], F.min("k").alias("lo"), F.max("k").alias("hi"))
+    heights = ends.groupBy("id", "k").agg(F.first("y").alias("y1"))
+    heights = heights.withColumn("y2", F.lead("y1").over(own.orderBy("k"))).filter("y2 is not null")
+    cuts = spans.withColumn("k", F.explode(F.sequence("lo", F.col("hi") - 1))).join(heights, ["id", "k"])
+    at = lambda y: F.when(F.col(y) == F.col("ay"), F.col("ax")).when(F.col(y) == F.col("by"), F.col("bx")).otherwise(
+        F.col("ax") + (F.col(y) - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
     )
-    # a keyless aggregate yields a row even without any hit, so an empty draw fails as well
-    total = sizes.agg(F.coalesce(F.max("_total"), F.lit(0)).alias("_got")).filter(
-        require(F.col("_got") >= n, f"random draw came up short of {n} points")
-    )
-    # one row per CHUNK draws; the planner broadcasts it while it is small
-    kept = rows.join(sizes.drop("_total"), "_chunk").filter(F.col("_before") < n)
-    kept = kept.withColumn("_rn", F.row_number().over(W.partitionBy("_chunk").orderBy(draw)))
-    kept = kept.filter(F.col("_before") + F.col("_rn") <= n).drop("_chunk", "_size", "_before", "_rn")
-    return kept.crossJoin(F.broadcast(total)).drop("_got")  # one row
+    cuts = cuts.select("id", "k", "y1", "y2", at("y1").alias("left1"), at("y2").alias("left2"))
+    across = W.partitionBy("id", "k").orderBy(F.col("left1") + F.col("left2"), "left1", "left2")
+    paired = cuts.withColumns({"place": F.row_number().over(across), "right1": F.lead("left1").over(across), "right2": F.lead("left2").over(across)})
+    return paired.filter("place % 2 = 1 and right1 is not null").select("id", "k", "place", "y1", "y2", "left1", "left2", "right1", "right2")
 
 
-def random_points_in_polygons(
-    spark, edges: DataFrame, n: int, seed: int, id_col: str = "basin_id", slack: float = 1.25, n_draws: int | None = None
-) -> DataFrame:
-    """The first ``n`` uniform draws of the bounding box that fall inside a polygon: (draw, x, y, id).
+def area_index(edges: DataFrame, id_col: str = "basin_id", keys: Sequence[str] = ()) -> DataFrame:
+    """The trapezoids with the running area before each: (before, units), in whole units of which a group's polygons together have ``whole``; written once.
 
-    Give equal-area coordinates for equal-area sampling. The number of draws follows from the polygons' share of
-    the box, with ``slack`` and a margin of six standard deviations; a short draw is doubled until it holds ``n``.
+    Each group of ``keys`` is a set of polygons of its own. Running sums are within a polygon, and over the polygons' sums by slices of them, so no task holds all of either.
+    """
+    keys = list(keys)
+    shape = edges.withColumn("_polygon", F.struct(*keys, id_col)) if keys else edges.withColumn("_polygon", F.struct(id_col))
+    pieces = trapezoids(shape, "_polygon").select(*[F.col(f"id.{c}").alias(c) for c in keys], F.col(f"id.{id_col}").alias("id"), "k", "place", "y1", "y2", "left1", "left2", "right1", "right2")
+    pieces = cut(pieces.withColumn("area", (F.col("right1") - F.col("left1") + F.col("right2") - F.col("left2")) / 2.0 * (F.col("y2") - F.col("y1"))), "trapezoids")
+    total = pieces.groupBy(*keys).agg(F.sum("area").alias("total"))
+    units = F.round(F.col("area") / F.col("total") * AREA_UNITS).cast("bigint")
+    pieces = attach(pieces, total, keys).withColumn("units", units).filter("units > 0")
+    within = W.partitionBy(*keys, "id").orderBy("k", "place").rowsBetween(W.unboundedPreceding, -1)
+    local = cut(pieces.withColumn("inside", F.coalesce(F.sum("units").over(within), F.lit(0))).drop("area", "total"), "local-areas")
+    order = F.col("id") if dict(local.dtypes)["id"] in ("int", "bigint", "smallint", "tinyint") else F.xxhash64("id")
+    polygons = local.groupBy(*keys, "id").agg(F.sum("units").alias("own")).withColumn("_order", order)
+    before = running_totals(polygons, keys, "_order", ["own"]).select(*keys, "id", (F.col("cum_own") - F.col("own")).alias("first"), F.col("tot_own").alias("whole"))
+    placed = local.join(before, [*keys, "id"]).withColumn("before", F.col("first") + F.col("inside"))
+    return cut(placed.drop("inside", "first", "k", "place"), "area-index")
+
+
+def points_in_areas(index: DataFrame, draws: DataFrame, seed: str | int, draw: str = "draw", id_col: str = "basin_id", keys: Sequence[str] = ()) -> DataFrame:
+    """One uniform point for each row of ``draws`` (its columns, x, y, polygon) in the polygons of its group: every draw finds its place, none is refused.
+
+    Three numbers of the draw and ``seed`` (a number or a column) choose the trapezoid by running area, the height and the place at that height. The axis of running area is
+    cut into as many cells as there are trapezoids; a trapezoid is listed in the cells it reaches, so the lookup is an equi-join of about as many
+    rows as there are draws and trapezoids, and no cell is crowded with draws whatever the polygons' sizes. Draws of a group without area are lost.
     """
-    box, share = box_and_share(edges, id_col)
-    index = polygon_index(edges, id_col)
-    hits_of = lambda draws: locate(box_points(spark, box, draws, seed), index, "inner", "x", "y", id_col)
-    if n_draws is not None:
-        return first_draws(hits_of(n_draws), n)
-    if share <= 0:
+    keys = list(keys)
+    facts = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("whole").alias("_whole")).filter("_n > 0")
+    facts = cut(facts.select(*keys, "_whole", F.expr("(_whole + _n - 1) div _n").alias("_wide")), "areas")
+    if facts.isEmpty():
         raise ValueError("the polygons have no area to draw points in")
-    draws = math.ceil(slack * (n / share) + 6 * math.sqrt(n) / share + 100)
-    while True:
-        # Overlaps make the share too large, so a short draw goes on; the draws before stay as they are.
-        hits = cut(hits_of(draws), "random-points")
-        if hits.count() >= n:
-            return first_draws(hits, n)
-        draws *= 2
+    seed = F.col(seed) if isinstance(seed, str) else F.lit(seed)
+    key = F.col(draw)
+    number = lambda k: hashed_uniform(key, seed + STREAMS[k])
+    target = F.least(F.floor(number(0) * F.col("_whole").cast("double")), F.col("_whole") - 1)
+    aimed = attach(draws, facts, keys).withColumns({"_at": target, "_u": number(1), "_v": number(2)}).withColumn("_cell", F.expr("_at div _wide"))
+    listed = attach(index.drop("whole"), facts, keys).withColumn("_cell", F.explode(F.sequence(F.expr("before div _wide"), F.expr("(before + units - 1) div _wide"))))
+    listed = listed.select(*keys, "_cell", *[F.col(c).alias(f"_t_{c}") for c in ("id", "before", "units", "y1", "y2", "left1", "left2", "right1", "right2")])
+    met = aimed.join(listed, [*keys, "_cell"])
+    met = met.filter((F.col("_at") >= F.col("_t_before")) & (F.col("_at") < F.col("_t_before") + F.col("_t_units")))
+    w1, w2 = F.col("_t_right1") - F.col("_t_left1"), F.col("_t_right2") - F.col("_t_left2")
+    # the share of the height below which a share u of the area lies
+    rise = F.col("_u") * (w1 + w2) / F.greatest(w1 + F.sqrt(F.greatest(w1 * w1 + F.col("_u") * (w2 * w2 - w1 * w1), F.lit(0.0))), F.lit(1e-300))
+    met = met.withColumn("_t", F.least(rise, F.lit(1.0)))
+    between = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * F.col(t)
+    met = met.withColumns({"_l": between("_t_left1", "_t_left2", "_t"), "_r": between("_t_right1", "_t_right2", "_t")})
+    return met.select(*draws.columns, between("_l", "_r", "_v").alias("x"), between("_t_y1", "_t_y2", "_t").alias("y"), F.col("_t_id").alias(id_col))
+
+
+def random_points_in_polygons(spark, edges: DataFrame, n: int, seed: int, id_col: str = "basin_id") -> DataFrame:
+    """``n`` uniform points in the polygons: (draw, x, y, id). Where polygons overlap, each has its own points.
+
+    Give equal-area coordinates for equal-area sampling.
+    """
+    return points_in_areas(area_index(edges, id_col), spark.range(n).withColumnRenamed("id", "draw"), seed, "draw", id_col)
+
+
+def grouped_draws(sizes: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:
+    """Rows (keys, other columns, draw) with draw = 0 .. count - 1 of each row of ``sizes``; a group of any size is made in pieces."""
+    pieces = sizes.filter(F.col(count) > 0).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / PIECE))))
+    last = F.least(F.col("_piece") * PIECE + (PIECE - 1), F.col(count).cast("bigint") - 1)
+    return pieces.repartition(*keys, "_piece").withColumn("draw", F.explode(F.sequence(F.col("_piece") * PIECE, last))).drop("_piece", count)
 
 
 def disk_points(sites: DataFrame, site_id: str, n: int, radius: float, seed: int) -> DataFrame:

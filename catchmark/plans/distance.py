@@ -13,12 +13,14 @@ from catchmark.operators.lineage import cut
 from catchmark.operators.models import fit_distance_logit, presence_frame
 from catchmark.operators.nearest import nearest_distance
 from catchmark.operators.polygons import domain_filter
-from catchmark.operators.sampling import random_points_in_polygons
+from catchmark.operators.sampling import area_index, grouped_draws, points_in_areas
 from catchmark.operators.tables import one_to_one, union_parts
 from catchmark.sources.readers import DISTANCE_COLS, check_inputs, load_distances, major_rivers
 from catchmark.sources.writers import write_csv
 
 KINDS = ("River", "Lake", "Coast")
+# What a sector adds to the seed of its draw.
+SEED_OFFSETS = {"AI": 101, "Power": 202, "TRI": 303}
 
 
 def nearest_river_km(sites: DataFrame, segments: DataFrame, site_id: str, min_order: int = 5, depth: int | None = None) -> DataFrame:
@@ -118,12 +120,12 @@ def matched_distances(
     """
     edges = cut(project_edges(basin_edges), "edges")
     inside = cut(domain_filter(project_points(facilities), edges, "x", "y"), "domain-points")
-    sizes = {r["sector"]: r["count"] for r in inside.groupBy("sector").count().collect()}  # one row per sector
-    offsets = {"AI": 101, "Power": 202, "TRI": 303}
+    # as many draws for each sector, from one index of the basins' areas
+    offsets = F.create_map(*[F.lit(v) for pair in SEED_OFFSETS.items() for v in pair])
+    asked = cut(inside.groupBy("sector").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.coalesce(F.element_at(offsets, F.col("sector")), F.lit(0)) + seed), "asked")
+    drawn = points_in_areas(area_index(edges), grouped_draws(asked, ["sector"]), "seed")
     parts = [inside.select("sector", F.lit("sector").alias("grp"), F.col("site_id").alias("k"), "x", "y")]
-    for sector in sorted(sizes):
-        drawn = random_points_in_polygons(spark, edges, sizes[sector], seed + offsets.get(sector, 0))
-        parts.append(drawn.select(F.lit(sector).alias("sector"), F.lit("random").alias("grp"), F.col("draw").alias("k"), "x", "y"))
+    parts.append(drawn.select("sector", F.lit("random").alias("grp"), F.col("draw").alias("k"), "x", "y"))
     points = union_parts(*parts).withColumn("pid", F.concat_ws("|", "sector", "grp", F.col("k").cast("string")))
     points = cut(points.select("pid", "x", "y"), "points")
     found = nearest_distance(points, project_edges(major_rivers(segments, min_order)), "pid", depth=depth)
@@ -135,24 +137,16 @@ def matched_distances(
 
 
 def logit_table(distances: DataFrame) -> DataFrame:
-    """One logistic fit per sector on (sector, grp, dist_km), sorted by sector.
+    """One logistic fit per sector on (sector, grp, dist_km), sorted by sector; all sectors are fitted together.
 
-    The distances are written once: counts and every fitting pass of all sectors read them.
+    Sectors without either group have no row; a sector whose fit has no finite optimum has NULL results.
     """
     distances = cut(distances, "distances")
-    fits = []
-    for sector in sorted(r["sector"] for r in distances.select("sector").distinct().collect()):  # one row per sector
-        rows = distances.filter(F.col("sector") == sector)
-        frame = presence_frame(rows.filter("grp = 'sector'"), rows.filter("grp = 'random'"))
-        sides = rows.groupBy("grp").count().collect()  # at most two rows
-        if len(sides) == 2:
-            n = {r["grp"]: r["count"] for r in sides}
-            fits.append(
-                fit_distance_logit(frame).select(
-                    F.lit(sector).alias("sector"), F.lit(n["sector"]).alias("n_sector"), F.lit(n["random"]).alias("n_random"), "*"
-                )
-            )
-    return union_parts(*fits).orderBy("sector")
+    side = lambda g: F.count_if(F.col("grp") == g).alias(f"n_{g}")
+    sizes = distances.groupBy("sector").agg(side("sector"), side("random")).filter("n_sector > 0 and n_random > 0")
+    frame = presence_frame(distances.filter("grp = 'sector'"), distances.filter("grp = 'random'"), keys=["sector"])
+    fits = fit_distance_logit(frame, ["sector"])
+    return sizes.join(fits, "sector").orderBy("sector")
 
 
 def run(spark: SparkSession, paths: dict[tuple[str, str], str], out: str) -> dict[str, DataFrame]:

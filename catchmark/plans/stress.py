@@ -14,7 +14,7 @@ from catchmark.operators.contingency import chi_square, odds_ratio
 from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import attach
 from catchmark.operators.polygons import points_in_polygons
-from catchmark.operators.sampling import matched_polygons, random_points_in_polygons, reproducible_first
+from catchmark.operators.sampling import area_index, grouped_draws, points_in_areas, random_points_in_polygons, reproducible_first
 from catchmark.operators.tables import QUARTILES, TERTILES, attach_stress, bin_stress, class_counts, class_percents, cut_points, union_parts
 from catchmark.sources.readers import check_inputs, clean_edges, clean_stress, load_points, read_table
 from catchmark.sources.writers import cached_table, write_csv
@@ -60,27 +60,31 @@ def matched_reference(
     """
     if mode not in ("GLOBAL", "BASIN_MATCHED"):
         raise ValueError("mode must be GLOBAL or BASIN_MATCHED")
-    # each sector's draw starts from these three, so they are written once
-    facilities, binned, edges = cut(facilities, "facilities"), cut(binned, "binned"), cut(edges, "edges")
-    sizes = {r["sector"]: r["count"] for r in facilities.groupBy("sector").count().collect()}  # one row per sector
-    parts = []
+    # one index of the polygons' areas and one draw serve all sectors
+    facilities, binned = cut(facilities, "facilities"), cut(binned.select("basin_id", "pfaf_id", *BINS), "binned")
+    sizes = {r["sector"]: r["count"] for r in facilities.groupBy("sector").count().collect() if r["sector"] is not None}  # one row per sector
+    keys = ["sector"] if mode == "BASIN_MATCHED" else []
+    area = edges
+    if keys:
+        held = facilities.select("sector", "basin_id").filter("basin_id is not null").distinct()
+        area = edges.join(held, "basin_id")
+    index = area_index(area, keys=keys)
+    seeds = {s: BASE_SEED + SECTOR_SEED.get(s, 0) + MODE_SEED[mode] for s in sizes}
+    wanted = {s: max(n + POOL_LEAST, POOL_FACTOR * n) for s, n in sizes.items()}
+    pools, parts = dict.fromkeys(sizes), []
+    while short := [s for s in sizes if pools[s] is None]:
+        # Few classified basins leave few points of a pool: it grows until it holds enough.
+        asked = spark.createDataFrame([(s, seeds[s], wanted[s]) for s in short], "sector string, seed int, n long")
+        pool = cut(attach_bins(points_in_areas(index, grouped_draws(asked, ["sector"]), "seed", keys=keys), binned).drop("seed"), "pool")
+        got = {r["sector"]: r["count"] for r in pool.groupBy("sector").count().collect()}  # one row per sector
+        for s in short:
+            if got.get(s, 0) >= sizes[s]:
+                pools[s] = pool.filter(F.col("sector") == s)
+            elif not got.get(s, 0) and wanted[s] >= 1000 * (sizes[s] + POOL_LEAST):
+                raise ValueError(f"no classified basin to draw reference points of {s} in")
+            wanted[s] *= 2
     for sector in sorted(sizes, key=lambda s: (s not in SECTORS, SECTORS.index(s) if s in SECTORS else 0, s)):
-        n = sizes[sector]
-        area = edges
-        if mode == "BASIN_MATCHED":
-            area = cut(matched_polygons(edges, facilities.filter(F.col("sector") == sector)), "matched-edges")
-        seed, size = BASE_SEED + SECTOR_SEED.get(sector, 0) + MODE_SEED[mode], max(n + POOL_LEAST, POOL_FACTOR * n)
-        while True:
-            # Few classified basins leave few points of a pool: it grows until it holds enough.
-            pool = cut(attach_bins(random_points_in_polygons(spark, area, size, seed), binned), "pool")
-            got = pool.count()
-            if got >= n:
-                break
-            if not got and not size < 1000 * (n + POOL_LEAST):
-                raise ValueError(f"no classified basin to draw reference points of {sector} in")
-            size *= 2
-        chosen = reproducible_first(pool, "draw", n, SECTOR_SEED.get(sector, 0), must_fill=True)
-        parts.append(chosen.withColumn("sector", F.lit(sector)))
+        parts.append(reproducible_first(pools[sector], "draw", sizes[sector], SECTOR_SEED.get(sector, 0), must_fill=True))
     return union_parts(*parts)
 
 

@@ -166,15 +166,59 @@ def test_polygons_near_equals_brute_force(spark):
         assert got == {(i, b) for i, x, y in sites for b, p in polys.items() if inside(x, y, p) or min(seg_dist(x, y, *e[2:]) for e in p) <= radius}
 
 
-def test_random_points_are_reproducible_and_fail_when_short(spark):
-    edges = spark.createDataFrame(ring(1, [(0, 0), (4, 0), (4, 4), (0, 4)]) + ring(1, [(1, 1), (3, 1), (3, 3), (1, 3)], 1), EDGE)
-    assert sm.box_and_share(edges) == ((0.0, 0.0, 4.0, 4.0), pytest.approx(0.75))
-    rows = lambda n: sorted(tuple(r) for r in sm.random_points_in_polygons(spark, edges, n, 5).collect())
-    a = rows(500)
-    assert a == rows(500) and len(a) == 500
-    assert not any(1 < x < 3 and 1 < y < 3 for _, x, y, _ in a)
-    with pytest.raises(Exception, match="came up short"):
-        sm.random_points_in_polygons(spark, edges, 500, 5, n_draws=100).collect()
+SHAPES = {
+    1: ring(1, [(0, 0), (4, 0), (4, 4), (0, 4)]) + ring(1, [(1, 1), (3, 1), (3, 3), (1, 3)], 1),  # a hole: 12
+    2: ring(2, [(3, 3), (9, 3), (3, 9)]),  # over a corner of 1: 18
+    3: ring(3, [(10, 0), (12, 5), (14, 0), (12, 1)]) + ring(3, [(20, 0), (21, 0), (21, 1), (20, 1)], 1),  # an arrow and a far part
+    4: ring(4, [(0, 20), (1, 20), (1, 20), (0, 20)]),  # no area
+}
+
+
+def test_trapezoids_have_the_area_and_lie_inside(spark):
+    rng = random.Random(9)
+    polys = SHAPES | {10 + b: star(10 + b, rng.uniform(-5, 5), rng.uniform(-5, 5), rng.uniform(0.1, 4), 40, rng) for b in range(6)}
+    got = sm.trapezoids(spark.createDataFrame([e for p in polys.values() for e in p], EDGE)).collect()
+    for b, edges in polys.items():
+        own = [t for t in got if t["id"] == b]
+        area = sum((t["right1"] - t["left1"] + t["right2"] - t["left2"]) / 2 * (t["y2"] - t["y1"]) for t in own)
+        rings = {}
+        for e in edges:
+            rings[e[1]] = rings.get(e[1], 0) + (e[2] * e[5] - e[4] * e[3]) / 2
+        want = abs(rings[0]) - sum(abs(a) for r, a in rings.items() if r) if b != 3 else abs(rings[0]) + abs(rings[1])
+        assert area == pytest.approx(want, abs=1e-9)
+        for t in own:
+            middle = (t["left1"] + t["left2"] + t["right1"] + t["right2"]) / 4, (t["y1"] + t["y2"]) / 2
+            assert t["right1"] + t["right2"] - t["left1"] - t["left2"] < 1e-9 or inside(*middle, edges)
+
+
+def test_random_points_are_uniform_and_never_short(spark):
+    edges = spark.createDataFrame([e for p in SHAPES.values() for e in p], EDGE)
+    rows = lambda d, n: sorted(tuple(r) for r in sm.random_points_in_polygons(spark, d, n, 5).select("draw", "x", "y", "basin_id").collect())
+    got = rows(edges, 6000)
+    assert [r[0] for r in got] == list(range(6000)) and got == rows(edges.repartition(7), 6000)
+    assert all(inside(x, y, SHAPES[b]) for _, x, y, b in got)
+    areas = {1: 12.0, 2: 18.0, 3: 9.0}
+    for b, area in areas.items():
+        share = area / sum(areas.values())
+        assert sum(r[3] == b for r in got) == pytest.approx(6000 * share, abs=5 * math.sqrt(6000 * share))
+    # within the triangle the share below a line is that of its area there
+    own = [(x, y) for _, x, y, b in got if b == 2]
+    for low in (4, 5, 7):
+        for value in (sum(p[0] < low for p in own), sum(p[1] < low for p in own)):
+            share = 1 - ((9 - low) / 6) ** 2
+            assert value == pytest.approx(len(own) * share, abs=5 * math.sqrt(len(own) * 0.25))
+
+
+def test_draws_of_groups_use_their_own_polygons(spark, monkeypatch):
+    monkeypatch.setattr(sm, "PIECE", 64)
+    edges = spark.createDataFrame([(g, *e) for g, ids in (("a", (1,)), ("b", (2, 3)), ("flat", (4,))) for b in ids for e in SHAPES[b]], "grp string, " + EDGE)
+    sizes = spark.createDataFrame([("a", 200, 3), ("b", 301, 4), ("none", 0, 1), ("flat", 5, 1)], "grp string, n long, seed int")
+    draws = sm.grouped_draws(sizes, ["grp"])
+    assert sorted((r["grp"], r["n"], r["most"]) for r in draws.groupBy("grp").agg(F.count("*").alias("n"), F.max("draw").alias("most")).collect()) == [("a", 200, 199), ("b", 301, 300), ("flat", 5, 4)]
+    got = sm.points_in_areas(sm.area_index(edges, keys=["grp"]), draws, "seed", keys=["grp"]).collect()
+    assert sorted({(r["grp"], r["basin_id"]) for r in got}) == [("a", 1), ("b", 2), ("b", 3)] and len(got) == 501
+    with pytest.raises(ValueError, match="no area"):
+        sm.random_points_in_polygons(spark, spark.createDataFrame(SHAPES[4], EDGE), 5, 1)
 
 
 def test_reproducible_first_does_not_depend_on_partitions(spark):

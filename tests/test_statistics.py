@@ -12,6 +12,7 @@ from catchmark.functions.geometry import albers_constants
 from catchmark.operators import bootstrap as bs
 from catchmark.operators import distributions as ds
 from catchmark.operators import hydrology as hy
+from catchmark.functions import linear
 from catchmark.operators import models
 from catchmark.operators import tables as tb
 from catchmark.operators.contingency import chi_square, odds_ratio
@@ -266,5 +267,41 @@ def test_penalised_odds(spark):
     assert models.penalised_odds_ratios(df.limit(50), "y", ["a", "b"]).count() == 0
 
 
+def test_solver_equals_numpy(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5):
+        m = rng.normal(size=(n + 3, n)) * 10.0 ** rng.uniform(-3, 3, n)
+        a, b = m.T @ m, rng.normal(size=n)
+        df = spark.createDataFrame([([float(a[i, j]) for i in range(n) for j in range(i + 1)], [float(v) for v in b])], "a array<double>, b array<double>")
+        factor = df.select("b", linear.cholesky(F.col("a"), n).alias("l"))
+        z = factor.select("l", linear.forward(F.col("l"), F.col("b"), n).alias("z"))
+        x = np.array(z.select(linear.backward(F.col("l"), F.col("z"), n).alias("x")).first()["x"])
+        assert np.allclose(a @ x, b, rtol=1e-8)
+        assert np.allclose(z.select(linear.inverse_diagonal(F.col("l"), n).alias("d")).first()["d"], np.diag(np.linalg.inv(a)), rtol=1e-6)
+    flat = spark.createDataFrame([([1.0, 2.0, 4.0],), ([1.0, 0.0, -1.0],)], "a array<double>")
+    assert [r["l"] for r in flat.select(linear.cholesky(F.col("a"), 2).alias("l")).collect()] == [None, None]
+
+
+def test_groups_are_fitted_together(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for name, n, slope in (("large", 4000, 0.4), ("small", 60, -1.0), ("steep", 300, 6.0)):
+        x = rng.normal(size=n) * 2 + 1
+        y = (rng.uniform(size=n) < 1 / (1 + np.exp(-(0.3 + slope * x)))).astype(float)
+        rows += [(name, float(b), float(a)) for a, b in zip(x, y)]
+        beta, se, _ = newton_logit(x[:, None], y)
+        eta = beta[0] + beta[1] * x
+        want[name] = beta, se, (y * eta - np.logaddexp(0, eta)).sum()
+    rows += [("parted", 0.0, 1.0), ("parted", 0.0, 2.0), ("parted", 1.0, 3.0), ("one", 1.0, 1.0), ("one", 1.0, 2.0), ("flat", 0.0, 2.0), ("flat", 1.0, 2.0), ("small", None, 1.0), ("small", 1.0, None)]
+    got = {r["g"]: r for r in models.fit_logistic(spark.createDataFrame(rows, "g string, y double, x double").repartition(5), ["g"], "y", ["x"]).collect()}
+    for name, (beta, se, loglik) in want.items():
+        r = got[name]
+        assert r["converged"] and r["coef"] == pytest.approx(beta, rel=1e-7) and np.sqrt(r["variance"]) == pytest.approx(se, rel=1e-5) and r["loglik"] == pytest.approx(loglik, rel=1e-9)
+    assert got["small"]["n"] == 60
+    for name in ("parted", "one", "flat"):
+        assert (got[name]["converged"], got[name]["coef"], got[name]["loglik"]) == (False, None, None)
+    assert models.fit_logistic(spark.createDataFrame([], "g string, y double, x double"), ["g"], "y", ["x"]).count() == 0
+
+
 def test_albers_constants_are_plausible():
     assert albers_constants()["n"] == pytest.approx(0.6029, abs=1e-4)
