@@ -6,8 +6,8 @@ edges. Membership is crossing parity with points on the boundary excluded.
 ``polygon_index`` turns the edges into grid cells that hold, for each polygon that reaches the cell, only the edges a
 point in that cell has to look at. Cells come in powers of two and each polygon takes the size that fits it: its width,
 and less the more edges it has. So a cell meets few polygons and few edges of each, however many polygons there are.
-Locating points is an equi-join on the cell for each size in use: the point side is never exploded or regrouped, keeps
-all its columns, and a crowded cell can be split by adaptive skew handling because the other side has one row.
+Locating points is an equi-join on the cell: no point is regrouped, all keep their columns, and a crowded cell can be
+split by adaptive skew handling because the other side has one row. On which side of an edge a point lies is decided exactly (``functions.exact``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catchmark.functions.exact import bound, side_of_line
 from catchmark.functions.geometry import segment_distance
 from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import require
@@ -70,47 +71,57 @@ def polygon_index(edges: DataFrame, id_col: str = "basin_id") -> DataFrame:
 
 
 def _crossings(poly: Column, px: Column, py: Column) -> Column:
-    """Number of crossings right of the point, or -1 when the point lies on an edge."""
+    """Number of crossings right of the point, or -1 when the point lies on an edge. Decided exactly, however close the point is."""
 
-    def step(acc, e):
+    def met(acc, e):
         x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
-        on_line = (px - x1) * (y2 - y1) - (py - y1) * (x2 - x1) == 0
-        on_edge = on_line & px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
-        crosses = ((y1 > py) != (y2 > py)) & (px < x1 + (py - y1) * (x2 - x1) / F.when(y2 != y1, y2 - y1))
-        return F.when((acc < 0) | on_edge, -1).when(crosses, acc + 1).otherwise(acc)
+        beside = ((y1 > py) & (y2 > py)) | ((y1 < py) & (y2 < py)) | ((px > x1) & (px > x2))
+        straddles = (y1 > py) != (y2 > py)
+        ahead = lambda side: F.when(side == 0, -1).when(straddles & ((side > 0) == (y2 > y1)), acc + 1).otherwise(acc)
+        # in the edge's box its line decides; left of the box the ray meets whatever straddles it
+        left = F.when(straddles, acc + 1).otherwise(acc)
+        return F.when((acc < 0) | beside, acc).when((px < x1) & (px < x2), left).otherwise(bound(side_of_line(px, py, x1, y1, x2, y2), ahead))
 
-    return F.aggregate(poly["edges"], poly["base"], step)
+    return F.aggregate(poly["edges"], poly["base"], met)
 
 
 def locate(points: DataFrame, index: DataFrame, how: str = "left", x: str = "lon", y: str = "lat", out: str = "basin_id") -> DataFrame:
     """Attach the id of the polygon a point lies in.
 
     ``left`` keeps unmatched points with NULL, ``inner`` drops them; overlapping polygons give one row each in
-    both. ``semi`` keeps each matched point once, without an id. The driver reads the sizes of cells in use.
+    both. ``semi`` keeps each matched point once, without an id.
+
+    ``inner`` is one join: a point is listed in its cell of each size in use, so points are moved at most once. The others join one size after the
+    other, as what a point met must be on one row; the driver reads the sizes for that.
     """
     px, py = F.col(x), F.col(y)
 
     def inside(poly):
-        n = _crossings(poly, px, py)
-        return (n > 0) & (n % 2 == 1)
+        return _crossings(poly, px, py) % 2 == 1  # -1 % 2 is -1
 
     hits = lambda: F.transform(F.filter("_polys", inside), lambda poly: poly["id"])
+    if how == "inner":
+        levels = F.broadcast(index.agg(F.collect_set("level").alias("_levels")))  # one row of a few sizes
+        spread = points.crossJoin(levels).withColumn("_level", F.explode("_levels")).drop("_levels")
+        size = _power(F.col("_level"))
+        placed = spread.withColumns({"_cx": _cell(px, size), "_cy": _cell(py, size)})
+        cells = index.select(F.col("level").alias("_level"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("polys").alias("_polys"))
+        return placed.join(cells, ["_level", "_cx", "_cy"]).select(*points.columns, F.explode(hits()).alias(out))
     levels = sorted(r["level"] for r in index.select("level").distinct().collect())
     kind = dict(index.select(F.explode("polys.id").alias("id")).dtypes)["id"]
-    found, single = points, how != "left" and len(levels) == 1
+    found = points
     gathered = F.array().cast(f"array<{kind}>")
     for k, level in enumerate(levels):
         placed = found.withColumns({"_cx": _cell(px, 2.0**level), "_cy": _cell(py, 2.0**level)})
         cells = index.filter(F.col("level") == level).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("polys").alias("_polys"))
-        joined = placed.join(cells, ["_cx", "_cy"], "inner" if single else "left")
+        joined = placed.join(cells, ["_cx", "_cy"], "left")
         own = F.coalesce(hits(), gathered)
         found = joined.select(*points.columns, (F.concat("_hits", own) if k else own).alias("_hits"))
     if not levels:
         found = points.withColumn("_hits", gathered)
     if how == "semi":
         return found.filter(F.size("_hits") > 0).select(*points.columns)
-    explode = F.explode_outer if how == "left" else F.explode
-    return found.select(*points.columns, explode("_hits").alias(out))
+    return found.select(*points.columns, F.explode_outer("_hits").alias(out))
 
 
 def points_in_polygons(points, edges, how="left", x="lon", y="lat", id_col="basin_id") -> DataFrame:

@@ -29,7 +29,7 @@ def regional_shares(
 ) -> DataFrame:
     """Count, percent and class per sector and region; the total is all domain points unless ``assigned_total``."""
     regions = padded_regions(region_edges)
-    inside = domain_points(facilities, basin_edges)
+    inside = cut(domain_points(facilities, basin_edges).select("sector", "x", "y"), "domain-points")  # for shares and totals
     located = points_in_polygons(inside, project_edges(regions), "inner", "x", "y", "huc2")
     totals = None if assigned_total else inside.groupBy("sector").agg(F.count(F.lit(1)).alias("total"))
     return region_shares(regions, located, totals)

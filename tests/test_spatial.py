@@ -2,10 +2,12 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from catchmark.functions.exact import exact_sign
 from catchmark.operators import polygons as pg
 from catchmark.operators import sampling as sm
 from catchmark.operators.nearest import nearest_distance, nearest_features
@@ -76,6 +78,70 @@ def test_pip_equals_brute_force(spark, per_cell, monkeypatch):
     assert got == want
 
 
+def exact_place(x, y, edges):
+    """None on the boundary, else whether inside, with rational numbers."""
+    x, y, odd = Fraction(x), Fraction(y), False
+    for _, _, *e in edges:
+        x1, y1, x2, y2 = map(Fraction, e)
+        side = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
+        if side == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return None
+        if (y1 > y) != (y2 > y) and (side > 0) == (y2 > y1):
+            odd = not odd
+    return odd
+
+
+def test_boundary_points_are_decided_exactly(spark):
+    rng = random.Random(21)
+    polys, pts = {}, []
+    for b in range(8):
+        corners = [(rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(3)]
+        polys[b] = ring(b, corners)
+        for _ in range(60):  # on a slanted edge as near as doubles come, and up to two steps beside it
+            (x1, y1), (x2, y2) = rng.sample(corners, 2)
+            t = rng.choice([0.5, 0.25, rng.random()])
+            x, y = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+            for _ in range(rng.randrange(3)):
+                x, y = math.nextafter(x, rng.choice([-9, 9])), math.nextafter(y, rng.choice([-9, 9]))
+            pts.append((len(pts), x, y))
+    polys[100] = ring(100, [(0.1, 0.1), (0.7, 0.7), (0.1, 0.7)])
+    pts += [(len(pts) + k, k / 64, k / 64) for k in range(7, 45)] + [(9000 + k, 0.1 + k * 1e-17, 0.1) for k in range(3)]  # exactly on a diagonal
+    pts += [(9100 + k, *c) for k, c in enumerate(p for b in range(8) for _, _, *p in [e[:4] for e in polys[b]])]  # corners
+    edges = spark.createDataFrame([e for p in polys.values() for e in p], EDGE)
+    got = {(r["id"], r["basin_id"]) for r in pg.points_in_polygons(spark.createDataFrame(pts, "id long, lon double, lat double"), edges, "inner").collect()}
+    want = {(i, b) for i, x, y in pts for b, e in polys.items() if exact_place(x, y, e)}
+    assert got == want
+    assert sum(exact_place(x, y, polys[100]) is None for i, x, y in pts) > 30
+    plain = {(i, b) for i, x, y in pts for b, e in polys.items() if inside(x, y, e)}
+    assert plain != want  # doubles alone get some wrong
+
+
+def test_exact_sign_of_sums(spark):
+    rng = random.Random(4)
+    cases = [[1e100, 1.0, -1e100], [1e100, -1e100], [], [0.0], [2.0**53, 1.0, -(2.0**53), -1.0], [1e16, 1.0, 1.0, -1e16, -2.0, 1e-300]]
+    cases += [[rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randrange(-60, 60) for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+    cases += [c + [-sum(c)] for c in cases[6:40]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c array<double>")
+    got = {r["i"]: r["s"] for r in df.select("i", exact_sign(F.col("c")).alias("s")).collect()}
+    total = [sum(map(Fraction, c)) for c in cases]
+    assert got == {i: (t > 0) - (t < 0) for i, t in enumerate(total)}
+
+
+def test_points_are_moved_once(spark):
+    squares = [e for k in range(6) for e in ring(k, [(0, 0), (2**k, 0), (2**k, 2**k), (0, 2**k)])]  # six sizes of cells
+    index = pg.polygon_index(spark.createDataFrame(squares, EDGE))
+    points = spark.range(50).selectExpr("id", "id * 0.6 + 0.3 as lon", "id * 0.6 + 0.3 as lat")
+    assert index.select("level").distinct().count() >= 5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = pg.locate(points, index, "inner")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == sum(0.6 * i + 0.3 < 2**k for i in range(50) for k in range(6))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_polygons_per_cell_stay_level(spark):
     most = []
     for side in (6, 24):
