@@ -20,7 +20,7 @@ from catchmark.operators.ordered import exact_quantiles
 from catchmark.operators.polygons import points_in_polygons, reach_map
 from catchmark.operators.tables import master_table, overlapping_groups, presence_table, union_parts
 from catchmark.sources.readers import check_inputs, clean_edges, load_points, read_table
-from catchmark.sources.writers import cached_table, write_csv
+from catchmark.sources.writers import cached_table, resumed_table, write_csv
 
 TESTED = ("RBI", "season_conc", "CVQ")
 TABLE_METRICS = ("meanQ", "CVQ", "Q10", "Q90", "RBI", "season_conc")
@@ -124,16 +124,22 @@ def run(
     spark: SparkSession, points: dict[str, str], basins: str, basin_edges: str, reaches: str, flow: str, out: str,
     start: str = START, end: str = END, recompute: bool = False,
 ) -> dict[str, DataFrame]:
-    """Whole analysis from input paths; ``recompute`` rebuilds the final metrics, the other caches are reused."""
+    """Whole analysis from input paths; ``recompute`` rebuilds the basins' metrics, the other caches are reused.
+
+    Metrics of reaches are built in parts: a run that broke off goes on with the reaches that are left, as does one with more reaches.
+    """
     check_inputs(spark, [*points.values(), basins, basin_edges, reaches, flow])
     edges = clean_edges(read_table(spark, basin_edges), "basin_id")
     facilities = union_parts(*[load_points(spark, path, s, pick="last_exact").select("sector", "lon", "lat") for s, path in points.items()])
     presence = cut(presence_table(read_table(spark, basins).select("basin_id"), points_in_polygons(facilities, edges, "inner")), "presence")
     mapping = cached_table(spark, f"{out}/cache/reach_map", lambda: reach_map(read_table(spark, reaches), edges), reaches=reaches, edges=basin_edges)
     top = cut(hy.top_reaches(mapping), "top-reaches")
+    per_reach = lambda: resumed_table(
+        spark, f"{out}/cache/reach_metrics", top.select("feature_id"), lambda some: reach_metrics(read_table(spark, flow), some, start, end),
+        start=start, end=end, flow=flow,
+    )
     metrics = cached_table(
-        spark, f"{out}/cache/basin_metrics",
-        lambda: hy.basin_metrics(reach_metrics(read_table(spark, flow), top, start, end), top), recompute,
+        spark, f"{out}/cache/basin_metrics", lambda: hy.basin_metrics(per_reach(), top), recompute,
         start=start, end=end, flow=flow, reaches=reaches, edges=basin_edges,
     )
     master = cached_table(spark, f"{out}/cache/master", lambda: master_table(presence, metrics), recompute=True)
