@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchmark.llm.word_cache import pieces_of
+from catchmark.llm.workers import held, only
 
 DIMENSIONS, SEED, UNDETERMINED = 1024, 20, "und"
 DENSE = 1 << 20
@@ -33,6 +34,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+@held
 @lru_cache(maxsize=20_000)
 def letter_vector(code: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     return (np.random.Generator(np.random.PCG64([SEED, code])).integers(0, 2, dimensions, np.int8) * 2 - 1).astype(np.int8)
@@ -149,6 +151,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only(letter_vector)
         for texts in batches:
             rows = texts.tolist()
             names, scores = [], []

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from catchmark.llm.components import components
 from catchmark.llm.word_cache import Words, pieces_of
 from catchmark.operators.lineage import cut
+from catchmark.llm.workers import only
 
 N, PERCENT = 5, 75
 SCREEN_SHARE = 10
@@ -108,6 +109,7 @@ def _sized(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n, node (id of the set), prefix (48 bits of each hash of the screening prefix)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces_of([x or "" for x in texts]):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from catchmark.llm.word_cache import BLANK, WordIds, Words, pieces_of
+from catchmark.llm.workers import held, only
 
 MARK = "▁"
 #: Kinds of pieces and models in the public protobuf schema (fixed values).
@@ -207,6 +208,7 @@ class Codec:
         return text[1:] if self.model.add_dummy_prefix and text.startswith(" ") else text
 
 
+@held
 @lru_cache(maxsize=2)
 def _codec(path: str) -> Codec:
     return Codec(path)
@@ -220,6 +222,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", to: str = "ids"
     place = plain.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_codec)
         codec = _codec(model_path)
         for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             rows = batch.column(place).to_pylist()
@@ -240,6 +243,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", to: str = "tex
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only(_codec)
         codec = _codec(model_path)
         for rows in batches:
             yield pd.Series([None if x is None else codec.decode(np.asarray(x, np.int64)) for x in rows], dtype=object)
@@ -252,6 +256,7 @@ def summary(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
 
     @F.pandas_udf("struct<n_tokens: bigint, ids_crc32: bigint, parity: boolean, round_trip: boolean>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only(_codec)
         codec = _codec(model_path)
         for texts in batches:
             rows = texts.tolist()

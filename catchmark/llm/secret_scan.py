@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catchmark.llm.workers import held, only
+
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,6 +42,7 @@ SCHEMA = T.StructType([
 ])
 
 
+@held
 @lru_cache(maxsize=2)
 def _vocabulary(path: str):
     import public_tokenizers
@@ -77,6 +80,7 @@ def with_spans(docs: DataFrame, vocabulary: str, text: str = "text", to: str = "
 
     @F.pandas_udf(T.ArrayType(SCHEMA))
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only(_vocabulary)
         encoding = _vocabulary(vocabulary)
         for texts in batches:
             yield pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(x, encoding, limit)] for x in texts])
@@ -119,6 +123,7 @@ def redact(docs: DataFrame, vocabulary: str, mask: str = "[SECRET]", text: str =
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only(_vocabulary)
         encoding = _vocabulary(vocabulary)
         for texts in batches:
             yield pd.Series([x if x is None else mask_text(x, [(a, b) for _, a, b in find_spans(x, encoding)], mask) for x in texts], dtype=object)

@@ -22,6 +22,8 @@ from catchmark.operators.lineage import shared_folder
 #: A text of ENOUGH_CHARS whose cosine with every language is lower than LEAST_SCORE is in none of them; a shorter one tells too
 #: little and stays.
 LEAST_SCORE, ENOUGH_CHARS = 0.10, 200
+#: Rows of an Arrow batch and bytes of a Parquet row group: a worker and a writer hold one each, of whole texts.
+BATCH_ROWS, GROUP_BYTES = 1000, 16 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -63,8 +65,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each from what the one before has written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        for name, stage in STAGES:
+            path = f"{folder}/{name}"
+            stage(spark, docs, sf_dir).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     return docs
