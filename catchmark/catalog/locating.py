@@ -355,3 +355,36 @@ def matched_ctes() -> tuple[list[tuple[str, str]], str]:
 
 _MATCHED, _MATCHED_ROWS = matched_ctes()
 QUERIES["matched_reference"] = Query(matched_reference, sql(FAC_INPUT, _MATCHED_ROWS, *_MATCHED))
+
+
+def first_by_bytes(spark, d):
+    """The first tenth of all sites in the order of their coordinates' bytes."""
+    sites = fx(spark, d, "facilities")
+    return sm.first_by_bytes(sites, sites.count() // 10, "lon", "lat").select("sector", "site_id", r6("lon").alias("lon"), r6("lat").alias("lat"))
+
+
+def bytes_ctes(source: str, columns: tuple[str, ...]) -> tuple[tuple[str, str], ...]:
+    """``hexed``: ``source`` with h_<column>, the bytes of doubles between 2^-100 and 2^100 in size, least significant first, as hex digits."""
+    each = lambda form: ", ".join(form(c) for c in columns)
+    fit = "CASE WHEN abs({0}) >= pow(2e0, f_{0} + 1) THEN f_{0} + 1 WHEN abs({0}) < pow(2e0, f_{0}) THEN f_{0} - 1 ELSE f_{0} END AS e_{0}"
+    whole = (
+        "cast(abs({0}) * pow(2e0, 52 - e_{0}) AS hugeint) - 4503599627370496 + (cast(e_{0} AS hugeint) + 1023) * 4503599627370496 "
+        "+ CASE WHEN {0} < 0 THEN cast(9223372036854775808 AS hugeint) ELSE 0 END AS w_{0}"
+    )
+    pairs = lambda c: " || ".join(f"lpad(hex(cast(w_{c} // {256**k} % 256 AS integer)), 2, '0')" for k in range(8)) + f" AS h_{c}"
+    return (
+        ("logs", f"SELECT *, {each('floor(log2(abs({0}))) AS f_{0}'.format)} FROM {source}"),
+        ("exps", f"SELECT *, {each(fit.format)} FROM logs"),
+        ("bits", f"SELECT *, {each(whole.format)} FROM exps"),
+        ("hexed", f"SELECT *, {each(pairs)} FROM bits"),
+    )
+
+
+QUERIES["first_by_bytes"] = Query(
+    first_by_bytes,
+    sql(
+        ["facilities"],
+        f"SELECT sector, site_id, {R('lon')} AS lon, {R('lat')} AS lat FROM (SELECT *, row_number() OVER (ORDER BY h_lon, h_lat) AS rn FROM hexed) AS t WHERE rn <= {_N} // 10",
+        *bytes_ctes("facilities", ("lon", "lat")),
+    ),
+)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catchmark.functions.bits import little_endian_hex, low_bytes
 from catchmark.functions.random import MODULUS, hash31, hashed_uniform
 from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import attach, first_n_by, running_totals
@@ -132,6 +133,15 @@ def reproducible_first(df: DataFrame, key: str, n: int, seed: int = 0, must_fill
     return first_n_by(df, hash31(F.col(key), seed), MODULUS, key, n, must_fill=must_fill)
 
 
+def first_by_bytes(df: DataFrame, n: int, x: str = "x", y: str = "y", must_fill: bool = False) -> DataFrame:
+    """The ``n`` points first in the order of their binary text form: by the bytes of x, least significant first, then of y.
+
+    Low mantissa bytes come first, so this is a scatter sample too; equal points are interchangeable. Points without finite coordinates are left out.
+    """
+    placed = df.withColumn("_bytes", F.concat(little_endian_hex(F.col(x)), little_endian_hex(F.col(y)))).filter("_bytes is not null")
+    return first_n_by(placed, low_bytes(F.col(x)), 1 << 16, "_bytes", n, must_fill=must_fill).drop("_bytes")
+
+
 def matched_polygons(edges: DataFrame, located: DataFrame, id_col: str = "basin_id") -> DataFrame:
     """Edges of only those polygons that hold at least one of the located points."""
     held = located.select(id_col).filter(F.col(id_col).isNotNull()).distinct()

@@ -122,3 +122,35 @@ def test_segment_distance(spark):
     df = spark.createDataFrame([(5.0, 3.0, 0.0, 10.0), (13.0, 4.0, 0.0, 10.0), (3.0, 4.0, 0.0, 0.0)], "px double, py double, x1 double, x2 double")
     d = geometry.segment_distance(F.col("px"), F.col("py"), F.col("x1"), F.lit(0.0), F.col("x2"), F.lit(0.0))
     assert [r[0] for r in df.select(d).collect()] == [3.0, 5.0, 5.0]
+
+
+def test_bytes_of_doubles(spark):
+    import random
+    import struct
+
+    from catchmark.functions.bits import double_bits, little_endian_hex, low_bytes
+
+    rng = random.Random(6)
+    values = [0.0, -0.0, 1.0, -1.0, 0.1, -96.5, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 2.0**-1022, 0.9999999999999999, 1.0000000000000002]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64) & ~(1 << 62) | (rng.getrandbits(1) << 54)))[0] for _ in range(200)]
+    values += [s * math.nextafter(2.0**k, t) for k in range(-40, 40, 7) for t in (0, 1e9, 2.0**k) for s in (1, -1)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None), (-2, float("nan")), (-3, float("inf"))], "i int, v double")
+    got = {r["i"]: r for r in df.select("i", double_bits(F.col("v")).alias("b"), little_endian_hex(F.col("v")).alias("h"), low_bytes(F.col("v")).alias("low")).collect()}
+    for i, v in enumerate(values):
+        packed = struct.pack("<d", v)
+        assert (got[i]["b"], got[i]["h"], got[i]["low"]) == (struct.unpack("<q", packed)[0], packed.hex().upper(), packed[0] * 256 + packed[1]), v
+    assert all(got[i]["b"] is None and got[i]["h"] is None for i in (-1, -2, -3))
+
+
+def test_first_points_by_their_bytes(spark):
+    import random
+    import struct
+
+    from catchmark.operators.sampling import first_by_bytes
+
+    rng = random.Random(2)
+    points = [(i, rng.uniform(-120, -70), rng.uniform(25, 50)) for i in range(500)] + [(500 + i, float(-100 + i % 3), float(30 + i)) for i in range(40)]
+    df = spark.createDataFrame([*points, (999, None, 1.0), (998, float("nan"), 2.0)], "i int, x double, y double").repartition(5)
+    want = sorted(points, key=lambda p: struct.pack("<dd", p[1], p[2]).hex())
+    for n in (1, 25, 300):
+        assert {r["i"] for r in first_by_bytes(df, n).collect()} == {p[0] for p in want[:n]}
