@@ -25,7 +25,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[ \t-\r]+|[ \t-\r]+\z", "")
+    trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
     return once(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE)))
 
 
@@ -47,11 +47,6 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merge_all(column: Column, k: int = K) -> Column:
-    """Aggregate: the sketch of many. Not bounded by one array of all: use ``merge_groups`` for groups that may be large."""
-    return bottom(F.flatten(F.collect_list(column)), k)
-
-
 def merge_groups(sketches: DataFrame, keys: list[str], column: str, k: int = K) -> DataFrame:
     """One merged sketch for each group, of any size: each hash is a row, duplicates go first, then the k smallest are kept."""
     hashes = sketches.select(*keys, F.explode(column).alias("_h")).distinct()

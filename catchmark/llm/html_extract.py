@@ -12,7 +12,11 @@ Pages without a main slot give all their other slots. Words never hide the page,
 Vectors are never gathered: a token's vector is the XOR of hashes of (page, count) over its pages, so it is combined in each task
 before it is shuffled, and a host may hold any share of the pages.
 
-Cases: null or empty html gives an empty text; markup that is broken or unclosed is read as far as it goes; a host with one page
+A form is chrome unless it holds more than half of the slot's text and less than half of that directly or in labels; then it only wraps the page.
+
+Cases: null or empty html gives an empty text; markup that is broken or unclosed is read as far as it goes, in linear time: a button ends where a
+paragraph, heading, list, table or section opens, places deeper than 512 elements count as their ancestor there; scripts, styles, templates, titles,
+drawings and fields are left out with all they hold; a host with one page
 has only that page's template; a null URL counts as host ''; equal pages repeat; extra columns are not read. Words of one block stay
 in one piece over inline elements, blocks and line breaks part them.
 """
@@ -34,18 +38,25 @@ from catchmark.operators.lineage import cut
 
 SUPPORT, KEPT_SHARE, MIN_PAGES = 0.5, 0.2, 5
 BROADCAST_HOSTS, SALTS = 20_000, 16
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+TAG_END = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Elements left out with all they hold, and those of them that run to the end of the page where they are never closed.
+UNREAD = frozenset("script style noscript template textarea title svg iframe select".split())
+RAW = frozenset("script style noscript textarea title iframe".split())
+#: Places deeper than this count as their ancestor at this depth.
+DEPTH = 512
+#: Paths hold at most so many characters of an element's words, then a hash of them.
+WORDS_CHARS = 200
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Element names of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold the page or name its text: words never make them chrome.
 UNWORDED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
-CHROME = frozenset("nav header footer aside form dialog menu button head".split())
+CHROME = frozenset("nav header footer aside dialog menu button head".split())
+#: A button ends where one of these opens in it; in a form, text directly in it or in these labels is the form's own.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 section article main ul ol table blockquote pre".split())
+LABELS = frozenset("form label legend fieldset option".split())
 #: Words in class, id or role that tell what an element is for (fixed values).
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent discussion disqus "
@@ -69,48 +80,84 @@ def slots(html: str | None) -> Iterator[tuple[str, bool, bool, str, bool]]:
         yield path, chrome or bool(worded), main, text, opens
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, element name, closing, attributes) of each tag in page order; comments, declarations and elements that are left out come
+    with an empty name and the closing flag telling that they break the text. Every character is looked at a bounded number of times: after one tag
+    whose quotes never end, tags end at their first '>', and a name whose end isn't found is not looked for again."""
+    at, quoted, endless = 0, True, set()
+    while m := OPENING.search(page, at):
+        start, name = m.start(), (m[2] or "").lower()
+        if not name:
+            comment = m[0] == "<!--"
+            end = page.find("-->" if comment else ">", m.end())
+            at = end + (3 if comment else 1) if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        if name in UNREAD and not m[1] and name not in endless:
+            closing = re.compile(rf"</{name}\s*+>", re.I).search(page, m.end())
+            if closing or name in RAW:
+                at = closing.end() if closing else len(page)
+                yield start, at, "", True, ""
+                continue
+            endless.add(name)
+        found = TAG_END.match(page, m.end()) if quoted else None
+        quoted = quoted and found is not None
+        end = found.end() if found else page.find(">", m.end()) + 1
+        at = end or len(page)
+        yield start, at, name if end else "", bool(m[1]) and bool(end), page[m.end() : at - 1] if end else ""
+
+
 def pieces_of(html: str | None) -> Iterator[tuple[str, bool, tuple[tuple[str, bool], ...], bool, str, bool]]:
-    """As ``slots``, with chrome by element name apart from the elements around that are chrome by their words alone: their paths,
-    and whether they lie inside a main element."""
+    """As ``slots``, with chrome by element name apart from the elements around that are chrome by their words alone, or forms: their
+    paths, and whether they lie inside a main element."""
     stack: list[tuple[str, str, bool, tuple[tuple[str, bool], ...], bool]] = []  # name, path, chrome, worded, main
+    opened: Counter = Counter()
     at, page = 0, html or ""
 
     def here() -> tuple[str, bool, tuple[tuple[str, bool], ...], bool]:
         return stack[-1][1:] if stack else ("", False, (), False)
 
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            yield (*here(), page[at : m.start()], False)
-        at = m.end()
-        if m[1]:
-            yield (*here(), "", False)
-            continue
-        if not m[3]:
+    def close(depth: int) -> None:
+        opened.subtract(x[0] for x in stack[depth:])
+        del stack[depth:]
+
+    for start, end, name, closing, attributes in markup(page):
+        if start > at:
+            yield (*here(), page[at:start], False)
+        at = end
+        if not name:
+            if closing:
+                yield (*here(), "", False)
             continue
-        name = m[3].lower()
-        if name in INLINE:
-            continue
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            yield (*here(), "", False)
-            if depth is not None:
-                del stack[depth:]
+        if name in INLINE or name in UNREAD:
             continue
         yield (*here(), "", False)
+        if closing:
+            if opened[name] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            continue
         if name in VOID:
             continue
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            stack.pop()
-        words = _words(m[4])
+        if stack and (name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == name or name in BLOCKS and stack[-1][0] == "button"):
+            close(len(stack) - 1)
+        words = _words(attributes)
         path, chrome, worded, main = here()
-        own = name if not words else name + "." + ".".join(words)
-        if name not in UNWORDED and not CHROME_WORDS.isdisjoint(words):
-            worded = (*worded, (f"{path}/{own}", main))
-        stack.append((name, f"{path}/{own}", chrome or name in CHROME, worded, main or name in ("article", "main") or not MAIN_WORDS.isdisjoint(words)))
+        if len(stack) < DEPTH:
+            said = ".".join(words)
+            if len(said) > WORDS_CHARS:
+                said = ".".join([*sorted(set(words) & (CHROME_WORDS | MAIN_WORDS)), f"{xxhash.xxh64_intdigest(said):016x}"])
+            path = f"{path}/{name}.{said}" if words else f"{path}/{name}"
+            if name == "form" or name not in UNWORDED and not CHROME_WORDS.isdisjoint(words):
+                worded = (*worded, (path, main))
+        opened[name] += 1
+        stack.append((name, path, chrome or name in CHROME, worded, main or name in ("article", "main") or not MAIN_WORDS.isdisjoint(words)))
         yield (*here(), "", True)
     if at < len(page):
-        # A last piece that opens a tag and never ends it is markup.
-        yield (*here(), re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[at:]), False)
+        yield (*here(), page[at:], False)
+
+
+def _name(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
 
 
 def tidy(text: str) -> str:
@@ -207,14 +254,29 @@ def main_text(html: str | None, main: list[str] | None = None, fixed: list[str]
         slot = [not chrome for _, chrome, *_ in pieces]
     still, own_slots = set(fixed or ()), None if shown is None else set(shown)
     held: Counter = Counter()
+    labels: Counter = Counter()
     for (path, _, worded, _, text, _), take in zip(pieces, slot):
         if take and path not in still:
-            held.update(dict.fromkeys([None, *(w for w, inside in worded if not inside)], len(text.strip())))
-    hides = lambda worded: any(2 * held[w] <= held[None] and (own_slots is None or w in own_slots) for w, _ in worded)
+            size, own = len(text.strip()), _name(path) in LABELS
+            held[None] += size
+            for w, inside in dict(worded).items():
+                form = _name(w) == "form"
+                held[w] += size if form or not inside else 0
+                labels[w] += size if form and own else 0
+
+    def hides(worded: tuple[tuple[str, bool], ...]) -> bool:
+        return any(
+            2 * held[w] <= held[None] and (own_slots is None or w in own_slots or _name(w) == "form") or _name(w) == "form" and 2 * labels[w] >= held[w]
+            for w, _ in worded
+        )
+
+    def in_form(worded: tuple[tuple[str, bool], ...]) -> bool:
+        return any(_name(w) == "form" and (2 * held[w] <= held[None] or 2 * labels[w] >= held[w]) for w, _ in worded)
+
     for chosen in (
         [take and p[0] not in still and not hides(p[2]) for p, take in zip(pieces, slot)],
         [take and not hides(p[2]) for p, take in zip(pieces, slot)],
-        slot,
+        [take and not in_form(p[2]) for p, take in zip(pieces, slot)],
     ):
         if said := _joined([p[4] for p in pieces], chosen):
             return said

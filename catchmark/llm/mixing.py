@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TINY = 2.0**-53
+from catchmark.operators.lineage import cut
+
+BROADCAST_STEPS = 1_000_000
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -81,11 +83,15 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, source: str
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 8, doc_id: str = "doc_id", source: str = "source", total: int | None = None) -> DataFrame:
     """``docs`` with each row as often as drawn, with copy (from 0), n_copies and mix_key, sorted by mix_key across partitions.
 
-    The rates and their steps are one small row for each source; the documents are not shuffled to meet them unless the table
-    of sources is too large to broadcast (Spark's own limit decides), and the copies cross the network once, by range of key.
+    The rates and their steps are one small row for each source, written once. They are broadcast while they hold at most
+    BROADCAST_STEPS numbers and rows together, so the documents stay where they are; beyond that the join is an ordinary one. The
+    copies cross the network once, by range of key.
     """
     plain = docs.drop("copy", "n_copies", "mix_key")
     steps = rates(docs, weights, source, total).select(F.col("source").alias("_source"), poisson_window(F.col("rate")).alias("_window"))
+    steps = cut(steps, "steps")
+    size = steps.agg(F.coalesce(F.sum(F.size("_window.steps") + F.lit(1)), F.lit(0))).first()[0]
+    steps = F.broadcast(steps) if size <= BROADCAST_STEPS else steps
     drawn = plain.join(steps, plain[source].eqNullSafe(steps["_source"]))
     u = uniform(F.col(doc_id), seed)
     drawn = drawn.withColumn("n_copies", (F.col("_window.first") + F.size(F.filter("_window.steps", lambda c: c <= u))).cast("int")).filter("n_copies > 0").drop("_source", "_window")
@@ -101,7 +107,7 @@ WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 facts AS (SELECT sum(n)::DOUBLE / count(*) AS share FROM counts),
 rates AS (SELECT source, share / n AS rate FROM counts, facts),
 steps AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
-  FROM rates, range(0, 2000) r(k) WHERE k <= ceil(rate + 8 * sqrt(rate) + 24)),
+  FROM (SELECT source, rate, unnest(range(0, 1 + ceil(rate + 9 * sqrt(rate) + 24)::BIGINT)) AS k FROM rates)),
 draws AS (SELECT doc_id, source, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
 drawn AS (SELECT doc_id, d.source, count(*) AS n FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.c <= d.u GROUP BY ALL)
 SELECT doc_id, source, unnest(range(0, n))::INT AS copy, n::INT AS n_copies FROM drawn"""

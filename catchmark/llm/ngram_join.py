@@ -380,9 +380,19 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document (the smallest id) of each component; all columns stay. Rows with a null id stay."""
+    """``docs`` with one document (the smallest id) of each component; all columns stay. Of rows that share that id the one with the
+    smallest hash stays. Rows with a null id stay, as nothing tells which of them a component means."""
     found = join_components(docs, doc_id, text)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = cut(gone, "gone")
     gone = F.broadcast(gone) if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    kept = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    ids = docs.select(F.col(doc_id).alias("_twice")).filter("_twice is not null")
+    twice = cut(ids.groupBy("_twice").agg(F.count("*").alias("_n")).filter("_n > 1").select("_twice"), "twice")
+    n = twice.limit(BROADCAST_IDS + 1).count()
+    if not n:
+        return kept
+    twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+    row = F.struct(*[kept[c] for c in docs.columns])
+    single = kept.join(twice, kept[doc_id] == twice["_twice"], "left_semi").groupBy(F.col(doc_id).alias("_id")).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
+    return kept.join(twice, kept[doc_id] == twice["_twice"], "left_anti").unionByName(single.select("_row.*"))

@@ -2,7 +2,8 @@
 
 A vocabulary learned from prose spends about four characters a token on words and below two on random strings, so a run of
 key-like characters with few characters per token is reported as a secret. Known digests (hexadecimal of a digest's length)
-and identifiers (UUIDs, numbers, dates, addresses, words joined by marks or case) are left out of that test first.
+and identifiers (UUIDs, numbers, dates, words of one case joined by marks) are left out of that test first; what looks like words of
+both cases must have still fewer characters per token, and of a path each name is tested by itself.
 
 Cases: a null or empty text has no span; repeated rows give repeated results; further columns of the input are not read.
 Spans count code points, end exclusive. Texts are scanned whole, however long.
@@ -28,7 +29,8 @@ ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MAX_CHARS_PER_TOKEN = 2.2
+#: For runs that look like words (letters, joined or followed by short numbers) of both cases the limit is lower: names of code reach two.
+MAX_CHARS_PER_TOKEN, MAX_LETTERS_PER_TOKEN = 2.2, 1.5
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIERS = re.compile(
@@ -54,10 +56,15 @@ def _vocabulary(path: str):
 
 
 def _random(run: str, encoding, limit: float) -> bool:
-    if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
-        return False
-    if IDENTIFIERS.fullmatch(run) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)):
+    if not re.search("[A-Za-z]", run) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)):
         return False
+    if run[0] == "/" and "/" in run[1:]:
+        # A path: its names are looked at one by one.
+        return any(len(name) >= 16 and _random(name, encoding, limit) for name in run.split("/"))
+    if IDENTIFIERS.fullmatch(run):
+        if not (re.search("[a-z]", run) and re.search("[A-Z]", run)):
+            return False
+        limit = min(limit, MAX_LETTERS_PER_TOKEN)
     return len(run) <= limit * len(encoding.encode_ordinary(run))
 
 
@@ -68,9 +75,12 @@ def find_spans(text: str | None, encoding, limit: float = MAX_CHARS_PER_TOKEN) -
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(spans)
+    base, seen, reach = sorted(spans), 0, 0
     for m in RUN.finditer(text):
-        if not any(a <= m.start() and m.end() <= b for a, _, b in base) and _random(m[0], encoding, limit):
+        while seen < len(base) and base[seen][0] <= m.start():
+            reach = max(reach, base[seen][2])
+            seen += 1
+        if m.end() > reach and _random(m[0], encoding, limit):
             spans.append((m.start(), 3, m.end()))
     return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
 

@@ -249,7 +249,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_
         if docs_in:
             yield segment()
 
-    ordered = docs.select(F.col(doc_id).cast("bigint"), text).repartitionByRange(doc_id).sortWithinPartitions(doc_id)
+    # Rows that share an id are sorted by text, so that their starts are the same in every run.
+    ordered = docs.select(F.col(doc_id).cast("bigint"), text).repartitionByRange(doc_id).sortWithinPartitions(doc_id, F.xxhash64(text))
     ordered.mapInArrow(run, schema).write.parquet(folder)
 
 

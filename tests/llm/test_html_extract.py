@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from catchmark.llm import html_extract as he
@@ -98,3 +100,28 @@ def test_constant_places_inside_the_main_slot_are_template(spark, around):
 def test_equal_pages_keep_their_text(spark):
     pages = [("http://a.net/", page("<article><p>Same</p></article>"))] * 8
     assert [r["text"] for r in he.extract(rows(spark, pages)).collect()] == ["Same"] * 8
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<body><form id='aspnetForm'><nav>m</nav><article><p>Kept</p></article></form></body>", "Kept"),
+        ("<body><form id='aspnetForm'><div><p>Kept text of the page</p></div></form><form>Search</form></body>", "Kept text of the page"),
+        ("<article><form><p>All of the text</p><label>Name</label></form></article>", "All of the text Name"),
+        ("<article><p>A text of some length</p><form><label>Name</label><p>Join</p></form></article>", "A text of some length"),
+        ("<body><form>Search <label>here</label></form></body>", ""),
+        ("<article><button>Share<p>Kept</p></article>", "Kept"),
+        ("<article><svg><p>Kept</p></article>", "Kept"), ("<article>a</article><script>b", "a"),
+        ("<article><p class='a>b</p><p>c</p></article>", "b c"),
+    ],
+)
+def test_forms_and_broken_markup(html, want):
+    assert he.main_text(html) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<a '\" ", "<a '>'", "</p", "<!--", "<!", "<svg", "<script ", "<", "<div></b>", "<p class='", "<form>", "<div class=ad>"])
+def test_a_megabyte_of_broken_markup(unit):
+    start = time.perf_counter()
+    he.main_text("<article>" + unit * (1_000_000 // len(unit)))
+    he.main_text(unit * (1_000_000 // len(unit)) + ">")
+    assert time.perf_counter() - start < 30

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from catchmark.llm import secret_scan as ss
 
 TEXTS = [
@@ -42,3 +46,20 @@ def test_overlapping_spans_are_masked_once():
 
 def test_empty_table(docs_of, paths):
     assert ss.digest_columns(ss.with_spans(docs_of(["x"]).limit(0), paths["ranks"])).count() == 0
+
+
+@pytest.mark.parametrize("key", ["QxZvKjWqPbNmTrLsHgFdYc", "QxZvKjWq_PbNmTrLs-HgFdYc", "QxZvKjWqPbNmTrLsHgFdYc1234"])
+def test_keys_of_letters(key, paths):
+    assert ss.find_spans(f"the {key} is", ss._vocabulary(paths["ranks"])) == [("token", 4, 4 + len(key))]
+
+
+@pytest.mark.parametrize("name", ["/assets/js/app3f2/main12345b/x1y2z3w4v5u6.js", "getElementsByClassNameAndParent", "XMLHttpRequestEventTarget", "some_long_identifier_name12", "SCREAMING_SNAKE_CASE_NAME"])
+def test_names_are_no_secrets(name, paths):
+    assert ss.find_spans(f"the {name} is", ss._vocabulary(paths["ranks"])) == []
+
+
+def test_many_spans_in_linear_time(paths):
+    text = "".join(f"password=abcdefgh{i} f3Kq9ZxT7vLm2Rb8Wd5Hs{i} " for i in range(20_000))
+    start = time.perf_counter()
+    found = ss.find_spans(text, ss._vocabulary(paths["ranks"]))
+    assert [k for k, *_ in found] == ["assign", "token"] * 20_000 and time.perf_counter() - start < 20
