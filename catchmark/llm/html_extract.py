@@ -253,16 +253,21 @@ def main_text(html: str | None, main: list[str] | None = None, fixed: list[str]
     else:
         slot = [not chrome for _, chrome, *_ in pieces]
     still, own_slots = set(fixed or ()), None if shown is None else set(shown)
+    # Sizes are summed for each tuple of elements first: pieces share them.
+    sums: dict[int, list] = {}
+    for (path, _, worded, _, text, _), take in zip(pieces, slot):
+        if take and path not in still and (size := len(text.strip())):
+            of = sums.setdefault(id(worded), [worded, 0, 0])
+            of[1] += size
+            of[2] += size if _name(path) in LABELS else 0
     held: Counter = Counter()
     labels: Counter = Counter()
-    for (path, _, worded, _, text, _), take in zip(pieces, slot):
-        if take and path not in still:
-            size, own = len(text.strip()), _name(path) in LABELS
-            held[None] += size
-            for w, inside in dict(worded).items():
-                form = _name(w) == "form"
-                held[w] += size if form or not inside else 0
-                labels[w] += size if form and own else 0
+    for worded, size, own in sums.values():
+        held[None] += size
+        for w, inside in dict(worded).items():
+            form = _name(w) == "form"
+            held[w] += size if form or not inside else 0
+            labels[w] += own if form else 0
 
     def hides(worded: tuple[tuple[str, bool], ...]) -> bool:
         return any(
@@ -273,10 +278,13 @@ def main_text(html: str | None, main: list[str] | None = None, fixed: list[str]
     def in_form(worded: tuple[tuple[str, bool], ...]) -> bool:
         return any(_name(w) == "form" and (2 * held[w] <= held[None] or 2 * labels[w] >= held[w]) for w, _ in worded)
 
+    tuples = {id(p[2]): p[2] for p in pieces}
+    hidden = {k: hides(worded) for k, worded in tuples.items()}
+    formed = {k: in_form(worded) for k, worded in tuples.items()}
     for chosen in (
-        [take and p[0] not in still and not hides(p[2]) for p, take in zip(pieces, slot)],
-        [take and not hides(p[2]) for p, take in zip(pieces, slot)],
-        [take and not in_form(p[2]) for p, take in zip(pieces, slot)],
+        [take and p[0] not in still and not hidden[id(p[2])] for p, take in zip(pieces, slot)],
+        [take and not hidden[id(p[2])] for p, take in zip(pieces, slot)],
+        [take and not formed[id(p[2])] for p, take in zip(pieces, slot)],
     ):
         if said := _joined([p[4] for p in pieces], chosen):
             return said
