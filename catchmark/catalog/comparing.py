@@ -57,6 +57,28 @@ QUERIES["ecdf_grid"] = Query(
     ),
 )
 
+
+def ecdf_pooled(spark, d):
+    """Both groups of a sector on the 250 quantiles of their pooled values."""
+    dist = keep_values(fx(spark, d, "distances"), "dist_coast_km")
+    counts = ds.value_counts(dist, ["sector", "grp"], "dist_coast_km")
+    pooled = ds.quantile_grid(counts.groupBy("sector", "x").agg(F.sum("n").alias("n")), ["sector"])
+    grid = pooled.join(counts.select("sector", "grp").distinct(), "sector")
+    return out(ds.ecdf_on_grid(counts, grid, ["sector", "grp"]), "sector", "grp", "g")
+
+
+QUERIES["ecdf_pooled"] = Query(
+    ecdf_pooled,
+    sql(
+        ["distances"],
+        f"SELECT grid.sector, s.grp, g, {R('x')} AS x, {R('(SELECT count(*) FROM v WHERE v.sector = grid.sector AND v.grp = s.grp AND v.c <= grid.x) / cast(s.n as double)')} AS y "
+        "FROM grid JOIN (SELECT sector, grp, count(*) AS n FROM v GROUP BY sector, grp) AS s ON s.sector = grid.sector",
+        ("v", "SELECT sector, grp, dist_coast_km AS c FROM distances WHERE dist_coast_km >= 0"),
+        ("q", f"SELECT sector, quantile_cont(c, [{', '.join(f'{0.01 + g * ((0.99 - 0.01) / 249)!r}::DOUBLE' for g in range(250))}]) AS xs FROM v GROUP BY sector"),
+        ("grid", "SELECT sector, unnest(range(0, 250)) AS g, unnest(xs) AS x FROM q"),
+    ),
+)
+
 _P = f"(CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE round(pow({noise_u('o_orderkey', 91)}, 2e0), 4) END)"
 
 

@@ -60,6 +60,34 @@ def linear_grid(limits: DataFrame, keys: Sequence[str], low: str, high: str, n:
     )
 
 
+def quantile_grid(counts: DataFrame, keys: Sequence[str], low: float = 0.01, high: float = 0.99, n: int = 250, measure: str = "n") -> DataFrame:
+    """(keys, g, x): the linear-interpolation quantiles at ``n`` even probabilities from low to high, for groups of any size.
+
+    ``counts`` is (keys, x, n). Running totals tell which ranks a distinct value covers, so each says by itself which grid points lie on
+    it; a grid point meets only its two neighbours, and values without one give no row.
+    """
+    keys, step = list(keys), (high - low) / (n - 1)
+    run = running_totals(counts.select(*keys, F.col("x").cast("double").alias("x"), F.col(measure).alias("n")), keys, "x", ["n"])
+    place = lambda g: (F.lit(low) + g * F.lit(step)) * (F.col("tot_n") - 1)
+    span = F.greatest(F.col("tot_n") - 1, F.lit(1))
+    near = lambda rank: (rank / span - F.lit(low)) / F.lit(step)
+    clip = lambda c: F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("int")
+    # the division only narrows the search; one grid point to either side makes up for its rounding
+    first, last = clip(F.floor(near(F.col("cum_n") - F.col("n") - 1)) - 1), clip(F.ceil(near(F.col("cum_n"))) + 1)
+    covers = lambda rank: (rank >= F.col("cum_n") - F.col("n")) & (rank < F.col("cum_n"))
+    points = F.transform(
+        F.sequence(first, last),
+        lambda g: F.struct(g.alias("g"), covers(F.floor(place(g))).alias("lower"), covers(F.floor(place(g)) + 1).alias("upper")),
+    )
+    own = F.filter(points, lambda q: q["lower"] | q["upper"])
+    each = run.select(*keys, "x", "tot_n", F.explode(own).alias("q")).select(*keys, "x", "tot_n", "q.*")
+    part = place(F.col("g")) - F.floor(place(F.col("g")))
+    found = each.groupBy(*keys, "g").agg(
+        F.max(F.when(F.col("lower"), F.col("x"))).alias("_lower"), F.max(F.when(F.col("upper"), F.col("x"))).alias("_upper"), F.max(part).alias("_part")
+    )
+    return found.select(*keys, "g", (F.col("_lower") + (F.coalesce("_upper", "_lower") - F.col("_lower")) * F.col("_part")).alias("x"))
+
+
 def ecdf_on_grid(counts: DataFrame, grid: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
     """#(values <= grid point)/n at each grid point, by one running total over values and grid together.
 

@@ -305,3 +305,17 @@ def test_groups_are_fitted_together(spark):
 
 def test_albers_constants_are_plausible():
     assert albers_constants()["n"] == pytest.approx(0.6029, abs=1e-4)
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_quantile_grid_matches_numpy(spark, parts):
+    rng = np.random.default_rng(5)
+    groups = {"skewed": np.exp(rng.normal(size=20_000) * 3), "tied": np.concatenate([np.full(5_000, 2.0), rng.integers(0, 9, 5_000)]), "two": np.array([1.0, 4.0]), "one": np.array([3.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("two", None), ("one", float("nan"))]
+    counts = ds.value_counts(spark.createDataFrame(rows, "g_name string, v double").repartition(parts), ["g_name"], "v")
+    for low, high in ((0.01, 0.99), (0.0, 1.0)):
+        got: dict = {}
+        for r in ds.quantile_grid(counts, ["g_name"], low, high, 250).collect():
+            got.setdefault(r["g_name"], {})[r["g"]] = r["x"]
+        for name, vs in groups.items():
+            assert [got[name][g] for g in range(250)] == pytest.approx(np.quantile(vs, np.linspace(low, high, 250)), rel=1e-9)
