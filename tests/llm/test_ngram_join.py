@@ -100,3 +100,14 @@ def test_sets_are_those_of_the_words(texts):
     assert [len(s) for s in nj.shingle_sets(texts)] == [len(s) for s in sets_of(texts)]
     plain, ids = sets_of(texts), [nj.set_id(s) if len(s) else None for s in nj.shingle_sets(texts)]
     assert all((ids[i] == ids[j]) == (plain[i] == plain[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_one_row_of_a_repeated_id_stays(docs_of, prose):
+    texts = [prose(1, 60), prose(1, 60), prose(2, 60), prose(3, 60), None, None]
+    df = docs_of(texts, ids=[4, 4, 4, 9, 11, 11])
+    kept = nj.keep_representatives(df)
+    assert kept.columns == df.columns
+    rows = sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"] is not None)
+    assert [i for i, _ in rows] == [4, 9] and rows[0][1] in texts[:3]
+    assert kept.filter("doc_id = 11").count() == 1
+    assert sorted(rows) == sorted((r["doc_id"], r["text"]) for r in nj.keep_representatives(df.repartition(5)).collect() if r["text"] is not None)
