@@ -1,5 +1,8 @@
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catchmark.llm import vector_dedup as vd
 
@@ -53,15 +56,49 @@ def test_recall_against_all_pairs(spark):
     assert sum(g != w for g, w in zip(got, want)) <= 0.02 * len(rows)
 
 
-def test_windows_grow_in_dense_groups():
-    rows = np.ones((500, 4)) / 2
-    assert len(vd.near_pairs(rows, 0.93, 16)[0]) == 500 * 499 // 2
-    apart = np.eye(40)
-    assert len(vd.near_pairs(apart, 0.93, 16)[0]) == 0
+def test_passes_grow_with_the_bits():
+    assert vd.passes_at(0) == 1 and vd.passes_at(20) > vd.passes_at(8) > vd.passes_at(1) > 1
 
 
-def test_passes_grow_with_the_group():
-    assert vd.passes_for(0) == vd.passes_for(1) >= 4 and vd.passes_for(10**9) > vd.passes_for(10**4) > vd.passes_for(100)
+@pytest.mark.parametrize("own", [1, 7, 150, 200])
+def test_windows_and_runs_in_order(own):
+    """Every near pair at most a window apart or in one run of the block, once; rows after the block only by the window."""
+    g = np.random.default_rng(own)
+    rows = g.normal(size=(200, 4)) * 0.4 + 1
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    runs = np.sort(g.integers(0, 12, 200))
+    got = [(i, j) for a, b in vd.near_in_order(rows, runs, own, 0.93, 16) for i, j in zip(a.tolist(), b.tolist())]
+    want = {(i, j) for i in range(own) for j in range(i + 1, 200) if rows[i] @ rows[j] >= 0.93 and (j - i <= 16 or (j < own and runs[i] == runs[j]))}
+    assert len(got) == len(set(got)) and set(got) == want
+    places = np.concatenate([np.arange(own), np.arange(own, 200)])
+    got = [(i, j) for a, b in vd.near_across(rows, places, own, 0.93, 16) for i, j in zip(a.tolist(), b.tolist())]
+    assert sorted(got) == [(i, j) for i in range(own) for j in range(own, 200) if j - i > 16 and rows[i] @ rows[j] >= 0.93]
+
+
+def test_roots_of_links():
+    roots = np.arange(9)
+    vd.join_roots(roots, np.array([7, 5, 3]), np.array([8, 6, 4]))
+    vd.join_roots(roots, np.array([4, 6]), np.array([5, 7]))
+    assert roots.tolist() == [0, 1, 2, 3, 3, 3, 3, 3, 3]
+
+
+def test_counts_and_forests_agree_with_the_pairs(spark, monkeypatch):
+    """Links counted by unit, in blocks of 50 places, against the pairs; what is written does not grow with the links."""
+    monkeypatch.setattr(vd, "BLOCK", 50)
+    vectors = np.concatenate([spread(300, 0.95), np.random.default_rng(4).normal(size=(300, 64)).astype(np.float32)])
+    table = nodes(spark, vectors, 3).withColumn("size", (F.col("node") % 3 + 1).cast("bigint"))
+    pairs = [(r["a"], r["b"]) for r in vd.links(table, "node", "label", "embedding", window=16).collect()]
+    rows = vd.link_counts(table, "node", "label", "embedding", "size", window=16).collect()
+    want, got = Counter(), Counter()
+    for a, b in pairs:
+        want[a] += b % 3 + 1
+        want[b] += a % 3 + 1
+    for r in rows:
+        got[r["node"]] += r["linked"]
+    assert got == want and set(pairs) <= near_of(vectors)
+    assert {(min(r["node"], r["other"]), max(r["node"], r["other"])) for r in rows if r["other"] is not None}
+    bits, passes = vd.plan(table, "label", "embedding", window=16).first()[2:]
+    assert bits >= 1 and len(rows) <= 600 * passes * 14 < len(pairs) * passes
 
 
 @pytest.mark.parametrize("odd", [None, [], [0.0, 0.0], [1.0, None], [1.0, float("nan")], [float("inf"), 1.0]])
@@ -110,7 +147,7 @@ def test_partitions_and_blocks_do_not_change_the_links(spark, monkeypatch):
     clique = spread(1200, 0.975)
     want = near_of(clique)
     assert len(want) == 1200 * 1199 // 2
-    monkeypatch.setattr(vd, "BLOCK", 100, raising=False)
+    monkeypatch.setattr(vd, "BLOCK", 100)
     before, coalesce = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(coalesce, "false")
     try:
@@ -133,10 +170,9 @@ def test_recall_of_isolated_pairs_with_a_common_mean(spark, monkeypatch, backgro
     side -= np.einsum("ij,ij->i", side, rows[:1500])[:, None] * rows[:1500]
     side /= np.linalg.norm(side, axis=1)[:, None]
     vectors = np.concatenate([rows, 0.935 * rows[:1500] + np.sqrt(1 - 0.935**2) * side]).astype(np.float32)
-    monkeypatch.setattr(vd, "ROW_COST", 1, raising=False)
+    monkeypatch.setattr(vd, "ROW_COST", 1)
     table = nodes(spark, vectors, 3)
-    if hasattr(vd, "plan"):
-        assert vd.plan(table, "label", "embedding").first()["bits"] >= 3
+    assert vd.plan(table, "label", "embedding").first()["bits"] >= 3
     pairs = [(r["a"], r["b"]) for r in vd.links(table, "node", "label", "embedding").collect()]
     want = near_of(vectors)
     assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) >= 0.997 * len(want) >= 1490
@@ -144,7 +180,7 @@ def test_recall_of_isolated_pairs_with_a_common_mean(spark, monkeypatch, backgro
 
 def test_bits_follow_the_measured_buckets(spark, monkeypatch):
     """A group that no bit parts is compared whole at once; one that bits part is not, once it is large."""
-    monkeypatch.setattr(vd, "ROW_COST", 1, raising=False)
+    monkeypatch.setattr(vd, "ROW_COST", 1)
     lone = vd.plan(nodes(spark, spread(3000, 0.9999)), "label", "embedding").first()
     apart = vd.plan(nodes(spark, np.random.default_rng(2).normal(size=(3000, 64)).astype(np.float32)), "label", "embedding").first()
     assert (lone["bits"], lone["passes"]) == (0, 1) and apart["bits"] >= 3 and apart["passes"] == vd.passes_at(apart["bits"])
