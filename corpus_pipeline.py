@@ -1,10 +1,16 @@
 """A corpus pipeline over documents: each stage is (spark, docs, sf_dir) -> DataFrame, written as Parquet and read by the next.
 
-1. language: documents without any letter, and longer ones unlike every language learned from the labelled ones, go.
+1. language: documents without any letter, and those unlike every language learned from the labelled ones, go. The less text there is, the
+   less alike it must be, by one formula for all lengths.
 2. near_duplicates: of each group of near copies the document with the smallest id stays.
 3. secrets: secrets are masked in the text; no document goes.
 4. mixing: documents are repeated so that all sources get equal weight, and shuffled.
 5. tokens: texts become SentencePiece ids.
+
+Cases: null and empty texts have no letter and go first; a null lang teaches nothing; without any labelled text no language is known and no document
+stays; a null source is a source of its own; documents with a null id are told apart by their rows and all stay; of rows that repeat an id one stays;
+an empty table gives an empty result with the same columns. Other columns are carried through the first four stages, whatever their
+names, and left out by the last.
 """
 
 from __future__ import annotations
@@ -19,9 +25,9 @@ from catchmark.llm.queries import PIECES, RANKS, vocabulary
 from catchmark.llm.shipping import ship
 from catchmark.operators.lineage import shared_folder
 
-#: A text of ENOUGH_CHARS whose cosine with every language is lower than LEAST_SCORE is in none of them; a shorter one tells too
-#: little and stays.
-LEAST_SCORE, ENOUGH_CHARS = 0.10, 200
+#: A text of n characters whose cosine with every language is lower than LEAST_SCORE - SLACK / sqrt(n) is in none of them: what a
+#: short text says about its letters varies as one over the root of its length.
+LEAST_SCORE, SLACK = 0.10, 0.25
 #: Rows of an Arrow batch and bytes of a Parquet row group: a worker and a writer hold one each, of whole texts.
 BATCH_ROWS, GROUP_BYTES = 1000, 16 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,9 +36,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     profiles = language_id.learn(docs.filter(~language_id.held_out("doc_id")))
-    said = language_id.predict(docs, profiles)
-    foreign = (said.score < LEAST_SCORE) & (F.length("text") >= ENOUGH_CHARS)
-    return said.filter((said.lang_pred != language_id.UNDETERMINED) & ~foreign).select(*docs.columns)
+    said = language_id.predict(docs.select(F.struct(*docs.columns).alias("_row"), "text"), profiles)
+    foreign = said.score < LEAST_SCORE - SLACK / F.sqrt(F.length("text"))
+    return said.filter((said.lang_pred != language_id.UNDETERMINED) & ~foreign).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return mixing.replicate(docs).select(*docs.columns)
+    return mixing.replicate(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source")).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_ngram_join import brute
 
 import corpus_pipeline as cp
@@ -38,6 +39,26 @@ def test_rejects_only_what_is_foreign(spark, docs_of, prose):
     assert sorted(r["doc_id"] for r in cp.language(spark, docs, "").collect()) == list(range(20))
 
 
+def test_short_foreign_texts_go_and_short_known_ones_stay(spark, docs_of, prose):
+    known = [prose(k, 100) for k in range(20)] + [prose(1, 100)[:n] for n in (2, 5, 12, 30, 60)]
+    docs = docs_of(known + ["日本語漢字口" * n for n in (3, 6, 10)], langs=["en"] * 20 + [None] * 8)
+    assert sorted(r["doc_id"] for r in cp.language(spark, docs, "").collect()) == list(range(25))
+
+
+def test_stages_on_an_empty_table_and_with_clashing_columns(spark, docs_of, prose):
+    """Columns named like the operators' own come through as they are."""
+    extra = ["lang_pred", "score", "spans", "copy", "n_copies", "component_id", "n_shingles", "_row"]
+    docs = docs_of([prose(k, 60) for k in range(6)]).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in extra})
+    for table, least in ((docs.limit(0), 0), (docs, 6)):
+        got = table
+        for name, stage in cp.STAGES:
+            got = stage(spark, got, "")
+            if name != "tokens":
+                assert got.columns == docs.columns
+                assert all(r[c] == c + str(r["doc_id"]) for r in got.collect() for c in extra)
+        assert got.count() >= least and got.columns == [*cp.COLUMNS, "ids", "parity", "round_trip"]
+
+
 def test_run_on_the_smallest_table(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
