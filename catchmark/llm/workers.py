@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _caches: list[Callable] = []
 
 
@@ -14,7 +18,12 @@ def held(cached: Callable) -> Callable:
 
 
 def only(*kept: Callable) -> None:
-    """Empty all registered caches but these."""
+    """Empty all registered caches but these, and give what was freed back to the system."""
     for cached in _caches:
         if not any(cached is k for k in kept):
             cached.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
