@@ -142,8 +142,10 @@ def words_stand_alone(model: PieceModel) -> bool:
 
 #: Words that are joined to one text for the tokenizer.
 JOINED = 200
-#: Rows whose texts a worker holds as Python strings at once.
-ROWS = 500
+#: Rows whose texts a worker holds as Python strings at once, and characters it encodes at once.
+ROWS, CHARS = 250, 200_000
+#: Words, and bytes of words, whose ids a worker keeps.
+KEPT_WORDS, KEPT_BYTES = 250_000, 1 << 23
 
 
 class Codec:
@@ -161,7 +163,7 @@ class Codec:
             import sentencepiece
 
             self.other = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.cache = WordIds(self._encode_words)
+        self.cache = WordIds(self._encode_words, KEPT_WORDS, KEPT_BYTES)
         self.opens = np.array([p.startswith(MARK) for p in self.model.pieces])
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.model.pieces, self.model.kinds)]
 
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", to: str = "ids"
         codec = _codec(model_path)
         for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             rows = batch.column(place).to_pylist()
-            for a, b in pieces_of([x or "" for x in rows]):
+            for a, b in pieces_of([x or "" for x in rows], CHARS):
                 ids, n, same = codec.encode(rows[a:b])
                 ends = np.cumsum(n)
                 trip = [codec.decode(ids[i:j]) == (x or "") for x, i, j in zip(rows[a:b], [0, *ends.tolist()], ends.tolist())]
@@ -261,7 +263,7 @@ def summary(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str
         for texts in batches:
             rows = texts.tolist()
             out = []
-            for a, b in pieces_of([x or "" for x in rows]):
+            for a, b in pieces_of([x or "" for x in rows], CHARS):
                 ids, n, same = codec.encode(rows[a:b])
                 for x, mine, ok in zip(rows[a:b], np.split(ids, np.cumsum(n)[:-1]), same.tolist()):
                     out.append((len(mine), crc32(mine.astype("<u4").tobytes()), ok, codec.decode(mine) == (x or "")))

@@ -29,7 +29,7 @@ from catchmark.operators.lineage import shared_folder
 #: short text says about its letters varies as one over the root of its length.
 LEAST_SCORE, SLACK = 0.10, 0.25
 #: Rows of an Arrow batch and bytes of a Parquet row group: a worker and a writer hold one each, of whole texts.
-BATCH_ROWS, GROUP_BYTES = 1000, 16 << 20
+BATCH_ROWS, GROUP_BYTES = 250, 8 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
