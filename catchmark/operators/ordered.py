@@ -148,6 +148,8 @@ def running_totals(
         F.percentile_approx(order, cuts, 100 * n_slices).alias("_cuts"),
         *[F.sum(m).alias(f"tot_{m}") for m in measures],
     )
+    # the sketch depends on the order in which parts arrive, and rows and offsets must be cut at the same values: one written sketch serves both
+    stats = cut(stats, "slice-cuts")
     sliced = with_slices(attach(counts, stats, keys), keys, order, "_cuts", n_slices).drop("_cuts")
     offsets = sliced.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)

@@ -19,6 +19,17 @@ from catchmark.operators.contingency import chi_square, odds_ratio
 from catchmark.operators.ordered import exact_quantiles, first_n_by, group_quantiles, running_totals
 
 
+def test_running_totals_cut_rows_and_offsets_at_the_same_values(spark):
+    """The sketch is not the same twice, so it is read from a file by whatever uses it."""
+    rows = spark.range(50_000).selectExpr("xxhash64(id) AS x", "id % 7 AS n").repartition(32)
+    got = running_totals(rows, [], "x", ["n"])
+    assert "percentile_approx" not in got._jdf.queryExecution().toString()
+    seen, want = got.orderBy("x").select("n", "cum_n").collect(), 0
+    for n, cum in seen:
+        want += n
+        assert cum == want
+
+
 @pytest.mark.parametrize("parts", [1, 16])
 def test_exact_quantiles_match_numpy(spark, parts):
     rng = np.random.default_rng(1)
