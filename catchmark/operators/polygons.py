@@ -182,9 +182,10 @@ def polygons_near(sites: DataFrame, edges: DataFrame, radius: float, site_id: st
     spread = spread.withColumn("_away", away).filter(F.col("_away") <= reach + size * 0.7072)
     within = F.col("_away") <= reach - size * 1.4143
 
-    whole = spread.filter(within).join(listed.select(id_col, "_cx", "_cy").distinct(), ["_cx", "_cy"]).select(site_id, id_col)
+    # the planner takes a list of cells for as small as what it was made from, and would broadcast it
+    whole = spread.filter(within).hint("merge").join(listed.select(id_col, "_cx", "_cy").distinct(), ["_cx", "_cy"]).select(site_id, id_col)
     dist = segment_distance(F.col("_x"), F.col("_y"), *ends)
-    ring = spread.filter(~within).join(listed, ["_cx", "_cy"]).filter(dist <= reach).select(site_id, id_col)
+    ring = spread.filter(~within).hint("merge").join(listed, ["_cx", "_cy"]).filter(dist <= reach).select(site_id, id_col)
     inside = points_in_polygons(sites.select(site_id, "x", "y"), edges, "inner", "x", "y", id_col).select(site_id, id_col)
     return whole.unionByName(ring).unionByName(inside).distinct()
 
