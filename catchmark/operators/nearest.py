@@ -1,6 +1,10 @@
-"""Exact nearest-feature search by branch and bound over two quadtrees of boxes.
+"""Exact nearest-feature search: a grid for what is close by, branch and bound over two quadtrees of boxes for the rest.
 
-Points and segments are each summarised as a tree of bounding boxes (16 children per node). Starting from the
+The grid's cells come in powers of two; a segment takes the size that fits its length and the density of its group, and is listed in the few
+cells its line passes. The segments in a point's own cell bound its distance; if that reaches no farther than a cell, only the cells within it are
+looked at, which settles the point. Long segments among many are the common case, and boxes around them would hold everything.
+
+The other points (far from any segment, as inland sites are from a coast) go to the trees. Points and segments are each summarised as a tree of bounding boxes (16 children per node). Starting from the
 root pair, every level replaces a (point box, segment box) pair by its children and drops a segment box when its
 smallest possible distance exceeds the largest possible distance to some other box. What is left at the leaves
 is a handful of segment boxes per point box, wherever points and segments are dense or sparse, and only those
@@ -21,9 +25,12 @@ from pyspark.sql import functions as F
 
 from catchmark.functions.geometry import segment_distance
 from catchmark.operators.lineage import cut
+from catchmark.operators.ordered import attach
 
 MAX_DEPTH = 12
 SEGMENTS_PER_LEAF = 4
+SEGMENTS_PER_CELL = 8
+_ENDS = ("x1", "y1", "x2", "y2")
 _BOX = ("lox", "loy", "hix", "hiy")
 
 
@@ -141,6 +148,77 @@ def _candidates(points, segments, point_id, point_keys, segment_keys, depth, bou
     )
 
 
+def _inputs(points: DataFrame, segments: DataFrame, point_id: str, p_keys: Sequence[str], s_keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Points (keys, id, _x, _y) and distinct segments, each written once: every pass below reads them."""
+    pts = points.select(*p_keys, F.col(point_id), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return cut(pts, "points"), cut(segments.select(*s_keys, *_ENDS).distinct(), "segments")
+
+
+def _size(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level.cast("double"))
+
+
+def _leveled(segs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Segments with finite ends and their cell size, 2^level: at least half their extent, and wide enough for some segments of the group; written once."""
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    segs = segs.filter(finite("x1") & finite("y1") & finite("x2") & finite("y2"))
+    lox, hix, loy, hiy = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
+    facts = segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max(hix) - F.min(lox)).alias("_wide"), (F.max(hiy) - F.min(loy)).alias("_high"))
+    share = F.greatest(F.sqrt(F.col("_wide") * F.col("_high") * SEGMENTS_PER_CELL / F.col("_n")), F.greatest("_wide", "_high") / F.col("_n"))
+    facts = cut(facts.select(*keys, share.alias("_least")), "segment-facts")
+    fit = F.greatest(F.col("_least"), F.greatest(hix - lox, hiy - loy) / 2)
+    # a group in one place has no extent: any size will do
+    level = F.when(fit > 0, F.ceil(F.log2(fit))).otherwise(0).cast("int")
+    return cut(attach(segs, facts, keys).withColumn("_level", level).drop("_least"), "leveled-segments")
+
+
+def _listed(segs: DataFrame) -> DataFrame:
+    """Segments in the cells (_level, _cx, _cy) that their lines pass; cells are grown by a little, so rounding loses none."""
+    size = _size(F.col("_level"))
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
+    cells = segs.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
+    middle = lambda c: (F.col(c) + 0.5) * size
+    return cells.filter(segment_distance(middle("_cx"), middle("_cy"), *[F.col(c) for c in _ENDS]) <= size * 0.7072)
+
+
+def _met(spread: DataFrame, segs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Listed points with the segments in their cells, and ``dist``. Neither side is broadcast: the planner takes a list for as small as what it was made from."""
+    dist = segment_distance(F.col("_x"), F.col("_y"), *[F.col(c) for c in _ENDS])
+    return spread.join(_listed(segs).hint("merge"), [*keys, "_level", "_cx", "_cy"]).withColumn("dist", dist)
+
+
+def _around(found: DataFrame, levels: DataFrame, keys: Sequence[str], reach: Column, own: bool) -> DataFrame:
+    """Points in all cells within ``reach``, with or without their own, for each size in use."""
+    size = _size(F.col("_level"))
+    span = lambda c: F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))
+    spread = _with_levels(found, levels, keys).withColumn("_cx", F.explode(span("_x"))).withColumn("_cy", F.explode(span("_y")))
+    return spread if own else spread.filter((F.col("_cx") != F.floor(F.col("_x") / size)) | (F.col("_cy") != F.floor(F.col("_y") / size)))
+
+
+def _with_levels(points: DataFrame, levels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row for each point and size of cells in use: a handful for a group."""
+    return points.join(F.broadcast(levels), list(keys)) if keys else points.crossJoin(F.broadcast(levels))
+
+
+def _close_by(pts: DataFrame, segs: DataFrame, point_id: str, p_keys: Sequence[str], s_keys: Sequence[str]):
+    """(settled, rest, segments, levels): points with their exact distance from the grid, and those that it does not settle."""
+    place = [*s_keys, point_id, "_x", "_y"]
+    leveled = _leveled(segs, s_keys)
+    levels = cut(leveled.select(*s_keys, "_level").distinct(), "segment-levels")
+    size = _size(F.col("_level"))
+    listed = _with_levels(pts, levels, p_keys).withColumns({"_cx": F.floor(F.col("_x") / size), "_cy": F.floor(F.col("_y") / size)})
+    bounded = cut(_met(listed, leveled, s_keys).groupBy(*place).agg(F.min("dist").alias("_bound")), "bounds")
+    smallest = levels.groupBy(*s_keys).agg(_size(F.min("_level")).alias("_least"))
+    # a bound within the smallest cells reaches three of them each way at most
+    within = attach(bounded, smallest, s_keys).filter(F.col("_bound") <= F.col("_least")).drop("_least")
+    more = _met(_around(within, levels, s_keys, F.col("_bound") * (1 + 1e-9), own=False), leveled, s_keys).select(*place, "dist")
+    settled = cut(within.select(*place, F.col("_bound").alias("dist")).unionByName(more).groupBy(*place).agg(F.min("dist").alias("dist")), "settled")
+    groups = levels.select(*s_keys).distinct()
+    every = (pts.join(F.broadcast(groups), list(p_keys)) if p_keys else pts.crossJoin(F.broadcast(groups))).select(*place).distinct()
+    rest = every.withColumnsRenamed({"_x": "x", "_y": "y"}).join(settled.select(*place).withColumnsRenamed({"_x": "x", "_y": "y"}), [*s_keys, point_id, "x", "y"], "left_anti")
+    return settled, cut(rest, "far-points"), leveled, levels
+
+
 def nearest_distance(
     points: DataFrame,
     segments: DataFrame,
@@ -156,8 +234,12 @@ def nearest_distance(
     segments so that each key value gets its own nearest distance (a kind of water). Without them every point keeps a
     row, with NULL where no segment has its keys. Bounds and depth of the trees follow from the data.
     """
-    found = _candidates(points, segments, point_id, point_keys, segment_keys, depth, bounds)
     keys = list(dict.fromkeys([*point_keys, *segment_keys]))
+    pts, segs = _inputs(points, segments, point_id, point_keys, keys)
+    found, rest, segs, _ = _close_by(pts, segs, point_id, point_keys, keys)
+    found = found.select(*keys, point_id, "dist")
+    if not rest.isEmpty():
+        found = found.unionByName(_candidates(rest, segs, point_id, keys, (), depth, bounds).select(*keys, point_id, "dist"))
     nearest = found.groupBy(*keys, point_id).agg(F.min("dist").alias("dist"))
     if segment_keys:
         return nearest
@@ -176,7 +258,12 @@ def nearest_features(
 
     Left join: with no segments at all each point keeps one row with NULLs.
     """
-    found = _candidates(points, segments, point_id, (), (), depth, bounds)
+    pts, segs = _inputs(points, segments, point_id, (), ())
+    settled, rest, segs, levels = _close_by(pts, segs, point_id, (), ())
+    again = _met(_around(settled.withColumnRenamed("dist", "_best"), levels, (), F.col("_best") * (1 + 1e-9), own=True), segs, ())
+    found = again.filter(F.col("dist") == F.col("_best")).select(point_id, "dist", *_ENDS)
+    if not rest.isEmpty():
+        found = found.unionByName(_candidates(rest, segs, point_id, (), (), depth, bounds))
     ranked = found.withColumn("_rank", F.rank().over(W.partitionBy(point_id).orderBy("dist"))).filter("_rank = 1")
     named = ranked.join(segments.select(feature_id, "x1", "y1", "x2", "y2"), ["x1", "y1", "x2", "y2"])
     named = named.select(point_id, feature_id, "dist").distinct()

@@ -205,6 +205,21 @@ def test_nearest_keeps_ties_and_copies(spark):
     assert sorted((r["pid"], r["feature_id"], r["dist"]) for r in got) == [(1, 1, 2.0), (1, 2, 2.0), (1, 3, 2.0), (2, 4, 0.0)]
 
 
+def test_long_lines_among_many_are_settled_by_the_grid(spark):
+    """Boxes around long lines hold nearly all others; cells that their lines pass do not, and no point is left for the trees."""
+    from catchmark.operators import nearest as nr
+
+    rng = random.Random(9)
+    segs = [(i, "a", x, y, x + rng.uniform(-9, 9), y + rng.uniform(-9, 9)) for i, (x, y) in enumerate((rng.uniform(0, 30), rng.uniform(0, 30)) for _ in range(800))]
+    pts = [(i, rng.uniform(8, 22), rng.uniform(8, 22)) for i in range(60)]
+    points, lines = spark.createDataFrame(pts, "pid long, x double, y double"), spark.createDataFrame(segs, SEG)
+    settled, rest, _, _ = nr._close_by(*nr._inputs(points, lines, "pid", (), ()), "pid", (), ())
+    got = {r["pid"]: r["dist"] for r in settled.collect()}
+    assert rest.isEmpty() and len(got) == 60
+    for pid, x, y in pts:
+        assert got[pid] == pytest.approx(min(seg_dist(x, y, *s[2:]) for s in segs), abs=1e-9)
+
+
 def test_nearest_far_away_and_without_segments(spark):
     """Bounds come from the data, and a point keeps its row when no segment has its key or it has no place."""
     points = spark.createDataFrame([(1, 9e6, 0.0, "a"), (2, 0.5, 0.5, "a"), (3, 0.0, 0.0, "b"), (4, None, 0.0, "a"), (5, float("nan"), 0.0, "a")], "pid long, x double, y double, kind string")
@@ -222,6 +237,12 @@ def test_polygons_near(spark):
     assert got == [(1, 1), (2, 1), (2, 2), (3, 1)]
 
 
+def test_polygons_near_broadcasts_no_list_of_cells(spark):
+    edges = spark.createDataFrame(ring(1, [(0, 0), (10, 0), (10, 10), (0, 10)]), EDGE)
+    plan = pg.polygons_near(spark.createDataFrame([(1, 5.0, 5.0)], "s long, x double, y double"), edges, 1.0, "s")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [_cx") >= 2
+
+
 def test_polygons_near_equals_brute_force(spark):
     rng = random.Random(8)
     polys = {b: star(b, rng.uniform(-9, 9), rng.uniform(-9, 9), rng.uniform(0.2, 2), 9, rng) for b in range(60)}
