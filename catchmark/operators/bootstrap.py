@@ -17,8 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from catchmark.functions.random import MODULUS, hash31, hashed_uniform
+from catchmark.functions.random import HALF, MODULUS, SECOND, hash31, hashed_uniform
 from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import exact_quantiles, group_quantiles, per_group, with_slices
 
@@ -31,13 +32,18 @@ def _replicates(spec: DataFrame, reps: int) -> DataFrame:
 
 
 def _numbers(replicates: DataFrame, keys: Sequence[str], total: str) -> DataFrame:
-    """t = 0..total-1 for each replicate, made in chunks that are hashed over all shuffle partitions."""
+    """t = 0..total-1 for each replicate, a row each."""
+    last = F.col(total).cast("bigint") - 1
+    own = F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK - 1, last))
+    return _chunks(replicates, keys, total).withColumn("t", F.explode(own)).drop("_chunk")
+
+
+def _chunks(replicates: DataFrame, keys: Sequence[str], total: str) -> DataFrame:
+    """The replicates' numbers in chunks of CHUNK, hashed over all shuffle partitions."""
     parts = int(replicates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = F.col(total).cast("bigint") - 1
     chunks = replicates.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / CHUNK))))
-    chunks = chunks.repartition(parts, *keys, "rep", "_chunk")
-    own = F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK - 1, last))
-    return chunks.withColumn("t", F.explode(own)).drop("_chunk")
+    return chunks.repartition(parts, *keys, "rep", "_chunk")
 
 
 def _seed(seed: int) -> Column:
@@ -79,6 +85,50 @@ def _draws(replicates: DataFrame, keys: Sequence[str], seed: int, replace: bool)
     return rows.filter(chosen).withColumn("i", F.col("t") + 1)
 
 
+def _counted(replicates: DataFrame, keys: Sequence[str], seed: int, wanted: str | None = None) -> DataFrame:
+    """Counts of the draws with replacement: (keys, rep, _slice, c, n) by slice, or (.., _slice, i, c) by rank in the slices that the column ``wanted`` lists.
+
+    A chunk's draws are numbers of one array, counted there: only counts leave a task. Same noise and rounding as ``hashed_uniform``.
+    """
+    own = [*keys, "rep"]
+    chunks = _chunks(replicates, keys, "n").withColumns({"_seed": _seed(seed), "_width": _width("m"), "n": F.col("n").cast("bigint"), "m": F.col("m").cast("bigint")})
+    chunks = chunks.select(*own, "n", "m", "_seed", "_width", "_chunk", *([wanted] if wanted else []))
+    told = ["_slice", "i", "c"] if wanted else ["_slice", "c", "n"]
+    schema = StructType([*[chunks.schema[c] for c in own], *[StructField(c, LongType()) for c in told]])
+    modulus, half, second, size = MODULUS, HALF, SECOND, CHUNK
+
+    def count(frames):  # holds all it needs, so executors need not have this package
+        import numpy as np
+        import pandas as pd
+
+        def fold(x):
+            return ((x * x) % modulus * 69621 + 12345) % modulus
+
+        def noise(key, seeded):
+            return fold((fold((key % half * 48271 + 11) % modulus) + (key >> 30) % modulus * 16807 + seeded % modulus * 40692) % modulus)
+
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                n, m, width, seeded = row["n"], row["m"], row["_width"], row["_seed"]
+                key = row["rep"] * n + np.arange(row["_chunk"] * size, min((row["_chunk"] + 1) * size, n), dtype=np.int64)
+                u = (noise(key, seeded) + noise(key, seeded + second) / float(modulus)) / float(modulus)
+                rank = np.minimum(np.floor(u * m).astype(np.int64), m - 1)
+                where = rank // width
+                if wanted:
+                    rank = rank[np.isin(where, np.asarray(row[wanted], dtype=np.int64))]
+                    at, c = np.unique(rank, return_counts=True)
+                    out = {"_slice": at // width, "i": at + 1, "c": c}
+                else:
+                    c = np.bincount(where)
+                    at = np.flatnonzero(c)
+                    out = {"_slice": at, "c": c[at], "n": np.full(len(at), n)}
+                yield pd.DataFrame({**{k: [row[k]] * len(at) for k in own}, **out})
+
+    counted = chunks.mapInPandas(count, schema)
+    by = [*own, "_slice", "i"] if wanted else [*own, "_slice"]
+    return counted.groupBy(*by).agg(F.sum("c").alias("c"), *([] if wanted else [F.max("n").alias("n")]))
+
+
 def _prepared(spec: DataFrame, keys: Sequence[str], reps: int, seed: int, replace: bool) -> DataFrame:
     replicates = _replicates(spec, reps)
     return replicates if replace else _cutoffs(replicates, keys, seed)
@@ -96,15 +146,28 @@ def replicate_medians(spec: DataFrame, ranked: DataFrame, keys: Sequence[str], r
     keys, own = list(keys), [*keys, "rep"]
     carried = [c for c in ("group", "metric") if c not in keys]
     replicates = _prepared(spec, keys, reps, seed, replace)
-    drawn = _draws(replicates, keys, seed, replace).withColumn("_slice", F.floor((F.col("i") - 1) / _width("m")))
-    sizes = drawn.groupBy(*own, "_slice").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    if replace:
+        sizes = _counted(replicates, keys, seed)
+    else:
+        drawn = _draws(replicates, keys, seed, replace).withColumn("_slice", F.floor((F.col("i") - 1) / _width("m")))
+        sizes = drawn.groupBy(*own, "_slice").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     middles = sizes.withColumn("_mid", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))))
     slices = _reach(middles, [*own, "_mid"], "_slice", F.col("_mid"))
     wanted = F.struct(F.col("_slice").alias("slice"), (F.col("_mid") - F.col("_before")).alias("k"))
     found = cut(slices.groupBy(*own).agg(F.collect_list(wanted).alias("_wanted")), "middle-slices")
+    if replace:
+        listed = replicates.join(found.select(*own, F.transform("_wanted", lambda w: w["slice"]).alias("_slices")), own)
+        names = replicates.select(*own, *carried)
+        ranks = _counted(listed, keys, seed, "_slices").join(found, own).join(names, own) if carried else _counted(listed, keys, seed, "_slices").join(found, own)
+        return _looked_up(ranks, ranked, own, carried)
     again = _draws(replicates.join(found, own), keys, seed, replace)
     again = again.withColumn("_slice", F.floor((F.col("i") - 1) / _width("m"))).filter(F.exists("_wanted", lambda w: w["slice"] == F.col("_slice")))
     ranks = again.groupBy(*own, *carried, "_slice", "i").agg(F.count(F.lit(1)).alias("c"), F.first("_wanted").alias("_wanted"))
+    return _looked_up(ranks, ranked, own, carried)
+
+
+def _looked_up(ranks: DataFrame, ranked: DataFrame, own: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """The replicates' medians from the counts of ranks in the slices that hold their middles."""
     each = ranks.withColumn("_w", F.explode("_wanted")).filter(F.col("_w.slice") == F.col("_slice")).withColumn("_k", F.col("_w.k"))
     looked_up = _reach(each, [*own, "_slice", "_k"], "i", F.col("_k")).select(*own, *carried, "i")
     values = ranked.select("group", "metric", "i", "x")

@@ -330,3 +330,15 @@ def test_quantile_grid_matches_numpy(spark, parts):
             got.setdefault(r["g_name"], {})[r["g"]] = r["x"]
         for name, vs in groups.items():
             assert [got[name][g] for g in range(250)] == pytest.approx(np.quantile(vs, np.linspace(low, high, 250)), rel=1e-9)
+
+
+def test_draws_counted_in_arrays_are_the_draws_of_the_noise(spark):
+    spec = spark.createDataFrame([("a", "m", "None", 70_000, 900, 5)], "sector string, metric string, group string, n long, m long, stream long")
+    keys = ["sector", "metric"]
+    want = {(r["rep"], r["i"]): r["c"] for r in bs.draw_ranks(spec, keys, 2, 7, True).collect()}
+    listed = bs._replicates(spec, 2).withColumn("_slices", F.sequence(F.lit(0).cast("bigint"), F.lit(30).cast("bigint")))
+    assert {(r["rep"], r["i"]): r["c"] for r in bs._counted(listed, keys, 7, "_slices").collect()} == want
+    slices = {}
+    for (rep, i), c in want.items():
+        slices[rep, (i - 1) // 30] = slices.get((rep, (i - 1) // 30), 0) + c
+    assert {(r["rep"], r["_slice"]): r["c"] for r in bs._counted(bs._replicates(spec, 2), keys, 7).collect()} == slices
