@@ -5,6 +5,9 @@ chunks of draws that are spread over the cluster; draws are made there and reduc
 sqrt(m) slices of sqrt(m) ranks. The slices that hold the middle are then drawn again and counted rank by rank. So no task
 holds a replicate, draws never cross the network, and only two pool values per replicate are looked up.
 
+Medians without replacement exchange no counts: a replicate's noise runs through one task in blocks, of which that keeps a
+number each and the few members near the cutoff.
+
 ``ranked`` is (group, metric, i, x): the pools' values numbered 1..m (see ``ranked_rows``).
 ``spec`` has one row per comparison: its key columns, group, metric, n (sample size), m (pool size) and
 ``stream``, an integer that separates the noise of comparisons.
@@ -25,6 +28,8 @@ from catchmark.operators.ordered import exact_quantiles, group_quantiles, per_gr
 
 STREAM_STEP = 7919
 CHUNK = 1 << 16
+#: Draws in an array; small enough for a core's cache.
+BLOCK = 1 << 14
 
 
 def _replicates(spec: DataFrame, reps: int) -> DataFrame:
@@ -129,6 +134,113 @@ def _counted(replicates: DataFrame, keys: Sequence[str], seed: int, wanted: str
     return counted.groupBy(*by).agg(F.sum("c").alias("c"), *([] if wanted else [F.max("n").alias("n")]))
 
 
+def _array_noise():
+    """``hash31`` of arrays in two steps, low(key) and noise(low, key, seed). Remainders of 2^31 - 1 are taken by shifts: in between, numbers are only congruent.
+
+    Made by a call, so that executors get it whole and need not have this package.
+    """
+    modulus, half = MODULUS, HALF
+
+    def down(x):  # below 2^63, in place: less than 2^31 + x / 2^31 remains
+        high = x >> 31
+        x &= modulus
+        x += high
+
+    def fold(x):  # at most 1.4 * 2^31, in place
+        x *= x
+        down(x)
+        x *= 69621
+        x += 12345
+        down(x)
+
+    def low(key):
+        x = key & (half - 1)
+        x *= 48271
+        x += 11
+        down(x)
+        fold(x)
+        return x
+
+    def noise(lows, key, seed):
+        x = key >> 30
+        x *= 16807
+        x += lows
+        x += seed % modulus * 40692 % modulus
+        down(x)
+        fold(x)
+        x -= (x >= modulus) * modulus
+        return x
+
+    return low, noise
+
+
+def _spread(replicates: DataFrame, keys: Sequence[str], seed: int, *more: str) -> DataFrame:
+    """The replicates with their seeds, hashed over all shuffle partitions."""
+    parts = int(replicates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = replicates.withColumns({"_seed": _seed(seed), "n": F.col("n").cast("bigint"), "m": F.col("m").cast("bigint")})
+    return told.select(*keys, "rep", "n", "m", "_seed", *more).repartition(parts, *keys, "rep")
+
+
+def _middle_members(replicates: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """(keys, rep, _low, _high): ranks of the middle members (one twice if n is odd) of each replicate's sample without replacement.
+
+    The n smallest (noise, t) are the sample. Noise is even, so the cutoff is looked for in a bracket of a few deviations around n / m, and in the next
+    bracket should that miss it: members below are counted by block, those inside are kept and sorted. Only the blocks of the middle are made again.
+    """
+    own, size, modulus = [*keys, "rep"], BLOCK, MODULUS
+    spread = _spread(replicates.filter((F.col("n") > 0) & (F.col("n") <= F.col("m"))), keys, seed)
+    schema = StructType([*[spread.schema[c] for c in own], StructField("_low", LongType()), StructField("_high", LongType())])
+    low, noise = _array_noise()
+
+    def middles(frames):
+        import numpy as np
+        import pandas as pd
+
+        def made(row, b):
+            key = row["rep"] * row["m"] + np.arange(b * size, min((b + 1) * size, row["m"]), dtype=np.int64)
+            return noise(low(key), key, row["_seed"])
+
+        def sample(row):
+            n, m = row["n"], row["m"]
+            blocks = -(-m // size)
+            span = int(16 * modulus / m**0.5) + 1
+            start = max(0, n * modulus // m - span // 2)
+            while True:
+                below, near = np.zeros(blocks, dtype=np.int64), []
+                for b in range(blocks):
+                    h = made(row, b)
+                    under = h < start + span
+                    at = np.flatnonzero(under & (h >= start))
+                    below[b] = np.count_nonzero(under) - len(at)
+                    near.append((h[at], at + b * size))
+                rest = n - below.sum()
+                if rest < 0:
+                    start, span = max(0, start - 2 * span), start - max(0, start - 2 * span)
+                elif rest > sum(len(t) for _, t in near):
+                    start, span = start + span, 2 * span
+                else:
+                    break
+            h, t = (np.concatenate(x) for x in zip(*near))
+            return start, np.sort(t[np.lexsort((t, h))[:rest]]), below
+
+        def middle(row):
+            start, last, below = sample(row)
+            upto = np.cumsum(below + np.bincount(last // size, minlength=len(below)))
+            members = {}
+            for k in ((row["n"] + 1) // 2, row["n"] // 2 + 1):
+                b = int(np.searchsorted(upto, k))
+                if b not in members:
+                    under = np.flatnonzero(made(row, b) < start) + b * size
+                    members[b] = np.sort(np.concatenate([under, last[last // size == b]]))
+                yield int(members[b][k - 1 - (upto[b - 1] if b else 0)]) + 1
+
+        for frame in frames:
+            found = [tuple(middle(row)) for row in frame.to_dict("records")]
+            yield frame[own].assign(_low=[a for a, _ in found], _high=[b for _, b in found]) if found else pd.DataFrame(columns=[*own, "_low", "_high"])
+
+    return spread.mapInPandas(middles, schema)
+
+
 def _prepared(spec: DataFrame, keys: Sequence[str], reps: int, seed: int, replace: bool) -> DataFrame:
     replicates = _replicates(spec, reps)
     return replicates if replace else _cutoffs(replicates, keys, seed)
@@ -145,24 +257,20 @@ def replicate_medians(spec: DataFrame, ranked: DataFrame, keys: Sequence[str], r
     """(keys, rep, median) of each replicate's sample."""
     keys, own = list(keys), [*keys, "rep"]
     carried = [c for c in ("group", "metric") if c not in keys]
-    replicates = _prepared(spec, keys, reps, seed, replace)
-    if replace:
-        sizes = _counted(replicates, keys, seed)
-    else:
-        drawn = _draws(replicates, keys, seed, replace).withColumn("_slice", F.floor((F.col("i") - 1) / _width("m")))
-        sizes = drawn.groupBy(*own, "_slice").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    replicates = _replicates(spec, reps)
+    if not replace:
+        # two ranks a replicate
+        found = cut(_middle_members(replicates, keys, seed), "middle-members").withColumn("i", F.explode(F.array_distinct(F.array("_low", "_high"))))
+        found = found.join(per_group(spec.select(*keys, *carried), "pools"), keys) if carried else found
+        return _valued(found, ranked, own)
+    sizes = _counted(replicates, keys, seed)
     middles = sizes.withColumn("_mid", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))))
     slices = _reach(middles, [*own, "_mid"], "_slice", F.col("_mid"))
     wanted = F.struct(F.col("_slice").alias("slice"), (F.col("_mid") - F.col("_before")).alias("k"))
     found = cut(slices.groupBy(*own).agg(F.collect_list(wanted).alias("_wanted")), "middle-slices")
-    if replace:
-        listed = replicates.join(found.select(*own, F.transform("_wanted", lambda w: w["slice"]).alias("_slices")), own)
-        names = replicates.select(*own, *carried)
-        ranks = _counted(listed, keys, seed, "_slices").join(found, own).join(names, own) if carried else _counted(listed, keys, seed, "_slices").join(found, own)
-        return _looked_up(ranks, ranked, own, carried)
-    again = _draws(replicates.join(found, own), keys, seed, replace)
-    again = again.withColumn("_slice", F.floor((F.col("i") - 1) / _width("m"))).filter(F.exists("_wanted", lambda w: w["slice"] == F.col("_slice")))
-    ranks = again.groupBy(*own, *carried, "_slice", "i").agg(F.count(F.lit(1)).alias("c"), F.first("_wanted").alias("_wanted"))
+    listed = replicates.join(found.select(*own, F.transform("_wanted", lambda w: w["slice"]).alias("_slices")), own)
+    names = replicates.select(*own, *carried)
+    ranks = _counted(listed, keys, seed, "_slices").join(found, own).join(names, own) if carried else _counted(listed, keys, seed, "_slices").join(found, own)
     return _looked_up(ranks, ranked, own, carried)
 
 
@@ -170,8 +278,13 @@ def _looked_up(ranks: DataFrame, ranked: DataFrame, own: Sequence[str], carried:
     """The replicates' medians from the counts of ranks in the slices that hold their middles."""
     each = ranks.withColumn("_w", F.explode("_wanted")).filter(F.col("_w.slice") == F.col("_slice")).withColumn("_k", F.col("_w.k"))
     looked_up = _reach(each, [*own, "_slice", "_k"], "i", F.col("_k")).select(*own, *carried, "i")
+    return _valued(looked_up, ranked, own)
+
+
+def _valued(middles: DataFrame, ranked: DataFrame, own: Sequence[str]) -> DataFrame:
+    """The mean of the pool's values at each replicate's middle ranks."""
     values = ranked.select("group", "metric", "i", "x")
-    return looked_up.join(values, ["group", "metric", "i"]).groupBy(*own).agg(F.avg("x").alias("median"))
+    return middles.join(values, ["group", "metric", "i"]).groupBy(*own).agg(F.avg("x").alias("median"))
 
 
 def difference_interval(diffs: DataFrame, keys: Sequence[str], diff: str = "diff") -> DataFrame:

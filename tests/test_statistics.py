@@ -342,3 +342,33 @@ def test_draws_counted_in_arrays_are_the_draws_of_the_noise(spark):
     for (rep, i), c in want.items():
         slices[rep, (i - 1) // 30] = slices.get((rep, (i - 1) // 30), 0) + c
     assert {(r["rep"], r["_slice"]): r["c"] for r in bs._counted(bs._replicates(spec, 2), keys, 7).collect()} == slices
+
+
+def test_medians_without_replacement_are_those_of_the_drawn_ranks(spark):
+    keys, kind = ["sector", "metric"], "sector string, metric string, group string, n long, m long, stream long"
+    rows = [("few", "m", "None", 1, 7, 0), ("all", "m", "None", 300, 300, 1), ("odd", "m", "None", 9_001, 20_000, 2), ("even", "m", "None", 19_998, 20_000, 3), ("more", "m", "None", 8, 7, 4)]
+    spec = spark.createDataFrame(rows, kind)
+    ranked = spark.range(1, 20_001).select(F.lit("None").alias("group"), F.lit("m").alias("metric"), F.col("id").alias("i"), (F.col("id") * 10.0).alias("x"))
+    drawn: dict = {}
+    for r in bs.draw_ranks(spec.filter("n <= m"), keys, 3, 7, False).collect():
+        drawn.setdefault((r["sector"], r["rep"]), []).append(r["i"] * 10.0)
+    medians = bs.replicate_medians(spec, ranked, keys, 3, 7, False)
+    assert {(r["sector"], r["rep"]): r["median"] for r in medians.collect()} == {k: float(np.median(v)) for k, v in drawn.items()}
+    assert len(drawn) == 12
+
+
+@pytest.mark.parametrize("start", [0, 5, bs.MODULUS - 5])
+def test_cutoffs_are_found_where_noise_is_uneven(spark, start, monkeypatch):
+    """All noise in a few numbers, with ties, far from where it is looked for first."""
+    monkeypatch.setattr(bs, "_array_noise", lambda: (lambda key: key, lambda low, key, seed: start + key * key % 5))
+    spec = spark.createDataFrame([("a", "m", "None", 401, 40_000, 0)], "sector string, metric string, group string, n long, m long, stream long")
+    order = sorted(range(40_000), key=lambda t: (t * t % 5, t))[:401]
+    got = bs._middle_members(bs._replicates(spec, 1), ["sector", "metric"], 7).first()
+    assert (got["_low"], got["_high"]) == (sorted(order)[200] + 1,) * 2
+
+
+def test_draws_without_replacement_leave_no_counts_behind(spark):
+    """What is written for a replicate is its middle, whatever the pool's size."""
+    spec = spark.createDataFrame([("a", "m", "None", 30, 90, 0)], "sector string, metric string, group string, n long, m long, stream long")
+    plan = bs._middle_members(bs._replicates(spec, 4), ["sector", "metric"], 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
