@@ -5,8 +5,8 @@ chunks of draws that are spread over the cluster; draws are made there and reduc
 sqrt(m) slices of sqrt(m) ranks. The slices that hold the middle are then drawn again and counted rank by rank. So no task
 holds a replicate, draws never cross the network, and only two pool values per replicate are looked up.
 
-Medians without replacement exchange no counts: a replicate's noise runs through one task in blocks, of which that keeps a
-number each and the few members near the cutoff.
+Medians without replacement and ECDFs exchange no counts: a replicate's noise runs through one task in blocks, of which that
+keeps a number each and the few members near the cutoff, or counts of even slices of ranks.
 
 ``ranked`` is (group, metric, i, x): the pools' values numbered 1..m (see ``ranked_rows``).
 ``spec`` has one row per comparison: its key columns, group, metric, n (sample size), m (pool size) and
@@ -20,16 +20,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from catchmark.functions.random import HALF, MODULUS, SECOND, hash31, hashed_uniform
 from catchmark.operators.lineage import cut
-from catchmark.operators.ordered import exact_quantiles, group_quantiles, per_group, with_slices
+from catchmark.operators.ordered import exact_quantiles, group_quantiles, per_group
 
 STREAM_STEP = 7919
 CHUNK = 1 << 16
 #: Draws in an array; small enough for a core's cache.
 BLOCK = 1 << 14
+#: Slices of a pool's ranks that a curve counts draws by: 2^12 at most.
+SLICE_BITS = 12
 
 
 def _replicates(spec: DataFrame, reps: int) -> DataFrame:
@@ -181,47 +183,61 @@ def _spread(replicates: DataFrame, keys: Sequence[str], seed: int, *more: str) -
     return told.select(*keys, "rep", "n", "m", "_seed", *more).repartition(parts, *keys, "rep")
 
 
+def _array_sample():
+    """A replicate's sample without replacement: noise(row, block), and sample(row) with the noise below which all belong, the other members, and the count below by block.
+
+    The n smallest (noise, t) are the sample. Noise is even, so the cutoff is looked for in a bracket of a few deviations around n / m, and in the next
+    bracket should that miss it: members below are counted by block, those inside are kept and sorted. Made by a call, as ``_array_noise``.
+    """
+    size, modulus = BLOCK, MODULUS
+    low, noise = _array_noise()
+
+    def made(row, b):
+        import numpy as np
+
+        key = row["rep"] * row["m"] + np.arange(b * size, min((b + 1) * size, row["m"]), dtype=np.int64)
+        return noise(low(key), key, row["_seed"])
+
+    def sample(row):
+        import numpy as np
+
+        n, m = row["n"], row["m"]
+        blocks = -(-m // size)
+        span = int(16 * modulus / m**0.5) + 1
+        start = max(0, n * modulus // m - span // 2)
+        while True:
+            below, near = np.zeros(blocks, dtype=np.int64), []
+            for b in range(blocks):
+                h = made(row, b)
+                under = h < start + span
+                at = np.flatnonzero(under & (h >= start))
+                below[b] = np.count_nonzero(under) - len(at)
+                near.append((h[at], at + b * size))
+            rest = n - below.sum()
+            if rest < 0:
+                start, span = max(0, start - 2 * span), start - max(0, start - 2 * span)
+            elif rest > sum(len(t) for _, t in near):
+                start, span = start + span, 2 * span
+            else:
+                break
+        h, t = (np.concatenate(x) for x in zip(*near))
+        return start, np.sort(t[np.lexsort((t, h))[:rest]]), below
+
+    return made, sample
+
+
 def _middle_members(replicates: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     """(keys, rep, _low, _high): ranks of the middle members (one twice if n is odd) of each replicate's sample without replacement.
 
-    The n smallest (noise, t) are the sample. Noise is even, so the cutoff is looked for in a bracket of a few deviations around n / m, and in the next
-    bracket should that miss it: members below are counted by block, those inside are kept and sorted. Only the blocks of the middle are made again.
+    Only the blocks that the middle lies in are made again.
     """
-    own, size, modulus = [*keys, "rep"], BLOCK, MODULUS
+    own, size = [*keys, "rep"], BLOCK
     spread = _spread(replicates.filter((F.col("n") > 0) & (F.col("n") <= F.col("m"))), keys, seed)
     schema = StructType([*[spread.schema[c] for c in own], StructField("_low", LongType()), StructField("_high", LongType())])
-    low, noise = _array_noise()
+    made, sample = _array_sample()
 
     def middles(frames):
         import numpy as np
-        import pandas as pd
-
-        def made(row, b):
-            key = row["rep"] * row["m"] + np.arange(b * size, min((b + 1) * size, row["m"]), dtype=np.int64)
-            return noise(low(key), key, row["_seed"])
-
-        def sample(row):
-            n, m = row["n"], row["m"]
-            blocks = -(-m // size)
-            span = int(16 * modulus / m**0.5) + 1
-            start = max(0, n * modulus // m - span // 2)
-            while True:
-                below, near = np.zeros(blocks, dtype=np.int64), []
-                for b in range(blocks):
-                    h = made(row, b)
-                    under = h < start + span
-                    at = np.flatnonzero(under & (h >= start))
-                    below[b] = np.count_nonzero(under) - len(at)
-                    near.append((h[at], at + b * size))
-                rest = n - below.sum()
-                if rest < 0:
-                    start, span = max(0, start - 2 * span), start - max(0, start - 2 * span)
-                elif rest > sum(len(t) for _, t in near):
-                    start, span = start + span, 2 * span
-                else:
-                    break
-            h, t = (np.concatenate(x) for x in zip(*near))
-            return start, np.sort(t[np.lexsort((t, h))[:rest]]), below
 
         def middle(row):
             start, last, below = sample(row)
@@ -236,11 +252,61 @@ def _middle_members(replicates: DataFrame, keys: Sequence[str], seed: int) -> Da
 
         for frame in frames:
             found = [tuple(middle(row)) for row in frame.to_dict("records")]
-            yield frame[own].assign(_low=[a for a, _ in found], _high=[b for _, b in found]) if found else pd.DataFrame(columns=[*own, "_low", "_high"])
+            yield frame[own].assign(_low=[a for a, _ in found], _high=[b for _, b in found])
 
     return spread.mapInPandas(middles, schema)
 
 
+def _curves(replicates: DataFrame, keys: Sequence[str], seed: int, replace: bool) -> DataFrame:
+    """(keys, rep, g, y): the share of each replicate's draws whose ranks are at most ``_cuts[g]``, a column of sorted numbers from 0 to m.
+
+    Draws are counted by even slices of ranks as they are made; only those in a slice that a cut splits are looked up among the cuts.
+    """
+    own, size, modulus, second, bits = [*keys, "rep"], BLOCK, MODULUS, SECOND, SLICE_BITS
+    spread = _spread(replicates if replace else replicates.filter(F.col("n") <= F.col("m")), keys, seed, "_cuts")
+    schema = StructType([*[spread.schema[c] for c in own], StructField("g", IntegerType()), StructField("y", DoubleType())])
+    low, noise = _array_noise()
+    made, sample = _array_sample()
+
+    def curves(frames):
+        import numpy as np
+        import pandas as pd
+
+        def places(row):  # ranks less one, in blocks
+            n, m = row["n"], row["m"]
+            if not replace:
+                start, last, below = sample(row)
+                for b in range(len(below)):
+                    yield np.concatenate([np.flatnonzero(made(row, b) < start) + b * size, last[last // size == b]])
+                return
+            for first in range(0, n, size):
+                key = row["rep"] * n + np.arange(first, min(first + size, n), dtype=np.int64)
+                lows = low(key)
+                u = (noise(lows, key, row["_seed"]) + noise(lows, key, row["_seed"] + second) / float(modulus)) / float(modulus)
+                yield np.minimum(np.floor(u * m).astype(np.int64), m - 1)
+
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                cuts = np.asarray(row["_cuts"], dtype=np.int64)
+                shift = max(0, int(row["m"]).bit_length() - bits)
+                slices = ((row["m"] - 1) >> shift) + 1
+                inner = cuts[(cuts & ((1 << shift) - 1) != 0) & (cuts < row["m"])]
+                split = np.zeros(slices, dtype=bool)
+                split[inner >> shift] = True
+                whole, counts = np.zeros(slices, dtype=np.int64), np.zeros(len(cuts) + 1, dtype=np.int64)
+                for place in places(row):
+                    at = place >> shift
+                    whole += np.bincount(at, minlength=slices)
+                    if len(inner):
+                        counts += np.bincount(np.searchsorted(cuts, place[split[at]], "right"), minlength=len(counts))
+                whole[split] = 0
+                np.add.at(counts, np.searchsorted(cuts, np.arange(slices) << shift, "right"), whole)
+                y = np.cumsum(counts[:-1]) / row["n"]
+                yield pd.DataFrame({**{k: [row[k]] * len(cuts) for k in own}, "g": np.arange(len(cuts), dtype=np.int32), "y": y})
+
+    return spread.mapInPandas(curves, schema)
+
+
 def _prepared(spec: DataFrame, keys: Sequence[str], reps: int, seed: int, replace: bool) -> DataFrame:
     replicates = _replicates(spec, reps)
     return replicates if replace else _cutoffs(replicates, keys, seed)
@@ -387,27 +453,15 @@ def ecdf_band(
 
     ``grid`` is (sector, metric, g, x) with g = 0, 1, ...; ``pool_ecdf`` is the pool's own ECDF y on it.
     A draw of rank i lies at or below grid point g exactly when i <= K_g, the pool's count there, so draws are
-    binned by a binary search over K and never looked up.
+    counted between the K where they are made and never looked up; a replicate leaves its curve only.
     """
     keys = ["sector", "metric"]
     spec = versus_pool(values, sectors, metrics, pool)
     spec = spec.filter((F.col("n") >= min_n) & (F.col("m") >= (F.lit(min_n) if replace else F.col("n"))))
     sizes = spec.select(*keys, "m")
     edges = pool_ecdf.join(per_group(sizes, "sizes"), keys).withColumn("_k", F.round(F.col("y") * F.col("m")).cast("bigint"))
-    edges = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("_k")).alias("_cuts"), F.count(F.lit(1)).alias("_g"))
-    edges = cut(edges, "grid-counts")
-    # the search halves its step from half the slices, of which there must be one more than cuts
-    most = edges.agg(F.coalesce(F.max("_g"), F.lit(0))).first()[0]
-    draws = _draws(_prepared(spec, keys, reps, seed, replace), keys, seed, replace).join(per_group(edges, "grid-counts"), keys)
-    binned = with_slices(draws, keys, "i", "_cuts", 1 << int(most).bit_length())
-    per_bin = binned.groupBy(*keys, "rep", F.col("_slice").alias("g")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("_g").alias("_g"))
-    # every replicate gets all grid points, also those no draw fell on
-    per_rep = per_bin.groupBy(*keys, "rep").agg(
-        F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("_c"), F.max("n").alias("n"), F.max("_g").alias("_g")
-    )
-    full = per_rep.select(*keys, "rep", "n", "_c", F.explode(F.sequence(F.lit(0), F.col("_g").cast("int") - 1)).alias("g"))
-    counts = full.withColumn("c", F.coalesce(F.try_element_at("_c", F.col("g")), F.lit(0)))
-    upto = W.partitionBy(*keys, "rep").orderBy("g").rowsBetween(W.unboundedPreceding, 0)
-    curves = counts.select(*keys, "rep", "g", (F.sum("c").over(upto) / F.col("n")).alias("y"))
+    edges = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("_k")).alias("_cuts"))
+    replicates = _replicates(spec, reps).join(per_group(edges, "grid-counts"), keys)
+    curves = _curves(replicates, keys, seed, replace)
     band = group_quantiles(curves, [*keys, "g"], "y", {"b_med": 0.5, "b_lo": 0.025, "b_hi": 0.975})
     return band.join(grid, [*keys, "g"]).select(*keys, "g", "x", "b_med", "b_lo", "b_hi")

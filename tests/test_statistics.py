@@ -372,3 +372,19 @@ def test_draws_without_replacement_leave_no_counts_behind(spark):
     spec = spark.createDataFrame([("a", "m", "None", 30, 90, 0)], "sector string, metric string, group string, n long, m long, stream long")
     plan = bs._middle_members(bs._replicates(spec, 4), ["sector", "metric"], 7)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("replace", [True, False])
+def test_curves_are_those_of_the_drawn_ranks(spark, replace):
+    """No draw is a row; slices that cuts split, equal cuts and cuts at either end."""
+    keys, kind = ["sector", "metric"], "sector string, metric string, group string, n long, m long, stream long"
+    cuts = {"a": [0, 1, 7, 7, 4096, 9_999, 10_000, 15_001, 20_000], "b": [0, 3, 90], "c": [1, 1]}
+    spec = spark.createDataFrame([("a", "m", "None", 18_000, 20_000, 0), ("b", "m", "None", 60, 90, 1), ("c", "m", "None", 1, 1, 2)], kind)
+    drawn = {}
+    for r in bs.draw_ranks(spec, keys, 2, 7, replace).collect():
+        drawn.setdefault((r["sector"], r["rep"]), []).extend([r["i"]] * r["c"])
+    want = {(s, rep, g): sum(i <= k for i in ranks) / len(ranks) for (s, rep), ranks in drawn.items() for g, k in enumerate(cuts[s])}
+    listed = bs._replicates(spec, 2).join(spark.createDataFrame(list(cuts.items()), "sector string, _cuts array<long>"), "sector")
+    got = bs._curves(listed, keys, 7, replace)
+    assert {(r["sector"], r["rep"], r["g"]): r["y"] for r in got.collect()} == want
+    assert "Generate" not in bs._curves(listed.localCheckpoint(), keys, 7, replace)._jdf.queryExecution().executedPlan().toString()
