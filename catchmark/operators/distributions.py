@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catchmark.functions.tails import kolmogorov_sf, normal_two_sided
+from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import attach, exact_quantiles, per_group, running_totals
 
 
@@ -208,10 +209,13 @@ def median_difference(df: DataFrame, keys: Sequence[str], value: str, is_first:
 def bh_fdr(df: DataFrame, p: str, q: str, keys: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg q-values over a table of any size; NULL p-values stay NULL and do not count.
 
-    Works on distinct p: the smallest p*n/rank among ties is the one at the last rank.
+    Works on distinct p: the smallest p*n/rank among ties is the one at the last rank. Their counts and q are written once, so the
+    rows are read twice, and the planner knows how large the table of q is.
     """
     keys = list(keys)
-    run = running_totals(value_counts(df, keys, p), keys, "x", ["n"])
+    # NULL is left out after writing: a filter before would be pushed into the expression of p
+    counts = cut(df.groupBy(*keys, F.col(p).alias("x")).agg(F.count(F.lit(1)).alias("n")), "p-counts")
+    run = running_totals(counts.filter(F.col("x").isNotNull() & ~F.isnan("x")), keys, "x", ["n"])
     raw = run.withColumn("_raw", F.col("x") * F.col("tot_n") / F.col("cum_n"))
     later = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
     per_slice = raw.groupBy(*keys, "_slice").agg(F.min("_raw").alias("_slice_min"))
@@ -223,7 +227,7 @@ def bh_fdr(df: DataFrame, p: str, q: str, keys: Sequence[str] = ()) -> DataFrame
     table = joined.select(
         *keys, F.col("x").alias(p), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least("_here", "_later"))).alias(q)
     )
-    return df.join(table, [*keys, p], "left")
+    return df.join(cut(table, "q-values"), [*keys, p], "left")
 
 
 def bh_fdr_results(df: DataFrame, p: str, q: str) -> DataFrame:

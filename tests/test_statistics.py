@@ -388,3 +388,18 @@ def test_curves_are_those_of_the_drawn_ranks(spark, replace):
     got = bs._curves(listed, keys, 7, replace)
     assert {(r["sector"], r["rep"], r["g"]): r["y"] for r in got.collect()} == want
     assert "Generate" not in bs._curves(listed.localCheckpoint(), keys, 7, replace)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bh_fdr_works_out_p_twice_a_row_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(400).select("id", F.udf(note, "double")(F.when(F.col("id") % 9 > 0, F.col("id") / 400.0)).alias("p"))
+    got = {r["id"]: r["q"] for r in ds.bh_fdr(df, "p", "q").collect()}
+    assert seen.value <= 800
+    p = np.array([i / 400.0 for i in range(400) if i % 9])
+    q = np.minimum(1, np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1])
+    assert [got[i] for i in range(400) if i % 9] == pytest.approx(list(q)) and all(got[i] is None for i in range(0, 400, 9))
