@@ -110,10 +110,14 @@ def random_points_in_polygons(spark, edges: DataFrame, n: int, seed: int, id_col
 
 
 def grouped_draws(sizes: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:
-    """Rows (keys, other columns, draw) with draw = 0 .. count - 1 of each row of ``sizes``; a group of any size is made in pieces."""
+    """Rows (keys, other columns, draw) with draw = 0 .. count - 1 of each row of ``sizes``; a group of any size is made in pieces.
+
+    The number of partitions is named, as the planner would merge the few small rows of pieces, and one task make all draws.
+    """
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = sizes.filter(F.col(count) > 0).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / PIECE))))
     last = F.least(F.col("_piece") * PIECE + (PIECE - 1), F.col(count).cast("bigint") - 1)
-    return pieces.repartition(*keys, "_piece").withColumn("draw", F.explode(F.sequence(F.col("_piece") * PIECE, last))).drop("_piece", count)
+    return pieces.repartition(parts, *keys, "_piece").withColumn("draw", F.explode(F.sequence(F.col("_piece") * PIECE, last))).drop("_piece", count)
 
 
 def disk_points(sites: DataFrame, site_id: str, n: int, radius: float, seed: int) -> DataFrame:

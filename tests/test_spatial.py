@@ -322,3 +322,10 @@ def test_disk_points_stay_in_disk(spark):
     got = sm.disk_points(sites, "s", 200, 3.0, 1).join(sites, "s").select(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")).alias("r"))
     radii = [r["r"] for r in got.collect()]
     assert len(radii) == 400 and max(radii) <= 3.0 and sum(r > 3 / math.sqrt(2) for r in radii) > 150
+
+
+def test_draws_are_made_by_several_tasks(spark):
+    sizes = spark.createDataFrame([("a", 30 * sm.PIECE), ("b", 5), ("c", 0)], "grp string, n long")
+    tasks = sm.grouped_draws(sizes, ["grp"]).groupBy("grp", F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["grp"] == "a" for r in tasks) > 1
+    assert {g: sum(r["count"] for r in tasks if r["grp"] == g) for g in "abc"} == {"a": 30 * sm.PIECE, "b": 5, "c": 0}
