@@ -26,6 +26,8 @@ from catchmark.llm.workers import held, only
 
 DIMENSIONS, SEED, UNDETERMINED = 1024, 20, "und"
 DENSE = 1 << 20
+#: Trigrams whose vectors are multiplied at once, as floats; all of a batch are held as bytes.
+BLOCK = 512
 
 
 @lru_cache(maxsize=1)
@@ -79,7 +81,18 @@ def gram_vectors(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     out = np.roll(base, 2, 1)[index[:, 0]]
     out *= np.roll(base, 1, 1)[index[:, 1]]
     out *= base[index[:, 2]]
-    return out.astype(np.float32)
+    return out
+
+
+def weighted(counts: np.ndarray, vectors: np.ndarray, kind: type) -> np.ndarray:
+    """counts @ vectors in numbers of ``kind``, block by block; sums are whole, so blocks don't change them."""
+    out = np.zeros((len(counts), vectors.shape[1]), kind)
+    block = np.empty((min(BLOCK, len(vectors)), vectors.shape[1]), kind)
+    for a in range(0, len(vectors), BLOCK):
+        n = min(BLOCK, len(vectors) - a)
+        block[:n] = vectors[a : a + n]
+        out += counts[:, a : a + n].astype(kind) @ block[:n]
+    return out
 
 
 def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -95,7 +108,7 @@ def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.nd
         n = min(step, len(texts) - a)
         counts = np.bincount((owner[lo:hi] - a) * np.int64(wide) + places[lo:hi], minlength=n * wide).reshape(n, wide)
         used = np.flatnonzero(counts.any(0))
-        out[a : a + n] = counts[:, used].astype(np.float32) @ vectors[used]
+        out[a : a + n] = weighted(counts[:, used], vectors[used], np.float32)
     return out
 
 
@@ -109,6 +122,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
     """Prototypes of all languages of ``labelled``, from every one of its rows with a language and a text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only(letter_vector)
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             rows, langs = pdf["text"].tolist(), pdf["lang"].to_numpy()
@@ -119,7 +133,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
                 vectors = gram_vectors(codes, dimensions)
                 names, index = np.unique(langs[a:b].astype(str), return_inverse=True)
                 counts = np.bincount(index[owner] * np.int64(len(codes)) + places, minlength=len(names) * len(codes)).reshape(len(names), -1)
-                for name, total in zip(names, counts.astype(np.float64) @ vectors.astype(np.float64)):
+                for name, total in zip(names, weighted(counts, vectors, np.float64)):
                     sums[name] = sums.get(name, 0) + total.astype(np.int64)
         if sums:
             yield pd.DataFrame({"lang": list(sums), "total": [x.tolist() for x in sums.values()]})

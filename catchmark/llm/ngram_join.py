@@ -53,6 +53,8 @@ CENTRES, PARTS = 2, 32
 UNFRUITFUL = 1000
 BROADCAST_IDS = 1_000_000
 PACKET = 1 << 20
+#: Rows whose texts a worker holds as Python strings at once, and characters whose words it takes at once.
+ROWS, CHARS = 250, 200_000
 
 
 # --- sets ----------------------------------------------------------------------------------------------------------------------
@@ -105,14 +107,19 @@ def screen_match(n, percent: int = PERCENT):
     return np.minimum(1 + n // SCREEN_SHARE, needed(n, percent))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows, at most ROWS at once."""
+    return (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS))
+
+
 def _sized(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n, node (id of the set), prefix (48 bits of each hash of the screening prefix)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = batch.column(1).to_pylist()
-            for a, b in pieces_of([x or "" for x in texts]):
+            for a, b in pieces_of([x or "" for x in texts], CHARS):
                 sets = shingle_sets(texts[a:b], n)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 prefixes = []
@@ -217,9 +224,9 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = batch.column(0).to_pylist()
-            for a, b in pieces_of([x or "" for x in texts]):
+            for a, b in pieces_of([x or "" for x in texts], CHARS):
                 sets = [s for s in shingle_sets(texts[a:b], n) if len(s)]
                 if sets:
                     flat = np.concatenate(sets).view(np.int64)

@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from catchmark.llm import language_id as li
+from catchmark.llm import secret_scan
 
 
 def test_vectors_are_sums_of_bound_trigrams():
@@ -27,6 +30,25 @@ def test_memory_is_bounded_without_changing_sums(monkeypatch):
     assert (li.text_vectors(texts) == whole).all()
 
 
+def test_vectors_of_many_trigrams_are_not_all_floats_at_once():
+    text = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))
+    codes = li.trigrams([text])[0]
+    tracemalloc.start()
+    li.text_vectors([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(codes) > 17_000 and peak < 4.5 * len(codes) * li.DIMENSIONS
+
+
+def test_learning_lets_go_of_other_stages_models(docs_of, paths, monkeypatch):
+    docs, functions = docs_of(["aa bb"]), []
+    real = type(docs).mapInPandas
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, f, *a, **k: functions.append(f) or real(self, f, *a, **k))
+    li.learn(docs)
+    secret_scan._vocabulary(paths["ranks"])
+    assert list(functions[0](iter([]))) == [] and secret_scan._vocabulary.cache_info().currsize == 0
+
+
 def test_cases(docs_of):
     texts = ["the cat and the dog", "le chat et le chien", "the dog", None, "", "123 !!", "le chat", "the dog"]
     langs = ["en", "fr", None, "fr", "en", "en", None, None]

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -111,3 +112,17 @@ def test_one_row_of_a_repeated_id_stays(docs_of, prose):
     assert [i for i, _ in rows] == [4, 9] and rows[0][1] in texts[:3]
     assert kept.filter("doc_id = 11").count() == 1
     assert sorted(rows) == sorted((r["doc_id"], r["text"]) for r in nj.keep_representatives(df.repartition(5)).collect() if r["text"] is not None)
+
+
+def test_a_worker_turns_few_texts_at_once_into_sets(docs_of, prose, monkeypatch):
+    """A batch of any size is taken in slices, with the sets of the whole."""
+    texts = [prose(k, 7) for k in range(600)]
+    docs, functions = docs_of(texts).select("doc_id", "text"), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: functions.append(f) or real(self, f, *a, **k))
+    nj._sized(docs, nj.N, nj.PERCENT)
+    sets, taken = nj.shingle_sets, []
+    monkeypatch.setattr(nj, "shingle_sets", lambda rows, n: taken.append(len(rows)) or sets(rows, n))
+    out = list(functions[0](iter([pa.record_batch([list(range(600)), texts], ["doc_id", "text"])])))
+    assert max(taken) <= 250 and sum(taken) == 600
+    assert [x for b in out for x in b["node"].to_pylist()] == [nj.set_id(s) for s in sets(texts)] and [x for b in out for x in b["doc_id"].to_pylist()] == list(range(600))
