@@ -220,6 +220,52 @@ def test_long_lines_among_many_are_settled_by_the_grid(spark):
         assert got[pid] == pytest.approx(min(seg_dist(x, y, *s[2:]) for s in segs), abs=1e-9)
 
 
+def zigzag(n):
+    return [(i, "a", 100.0 * (i * 7919 % 101) / 101, float(i), 100.0 * ((i + 1) * 7919 % 101) / 101, float(i + 1)) for i in range(n)]
+
+
+def test_far_points_meet_whole_leaves_as_arrays(spark, monkeypatch):
+    """Points inland of a coast: distances and ties as by brute force, in several tasks, and no pair of a point and a segment is a row."""
+    from catchmark.operators import nearest as nr
+
+    for name, few in (("SEGMENTS_PER_LEAF", 8), ("SEGMENTS_PER_BLOCK", 60), ("POINTS_PER_BLOCK", 10)):
+        monkeypatch.setattr(nr, name, few)
+    rng = random.Random(3)
+    segs = zigzag(400) + [(900, "a", 100.0, 450.0, 120.0, 450.0), (901, "a", 120.0, 450.0, 100.0, 450.0)]
+    pts = [(i, rng.uniform(600, 3000), rng.uniform(-300, 900)) for i in range(120)] + [(500, 4000.0, 450.0)]
+    points, lines = spark.createDataFrame(pts, "pid long, x double, y double"), spark.createDataFrame(segs, SEG)
+    got = {}
+    for r in nearest_features(points, lines, "pid").collect():
+        got.setdefault(r["pid"], []).append((r["feature_id"], r["dist"]))
+    for pid, x, y in pts:
+        near = {s[0]: seg_dist(x, y, *s[2:]) for s in segs}
+        assert {f for f, _ in got[pid]} == {f for f, d in near.items() if d <= min(near.values()) + 1e-9}
+        assert got[pid][0][1] == pytest.approx(min(near.values()), abs=1e-9)
+    assert {f for f, _ in got[500]} == {900, 901}
+    rest = points.withColumns({"x": F.col("x"), "y": F.col("y")})
+    plan = nr._candidates(rest, lines.select("x1", "y1", "x2", "y2"), "pid", (), (), None, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not [line for line in plan.splitlines() if "Join" in line and "pid" in line and "x1" in line]
+
+
+def test_tiles_are_searched_as_brute_force(spark, monkeypatch):
+    """Many small tiles, crowded ones in several tasks, copies and ties, points on borders of tiles."""
+    from catchmark.operators import nearest as nr
+
+    for name, few in (("SEGMENTS_PER_TILE", 5), ("POINTS_PER_TASK", 7)):
+        monkeypatch.setattr(nr, name, few)
+    rng = random.Random(4)
+    segs = [(i, "a", x, y, x + rng.randint(-2, 2), y + rng.randint(-2, 2)) for i, (x, y) in enumerate((rng.randint(0, 40), rng.randint(0, 40)) for _ in range(500))]
+    segs = [(i, k, *map(float, e)) for i, k, *e in segs]
+    pts = [(i, float(rng.randint(-3, 44)), float(rng.randint(-3, 44))) for i in range(150)] + [(300 + i, 20.0, 20.0) for i in range(30)]
+    got = {}
+    for r in nearest_features(spark.createDataFrame(pts, "pid long, x double, y double"), spark.createDataFrame(segs, SEG), "pid").collect():
+        got.setdefault(r["pid"], set()).add(r["feature_id"])
+        assert r["dist"] == pytest.approx(min(seg_dist(pts[r["pid"]][1], pts[r["pid"]][2], *s[2:]) for s in segs) if r["pid"] < 150 else r["dist"], abs=1e-9)
+    for pid, x, y in pts:
+        near = {s[0]: seg_dist(x, y, *s[2:]) for s in segs}
+        assert got[pid] == {f for f, d in near.items() if d <= min(near.values()) + 1e-9}
+
+
 def test_nearest_far_away_and_without_segments(spark):
     """Bounds come from the data, and a point keeps its row when no segment has its key or it has no place."""
     points = spark.createDataFrame([(1, 9e6, 0.0, "a"), (2, 0.5, 0.5, "a"), (3, 0.0, 0.0, "b"), (4, None, 0.0, "a"), (5, float("nan"), 0.0, "a")], "pid long, x double, y double, kind string")
@@ -230,6 +276,31 @@ def test_nearest_far_away_and_without_segments(spark):
     assert [r["dist"] for r in one] == [None]
 
 
+@pytest.mark.parametrize("margin", [0.0, 2.0, 400.0])
+def test_water_in_a_zone_is_looked_for_among_near_lines_first(spark, margin, monkeypatch):
+    """Sites whose nearest line lies beyond the margin, or that have none of a kind near, search all lines of the zone."""
+    from catchmark.functions.geometry import utm_xy
+    from catchmark.plans import distance as plan
+
+    monkeypatch.setattr(plan, "MARGIN", margin)
+    rng = random.Random(6)
+    lines = [(k, i, 5, x, y, x + rng.uniform(-2, 2), y + rng.uniform(-2, 2)) for k, n, low, high in (("River", 40, -110, -70), ("Lake", 3, -80, -79), ("Coast", 5, -124, -123))
+             for i, (x, y) in enumerate((rng.uniform(low, high), rng.uniform(26, 48)) for _ in range(n))]
+    sites = [(i, rng.uniform(-112, -75), rng.uniform(25, 49)) for i in range(30)] + [(99, None, 40.0)]
+    got = plan.nearest_water_utm(spark.createDataFrame(sites, "k long, lon double, lat double"), spark.createDataFrame(lines, "kind string, feature_id long, ord int, x1 double, y1 double, x2 double, y2 double"), "k")
+    got = {r["k"]: (r["dist_river_km"], r["dist_lake_km"], r["dist_coast_km"]) for r in got.collect()}
+    assert got.pop(99) == (None, None, None) and len(got) == 30
+    xy = lambda x, y, z: tuple(c.alias(n) for c, n in zip(utm_xy(F.col(x), F.col(y), z), (f"e{x}", f"n{y}")))
+    zone = F.floor((F.col("lon") + 180) / 6) + 1
+    pairs = spark.createDataFrame(sites[:30], "k long, lon double, lat double").crossJoin(spark.createDataFrame(lines, "kind string, f long, o int, x1 double, y1 double, x2 double, y2 double"))
+    want = {}
+    for r in pairs.select("k", "kind", *xy("lon", "lat", zone), *xy("x1", "y1", zone), *xy("x2", "y2", zone)).collect():
+        d = seg_dist(*r[2:]) / 1000
+        want[r["k"], r["kind"]] = min(d, want.get((r["k"], r["kind"]), d))
+    for k, found in got.items():
+        assert found == pytest.approx([want[k, kind] for kind in ("River", "Lake", "Coast")], abs=1e-6)
+
+
 def test_polygons_near(spark):
     edges = spark.createDataFrame(ring(1, [(0, 0), (10, 0), (10, 10), (0, 10)]) + ring(2, [(12, 0), (13, 0), (13, 1), (12, 1)]), EDGE)
     sites = spark.createDataFrame([(1, 5.0, 5.0), (2, 11.0, 0.5), (3, 11.0, 5.0), (4, 30.0, 30.0)], "s long, x double, y double")
