@@ -19,6 +19,8 @@ from catchmark.sources.readers import DISTANCE_COLS, check_inputs, load_distance
 from catchmark.sources.writers import write_csv
 
 KINDS = ("River", "Lake", "Coast")
+#: Degrees beyond a zone in which lines are looked for first.
+MARGIN = 2.0
 # What a sector adds to the seed of its draw.
 SEED_OFFSETS = {"AI": 101, "Power": 202, "TRI": 303}
 
@@ -52,21 +54,45 @@ def nearest_water(sites: DataFrame, segments: DataFrame, site_id: str, min_order
 def nearest_water_utm(sites: DataFrame, segments: DataFrame, site_id: str, min_order: int = 3, depth: int | None = None) -> DataFrame:
     """As ``nearest_water`` but in each site's own UTM zone.
 
-    The layers are projected once into every zone that holds a site (at most 60), and zones are matched by key.
+    A zone that holds a site (at most 60) first gets the lines that reach within MARGIN degrees of it. Lines left out lie beyond that meridian, so a
+    distance shorter than the way there is final; other sites are searched again among all lines of their zone and kind. Zones are matched by key.
     Lines 80 degrees or more from a zone's meridian lie outside that projection and are left out for the zone.
     """
     placed = sites.withColumn("zone", utm_zone(F.col("lon")))
     x, y = utm_xy(F.col("lon"), F.col("lat"), F.col("zone"))
-    placed = placed.withColumns({"x": x, "y": y})
+    placed = cut(placed.withColumns({"x": x, "y": y}).select(site_id, "zone", "x", "y"), "utm-sites")
     zones = F.broadcast(placed.agg(F.collect_set("zone").alias("_zones")))  # one row, at most 60 zones
-    keep = segments.filter((F.col("kind") != "River") | (F.col("ord") >= min_order))
-    lines = keep.crossJoin(zones).withColumn("zone", F.explode("_zones")).drop("_zones")
+    ends = ("x1", "y1", "x2", "y2")
+    # written once: filters on zones would be pushed into the expressions of the ends
+    keep = cut(segments.filter((F.col("kind") != "River") | (F.col("ord") >= min_order)).select("kind", *ends), "water-lines")
     meridian = F.col("zone") * 6.0 - 183.0
+    lines = keep.crossJoin(zones).withColumn("zone", F.explode("_zones")).drop("_zones")
     lines = lines.filter((F.abs(F.col("x1") - meridian) < 80.0) & (F.abs(F.col("x2") - meridian) < 80.0))
+    span = 3.0 + MARGIN
+    near = lines.filter((F.least("x1", "x2") <= meridian + span) & (F.greatest("x1", "x2") >= meridian - span))
+    found = cut(nearest_distance(placed, _in_zone(near), site_id, ["zone"], ["kind"], depth), "near-water")
+
+    # a meridian is nearest to the zone's own at the latitude farthest from the equator; both ends of a line left out lie beyond, and so does the line.
+    # The series' terms of higher order come to less than a hundredth there.
+    steep = lambda c: F.max(F.when(~F.isnan(c), F.abs(F.sin(F.radians(c)))))
+    kinds = keep.groupBy("kind").agg(F.greatest(steep("y1"), steep("y2")).alias("_sin")).filter("kind is not null")
+    way = utm_xy(F.lit(span - 3.0), F.degrees(F.asin("_sin")), F.lit(30))[0]  # zone 30 lies around -3 degrees
+    kinds = cut(kinds.select("kind", (way - 500_000.0).alias("_way")), "water-kinds")
+    off = placed.groupBy("zone", site_id).agg(F.max(F.abs(F.col("x") - 500_000.0)).alias("_off"))
+    sure = found.join(kinds, "kind").join(off, ["zone", site_id]).filter(F.col("dist") <= F.col("_way") * 0.99 - F.col("_off"))
+    sure = cut(sure.select("zone", site_id, "kind", "dist"), "sure-water")
+    rest = cut(placed.crossJoin(kinds.select("kind")).join(sure, ["zone", site_id, "kind"], "left_anti"), "unsure-water")
+    if rest.isEmpty():
+        return _wide(sites, sure, site_id)
+    some = F.broadcast(cut(rest.select("zone", "kind").distinct(), "unsure-zones"))  # at most 60 zones of each kind
+    more = nearest_distance(rest, _in_zone(lines.join(some, ["zone", "kind"], "left_semi")), site_id, ["zone", "kind"], (), depth)
+    return _wide(sites, sure.unionByName(more), site_id)
+
+
+def _in_zone(lines: DataFrame) -> DataFrame:
+    """Ends in the UTM zone of each line."""
     (ax, ay), (bx, by) = (utm_xy(F.col(f"x{n}"), F.col(f"y{n}"), F.col("zone")) for n in (1, 2))
-    lines = lines.withColumns({"x1": ax, "y1": ay, "x2": bx, "y2": by})
-    found = nearest_distance(placed, lines, site_id, ["zone"], ["kind"], depth)
-    return _wide(sites, found, site_id)
+    return lines.withColumns({"x1": ax, "y1": ay, "x2": bx, "y2": by})
 
 
 def tests_vs_random(distances: DataFrame, column: str) -> DataFrame:
