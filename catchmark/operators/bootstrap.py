@@ -1,12 +1,8 @@
 """Seeded bootstrap of medians and ECDF bands against a pool.
 
-A sample's median only needs the ranks that were drawn, so replicates draw rank numbers, not rows. A replicate is split into
-chunks of draws that are spread over the cluster; draws are made there and reduced to counts per slice of the pool, about
-sqrt(m) slices of sqrt(m) ranks. The slices that hold the middle are then drawn again and counted rank by rank. So no task
-holds a replicate, draws never cross the network, and only two pool values per replicate are looked up.
-
-Medians without replacement and ECDFs exchange no counts: a replicate's noise runs through one task in blocks, of which that
-keeps a number each and the few members near the cutoff, or counts of even slices of ranks.
+A sample's median only needs the ranks that were drawn, so replicates draw rank numbers, not rows. A replicate's noise runs through
+one task in blocks, of which that keeps a number each and the few draws near the middle or the cutoff, or counts of even slices of
+ranks. So no task holds a replicate, nothing but two ranks or a curve leaves one, and only two pool values per replicate are looked up.
 
 ``ranked`` is (group, metric, i, x): the pools' values numbered 1..m (see ``ranked_rows``).
 ``spec`` has one row per comparison: its key columns, group, metric, n (sample size), m (pool size) and
@@ -257,6 +253,52 @@ def _middle_members(replicates: DataFrame, keys: Sequence[str], seed: int) -> Da
     return spread.mapInPandas(middles, schema)
 
 
+def _middle_draws(replicates: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """(keys, rep, _low, _high): the middle ranks (one twice if n is odd) of each replicate's draws with replacement.
+
+    The first number of a draw's noise orders ranks, so its middle is looked for in a bracket of a few deviations around one half, which grows should it
+    miss: draws below are counted, and only those inside get their second number and their rank.
+    """
+    own, size, modulus, second = [*keys, "rep"], BLOCK, MODULUS, SECOND
+    spread = _spread(replicates.filter((F.col("n") > 0) & (F.col("m") > 0)), keys, seed)
+    schema = StructType([*[spread.schema[c] for c in own], StructField("_low", LongType()), StructField("_high", LongType())])
+    low, noise = _array_noise()
+
+    def middles(frames):
+        import numpy as np
+
+        def middle(row):
+            n, m, seeded = row["n"], row["m"], row["_seed"]
+            places = (n + 1) // 2, n // 2 + 1
+            span = int(6 * modulus / n**0.5) + 1
+            start = max(0, modulus // 2 - span // 2)
+            while True:
+                below, near = 0, []
+                for first in range(0, n, size):
+                    key = row["rep"] * n + np.arange(first, min(first + size, n), dtype=np.int64)
+                    h = noise(low(key), key, seeded)
+                    under = h < start + span
+                    at = np.flatnonzero(under & (h >= start))
+                    below += np.count_nonzero(under) - len(at)
+                    near.append((h[at], key[at]))
+                if places[0] <= below:
+                    start, span = max(0, start - 2 * span), start + span - max(0, start - 2 * span)
+                elif places[1] > below + sum(len(k) for _, k in near):
+                    span *= 3
+                else:
+                    break
+            h, key = (np.concatenate(x) for x in zip(*near))
+            u = (h + noise(low(key), key, seeded + second) / float(modulus)) / float(modulus)
+            rank = np.sort(np.minimum(np.floor(u * m).astype(np.int64), m - 1) + 1)
+            return tuple(int(rank[k - below - 1]) for k in places)
+
+        for frame in frames:
+            found = [middle(row) for row in frame.to_dict("records")]
+            yield frame[own].assign(_low=[a for a, _ in found], _high=[b for _, b in found])
+
+    return spread.mapInPandas(middles, schema)
+
+
 def _curves(replicates: DataFrame, keys: Sequence[str], seed: int, replace: bool) -> DataFrame:
     """(keys, rep, g, y): the share of each replicate's draws whose ranks are at most ``_cuts[g]``, a column of sorted numbers from 0 to m.
 
@@ -323,28 +365,11 @@ def replicate_medians(spec: DataFrame, ranked: DataFrame, keys: Sequence[str], r
     """(keys, rep, median) of each replicate's sample."""
     keys, own = list(keys), [*keys, "rep"]
     carried = [c for c in ("group", "metric") if c not in keys]
-    replicates = _replicates(spec, reps)
-    if not replace:
-        # two ranks a replicate
-        found = cut(_middle_members(replicates, keys, seed), "middle-members").withColumn("i", F.explode(F.array_distinct(F.array("_low", "_high"))))
-        found = found.join(per_group(spec.select(*keys, *carried), "pools"), keys) if carried else found
-        return _valued(found, ranked, own)
-    sizes = _counted(replicates, keys, seed)
-    middles = sizes.withColumn("_mid", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))))
-    slices = _reach(middles, [*own, "_mid"], "_slice", F.col("_mid"))
-    wanted = F.struct(F.col("_slice").alias("slice"), (F.col("_mid") - F.col("_before")).alias("k"))
-    found = cut(slices.groupBy(*own).agg(F.collect_list(wanted).alias("_wanted")), "middle-slices")
-    listed = replicates.join(found.select(*own, F.transform("_wanted", lambda w: w["slice"]).alias("_slices")), own)
-    names = replicates.select(*own, *carried)
-    ranks = _counted(listed, keys, seed, "_slices").join(found, own).join(names, own) if carried else _counted(listed, keys, seed, "_slices").join(found, own)
-    return _looked_up(ranks, ranked, own, carried)
-
-
-def _looked_up(ranks: DataFrame, ranked: DataFrame, own: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """The replicates' medians from the counts of ranks in the slices that hold their middles."""
-    each = ranks.withColumn("_w", F.explode("_wanted")).filter(F.col("_w.slice") == F.col("_slice")).withColumn("_k", F.col("_w.k"))
-    looked_up = _reach(each, [*own, "_slice", "_k"], "i", F.col("_k")).select(*own, *carried, "i")
-    return _valued(looked_up, ranked, own)
+    middles = _middle_draws if replace else _middle_members
+    # two ranks a replicate
+    found = cut(middles(_replicates(spec, reps), keys, seed), "middle-ranks").withColumn("i", F.explode(F.array_distinct(F.array("_low", "_high"))))
+    found = found.join(per_group(spec.select(*keys, *carried), "pools"), keys) if carried else found
+    return _valued(found, ranked, own)
 
 
 def _valued(middles: DataFrame, ranked: DataFrame, own: Sequence[str]) -> DataFrame:

@@ -357,6 +357,32 @@ def test_medians_without_replacement_are_those_of_the_drawn_ranks(spark):
     assert len(drawn) == 12
 
 
+def test_medians_with_replacement_are_those_of_the_drawn_ranks(spark):
+    """Odd and even samples, larger and smaller than their pool; what is written for a replicate is its middle, whatever the sizes."""
+    keys, kind = ["sector", "metric"], "sector string, metric string, group string, n long, m long, stream long"
+    rows = [("one", "m", "None", 1, 7, 0), ("two", "m", "None", 2, 900, 1), ("odd", "m", "None", 40_001, 20_000, 2), ("even", "m", "None", 33_000, 20_000, 3), ("few", "m", "None", 500, 2, 4)]
+    spec = spark.createDataFrame(rows, kind)
+    ranked = spark.range(1, 20_001).select(F.lit("None").alias("group"), F.lit("m").alias("metric"), F.col("id").alias("i"), (F.col("id") * 10.0).alias("x"))
+    drawn: dict = {}
+    for r in bs.draw_ranks(spec, keys, 4, 7, True).collect():
+        drawn.setdefault((r["sector"], r["rep"]), []).extend([r["i"] * 10.0] * r["c"])
+    medians = bs.replicate_medians(spec, ranked, keys, 4, 7)
+    assert {(r["sector"], r["rep"]): r["median"] for r in medians.collect()} == {k: float(np.median(v)) for k, v in drawn.items()}
+    assert len(drawn) == 20
+    plan = bs._middle_draws(bs._replicates(spec, 4), keys, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("start", [0, bs.MODULUS // 2, bs.MODULUS - 5])
+def test_middles_are_found_where_noise_is_uneven(spark, start, monkeypatch):
+    monkeypatch.setattr(bs, "_array_noise", lambda: (lambda key: key, lambda low, key, seed: start + key * key % 5))
+    spec = spark.createDataFrame([("a", "m", "None", 40_000, 1 << 40, 0)], "sector string, metric string, group string, n long, m long, stream long")
+    first = np.sort(start + np.arange(40_000, dtype=np.int64) ** 2 % 5)
+    second = lambda h: np.floor((h + h / float(bs.MODULUS)) / float(bs.MODULUS) * (1 << 40))
+    got = bs._middle_draws(bs._replicates(spec, 1), ["sector", "metric"], 7).first()
+    assert (got["_low"], got["_high"]) == tuple(min(int(second(h)), (1 << 40) - 1) + 1 for h in first[19_999:20_001])
+
+
 @pytest.mark.parametrize("start", [0, 5, bs.MODULUS - 5])
 def test_cutoffs_are_found_where_noise_is_uneven(spark, start, monkeypatch):
     """All noise in a few numbers, with ties, far from where it is looked for first."""
