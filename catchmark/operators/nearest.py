@@ -249,7 +249,7 @@ def _worker(by: Sequence[str], point_id: str, ties: bool, far: bool):
         import numpy as np
         import pyarrow as pa
 
-        index_of, nearest, boxes_of, nearest_box = search
+        index_of, nearest, boxes_of, nearest_box, *_ = search
         held, many, index, now = [], 0, None, None
         for batch in batches:
             names = batch.schema.names

@@ -15,13 +15,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from catchmark.functions.exact import bound, side_of_line
 from catchmark.functions.geometry import segment_distance
 from catchmark.operators.lineage import cut
 from catchmark.operators.ordered import require
+from catchmark.operators.tile_search import array_search
 
 EDGES_PER_CELL = 8
+#: Sites beyond which a tile of the radius search is dealt to several tasks.
+SITES_PER_TASK = 10_000
 
 
 def _cell(c: Column, size: Column | float) -> Column:
@@ -161,33 +165,97 @@ def boundary_lines(edges: DataFrame, kind: str, id_col: str) -> DataFrame:
 def polygons_near(sites: DataFrame, edges: DataFrame, radius: float, site_id: str, id_col: str = "basin_id", split: int = 4) -> DataFrame:
     """Distinct (site, polygon) where the polygon meets the closed disk of ``radius`` around the site.
 
-    Either an edge comes within the radius or the site lies inside. The plane is parted into cells of radius / ``split``.
-    A cell wholly within the disk gives all polygons that have an edge in it, once each; only edges in the cells that the
-    circle cuts, a ring of about 7 ``split`` cells, are measured. Cells are grown by a little, so rounding loses no edge.
+    Either an edge comes within the radius or the site lies inside. The plane is parted into tiles of ``split`` radii; an edge goes to the tiles that,
+    grown by the radius, its line passes, a site to its own. So a task knows all of a site's polygons and writes each once: pairs are not exchanged.
+    A polygon that the site lies in comes with the site's place and counts if no edge is near. A tile with many sites is dealt to several tasks.
     """
     # both are read several times below, and filters on them would be pushed into their own expressions
-    sites, edges = cut(sites.select(site_id, "x", "y"), "near-sites"), cut(edges.select(id_col, "x1", "y1", "x2", "y2"), "near-edges")
-    size, reach = float(radius) / split, F.lit(float(radius))
-    span = lambda a, b: F.sequence(_cell(F.least(a, b), size), _cell(F.greatest(a, b), size))
-    listed = edges.select(id_col, "x1", "y1", "x2", "y2", F.explode(span("x1", "x2")).alias("_cx"), span("y1", "y2").alias("_rows")).withColumn("_cy", F.explode("_rows")).drop("_rows")
-    # of the cells in an edge's box, those that its line passes by closer than half a diagonal
+    sites, edges = cut(sites.select(site_id, "x", "y").distinct(), "near-sites"), cut(edges.select(id_col, "x1", "y1", "x2", "y2"), "near-edges")
+    # ids that stand for several places
+    sites = cut(sites.withColumn("_many", F.count(F.lit(1)).over(W.partitionBy(site_id)) > 1), "near-places")
+    size, reach, names = float(radius) * split, float(radius) * (1 + 1e-6), ("x1", "y1", "x2", "y2")
+    where, ends = ["_cx", "_cy"], [F.col(c) for c in names]
+    here = sites.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    inside = points_in_polygons(here, edges, "inner", "x", "y", id_col).withColumn("_kind", F.lit(2))
+    here = here.withColumns({id_col: F.lit(None).cast(edges.schema[id_col].dataType), "_kind": F.lit(1)})
+    placed = here.unionByName(inside).withColumns({"_cx": _cell(F.col("x"), size), "_cy": _cell(F.col("y"), size)})
+    tiles = cut(placed.filter("_kind = 1").groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / SITES_PER_TASK).cast("int").alias("_parts")), "near-tiles")
+    dealt = placed.hint("merge").join(tiles, where).withColumn("_part", F.pmod(F.xxhash64("x", "y", site_id), F.col("_parts")).cast("int"))
+
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    span = lambda a, b: F.sequence(_cell(F.least(a, b) - reach, size), _cell(F.greatest(a, b) + reach, size))
+    listed = edges.filter(finite("x1") & finite("y1") & finite("x2") & finite("y2")).select(id_col, *names, F.explode(span("x1", "x2")).alias("_cx"), span("y1", "y2").alias("_rows"))
+    listed = listed.select(id_col, *names, "_cx", F.size("_rows").alias("_high"), F.explode("_rows").alias("_cy"))
+    # of the tiles in an edge's box, those that its line passes
     middle = lambda c: (F.col(c) + 0.5) * size
-    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    listed = listed.filter(segment_distance(middle("_cx"), middle("_cy"), *ends) <= size * 0.7072)
-
-    here = sites.select(site_id, F.col("x").alias("_x"), F.col("y").alias("_y"))
-    around = lambda c: F.sequence(_cell(F.col(c) - reach, size), _cell(F.col(c) + reach, size))
-    spread = here.withColumn("_cx", F.explode(around("_x"))).withColumn("_cy", F.explode(around("_y")))
-    away = F.hypot(middle("_cx") - F.col("_x"), middle("_cy") - F.col("_y"))
-    spread = spread.withColumn("_away", away).filter(F.col("_away") <= reach + size * 0.7072)
-    within = F.col("_away") <= reach - size * 1.4143
-
-    # the planner takes a list of cells for as small as what it was made from, and would broadcast it
-    whole = spread.filter(within).hint("merge").join(listed.select(id_col, "_cx", "_cy").distinct(), ["_cx", "_cy"]).select(site_id, id_col)
-    dist = segment_distance(F.col("_x"), F.col("_y"), *ends)
-    ring = spread.filter(~within).hint("merge").join(listed, ["_cx", "_cy"]).filter(dist <= reach).select(site_id, id_col)
-    inside = points_in_polygons(sites.select(site_id, "x", "y"), edges, "inner", "x", "y", id_col).select(site_id, id_col)
-    return whole.unionByName(ring).unionByName(inside).distinct()
+    listed = listed.filter((F.col("_high") <= 2) | (segment_distance(middle("_cx"), middle("_cy"), *ends) <= 0.70711 * (size + 2.001 * reach)))
+    # the planner takes a list of tiles for as small as what it was made from, and would broadcast it
+    listed = listed.hint("merge").join(tiles, where).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    none = lambda kind, *cols: {c: F.lit(None).cast(kind) for c in cols}
+    row = [*where, "_part", "_kind", site_id, "x", "y", "_many", id_col, *names]
+    rows = listed.withColumns({**none("double", "x", "y"), **none("boolean", "_many"), **none(sites.schema[site_id].dataType, site_id), "_kind": F.lit(0)}).select(*row)
+    rows = rows.unionByName(dealt.withColumns(none("double", *names)).select(*row))
+    tasks = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *where, "_part").sortWithinPartitions(*where, "_part", "_kind")
+    told = StructType([sites.schema[site_id], edges.schema[id_col], StructField("_many", BooleanType())])
+    found = rows.mapInArrow(_near_worker(site_id, id_col, float(radius), size), StructType([StructField(f.name, f.dataType) for f in told]))
+    if sites.filter("_many").isEmpty():
+        return found.drop("_many")
+    found = cut(found, "near-polygons")
+    return found.filter(~F.col("_many")).drop("_many").unionByName(found.filter("_many").drop("_many").distinct())
+
+
+def _near_worker(site_id: str, id_col: str, radius: float, size: float):
+    """Rows sorted by tile, edges ahead of sites ahead of sites with the polygon they lie in, to (site, polygon). A task holds one tile's edges and one batch."""
+    search, names = array_search(), ("x1", "y1", "x2", "y2")
+
+    def work(batches):  # holds all it needs, so executors need not have this package
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        *_, index_of, reached, polygons_within = search
+        held, ids, index, known, now = [], [], None, None, None
+        for batch in batches:
+            at_name = batch.schema.names.index
+            column = lambda c: batch.column(at_name(c))  # noqa: E731, B023
+            place = np.stack([column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_cx", "_cy", "_part", "_kind")])
+            starts = np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(axis=0)))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                *at, kind = place[:, a].tolist()
+                if at != now:
+                    held, ids, index, known, now = [], [], None, None, at
+                part = lambda c: column(c).slice(a, b - a)  # noqa: E731, B023
+                value = lambda c: part(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                if kind == 0:
+                    held.append(np.stack([value(c) for c in names], axis=1))
+                    ids.append(part(id_col))
+                    continue
+                if held:
+                    coded = pa.concat_arrays(ids).dictionary_encode(null_encoding="encode")
+                    known, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+                    low = [c * size - radius * (1 + 1e-7) for c in now[:2]]
+                    index = index_of(np.concatenate(held), code, (*low, *(c + size + 2.0000002 * radius for c in low)), radius)
+                    held, ids = [], []
+                x, y = value("x"), value("y")
+
+                def told(p, polygons):
+                    return pa.RecordBatch.from_arrays([part(site_id).take(p), polygons, part("_many").take(p)], names=[site_id, id_col, "_many"])  # noqa: B023
+
+                if kind == 2:
+                    # counted with the site if an edge is near
+                    polygon, alone = part(id_col), np.ones(b - a, dtype=bool)
+                    if index:
+                        k = pc.index_in(polygon, value_set=known)
+                        p = np.flatnonzero(k.is_valid().to_numpy(zero_copy_only=False))
+                        alone[p] = ~reached(index, x, y, p, k.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[p], radius)
+                    p = pa.array(np.flatnonzero(alone))
+                    yield told(p, polygon.take(p))
+                elif index:
+                    for p, k in polygons_within(index, x, y, radius):
+                        yield told(pa.array(p), known.take(pa.array(k)))
+
+    return work
 
 
 def basins_of_site(sites: DataFrame, located: DataFrame, keys: DataFrame, site: list[str], group: str, id_col: str = "basin_id") -> DataFrame:

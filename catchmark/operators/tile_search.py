@@ -21,8 +21,8 @@ def array_search(most_pairs: int = 1 << 20, run: int = 8):
         own = np.repeat(np.arange(len(count)), count)
         return own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + first[own]
 
-    def index(segs, box):
-        segs = np.unique(segs, axis=0)
+    def index(segs, box, least=0.0, copies=False):
+        segs = segs if copies else np.unique(segs, axis=0)
         x1, y1, x2, y2 = segs.T
         n = len(segs)
         # the part of the box that segments reach
@@ -31,7 +31,7 @@ def array_search(most_pairs: int = 1 << 20, run: int = 8):
         wide, high = max(hix - lox, 0.0), max(hiy - loy, 0.0)
         across = max(wide, high)
         length = np.minimum(np.maximum(abs(x2 - x1), abs(y2 - y1)), across).sum()
-        c = max((wide * high / n) ** 0.5, across / n, length / (8 * n), across / 1024) or 1.0
+        c = max((wide * high / n) ** 0.5, across / n, length / (8 * n), across / 1024, least) or 1.0
         gx, gy = int(wide / c) + 1, int(high / c) + 1
         slack = 1e-6 * c + 1e-12 * max(abs(lox), abs(loy), abs(hix), abs(hiy))
         row = lambda v: np.clip(np.floor((v - loy) / c), -1, gy)
@@ -212,4 +212,64 @@ def array_search(most_pairs: int = 1 << 20, run: int = 8):
         _, first = np.unique(np.stack([pairs[0], own.ravel()]), axis=1, return_index=True)
         return best, pairs[:, first]
 
-    return index, nearest, boxes, nearest_box
+    def polygon_index(segs, code, box, radius):
+        """An index of polygons ``code``, 0, 1, ...: those with an edge in a cell, the edges of each, and one vertex of each by its cell."""
+        made = index(segs, box, radius / 8, copies=True)
+        lox, loy, c, gx, gy, _ = made["grid"]
+        cell = np.repeat(np.arange(gx * gy), np.diff(made["starts"]))
+        n = int(code.max()) + 1
+        both = np.unique(cell * n + code[made["listed"]])
+        upto = lambda counts: np.append(0, np.cumsum(counts))
+        made["polygons"], made["first"] = both % n, upto(np.bincount(both // n, minlength=gx * gy))
+        made["edges"], made["own"] = np.argsort(code, kind="stable"), upto(np.bincount(code, minlength=n))
+        vertex = segs[made["edges"][made["own"][:-1]], :2]
+        at = np.clip(np.floor((vertex[:, 1] - loy) / c), 0, gy - 1).astype(np.int64) * gx + np.clip(np.floor((vertex[:, 0] - lox) / c), 0, gx - 1).astype(np.int64)
+        made["vertex"], made["by_cell"], made["vertices"] = vertex.T, np.argsort(at, kind="stable"), upto(np.bincount(at, minlength=gx * gy))
+        return made
+
+    def reached(index, x, y, p, polygon, radius):
+        """Which pairs of points and polygons have an edge within the radius."""
+        out = np.zeros(len(p), dtype=bool)
+        first, count = index["own"][polygon], index["own"][polygon + 1] - index["own"][polygon]
+        piece = (np.cumsum(count) - count) // most_pairs
+        ends = np.append(np.flatnonzero(np.diff(piece, prepend=-1)), len(piece)).tolist()
+        for a, b in zip(ends, ends[1:]):
+            own, at = runs(first[a:b], count[a:b])
+            q = p[a:b][own]
+            out[a + own[distance(index, x[q], y[q], index["edges"][at]) <= radius]] = True
+        return out
+
+    def polygons_within(index, x, y, radius):
+        """(points, polygons) with an edge within the radius, each once, in pieces."""
+        lox, loy, c, gx, gy, slack = index["grid"]
+        step = max(1, most_pairs // 4 // max(1, int(len(index["polygons"]) * min(1.0, (2 * radius / c + 2) ** 2 / (gx * gy)))))
+        vx, vy = index["vertex"]
+        sure = (radius * (1 - 1e-9)) ** 2
+        away = lambda p, k: (vx[k] - x[p]) * (vx[k] - x[p]) + (vy[k] - y[p]) * (vy[k] - y[p])
+
+        def cells(a, b, starts, listed):
+            """Pairs of points a to b and what is listed in the cells within the radius."""
+            place = lambda v, low, end: np.clip(np.floor((v - low) / c), -1, end)
+            reach = radius + slack
+            top, left = (np.maximum(place(v - reach, low, end), 0).astype(np.int64) for v, low, end in ((y[a:b], loy, gy), (x[a:b], lox, gx)))
+            bottom, right = (np.minimum(place(v + reach, low, end), end - 1).astype(np.int64) for v, low, end in ((y[a:b], loy, gy), (x[a:b], lox, gx)))
+            p, row = runs(top, np.where(left <= right, np.maximum(bottom - top + 1, 0), 0))
+            first = starts[row * gx + left[p]]
+            own, at = runs(first, starts[row * gx + right[p] + 1] - first)
+            return p[own] + a, listed[at]
+
+        for a in range(0, len(x), step):
+            b = min(a + step, len(x))
+            # a vertex within the radius tells at once; other polygons are looked at by their edges
+            p, k = cells(a, b, index["vertices"], index["by_cell"])
+            near = away(p, k) <= sure
+            yield p[near], k[near]
+            p, k = cells(a, b, index["first"], index["polygons"])
+            far = away(p, k) > sure
+            n = len(vx)
+            both = np.unique(p[far] * n + k[far])
+            p, k = both // n, both % n
+            met = reached(index, x, y, p, k, radius)
+            yield p[met], k[met]
+
+    return index, nearest, boxes, nearest_box, polygon_index, reached, polygons_within

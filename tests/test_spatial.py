@@ -324,6 +324,23 @@ def test_polygons_near_equals_brute_force(spark):
         assert got == {(i, b) for i, x, y in sites for b, p in polys.items() if inside(x, y, p) or min(seg_dist(x, y, *e[2:]) for e in p) <= radius}
 
 
+def test_polygons_near_exchanges_no_pairs(spark, monkeypatch):
+    """Crowded tiles, an id at two places, a row twice, a polygon without id, one that holds sites far from its edges, edges on borders of tiles."""
+    monkeypatch.setattr(pg, "SITES_PER_TASK", 6)
+    rng = random.Random(12)
+    polys = {b: star(b, rng.uniform(-9, 9), rng.uniform(-9, 9), rng.uniform(0.2, 2), 9, rng) for b in range(50)}
+    polys |= {100: ring(100, [(-30, -30), (30, -30), (30, 30), (-30, 30)]), None: ring(None, [(4, 4), (8, 4), (8, 8), (4, 8)])}
+    sites = [(i, rng.uniform(-10, 10), rng.uniform(-10, 10)) for i in range(60)] + [(99, 4.0, 4.0), (99, 4.5, 4.0), (98, 8.0, 8.0), (98, 8.0, 8.0), (97, None, 1.0), (96, 70.0, 70.0)]
+    edges = spark.createDataFrame([e for p in polys.values() for e in p] + polys[7], EDGE)
+    points = spark.createDataFrame(sites, "s long, x double, y double")
+    for radius in (1.0, 5.0):
+        got = [(r["s"], r["basin_id"]) for r in pg.polygons_near(points, edges, radius, "s").collect()]
+        want = {(i, b) for i, x, y in sites if x is not None for b, p in polys.items() if inside(x, y, p) or min(seg_dist(x, y, *e[2:]) for e in p) <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = pg.polygons_near(points.filter("s < 90"), edges, 1.0, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan[: plan.index("MapInArrow")]
+
+
 SHAPES = {
     1: ring(1, [(0, 0), (4, 0), (4, 4), (0, 4)]) + ring(1, [(1, 1), (3, 1), (3, 3), (1, 3)], 1),  # a hole: 12
     2: ring(2, [(3, 3), (9, 3), (3, 9)]),  # over a corner of 1: 18
