@@ -6,12 +6,9 @@ no pair is a row.
 
 The other points (far from any segment, as inland sites are from a coast) go to the trees. Points and segments are each summarised as a tree of bounding boxes (16 children per node). Starting from the
 root pair, every level replaces a (point box, segment box) pair by its children and drops a segment box when its
-smallest possible distance exceeds the largest possible distance to some other box. What is left at the leaves
-is a handful of segment boxes per point box, wherever points and segments are dense or sparse, and only those
-are measured exactly. The result does not depend on the depth; a deeper tree only measures fewer pairs.
-
-All work is equi-joins on node ids: the point rows meet only the pairs of their own leaf. Copies of a segment
-are measured once and expanded afterwards.
+smallest possible distance exceeds the largest possible distance to some other box.
+What is left for a leaf of points goes to one task with its segments, where boxes within boxes are opened as arrays. The result does not depend
+on the depth. Copies of a segment are measured once and expanded afterwards.
 """
 
 from __future__ import annotations
